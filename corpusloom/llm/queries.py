@@ -10,6 +10,25 @@ from corpusloom.llm.common import table
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.packing import pack
+
+    out = pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.bytebpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.line_dedup import dedup_lines
 
@@ -25,6 +44,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_harmonic_packing": op1_harmonic_packing,
+    "op5_byte_bpe": op5_byte_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
 }
