@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, maybe_broadcast
+from corpusloom.llm.common import cut
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-POSITIONS = "doc_key struct<id:string,a:bigint,b:bigint>, pos int"
 
 
 def line_key(line):
@@ -35,7 +34,7 @@ def line_key(line):
 
 def doc_key(doc_id, text):
     """Identity of a row: its id and two hashes of its text."""
-    return F.struct(doc_id.cast("string").alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"))
+    return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -129,13 +128,16 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_co
     """(doc_key, pos) of every line that goes: keys of at least min_docs documents, or with keep_first all but
     the first occurrence (in order of document and position) of each key."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = (
-        docs.select(doc_key(F.col(id_col), text).alias("doc_key"), F.col(id_col).alias("order"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-        .select("doc_key", "order", "pos", line_key(F.col("line")).alias("key"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    positions = f"doc_key struct<id:{kind},a:bigint,b:bigint>, pos int"
+    keyed = docs.select(doc_key(F.col(id_col), text).alias("doc_key"), text.alias("text"))  # a row's key is made before its lines are
+    lines = cut(
+        keyed.select("doc_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        .select("doc_key", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= max(1, min_chars))
-        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("b"), "key").alias("h2"), F.xxhash64("doc_key").alias("dh"), "order", "doc_key", "pos")
-    )
-    order = ["h1", "h2", "order", "dh"]
+        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("b"), "key").alias("h2"), F.xxhash64("doc_key").alias("dh"), "doc_key", "pos")
+    )  # written once, since the range shuffle reads its input twice
+    order = ["h1", "h2", "doc_key"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(lines.repartitionByRange(n, *order).sortWithinPartitions(*order, "pos"))
     pid = F.spark_partition_id().alias("pid")
@@ -156,14 +158,16 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_co
 
             return _decide(batches, min_docs, later.get(TaskContext.get().partitionId(), set()), True)
 
-        return ranged.mapInArrow(first, POSITIONS)
+        return ranged.mapInArrow(first, positions)
     hot = {k for k, v in total.items() if v >= min_docs and len(parts[k]) > 1}
-    return ranged.mapInArrow(lambda b: _decide(b, min_docs, hot, False), POSITIONS)
+    return ranged.mapInArrow(lambda b: _decide(b, min_docs, hot, False), positions)
 
 
-def keep_bitmaps(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_bitmaps(dropped: DataFrame) -> DataFrame:
     """(doc_key, n_dropped, bitmap) for each document that loses a line: bit i of the zlib-compressed bitmap is 1
     if line i goes; bits beyond the last dropped line are left out."""
+    kind = dropped.schema["doc_key"].dataType.simpleString()
+
     def pack(batches):
         for b in batches:
             maps, counts = [], []
@@ -175,7 +179,7 @@ def keep_bitmaps(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", te
                 counts.append(len(at))
             yield pa.RecordBatch.from_arrays([b.column("doc_key"), pa.array(counts, pa.int64()), pa.array(maps, pa.binary())], ["doc_key", "n_dropped", "bitmap"])
 
-    return dropped.groupBy("doc_key").agg(F.collect_list("pos").alias("positions")).mapInArrow(pack, "doc_key struct<id:string,a:bigint,b:bigint>, n_dropped bigint, bitmap binary")
+    return dropped.groupBy("doc_key").agg(F.collect_list("pos").alias("positions")).mapInArrow(pack, f"doc_key {kind}, n_dropped bigint, bitmap binary")
 
 
 def apply_bitmap(text: str, bitmap: bytes | None) -> str:
@@ -188,8 +192,8 @@ def apply_bitmap(text: str, bitmap: bytes | None) -> str:
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_first: bool = False) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_dropped added (columns of these names are replaced)."""
-    maps = keep_bitmaps(docs, dropped_lines(docs, min_docs, min_chars, id_col, text_col, keep_first), id_col, text_col)
-    maps = maybe_broadcast(cut(maps.withColumnsRenamed({"n_dropped": "__n", "bitmap": "__bitmap", "doc_key": "__key"})), 50_000)
+    maps = keep_bitmaps(dropped_lines(docs, min_docs, min_chars, id_col, text_col, keep_first))
+    maps = maps.withColumnsRenamed({"n_dropped": "__n", "bitmap": "__bitmap", "doc_key": "__key"})
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.withColumn("__k", doc_key(F.col(id_col), text)).join(maps, F.col("__k").eqNullSafe(F.col("__key")), "left")
     kept = F.pandas_udf(lambda t, b: t.combine(b, apply_bitmap), "string")
