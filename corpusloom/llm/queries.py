@@ -43,11 +43,33 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES, default="allow", keep=("page_id",))
 
 
+def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.quality_rules import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("anomaly")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.winnowing import compare_with_next
+
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
+    "op6_quality_forest": op6_quality_forest,
+    "op7_html_text": op7_html_text,
+    "op10_winnowing": op10_winnowing,
 }
 
 OP8_SQL = r"""
