@@ -32,6 +32,12 @@ def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.bytebpe import round_trip
 
@@ -74,6 +80,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op3_weak_toxicity": op3_weak_toxicity,
+    "op4_ngram_join": op4_ngram_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
@@ -82,6 +89,23 @@ QUERIES = {
     "op10_winnowing": op10_winnowing,
 }
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(g) AS h FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS (SELECT doc_id, list(h) AS hs, count(*) AS n FROM s GROUP BY doc_id),
+rare AS (SELECT s.doc_id, s.h, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.df, s.h) AS r FROM s JOIN (SELECT h, count(*) AS df FROM s GROUP BY h) f ON s.h = f.h),
+prefix AS (SELECT rare.doc_id, h FROM rare JOIN n ON rare.doc_id = n.doc_id WHERE r <= n - ceil(0.9 * n) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefix a JOIN prefix b ON a.h = b.h AND a.doc_id < b.doc_id),
+l AS (SELECT c.a, c.b FROM c JOIN sets x ON c.a = x.doc_id JOIN sets y ON c.b = y.doc_id
+  WHERE 190 * len(list_intersect(x.hs, y.hs)) >= 90 * (x.n + y.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(v, t) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.t FROM r JOIN e ON r.v = e.a WHERE r.t < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.t) AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON r.v = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
@@ -106,4 +130,8 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.n = 1
 """
 
-ORACLES = {"op8_line_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLES = {
+    "op4_ngram_join": OP4_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op9_url_filter": OP9_SQL,
+}
