@@ -23,6 +23,12 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.katz import score
+
+    return score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
+
+
 def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.toxicity import fit, score
 
@@ -79,6 +85,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_katz_backoff": op2_katz_backoff,
     "op3_weak_toxicity": op3_weak_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_byte_bpe": op5_byte_bpe,
