@@ -78,36 +78,32 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({k: pa.array([x[i] for x in got], pa.int64()) for i, k in enumerate(("h1", "h2", "n"))})
 
 
-def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, hot: set[tuple[int, int]], keep_first: bool) -> Iterator[pa.RecordBatch]:
+def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, hot: set[tuple[int, int]], keep_first: bool, begun: tuple[int, int] | None = None) -> Iterator[pa.RecordBatch]:
     """Streams the sorted rows; yields document and position of each line that goes.
 
-    Held back at any time: the rows of one run until min_docs documents have been seen, then none of it.
+    hot: hashes that reach min_docs over several partitions. begun: the hash of a run that an earlier partition
+    begins. Held back at any time: the rows of one run until min_docs documents have been seen, then none of it.
     """
     held: list[pa.RecordBatch] = []
     seen, going = 0, False  # documents of the run so far; whether the run is known to go
+    start = True  # of the partition
 
     def out(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("pos")], ["doc_key", "pos"])
 
-    first_kept = None
     for batch, new_run, new_doc in _runs(batches):
         h1, h2 = batch.column("h1").to_numpy(zero_copy_only=False), batch.column("h2").to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(new_run)
-        bounds = [*([] if len(starts) and starts[0] == 0 else [0]), *starts, batch.num_rows]
-        lo, hi = np.array(bounds[:-1]), np.array(bounds[1:])
+        lo = np.unique(np.concatenate([[0], np.flatnonzero(new_run)]))
+        hi = np.append(lo[1:], batch.num_rows)
         docs = np.concatenate([[0], np.cumsum(new_doc)])
         n = docs[hi] - docs[lo]
-        if keep_first:
-            goes = ~new_run
-            if len(starts) and hot:  # a first occurrence that an earlier partition holds already
-                goes[starts] |= np.fromiter(((a, b) in hot for a, b in zip(h1[starts].tolist(), h2[starts].tolist(), strict=True)), bool, len(starts)) & (first_kept is None)
-            first_kept = True
-            if goes.any():
-                yield out(batch.filter(pa.array(goes)))
-            continue
         go = n >= min_docs
         if hot:
             go |= np.fromiter(((a, b) in hot for a, b in zip(h1[lo].tolist(), h2[lo].tolist(), strict=True)), bool, len(lo))
+        stays = new_run & keep_first  # the first row of a run, unless an earlier partition has it
+        if start and begun == (h1[0], h2[0]):
+            stays[0] = False
+        start = False
         if not new_run[0]:  # the run goes on from the batch before
             seen += int(n[0])
             go[0] = going = going or go[0] or seen >= min_docs
@@ -117,16 +113,18 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, hot: set[tuple[int
         if len(lo) > 1 or new_run[0]:  # another run is the last one now
             held = []
             seen, going = int(n[-1]), bool(go[-1])
-        mask = np.repeat(go, hi - lo)
+        mask = np.repeat(go, hi - lo) & ~stays
         if mask.any():
             yield out(batch.filter(pa.array(mask)))
         if not going:
-            held.append(batch.slice(int(lo[-1])))
+            at = int(lo[-1])
+            held.append(batch.slice(at + int(stays[at])))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_first: bool = False) -> DataFrame:
-    """(doc_key, pos) of every line that goes: keys of at least min_docs documents, or with keep_first all but
-    the first occurrence (in order of document and position) of each key."""
+    """(doc_key, pos) of every line that goes: all lines of a key that at least min_docs documents have, or with
+    keep_first all but its first occurrence, in order of document and position. min_docs 1 with keep_first leaves
+    every key once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     positions = f"doc_key struct<id:{kind},a:bigint,b:bigint>, pos int"
@@ -147,20 +145,15 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_co
     for e in edges:
         total[e.h1, e.h2] = total.get((e.h1, e.h2), 0) + e.n
         parts.setdefault((e.h1, e.h2), set()).add(e.pid)
-    if keep_first:
-        later = {}
-        for k, v in parts.items():
-            for p in v - {min(v)}:
-                later.setdefault(p, set()).add(k)
+    hot = {k for k, v in total.items() if v >= min_docs and len(parts[k]) > 1}
+    begun = {p: k for k, v in parts.items() for p in v if p != min(v)}  # only a partition's first run can be one
 
-        def first(batches):
-            from pyspark import TaskContext
+    def decide(batches):
+        from pyspark import TaskContext
 
-            return _decide(batches, min_docs, later.get(TaskContext.get().partitionId(), set()), True)
+        return _decide(batches, min_docs, hot, keep_first, begun.get(TaskContext.get().partitionId()))
 
-        return ranged.mapInArrow(first, positions)
-    hot = {k for k, v in total.items() if v >= min_docs and len(parts[k]) > 1}
-    return ranged.mapInArrow(lambda b: _decide(b, min_docs, hot, False), positions)
+    return ranged.mapInArrow(decide, positions)
 
 
 def keep_bitmaps(dropped: DataFrame) -> DataFrame:

@@ -341,8 +341,9 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, rule: Rule) -> Iterator[p
     yield from done()
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_shingles: int = MAX_SHINGLES) -> DataFrame:
-    """(id_col, n_shingles, component_id), one row for each row of docs.
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_shingles: int = MAX_SHINGLES, roots: bool = False) -> DataFrame:
+    """(id_col, n_shingles, component_id), one row for each row of docs; with roots also text_hash and root, which
+    names the component whatever its ids (null for a document without words).
 
     Linked are sets of n-word shingles with den * |intersection| >= num * |union|.
     """
@@ -353,9 +354,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [shingles(r.as_py(), n) for r in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(x) for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int64())], [id_col, "v", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([set_id(x) for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int64())], [id_col, "text_hash", "v", "n_shingles"])
 
-    every = cut(docs.select(id_col, _raw(text_col)).mapInArrow(sizes, f"`{id_col}` {kind}, v bigint, n_shingles bigint"))
+    every = cut(docs.select(id_col, _raw(text_col), F.xxhash64(F.col(text_col)).alias("__hash")).mapInArrow(sizes, f"`{id_col}` {kind}, text_hash bigint, v bigint, n_shingles bigint"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n, id_col, text_col))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(_raw(text_col)).mapInArrow(lambda b: _key_rows(b, n, rule, frequent.value, buckets), "bucket int, ks binary, vs binary, edges binary")
@@ -376,4 +377,15 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     root = components(links)
     named = every.join(root, "v", "left").withColumn("__root", F.coalesce("root", "v"))
     least = named.where("n_shingles > 0").groupBy("__root").agg(F.min(id_col).alias("__least"))
-    return named.join(least, "__root", "left").select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("__least")).otherwise(F.col(id_col)).alias("component_id"))
+    return named.join(least, "__root", "left").select(id_col, "n_shingles", *([F.col("text_hash"), F.when(F.col("n_shingles") > 0, F.col("__root")).alias("root")] if roots else []), F.when(F.col("n_shingles") > 0, F.col("__least")).otherwise(F.col(id_col)).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component left, that of the least id, and all documents without words. Rows
+    that agree in id and text are one."""
+    found = join(docs, n, num, den, id_col, text_col, roots=True).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__h"), "root")
+    least = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("__id", "__h")).alias("k")).select("k.__id", "k.__h")
+    kept = least.unionAll(found.where(F.col("root").isNull()).select("__id", "__h").distinct())
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
+    left = hashed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
+    return left.dropDuplicates([id_col, "__hash"]).drop("__hash")

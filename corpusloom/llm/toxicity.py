@@ -250,8 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
     return Model(wide.voters, logistic(wide.inputs(counts), posterior), float(y.mean()), rates, corr)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and score (0 to 1) of every row."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """keep and out, the score (0 to 1), of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOTERS voters
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
@@ -260,6 +260,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
         for b in batches:
             counts = np.array([m.counts(t.as_py()) for t in b.column(len(keep))]).reshape(b.num_rows, -1)
             s = m.score(counts) if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64())], [*keep, out])
 
-    return docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
+    return docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` double"]))
