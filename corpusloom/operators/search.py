@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.text import squeeze, tokens
 from corpusloom.functions.vector import cosine_distance
@@ -58,6 +59,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
         raise ValueError("k must be at least 1")
     kinds = {query_col: queries.schema[query_col].dataType.simpleString(), id_col: vectors.schema[id_col].dataType.simpleString()}
     schema = f"`{query_col}` {kinds[query_col]}, `{id_col}` {kinds[id_col]}, score double"
+    query_type = to_arrow_type(queries.schema[query_col].dataType)
     sc = vectors.sparkSession.sparkContext
     found = None
     rows = queries.select(query_col, query_vec).toLocalIterator()
@@ -74,7 +76,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
             if types is None:
                 return
             flat = [(n, i, None if s == np.inf else -s) for n, held in zip(names, best.best, strict=True) for s, i in held]
-            yield pa.RecordBatch.from_pydict({query_col: [x[0] for x in flat], id_col: pa.array([x[1] for x in flat], types), "score": pa.array([float("nan") if x[2] is None else x[2] for x in flat], pa.float64())})
+            yield pa.RecordBatch.from_pydict({query_col: pa.array([x[0] for x in flat], query_type), id_col: pa.array([x[1] for x in flat], types), "score": pa.array([float("nan") if x[2] is None else x[2] for x in flat], pa.float64())})
 
         part = vectors.select(id_col, vec_col).mapInArrow(run, schema)
         found = part if found is None else found.unionAll(part)
