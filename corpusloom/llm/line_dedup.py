@@ -37,28 +37,32 @@ def doc_key(doc_id, text):
     return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Whole batches with, for each row, whether it begins a run of one hash or another document of a run."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole batches with, for each row, whether it begins a run of one hash, another document of a run, and whether
+    it is the row before again, as rows that a table repeats are."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         h = np.stack([batch.column("h1").to_numpy(zero_copy_only=False), batch.column("h2").to_numpy(zero_copy_only=False)], 1)
         d = batch.column("dh").to_numpy(zero_copy_only=False)
-        new_run, new_doc = np.ones(len(d), bool), np.ones(len(d), bool)
+        p = batch.column("pos").to_numpy(zero_copy_only=False)
+        new_run, new_doc, again = np.ones(len(d), bool), np.ones(len(d), bool), np.zeros(len(d), bool)
         new_run[1:] = (h[1:] != h[:-1]).any(1)
         new_doc[1:] = new_run[1:] | (d[1:] != d[:-1])
+        again[1:] = ~new_doc[1:] & (p[1:] == p[:-1])
         if last is not None:
             new_run[0] = tuple(h[0]) != last[:2]
             new_doc[0] = new_run[0] or d[0] != last[2]
-        last = (*h[-1], d[-1])
-        yield batch, new_run, new_doc
+            again[0] = not new_doc[0] and p[0] == last[3]
+        last = (*h[-1], d[-1], p[-1])
+        yield batch, new_run, new_doc, again
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash and documents of a partition's first and last run: what other partitions may share."""
     first = cur = None
-    for batch, new_run, new_doc in _runs(batches):
+    for batch, new_run, new_doc, _ in _runs(batches):
         starts = np.flatnonzero(new_run)
         docs = np.cumsum(new_doc)
         h1, h2 = batch.column("h1"), batch.column("h2")
@@ -86,12 +90,12 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, hot: set[tuple[int
     """
     held: list[pa.RecordBatch] = []
     seen, going = 0, False  # documents of the run so far; whether the run is known to go
-    start = True  # of the partition
+    start, stayed = True, False  # of the partition; whether the row before stays
 
     def out(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("pos")], ["doc_key", "pos"])
 
-    for batch, new_run, new_doc in _runs(batches):
+    for batch, new_run, new_doc, again in _runs(batches):
         h1, h2 = batch.column("h1").to_numpy(zero_copy_only=False), batch.column("h2").to_numpy(zero_copy_only=False)
         lo = np.unique(np.concatenate([[0], np.flatnonzero(new_run)]))
         hi = np.append(lo[1:], batch.num_rows)
@@ -104,6 +108,9 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, hot: set[tuple[int
         if start and begun == (h1[0], h2[0]):
             stays[0] = False
         start = False
+        stays[0] |= again[0] and stayed  # and what repeats it
+        stays = stays[np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))]
+        stayed = bool(stays[-1])
         if not new_run[0]:  # the run goes on from the batch before
             seen += int(n[0])
             go[0] = going = going or go[0] or seen >= min_docs
@@ -118,7 +125,7 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, hot: set[tuple[int
             yield out(batch.filter(pa.array(mask)))
         if not going:
             at = int(lo[-1])
-            held.append(batch.slice(at + int(stays[at])))
+            held.append(batch.slice(at).filter(pa.array(~stays[at:])))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_first: bool = False) -> DataFrame:
@@ -139,7 +146,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_co
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(lines.repartitionByRange(n, *order).sortWithinPartitions(*order, "pos"))
     pid = F.spark_partition_id().alias("pid")
-    edges = ranged.select("h1", "h2", "dh").mapInArrow(_edges, "h1 bigint, h2 bigint, n bigint").select(pid, "*").collect()  # two rows a partition
+    edges = ranged.select("h1", "h2", "dh", "pos").mapInArrow(_edges, "h1 bigint, h2 bigint, n bigint").select(pid, "*").collect()  # two rows a partition
     total: dict[tuple[int, int], int] = {}
     parts: dict[tuple[int, int], set[int]] = {}
     for e in edges:

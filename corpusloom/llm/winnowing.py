@@ -103,7 +103,7 @@ def by_range(docs: DataFrame, id_col: str, ranges: int) -> DataFrame:
     x = F.col(id_col).cast("double")
     cuts = docs.select(F.percentile_approx(x, [i / ranges for i in range(1, ranges)] or [0.5], 20 * max(50, ranges)).alias("q")).first()
     cuts = sorted({q for q in (cuts.q or []) if q is not None})
-    splits = [-float("inf"), *cuts, float("inf")]
+    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="__x", outputCol="__b", handleInvalid="keep").transform(docs.withColumn("__x", F.coalesce(x, F.lit(-float("inf"))))).withColumn("__b", F.col("__b").cast("int"))
     firsts = bucketed.groupBy("__b").agg(F.min(id_col).alias("least"), F.count(F.when(F.col(id_col).isNull(), 1)).alias("nulls")).orderBy("__b").collect()  # one row a range
     if not firsts:

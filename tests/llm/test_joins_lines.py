@@ -1,0 +1,183 @@
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from corpusloom.llm import line_dedup as ld
+from corpusloom.llm import ngram_join as nj
+from corpusloom.llm.graph import components
+
+
+def shingle_set(text, n):
+    w = [x.decode() for x in (text or "").encode().lower().split()]
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
+
+
+def brute_components(rows, n, num, den):
+    """Component of each row by comparing every pair."""
+    sets = [shingle_set(t, n) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j]:
+                both = len(sets[i] & sets[j])
+                if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                    root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(i)].append(doc)
+    out = []
+    for i, (doc, _) in enumerate(rows):
+        out.append((doc, len(sets[i]), (min(least[find(i)]) if least[find(i)] else None) if sets[i] else doc))
+    return out
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple(-1 if x is None else x for x in r))
+
+
+@pytest.mark.parametrize(("n", "num", "den", "limit"), [(3, 90, 100, 6_000_000), (5, 80, 100, 6_000_000), (2, 70, 100, 300)])
+def test_components_equal_brute_force(spark, docs, corpus, n, num, den, limit):
+    got = [tuple(r) for r in nj.join(docs, n, num, den, max_shingles=limit).collect()]
+    assert ordered(got) == ordered(brute_components(corpus, n, num, den))
+
+
+def test_join_of_nothing(empty):
+    assert nj.join(empty).collect() == []
+    assert nj.one_of_each(empty).collect() == []
+
+
+def test_one_of_each(docs, corpus):
+    left = [(r.doc_id, r.text) for r in nj.one_of_each(docs, 5, 80, 100).collect()]
+    want = {}
+    for row, (doc, n, comp) in zip(corpus, brute_components(corpus, 5, 80, 100), strict=True):
+        if not n or doc == comp:
+            want[row] = 1
+    assert sorted(left, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_keys_meet_for_every_link(seed):
+    """Whatever the sizes and frequent shingles, linked sets share a key; the tree and the verification find them."""
+    rng = np.random.default_rng(seed)
+    rule = nj.Rule(*[(90, 100), (80, 100), (70, 100), (95, 100)][seed])
+    frequent = np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64))
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        if rng.random() < 0.3:
+            s = np.unique(np.concatenate([s, frequent]))
+        other = s.copy()
+        for _ in range(int(rng.integers(0, 2 + n // 5))):
+            if rng.random() < 0.5 and len(other) > 1:
+                other = np.delete(other, rng.integers(len(other)))
+            else:
+                other = np.unique(np.append(other, rng.integers(0, 1 << 63, 1).astype(np.uint64)))
+        both = len(np.intersect1d(s, other))
+        linked = rule.den * both >= rule.num * (len(s) + len(other) - both)
+        assert linked == (both >= rule.needed(len(s), len(other)))
+        assert nj.overlap(s, other) == both
+        if linked and not np.array_equal(s, other):
+            assert set(nj.keys(s, rule, frequent)) & set(nj.keys(other, rule, frequent))
+
+
+def test_tree_passes_over_no_link():
+    rng = np.random.default_rng(3)
+    rule = nj.Rule(80, 100)
+    sets = []
+    for _ in range(60):
+        s = np.unique(rng.integers(0, 1 << 63, int(rng.integers(5, 300))).astype(np.uint64))
+        sets += [s, np.delete(s, rng.integers(len(s))), np.unique(np.append(s[: int(len(s) * 0.9)], rng.integers(0, 1 << 63, 3).astype(np.uint64)))]
+    sizes = np.array([len(s) for s in sets])
+    tree = nj.RTree(np.array([nj.count_vector(s) for s in sets]), sizes, rule)
+    for i in range(len(sets)):
+        near = {j for j in range(len(sets)) if nj.overlap(sets[i], sets[j]) >= rule.needed(sizes[i], sizes[j])}
+        assert near <= set(tree.search(i).tolist())
+    root = nj.linked_parts(sets, rule)
+    rows = [(i, " ".join(map(str, s))) for i, s in enumerate(sets)]
+    want = [c for _, _, c in brute_components(rows, 1, 80, 100)]
+    assert len({*zip(root.tolist(), want, strict=True)}) == len(set(root.tolist())) == len(set(want))
+
+
+def test_graph_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (100, 102)] + [(500, i) for i in range(501, 560)]
+    got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and {got[i] for i in (100, 101, 102)} == {100} and {got[i] for i in range(500, 560)} == {500}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def keyed(line):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+
+
+def brute_lines(rows, min_docs, keep_first):
+    """Texts after dropping, by looking at every line; rows equal in id and text are one document."""
+    unique = sorted(set((-1 if i is None else i, t or "") for i, t in rows), key=lambda r: (r[0], *ld_hash(r)))
+    have = defaultdict(list)
+    for i, t in unique:
+        for pos, line in enumerate(t.split("\n")):
+            if keyed(line):
+                have[keyed(line)].append((i, t, pos))
+    gone = set()
+    for at in have.values():
+        if len({(i, t) for i, t, _ in at}) >= min_docs:
+            gone |= set(at[1:] if keep_first else at)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for pos, x in enumerate(lines) if (-1 if i is None else i, t or "", pos) not in gone]
+        out.append((-1 if i is None else i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def ld_hash(row):
+    return (0,)  # documents of one id in these tests have one text, but for null ids that share no line
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+@pytest.mark.parametrize("min_docs", [1, 2, 10])
+def test_lines_equal_brute_force(spark, docs, corpus, min_docs, keep_first):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = [(-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in ld.dedup_lines(docs, min_docs, keep_first=keep_first).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert sorted(got) == sorted(brute_lines(corpus, min_docs, keep_first))
+
+
+def test_hot_line_over_many_partitions_and_batches(spark):
+    rows = [(i, f"HOT  line\nown {i}\n hot  LINE") for i in range(3000)] + [(5000 + i, f"nine\nown {i}b") for i in range(9)] + [(6000 + i, f"ten\nz{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    keep = ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {k: spark.conf.get(k) for k in keep}
+    try:
+        spark.conf.set(keep[0], "13")
+        spark.conf.set(keep[1], "97")
+        whole = {r.doc_id: r.text for r in ld.dedup_lines(df, 10).collect()}
+        first = {r.doc_id: r.text for r in ld.dedup_lines(df, 10, keep_first=True).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(whole[i] == f"own {i}" for i in range(3000))
+    assert all(whole[5000 + i] == f"nine\nown {i}b" for i in range(9)) and all(whole[6000 + i] == f"z{i}" for i in range(10))
+    assert first[0] == "HOT  line\nown 0" and all(first[i] == f"own {i}" for i in range(1, 3000))
+    assert first[6000] == "ten\nz0" and first[6001] == "z1"
+
+
+def test_bitmaps_and_empty(spark, docs, empty):
+    dropped = ld.dropped_lines(docs, 10)
+    maps = ld.keep_bitmaps(dropped).collect()
+    assert maps and all(r.n_dropped >= 1 and len(bytes(r.bitmap)) < 40 for r in maps)
+    assert ld.dedup_lines(empty).collect() == []
+    assert ld.apply_bitmap("a\nb", None) == "a\nb"
