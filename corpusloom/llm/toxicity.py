@@ -175,11 +175,13 @@ def choose(hit: np.ndarray, toxic: np.ndarray, names: list[str], most: int) -> l
     """Voters, greedily by what each covers that fewer than two chosen ones cover: two witnesses for each row."""
     left = np.full(len(toxic), 2)
     chosen: list[int] = []
+    stems = [x[1:].rstrip("*") for x in names]
+    out = np.zeros(len(names), bool)
     cost = 3.0 * hit[~toxic].sum(0)
     base = hit[toxic].astype(np.float32)
     for _ in range(most):
         gain = (left[toxic] > 0).astype(np.float32) @ base - cost
-        gain[chosen] = -1
+        gain[out] = -1
         best = gain.max(initial=-1)
         if best < MIN_HITS:
             break
@@ -187,6 +189,8 @@ def choose(hit: np.ndarray, toxic: np.ndarray, names: list[str], most: int) -> l
         i = max(np.flatnonzero(gain == best), key=lambda j: (len(names[j]), names[j]))
         chosen.append(int(i))
         left[hit[:, i]] -= 1
+        # what holds a chosen mark, or is held by it, would be no other witness
+        out |= np.array([s.startswith(stems[i]) or stems[i].startswith(s) for s in stems])
     return chosen
 
 
