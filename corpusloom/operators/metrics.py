@@ -58,19 +58,53 @@ def unpivot(scored: DataFrame, source: str) -> DataFrame:
     return scored.select("query_id", F.expr("stack(3, 'recall', recall, 'mrr', mrr, 'ndcg', ndcg) AS (metric, value)")).where("value IS NOT NULL").withColumn("source", F.lit(source))
 
 
+def score_ranked(hits: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """The same metrics from rows instead of arrays, for relevant sets of any size: hits (query_id, rank, relevant),
+    ranks from 1 over distinct ids; totals (query_id, n_relevant). No set is gathered into a row."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    on = lambda value: F.when(F.col("relevant"), value)
+    got = hits.where(F.col("rank") <= k).groupBy("query_id").agg(
+        F.count_if("relevant").alias("found"), F.max(on(1.0 / F.col("rank"))).alias("rr"), F.sum(on(1.0 / F.log2(F.col("rank") + 1))).alias("gain")
+    )
+    n = F.col("n_relevant")
+    best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, r: s + 1.0 / F.log2(r + 1))
+    some = lambda value: F.when(n > 0, F.coalesce(value, F.lit(0.0)))
+    return totals.join(got, "query_id", "left").select("query_id", some(F.col("found") / F.nullif(n, F.lit(0))).alias("recall"), some(F.col("rr")).alias("mrr"), some(F.col("gain") / best).alias("ndcg"))
+
+
+#: Rows of a group up to which its bracket is its whole range; half the width of a bracket otherwise; the sketch's accuracy.
+BRACKET_ROWS, BRACKET, ACCURACY = 20_000, 5e-4, 10_000
+
+
 def latency(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """p50, the exact median, and p95, the element at the half-even rounded index 0.95 (n - 1); 0 without rows.
 
-    Ranks come from a window, so that no group is gathered into one row.
+    No group is sorted as a whole: a quantile sketch brackets each rank, then the few distinct values in the
+    brackets are ranked, counting what lies below.
     """
     from pyspark.sql import Window
 
     by = by or []
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")).withColumns({"i": F.row_number().over(w.orderBy("v")) - 1, "n": F.count("*").over(w)})
-    p95 = F.bround(F.lit(0.95) * (F.col("n") - 1), 0).cast("int")
-    half = (F.col("i") == F.floor((F.col("n") - 1) / 2)) | (F.col("i") == F.ceil((F.col("n") - 1) / 2))
-    picked = ranked.groupBy(*by).agg(F.avg(F.when(half, F.col("v"))).alias("p50"), F.max(F.when(F.col("i") == p95, F.col("v"))).alias("p95"))
+    key = [F.col(c) for c in by] or [F.lit(0).alias("__one")]
+    names = by or ["__one"]
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("v"))
+    points = [p for q in (0.5, 0.95) for p in (q - BRACKET, min(1.0, q + BRACKET))]
+    stats = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", points, ACCURACY).alias("q"))
+    last = F.col("n") - 1
+    whole = F.col("n") <= BRACKET_ROWS
+    bracket = lambda at: (F.when(whole, F.col("least")).otherwise(F.col("q")[at]), F.when(whole, F.col("most")).otherwise(F.col("q")[at + 1]))
+    wanted = ((F.floor(last / 2), 0, "m1"), (F.ceil(last / 2), 0, "m2"), (F.bround(F.lit(0.95) * last, 0), 2, "p95"))
+    targets = F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank"), bracket(at)[0].alias("lo"), bracket(at)[1].alias("hi")) for r, at, name in wanted])
+    ranges = stats.select(*names, F.inline(targets))
+    joined = rows.join(ranges, names).where(F.col("v") <= F.col("hi"))
+    below = F.col("v") < F.col("lo")
+    # all values below a bracket count as one, so that little is left to shuffle after the map side's sums
+    few = joined.groupBy(*names, "name", "rank", F.when(~below, F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*names, "name").orderBy(F.col("v").asc_nulls_first()))
+    at = few.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
+    one = lambda name: F.max(F.when(F.col("name") == name, F.col("v")))
+    picked = at.groupBy(*by).agg(((one("m1") + one("m2")) / 2).alias("p50"), one("p95").alias("p95"))
     return picked.select(*by, F.coalesce("p50", F.lit(0.0)).alias("p50"), F.coalesce("p95", F.lit(0.0)).alias("p95"))
 
 

@@ -480,13 +480,16 @@ sc AS (SELECT m.query_id, round(hits / n, 9) AS recall, CASE WHEN n IS NOT NULL
 
 def _scored(spark, d) -> DataFrame:
     """Every fiftieth vector as a query: the others of its label are relevant, for some queries nothing is."""
+    from pyspark.sql import Window
+
     e = _t(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0")
-    near = search.top_k(e, q.select(F.col("vec_id").alias("query_id"), "embedding"), K + 1, id_col="vec_id", digits=6).where("vec_id <> query_id")
-    ids = near.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("h")).select("query_id", F.col("h.vec_id").alias("retrieved"))
-    label = e.groupBy("label").agg(F.collect_list("vec_id").alias("same"))
-    relevant = q.join(label, "label").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 300 == 0, F.array().cast("array<bigint>")).otherwise(F.array_remove("same", F.col("vec_id"))).alias("relevant"))
-    return metrics.score_queries(ids.join(relevant, "query_id"), K)
+    label = e.select("vec_id", "label")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    near = search.top_k(e, q, K + 1, id_col="vec_id", digits=6).where("vec_id <> query_id")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    hits = near.join(label, "vec_id").join(q.select("query_id", F.col("label").alias("wanted")), "query_id").select("query_id", "rank", (F.col("label") == F.col("wanted")).alias("relevant"))
+    totals = q.join(label.groupBy("label").count(), "label").select("query_id", F.when(F.col("query_id") % 300 == 0, 0).otherwise(F.col("count") - 1).alias("n_relevant"))
+    return metrics.score_ranked(hits, totals, K)
 
 
 @query(f"WITH {RANKED_SQL} SELECT query_id, recall FROM sc")

@@ -68,6 +68,18 @@ def test_ranking_metrics(spark, got, want, k, recall, mrr, ndcg):
     assert [r.recall, r.mrr, r.ndcg] == [x if x is None else pytest.approx(x, abs=1e-5) for x in (recall, mrr, ndcg)]
 
 
+def test_rows_score_like_arrays(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"q{i}", rng.sample("abcdefghij", rng.randint(0, 8)), rng.sample("abcdefghij", rng.randint(0, 5))) for i in range(30)]
+    df = spark.createDataFrame(rows, "query_id string, retrieved array<string>, relevant array<string>")
+    hits = df.select("query_id", "relevant", F.posexplode("retrieved").alias("pos", "id")).select("query_id", (F.col("pos") + 1).alias("rank"), F.array_contains("relevant", F.col("id")).alias("relevant"))
+    got = {r.query_id: tuple(r)[1:] for r in metrics.score_ranked(hits, df.select("query_id", F.size("relevant").alias("n_relevant")), 4).collect()}
+    for r in metrics.score_queries(df, 4).collect():
+        assert got[r.query_id] == (pytest.approx((r.recall, r.mrr, r.ndcg)) if r.recall is not None else (None, None, None))
+
+
 def test_aggregate_skips_null(spark):
     df = spark.createDataFrame([("a", ["x"], ["x"]), ("b", ["y", "x", "z"], ["x", "w"]), ("c", [], [])], "query_id string, retrieved array<string>, relevant array<string>")
     s = metrics.score_queries(df, 3)
@@ -91,6 +103,20 @@ def test_latency(spark):
     assert (r.p50, r.p95) == (0, 0)
 
 
+def test_latency_by_brackets(spark, monkeypatch):
+    """The path for large groups: many ties, two groups, exact all the same."""
+    import random
+    import statistics
+
+    monkeypatch.setattr(metrics, "BRACKET_ROWS", 100)
+    rng = random.Random(1)
+    rows = [("a", rng.random()) for _ in range(30_001)] + [("b", float(rng.randint(0, 3))) for _ in range(20_000)] + [("c", 1.0)]
+    got = {r.g: (r.p50, r.p95) for r in metrics.latency(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    for g in "abc":
+        v = sorted(x for h, x in rows if h == g)
+        assert got[g] == (statistics.median(v), v[round(0.95 * (len(v) - 1))])
+
+
 def test_shown(spark):
     df = spark.createDataFrame([(0.0625, None)], "a double, b double")
     assert tuple(df.select(metrics.shown(F.col("a"), 3), metrics.shown(F.col("b"), 2)).first()) == ("0.062", "—")
