@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.chunk import chunks, with_hash
@@ -56,56 +57,102 @@ class Stats:
 
 
 class Store:
-    """Chunks and vectors as Parquet under one root. A version is a pair of folders; a pointer file, replaced last,
-    makes a new version visible as a whole, so a failed run leaves the old one."""
+    """Chunks and vectors as Parquet under one root, dealt to buckets by document.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    A run writes new files for the buckets that it changes and for no others, then replaces one small pointer file
+    that names each bucket's version; so a failed run leaves the old state, and a small change of a large corpus
+    rewrites little. compact() brings all buckets into one version.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def _fs(self):
-        return self._path("x").getFileSystem(self._conf)
+        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def bucket(self, doc_id: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.buckets)).cast("int")
 
-    def version(self) -> str | None:
+    def _state(self) -> dict[str, dict[str, str]]:
+        """For chunks and embeddings, the version of each partition folder."""
         if not self._fs().exists(self._path("CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first().value
+            return {"chunks": {}, "embeddings": {}}
+        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first().value)
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        by_version: dict[str, list[str]] = {}
+        for folder, version in self._state()[name].items():
+            by_version.setdefault(version, []).append(folder)
+        out = None
+        for version, folders in sorted(by_version.items()):
+            base = f"{self.root}/{version}/{name}"
+            part = self.spark.read.schema(schema + ", bucket int").option("basePath", base).parquet(*[f"{base}/{f}" for f in sorted(folders)])
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], schema + ", bucket int") if out is None else out
 
     def read(self) -> tuple[DataFrame, DataFrame]:
-        v = self.version()
-        if v is None:
-            return self.spark.createDataFrame([], CHUNKS), self.spark.createDataFrame([], EMBEDDINGS)
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.root}/{v}/chunks"), self.spark.read.schema(EMBEDDINGS).parquet(f"{self.root}/{v}/embeddings")
-
-    def write(self, chunked: DataFrame, embeddings: DataFrame) -> None:
-        v = f"v-{uuid.uuid4().hex}"
-        chunked.write.partitionBy("strategy").parquet(f"{self.root}/{v}/chunks")
-        embeddings.write.partitionBy("strategy", "model").parquet(f"{self.root}/{v}/embeddings")
-        fs, part = self._fs(), self._path(f"CURRENT.{v}")
+        """(chunks, embeddings), with the bucket of each row."""
+        return self._table("chunks", CHUNKS), self._table("embeddings", EMBEDDINGS)
+
+    def write(self, chunked: DataFrame, embeddings: DataFrame, strategy: str | None = None, touched: list[int] | None = None) -> None:
+        """Replaces the touched buckets, of one strategy or of all; None means all."""
+        version = f"v-{uuid.uuid4().hex}"
+        state = self._state()
+        goes = lambda folder: (strategy is None or f"strategy={strategy}" in folder.split("/")) and (touched is None or int(folder.split("bucket=")[1].split("/")[0]) in touched)
+        for name, df, by in (("chunks", chunked, ["strategy", "bucket"]), ("embeddings", embeddings, ["strategy", "bucket", "model"])):
+            path = f"{self.root}/{version}/{name}"
+            df.repartition("strategy", "bucket").write.partitionBy(*by).parquet(path)
+            kept = {f: v for f, v in state[name].items() if not goes(f)}
+            state[name] = kept | dict.fromkeys(self._folders(path, len(by)), version)
+        self._point_to(state)
+
+    def _folders(self, path: str, depth: int) -> list[str]:
+        out, level = [], [""]
+        for _ in range(depth):
+            level = [f"{f}/{x.getPath().getName()}".lstrip("/") for f in level for x in self._fs().listStatus(self._jvm.org.apache.hadoop.fs.Path(f"{path}/{f}".rstrip("/"))) if x.isDirectory()]
+        return out + level
+
+    def _point_to(self, state: dict) -> None:
+        fs, part, current = self._fs(), self._path(f"CURRENT.{uuid.uuid4().hex}"), self._path("CURRENT")
         out = fs.create(part)
-        out.write(bytearray((v + "\n").encode()))
+        out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         out.close()
-        if fs.exists(self._path("CURRENT")):
-            fs.delete(self._path("CURRENT"), False)
-        fs.rename(part, self._path("CURRENT"))
+        if fs.exists(current):
+            fs.delete(current, False)
+        fs.rename(part, current)
+
+    def compact(self) -> None:
+        self.write(*self.read())
 
 
-def index_corpus(store: Store, docs: DataFrame, strategy: str = "fixed512", model=None) -> Stats:
-    """Brings the store up to docs (doc_id, text) for one strategy and one model; other ones stay as they are."""
+def index_corpus(store: Store, docs: DataFrame, strategy: str = "fixed512", model=None, partial: bool = False) -> Stats:
+    """Brings the store up to docs (doc_id, text) for one strategy and one model; other ones stay as they are. docs is
+    the whole corpus, or with partial some documents of it: stored documents with other ids then stay."""
     began = time.time()
     model = embedder(model) if isinstance(model, str) else model or embedder("hash64")
     old, vectors = store.read()
-    new = with_hash(chunks(docs, strategy)).select(F.lit(strategy).alias("strategy"), "chunk_id", "doc_id", "n", "text", "text_hash")
-    actions = {r.action: r.n for r in change_set(old.where(F.col("strategy") == strategy), new).groupBy("action").agg(F.count("*").alias("n")).collect()}
-    every = old.where(F.col("strategy") != strategy).unionByName(new)
-    kept = cascade(vectors, every)
-    todo = to_embed(new, kept, model.name)
-    keyed = todo.withColumn("__key", F.struct("strategy", "chunk_id", "text_hash"))
-    fresh = embed(keyed, model, "__key").select("__key.strategy", "__key.chunk_id", F.lit(model.name).alias("model"), "__key.text_hash", "embedding")
-    embedded = todo.count()
-    store.write(every, upsert_vectors(kept, fresh))
-    return Stats(docs.count(), sum(n for a, n in actions.items() if a != "delete"), actions.get("insert", 0) + actions.get("update", 0), actions.get("delete", 0), embedded, time.time() - began)
+    old, vectors = old.where(F.col("strategy") == strategy), vectors.where(F.col("strategy") == strategy)
+    new = with_hash(chunks(docs, strategy)).select(F.lit(strategy).alias("strategy"), "chunk_id", "doc_id", "n", "text", "text_hash").withColumn("bucket", store.bucket(F.col("doc_id")))
+    own = store.bucket(F.substring_index("chunk_id", "#", 1))
+    before, after = old, new
+    if partial:
+        ids = docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+        before, after = old.join(ids, "doc_id", "left_semi"), new.unionByName(old.join(ids, "doc_id", "left_anti"))
+    counted = change_set(before, new).groupBy(own.alias("bucket"), "action").agg(F.count("*").alias("n")).collect()  # a few numbers a bucket
+    actions: dict[str, int] = {}
+    for r in counted:
+        actions[r.action] = actions.get(r.action, 0) + r.n
+    todo = to_embed(new, vectors, model.name)
+    lacking = {r.bucket: r["count"] for r in todo.groupBy("bucket").count().collect()}
+    touched = sorted({r.bucket for r in counted if r.action != "keep"} | set(lacking))
+    if touched:
+        here = F.col("bucket").isin(touched)
+        after, kept, todo = after.where(here), cascade(vectors.where(here), after), todo.where(here)
+        keyed = todo.withColumn("__key", F.struct("strategy", "chunk_id", "text_hash", "bucket"))
+        fresh = embed(keyed, model, "__key").select("__key.strategy", "__key.chunk_id", F.lit(model.name).alias("model"), "__key.text_hash", "embedding", "__key.bucket")
+        store.write(after, upsert_vectors(kept, fresh), strategy, touched)
+    return Stats(docs.count(), sum(n for a, n in actions.items() if a != "delete"), actions.get("insert", 0) + actions.get("update", 0), actions.get("delete", 0), sum(lacking.values()), time.time() - began)

@@ -18,21 +18,6 @@ def start(stream: DataFrame, store: Store, checkpoint: str, strategy: str = "fix
     """Each micro-batch replaces the documents that it holds: stored documents with other ids stay. A batch that is
     run again after a failure finds nothing changed, so the store ends up the same."""
     def apply(batch: DataFrame, _: int) -> None:
-        stored, _vectors = store.read()
-        new = batch.dropDuplicates(["doc_id"])
-        old = _documents(stored.where(stored.strategy == strategy).join(new.select("doc_id"), "doc_id", "left_anti"), strategy)
-        index_corpus(store, old.unionByName(new.select("doc_id", "text")), strategy, model)
+        index_corpus(store, batch.dropDuplicates(["doc_id"]).select("doc_id", "text"), strategy, model, partial=True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def _documents(chunked: DataFrame, strategy: str) -> DataFrame:
-    """The documents that chunks came from: each chunk without its overlap, in order."""
-    from pyspark.sql import functions as F
-
-    from corpusloom.operators.chunk import strategy as known
-
-    overlap = known(strategy).overlap
-    own = F.when(F.col("n") == 0, F.col("text")).otherwise(F.col("text").substr(F.lit(overlap + 1), F.length("text")))
-    parts = chunked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", own.alias("t")))).alias("p"))
-    return parts.select("doc_id", F.array_join(F.col("p.t"), "").alias("text"))

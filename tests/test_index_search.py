@@ -29,6 +29,20 @@ def test_incremental_index(spark, tmp_path):
     assert store.read()[1].count() == 0
 
 
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    store = index.Store(spark, str(tmp_path / "store"), buckets=8)
+    texts = {f"d{i}": f"text {i}" for i in range(40)}
+    index.index_corpus(store, docs(spark, **texts))
+    before = store._state()["chunks"]
+    index.index_corpus(store, docs(spark, **(texts | {"d7": "changed"})))
+    after = store._state()["chunks"]
+    assert len(before) == 8 and sum(before[f] != after[f] for f in before) == 1
+    store.compact()
+    assert len(set(store._state()["chunks"].values())) == 1
+    assert {r.doc_id: r.text for r in store.read()[0].collect()} == texts | {"d7": "changed"}
+    assert store.read()[1].count() == 40
+
+
 def test_other_models_and_strategies_stay(spark, tmp_path):
     store = index.Store(spark, str(tmp_path / "store"))
 
