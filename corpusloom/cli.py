@@ -46,7 +46,7 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
     from corpusloom.plans import evaluate
     from corpusloom.sources import files, records
 
-    config = cfg.load(a.config) if a.config else cfg.RunConfig("default")
+    config = cfg.load(a.config) if a.config else cfg.RunConfig("default", embedding="hash64")
     docs = files.load_corpus(spark, a.corpus) if a.corpus else None
     if a.command == "docs":
         for r in chunk.list_docs(docs, config.chunking).orderBy("doc_id").toLocalIterator():

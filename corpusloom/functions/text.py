@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 CITATION = r"\[([^\[\]\s]+#c\d+)\]"
 #: An answer that begins like this declines to answer (fixed value).
-ABSTAIN_PREFIX = "I can't answer this from the provided documents"
+ABSTAIN_PREFIX = "Not answerable from the documentation."
 
 
 def strip(text: Column) -> Column:

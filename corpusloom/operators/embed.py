@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,8 +84,23 @@ class Remote:
         return np.array(out, float).reshape(len(texts), -1)
 
 
+def _openai(model: str):
+    """A client of OpenAI's embeddings, made on the worker; its library and key are needed only there."""
+    def make():
+        if not os.environ.get("OPENAI_API_KEY"):
+            raise ValueError("OPENAI_API_KEY is not set")
+        try:
+            import openai
+        except ImportError as e:
+            raise ValueError(f"{model} needs the openai library") from e
+        client = openai.OpenAI()
+        return lambda texts: [(x.index, x.embedding) for x in client.embeddings.create(model=model, input=texts).data]
+
+    return make
+
+
 #: Registered embedders by name.
-EMBEDDERS: dict[str, Callable[[], object]] = {"hash64": Hash64}
+EMBEDDERS: dict[str, Callable[[], object]] = {"hash64": Hash64, "text-embedding-3-small": lambda: Remote("text-embedding-3-small", 1536, _openai("text-embedding-3-small"))}
 
 
 def embedder(name: str):

@@ -28,15 +28,15 @@ PROMPTS = MappingProxyType({
 
 def context(hits: DataFrame) -> DataFrame:
     """(query_id, context): a block for each hit, best first, blank lines between."""
-    block = lambda h: F.concat(F.lit("<document id=\""), h["chunk_id"], F.lit("\">\n"), h["text"], F.lit("\n</document>"))
+    block = lambda h: F.concat(F.lit("<chunk id=\""), h["chunk_id"], F.lit("\">\n"), h["text"], F.lit("\n</chunk>"))
     gathered = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("hits"))
     return gathered.select("query_id", F.array_join(F.transform("hits", block), "\n\n").alias("context"))
 
 
 def user_message(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, message): context, then the question; the question alone without hits."""
+    """(query_id, message): the context, empty without hits, then the question."""
     joined = questions.select("query_id", F.col("text").alias("question")).join(context(hits), "query_id", "left")
-    return joined.select("query_id", F.concat_ws("\n\n", F.col("context"), F.concat(F.lit("Question: "), F.col("question"))).alias("message"))
+    return joined.select("query_id", F.concat(F.lit("<context>\n"), F.coalesce("context", F.lit("")), F.lit("\n</context>\n\n<question>\n"), F.col("question"), F.lit("\n</question>")).alias("message"))
 
 
 ANSWER = "query_id string, text string, refused boolean, model string, prompt_version string, input_tokens int, output_tokens int, latency_ms double"
@@ -76,6 +76,6 @@ def judge(answers: DataFrame, hits: DataFrame, make_judge: Callable[[], Callable
     return answers.select("query_id").join(scored, "query_id", "left").withColumn("faithfulness", F.when(~F.isnan("faithfulness"), F.col("faithfulness")))
 
 
-def judge_arguments(model: str) -> dict:
-    """Sampling arguments by family: reasoning models take none, others temperature 0."""
-    return {} if model.startswith(("o1", "o3", "o4", "gpt-5")) else {"temperature": 0.0}
+def judge_arguments(model: str, repeatable: tuple[str, ...] = ()) -> dict:
+    """Sampling arguments for a judge: temperature 0 for model families (name prefixes) whose interface takes it."""
+    return {"temperature": 0.0} if model.startswith(repeatable) and repeatable else {}

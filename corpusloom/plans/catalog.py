@@ -340,9 +340,9 @@ def fulltext_terms(spark, d):
 # --- G: generation ----------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {DENSE_SQL}, h AS (SELECT r.item_id, rank, '<document id="' || r.chunk_id || '">' || chr(10) || text || chr(10) || '</document>' AS b FROM r JOIN c ON r.chunk_id = c.chunk_id WHERE rank <= 3),
+@query(f"""WITH {DENSE_SQL}, h AS (SELECT r.item_id, rank, '<chunk id="' || r.chunk_id || '">' || chr(10) || text || chr(10) || '</chunk>' AS b FROM r JOIN c ON r.chunk_id = c.chunk_id WHERE rank <= 3),
 x AS (SELECT item_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY item_id)
-SELECT b.item_id AS query_id, context || chr(10) || chr(10) || 'Question: ' || b.text AS message FROM benchmark b JOIN x ON b.item_id = x.item_id""")
+SELECT b.item_id AS query_id, '<context>' || chr(10) || context || chr(10) || '</context>' || chr(10) || chr(10) || '<question>' || chr(10) || b.text || chr(10) || '</question>' AS message FROM benchmark b JOIN x ON b.item_id = x.item_id""")
 def prompt_context(spark, d):
     hits = _hits(spark, d, 3).join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id")
     return prompt.user_message(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), hits)

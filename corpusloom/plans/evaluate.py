@@ -13,7 +13,7 @@ from corpusloom.operators import metrics, prompt
 from corpusloom.operators.search import DenseRetriever
 
 #: Columns of a report (fixed values).
-HEADER = ["date", "config", "commit", "chunking", "embedding", "retrieval", "k", "recall", "mrr", "ndcg", "faithfulness", "abstain", "p50 ms", "p95 ms", "queries", "$/query"]
+HEADER = ["date (UTC)", "config", "chunking", "embedding", "retrieval", "k", "queries (scored/skipped)", "recall@k", "MRR", "nDCG@k", "faithfulness", "abstain acc", "retrieval p50/p95 ms", "$/query", "commit", "run"]
 
 
 def retrieved(entries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -63,8 +63,19 @@ def measured(entries: DataFrame, retriever: DenseRetriever, k: int) -> list[tupl
     return out
 
 
-def report_row(config: RunConfig, means: DataFrame, stamp: str, commit: str | None, faithful: float | None = None, abstain: float | None = None, p50: float = 0.0, p95: float = 0.0) -> list[str]:
+def report_row(config: RunConfig, means: DataFrame, stamp: str, commit: str | None, faithful: float | None = None, abstain: float | None = None, p50: float = 0.0, p95: float = 0.0, run_file: str | None = None) -> list[str]:
     """The cells of one report row; a dash for what wasn't measured."""
     m = means.first()
     show = lambda x, d: "—" if x is None else f"{x:.{d}f}"
-    return [stamp[:10], config.name, commit or "—", config.chunking, config.embedding, config.retrieval, str(config.top_k), show(m.recall, 3), show(m.mrr, 3), show(m.ndcg, 3), show(faithful, 2), show(abstain, 2), show(p50, 0), show(p95, 0), str(m.scored + m.skipped), "—"]
+    return [
+        stamp[:10], config.name, config.chunking, config.embedding, config.retrieval, str(config.top_k), f"{m.scored + m.skipped} ({m.scored}/{m.skipped})", show(m.recall, 3), show(m.mrr, 3), show(m.ndcg, 3),
+        show(faithful, 2), show(abstain, 2), f"{show(p50, 0)}/{show(p95, 0)}", "—", commit or "—", run_file or "—",
+    ]
+
+
+def observed(scored: DataFrame, name: str):
+    """(scored, observation): the run's means as they pass, without another job; an Observation's get after an action."""
+    from pyspark.sql import Observation
+
+    o = Observation(name)
+    return scored.observe(o, F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("recall"), F.avg("mrr").alias("mrr"), F.avg("ndcg").alias("ndcg")), o

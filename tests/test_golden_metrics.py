@@ -126,8 +126,8 @@ def test_prompt_answer_and_judge(spark):
     q = spark.createDataFrame([("q1", "why?"), ("q2", "who?")], "query_id string, text string")
     hits = spark.createDataFrame([("q1", 2, "a#c1", "two"), ("q1", 1, "a#c0", "one")], "query_id string, rank int, chunk_id string, text string")
     m = {r.query_id: r.message for r in prompt.user_message(q, hits).collect()}
-    assert m["q2"] == "Question: who?"
-    assert m["q1"].index("one") < m["q1"].index("two") < m["q1"].index("Question: why?")
+    assert m["q2"] == "<context>\n\n</context>\n\n<question>\nwho?\n</question>"
+    assert m["q1"].index("one") < m["q1"].index("two") < m["q1"].index("why?")
 
     def client():
         return lambda system, user: {"text": "Because [a#c0]." if "why" in user else prompt.ABSTAIN_PREFIX, "input_tokens": 3, "output_tokens": 2}
@@ -152,7 +152,7 @@ def test_bad_config(tmp_path, text):
 
 def test_good_config(tmp_path):
     (tmp_path / "c.yaml").write_text("# run\nname: base\ntop_k: 3 # few\nrerank: null\n")
-    assert config.load(tmp_path / "c.yaml") == config.RunConfig("base", top_k=3)
+    assert config.load(tmp_path / "c.yaml") == config.RunConfig("base", top_k=3) and config.RunConfig("x").embedding == "text-embedding-3-small"
 
 
 def test_golden_file(spark, tmp_path):
@@ -238,6 +238,10 @@ def test_run_with_scripted_parts(spark):
     assert rows["q1"].recall == 1 and rows["q2"].recall is None and rows["q2"].retrieved == ["b#c0"]
     assert metrics.faithfulness(got.judged).first().n == 2
     row = evaluate.report_row(config.RunConfig("t", top_k=1), metrics.aggregate(got.results), "2024-01-02T03:04:05Z", None)
-    assert len(row) == len(evaluate.HEADER) == 16 and row[7] == "1.000" and row[10] == "—"
+    assert len(row) == len(evaluate.HEADER) == 16 and row[6:8] == ["2 (1/1)", "1.000"] and row[10] == "—"
+    watched, o = evaluate.observed(got.results, "run")
+    watched.collect()
+    assert o.get["queries"] == 2 and o.get["recall"] == 1
+    assert prompt.judge_arguments("m-1", ("m-",)) == {"temperature": 0.0} and prompt.judge_arguments("m-1") == {}
     with pytest.raises(ValueError):
         evaluate.run(config.RunConfig("t"), e, None, None, lambda: None)
