@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         found = spark.sparkContext.getCheckpointDir()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -59,6 +62,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of steps whose result has been checkpointed and whose frames are gone: its cleaner
+    does that when the driver's collector has found them unused, which may else take until the end of the job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; reads no more than one beyond that."""
     return df.limit(rows + 1).count() <= rows

@@ -3,20 +3,22 @@
 Sets. A document's set holds the hashes of its distinct n-word shingles. Equal sets are one vertex.
 
 Where pairs can meet. Two sets within the threshold differ in at most t elements, t from their sizes. Hash the
-elements into more than t groups: some group has the same content in both. So each set is sent, for its size
-band and the next one, under one key per group (band, group, hash of the content); sets that share no key can't
-link. Groups empty in a set count as content only where a set has more of them than the slack that the number
-of groups allows for. Shingles of a thousandth of all documents or more (found in a bounded sample) are left out
-of the keys, which loses no link, so that common passages bring no strangers together. In each map task a key
-that several documents share is sent once, and the sharing is kept as edges; so a key that a third of all
-documents hold is still at most one row a task.
-
-Which pairs link. Vertices that share keys form coarse groups (connected components of the key edges). A task
+elements into t + m groups: m of them at least have the same content in both. So each set is sent, for its size
+band and the next one, under one key per group (band, group, hash of the content); sets that share fewer than m
+keys can't link. Groups empty in a set count as content only where a set has more of them than the slack that
+the number of groups allows for. Shingles of a thousandth of all documents or more (found in a bounded sample)
+are left out of the keys, which loses no link, so that common passages bring no strangers together. Pairs are
+counted for keys of up to FEW sets only; a key of more joins its sets to the least one, counted or not. A map task
+that finds such a key sends one row for it and keeps the rest as edges; so a key that a third of all documents
+hold is at most one row a task, and no key gives more than FEW sets' pairs.
+
+Which pairs link. Vertices that share keys enough form coarse groups (connected components). A task
 takes one coarse group at a time: its sets' group counts are points of an R-tree, the overlap of two sets is at
 most the sum of the smaller coordinates, nodes and points below the needed overlap are passed over, surviving
 pairs are verified on the sets. Pivots first unite what is plainly alike; then only members outside the
-largest part have to search. A coarse group of more than MAX_SHINGLES is split into blocks by hash, and every
-two blocks meet in a task of their own, so a task's memory is bounded and no pair is lost.
+largest part have to search. A coarse group of more than MAX_SHINGLES is split into blocks by hash: each meets the
+group's pivots in a task of its own, then what lies outside the largest part meets every block. So a task's
+memory is bounded and no pair is lost.
 
 Defined results: a null text is empty. A document without words has size 0, links with nothing and is its own
 component; with fewer than n words the whole sequence is its one shingle. A component's id is its smallest
@@ -26,7 +28,7 @@ row each. An empty table gives an empty result. Hashes have 64 bits. Other colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import cut, release
 from corpusloom.llm.graph import components
 
 DIMENSIONS = 32
@@ -45,6 +47,8 @@ MAX_SHINGLES = 6_000_000
 SAMPLE_DOCS = 20_000
 FREQUENT_SHARE = 1000
 KEYS_HELD = 1_500_000
+FEW = 8
+MOST_SHARED = 6
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -59,7 +63,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -97,7 +101,7 @@ class Rule:
         self.limits = [1]
         while self.limits[-1] < 1 << 40:
             self.limits.append(self.limits[-1] * den // num + 1)
-        self._groups: dict[int, tuple[int, int]] = {}
+        self._groups: dict[int, tuple[int, int, int]] = {}
 
     def needed(self, a, b):
         """The least intersection with which sets of these sizes link."""
@@ -106,24 +110,27 @@ class Rule:
     def band(self, n: int) -> int:
         return int(np.searchsorted(self.limits, n, "right")) - 1
 
-    def groups(self, band: int) -> tuple[int, int]:
-        """How many groups the sets of a band and the one below are cut into, and the slack for empty ones."""
+    def groups(self, band: int) -> tuple[int, int, int]:
+        """How many groups the sets of a band and the one below are cut into, the slack for empty ones, and how many
+        groups that aren't empty two sets share at least if they link."""
         if band not in self._groups:
             most = self.limits[band + 1] - 1
             differ = 2 * most * (self.den - self.num) // (self.den + self.num)
+            shared = min(MOST_SHARED, 1 + differ // 4)
             slack = 0
             while True:
-                g = differ + 1 + slack
+                g = differ + shared + slack
                 empty = g * np.exp(-self.limits[max(band - 1, 0)] / g)
                 if slack >= empty + 4 * np.sqrt(empty) + 0.5 or slack > differ + 8:
                     break
                 slack += 1
-            self._groups[band] = g, slack
+            self._groups[band] = g, slack, shared
         return self._groups[band]
 
 
 def keys(s: np.ndarray, rule: Rule, frequent: np.ndarray) -> np.ndarray:
-    """The keys under which a set meets every set that it may link with."""
+    """The keys under which a set meets every set that it may link with. Their low three bits say how many of them
+    linked sets share; the fourth is for _key_rows."""
     n = len(s)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
@@ -133,14 +140,14 @@ def keys(s: np.ndarray, rule: Rule, frequent: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = _mix(s + np.uint64(77))
         for b in (band, band + 1):
-            g, slack = rule.groups(b)
+            g, slack, shared = rule.groups(b)
             group = (s >> np.uint64(20)) % np.uint64(g)
             group = group.astype(np.int64)
             total = np.zeros(g, np.uint64)
             np.add.at(total, group, mixed)
             size = np.bincount(group, minlength=g)
             full = np.flatnonzero(size) if g - np.count_nonzero(size) <= slack else np.arange(g)
-            out.append(_mix(total[full] + _mix(full.astype(np.uint64) + np.uint64(b << 32))))
+            out.append(_mix(total[full] + _mix(full.astype(np.uint64) + np.uint64(b << 32))) & ~np.uint64(15) | np.uint64(shared))
     return np.concatenate(out)
 
 
@@ -262,28 +269,40 @@ def frequent_shingles(docs: DataFrame, n: int, id_col: str, text_col: str, sampl
     return np.sort(got.view(np.uint64))
 
 
+MANY = np.uint64(8)
+
+
+def _grouped(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys and vertices sorted, each pair once, and where each key's run starts and how long it is."""
+    order = np.lexsort((v, k))
+    k, v = k[order], v[order]
+    once = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
+    k, v = k[once], v[once]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k, v, starts, np.diff(np.append(starts, len(k)))
+
+
 def _key_rows(batches: Iterator[pa.RecordBatch], n: int, rule: Rule, frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, keys, vertices, edges): keys dealt to buckets, a key once a task's block; sharing as edges."""
+    """(bucket, keys, vertices, edges): keys dealt to buckets; of a key of many sets one row and edges."""
     ks: list[np.ndarray] = []
     vs: list[np.ndarray] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
-        k, v = np.concatenate(ks), np.concatenate(vs)
-        order = np.lexsort((v, k))
-        k, v = k[order], v[order]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
-        head = v[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-        more = ~first & (v != head)
-        edges = np.unique(np.column_stack([head[more], v[more]]), axis=0) if more.any() else np.empty((0, 2), np.int64)
-        k, v = k[first], v[first]
-        bucket = (k >> np.uint64(40)) % np.uint64(buckets)
+        k, v, starts, size = _grouped(np.concatenate(ks), np.concatenate(vs))
+        many = np.repeat(size > FEW, size)
+        head = np.zeros(len(k), bool)
+        head[starts] = True
+        edges = np.unique(np.column_stack([np.repeat(v[starts], size)[many & ~head], v[many & ~head]]), axis=0)
+        k = np.where(many, k | MANY, k)[~many | head]
+        v = v[~many | head]
+        bucket = ((k >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(b, k[o].tobytes(), v[o].tobytes()) for b in range(buckets) if len(o := order[ends[b] : ends[b + 1]])]
-        lead = len(ks) % buckets
-        out = {"bucket": pa.array([r[0] for r in rows] + [lead], pa.int32()), "ks": pa.array([r[1] for r in rows] + [b""], pa.binary()), "vs": pa.array([r[2] for r in rows] + [b""], pa.binary()), "edges": pa.array([b""] * len(rows) + [edges.astype(np.int64).tobytes()], pa.binary())}
-        return pa.RecordBatch.from_pydict(out)
+        rows = [(b, k[o].tobytes(), v[o].tobytes(), b"") for b in range(buckets) if len(o := order[ends[b] : ends[b + 1]])]
+        rows.append((len(ks) % buckets, b"", b"", edges.astype(np.int64).tobytes()))
+        c = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(c[0], pa.int32()), **{x: pa.array(c[i + 1], pa.binary()) for i, x in enumerate(("ks", "vs", "edges"))}})
 
     for b in batches:
         for r in b.column(0):
@@ -302,19 +321,33 @@ def _key_rows(batches: Iterator[pa.RecordBatch], n: int, rule: Rule, frequent: n
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """The edges between vertices that share a key of one bucket: each with the key's least vertex."""
+    """(a, b, n, need) of one bucket: pairs that share n keys and need so many to link; need 0 joins them anyway."""
     k = np.frombuffer(b"".join(table.column("ks").to_pylist()), np.uint64)
     v = np.frombuffer(b"".join(table.column("vs").to_pylist()), np.int64)
-    edges = [np.frombuffer(b"".join(table.column("edges").to_pylist()), np.int64).reshape(-1, 2)]
+    sure = [np.frombuffer(b"".join(table.column("edges").to_pylist()), np.int64).reshape(-1, 2)]
+    pairs, need = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
     if len(k):
-        order = np.lexsort((v, k))
-        k, v = k[order], v[order]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
-        head = v[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-        more = v != head
-        edges.append(np.column_stack([head[more], v[more]]))
-    e = np.unique(np.concatenate(edges), axis=0)
-    return pa.table({"a": pa.array(e[:, 0], pa.int64()), "b": pa.array(e[:, 1], pa.int64())})
+        flagged = np.unique(k[(k & MANY) > 0] & ~MANY)
+        k, v, starts, size = _grouped(k & ~MANY, v)
+        many = size > FEW
+        if len(flagged):
+            at = np.minimum(np.searchsorted(flagged, k[starts]), len(flagged) - 1)
+            many |= flagged[at] == k[starts]
+        run = np.repeat(np.arange(len(starts)), size)
+        joined = many[run] & (v != v[starts][run])
+        sure.append(np.column_stack([v[starts][run][joined], v[joined]]))
+        for d in range(1, FEW):
+            i = np.flatnonzero((run[:-d] == run[d:]) & ~many[run[d:]])
+            pairs.append(np.column_stack([v[i], v[i + d]]))
+            need.append((k[i] & np.uint64(7)).astype(np.int64))
+    e = np.unique(np.concatenate(sure), axis=0)
+    p, q = np.concatenate(pairs), np.concatenate(need)
+    order = np.lexsort((p[:, 1], p[:, 0]))
+    p, q = p[order], q[order]
+    starts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]).any(1)])[: len(p)])
+    n, q = np.diff(np.append(starts, len(p))), np.minimum.reduceat(q, starts) if len(starts) else q
+    out = np.concatenate([e, p[starts]])
+    return pa.table({"a": out[:, 0], "b": out[:, 1], "n": np.concatenate([np.ones(len(e), np.int64), n]), "need": np.concatenate([np.zeros(len(e), np.int64), q])})
 
 
 def _verify(batches: Iterator[pa.RecordBatch], n: int, rule: Rule) -> Iterator[pa.RecordBatch]:
@@ -341,6 +374,29 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, rule: Rule) -> Iterator[p
     yield from done()
 
 
+def _large_links(large: DataFrame, verified: Callable[[DataFrame], DataFrame], max_shingles: int) -> DataFrame:
+    """Links within coarse groups too large for one task, as edges (a, b).
+
+    First each block of such a group meets the group's pivots, which unites the most of it in one pass. Two sets in
+    different parts then aren't both in the largest one; so only what is left outside it meets every block.
+    """
+    k = F.ceil(2 * F.col("__volume") / max_shingles).cast("int")  # halves of the bound, for two blocks share a task
+    rows = large.withColumn("__k", k).withColumn("__block", F.pmod(F.xxhash64("v"), F.col("__k").cast("long")).cast("int"))
+    seeds = [F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("h"), "__id", "v")) for i in range(PIVOTS)]
+    pivots = rows.groupBy("__comp", "__k").agg(F.array(*seeds).alias("p")).withColumn("p", F.explode("p"))
+    pivots = pivots.select("p.__id", "p.v", "__comp", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__part"))
+    first = cut(verified(rows.select("__id", "v", "__comp", F.col("__block").alias("__part")).unionByName(pivots)))
+    named = cut(rows.join(components(first), "v", "left").withColumn("__label", F.coalesce("root", "v")).drop("root"))
+    main = named.groupBy("__comp", "__label").count().groupBy("__comp").agg(F.max_by("__label", F.struct("count", "__label")).alias("__main"))
+    named = named.join(main, "__comp").withColumn("__outside", F.col("__label") != F.col("__main"))
+    left = named.where("__outside").groupBy("__comp").agg(F.ceil(2 * F.sum("n_shingles") / max_shingles).cast("int").alias("__r"))
+    tasks = named.join(left, "__comp").withColumn("__own", F.pmod(F.xxhash64(F.lit("r"), "v"), F.col("__r").cast("long")).cast("int"))
+    as_block = F.transform(F.sequence(F.lit(0), F.col("__r") - 1), lambda r: r * F.col("__k") + F.col("__block"))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("__k") - 1), lambda b: F.col("__own") * F.col("__k") + b)
+    parts = F.when(F.col("__outside"), F.array_distinct(F.concat(as_block, as_left))).otherwise(as_block)
+    return first.unionAll(verified(tasks.select("__id", "v", "__comp", F.explode(parts).alias("__part"))))
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_shingles: int = MAX_SHINGLES, roots: bool = False) -> DataFrame:
     """(id_col, n_shingles, component_id), one row for each row of docs; with roots also text_hash and root, which
     names the component whatever its ids (null for a document without words).
@@ -360,21 +416,28 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n, id_col, text_col))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(_raw(text_col)).mapInArrow(lambda b: _key_rows(b, n, rule, frequent.value, buckets), "bucket int, ks binary, vs binary, edges binary")
-    met = keyed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint")
-    coarse = cut(components(met))
+    met = keyed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, n bigint, need bigint")
+    enough = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
+    coarse = cut(components(enough))
+    del keyed, met, enough
+    release(spark)
     reps = every.where("n_shingles > 0").groupBy("v").agg(F.min(id_col).alias("__id"), F.first("n_shingles").alias("n_shingles"))
     placed = coarse.join(reps, "v")
     volume = placed.groupBy("root").agg(F.sum("n_shingles").alias("__volume"))
-    # halves of the bound, for two blocks meet in a task
-    blocks = F.ceil(2 * F.col("__volume") / max_shingles).cast("int")
-    k = F.when(F.col("__volume") <= max_shingles, 1).otherwise(blocks)
-    own = F.pmod(F.xxhash64("v"), F.col("__k").cast("long")).cast("int")
-    parts = F.when(F.col("__k") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("__k") - 1), lambda o: F.least(F.col("__own"), o) * F.col("__k") + F.greatest(F.col("__own"), o)))
-    tasks = placed.join(volume.withColumn("__k", k), "root").withColumn("__own", own).select("__id", "v", F.col("root").alias("__comp"), F.explode(parts).alias("__part"))
+    sized = cut(placed.join(volume, "root").select("__id", "v", F.col("root").alias("__comp"), "n_shingles", "__volume"))
     texts = docs.select(F.col(id_col).alias("__doc"), _raw(text_col))
-    rows = tasks.join(texts, F.col("__id").eqNullSafe(F.col("__doc"))).select("__comp", "__part", "v", "__raw")
-    links = rows.repartition(buckets, "__comp", "__part").sortWithinPartitions("__comp", "__part").mapInArrow(lambda b: _verify(b, n, rule), "a bigint, b bigint")
+
+    def verified(tasks: DataFrame) -> DataFrame:
+        rows = tasks.join(texts, F.col("__id").eqNullSafe(F.col("__doc"))).select("__comp", "__part", "v", "__raw")
+        return rows.repartition(buckets, "__comp", "__part").sortWithinPartitions("__comp", "__part").mapInArrow(lambda b: _verify(b, n, rule), "a bigint, b bigint")
+
+    links = verified(sized.where(F.col("__volume") <= max_shingles).withColumn("__part", F.lit(0)))
+    large = sized.where(F.col("__volume") > max_shingles)
+    if large.limit(1).count():
+        links = links.unionAll(_large_links(large, verified, max_shingles))
     root = components(links)
+    del links
+    release(spark)
     named = every.join(root, "v", "left").withColumn("__root", F.coalesce("root", "v"))
     least = named.where("n_shingles > 0").groupBy("__root").agg(F.min(id_col).alias("__least"))
     return named.join(least, "__root", "left").select(id_col, "n_shingles", *([F.col("text_hash"), F.when(F.col("n_shingles") > 0, F.col("__root")).alias("root")] if roots else []), F.when(F.col("n_shingles") > 0, F.col("__least")).otherwise(F.col(id_col)).alias("component_id"))
@@ -386,6 +449,8 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     found = join(docs, n, num, den, id_col, text_col, roots=True).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__h"), "root")
     least = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("__id", "__h")).alias("k")).select("k.__id", "k.__h")
     kept = least.unionAll(found.where(F.col("root").isNull()).select("__id", "__h").distinct())
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    left = hashed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    return left.dropDuplicates([id_col, "__hash"]).drop("__hash")
+    # one key for the join and the aggregate, so that texts are moved once; no id has a name of this form
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    hashed = docs.withColumns({"__key": key(F.col(id_col)), "__hash": F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))})
+    kept = kept.select(key(F.col("__id")).alias("__key"), F.coalesce("__h", F.lit(0)).alias("__hash"))
+    return hashed.join(kept, ["__key", "__hash"], "left_semi").dropDuplicates(["__key", "__hash"]).drop("__key", "__hash")
