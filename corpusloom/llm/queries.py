@@ -113,6 +113,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.t) AS component_id
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON r.v = d.doc_id GROUP BY d.doc_id, n.n
 """
 
+# What the made pages' articles hold: the general operator does more than SQL can say.
+OP7_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&amp;?', '&', 'g') AS t FROM a),
+s AS (SELECT page_id, url, trim(regexp_replace(t, '[\s\x0B\p{Z}]+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, length(text) AS n_chars FROM s
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
@@ -139,6 +147,7 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.n = 1
 
 ORACLES = {
     "op4_ngram_join": OP4_SQL,
+    "op7_html_text": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }

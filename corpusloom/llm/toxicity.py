@@ -34,7 +34,7 @@ CANDIDATES, VOTERS = 1_500, 64
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_HITS = 4
 DENSE_HITS, DENSE_SHARE = 2, 0.01
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"\b[A-Z]{4,}\b")
 BANG = re.compile(r"[!?]{3,}")
