@@ -126,15 +126,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior probability of the toxic class for each row; hit rates and weights; residual correlations.
 
-    votes: rows x voters of 0 or 1. label: the given label, a witness like the others, which also starts EM.
+    votes: rows x voters of 0 or 1. label: the given label, a witness too, which also starts EM. A voter that doesn't
+    vote abstains: that a text lacks the words of one language says nothing about one in another. The label speaks
+    either way.
     """
     v = np.column_stack([votes, label]).astype(float)
     n, m = v.shape
     weight = np.ones(m)
-    q = np.clip(label.astype(float), 0.05, 0.95)
+    q = np.clip(label.astype(float), 0.01, 0.99)
+    prior = np.clip(label.mean(), 1e-4, 1 - 1e-4)  # the classes' balance is given: abstentions can't tell it
     corr = np.eye(m)
     for step in range(rounds):
-        prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
         one = (q @ v + 0.5 * prior + 0.01) / (q.sum() + 1)
         zero = ((1 - q) @ v + 0.01) / ((1 - q).sum() + 1)
         one, zero = np.clip(one, 1e-5, 1 - 1e-5), np.clip(zero, 1e-6, 1 - 1e-6)
@@ -145,9 +147,10 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple
             s = np.sqrt(np.maximum(np.diag(c), 1e-12))
             corr = np.clip(c / np.outer(s, s), -1, 1)
             strong = np.where(np.abs(corr) > 0.2, np.abs(corr), 0.0)
+            strong[-1, :] = strong[:, -1] = 0.0
             np.fill_diagonal(strong, 1.0)
             weight = 1 / strong.sum(1)
-        z = np.log(prior / (1 - prior)) + v @ (weight * np.log(one / zero)) + (1 - v) @ (weight * np.log((1 - one) / (1 - zero)))
+        z = np.log(prior / (1 - prior)) + v @ (weight * np.log(one / zero)) + (1 - v[:, -1]) * np.log((1 - one[-1]) / (1 - zero[-1]))
         new = _sigmoid(z)
         moved, q = np.abs(new - q).max(), new
         if step > 6 and moved < 1e-4:
