@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import line_dedup, ngram_join, packing, quality_rules, toxicity
 from corpusloom.llm.common import staged, table
 from corpusloom.llm.queries import tokenizer_path
+from corpusloom.ship import ship
 
 #: Documents of at least this score are toxic.
 TOXIC = 0.3
@@ -53,12 +54,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _shipped(stage):
+    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality rules", apply_quality_rules),
-    ("line dedup", dedup_lines),
-    ("n-gram Jaccard join", drop_near_duplicates),
-    ("packing", pack),
+    ("toxicity", _shipped(drop_toxic)),
+    ("quality rules", _shipped(apply_quality_rules)),
+    ("line dedup", _shipped(dedup_lines)),
+    ("n-gram Jaccard join", _shipped(drop_near_duplicates)),
+    ("packing", _shipped(pack)),
 ]
 
 #: Trained models and components of near duplicates aren't expressible.
