@@ -34,6 +34,7 @@ CANDIDATES, VOTERS = 1_500, 64
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_HITS = 4
 DENSE_HITS, DENSE_SHARE = 2, 0.01
+LABEL_NOISE = 0.02
 CACHE_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"\b[A-Z]{4,}\b")
@@ -126,9 +127,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior probability of the toxic class for each row; hit rates and weights; residual correlations.
 
-    votes: rows x voters of 0 or 1. label: the given label, a witness too, which also starts EM. A voter that doesn't
-    vote abstains: that a text lacks the words of one language says nothing about one in another. The label speaks
-    either way.
+    votes: rows x voters of 0 or 1. label: the given label, a witness too, which also starts EM; it errs in LABEL_NOISE of
+    the rows of either class, which is held, as is the classes' balance. A voter that doesn't vote abstains: that a
+    text lacks the words of one language says nothing about one in another.
     """
     v = np.column_stack([votes, label]).astype(float)
     n, m = v.shape
@@ -141,6 +142,7 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple
         zero = ((1 - q) @ v + 0.01) / ((1 - q).sum() + 1)
         one, zero = np.clip(one, 1e-5, 1 - 1e-5), np.clip(zero, 1e-6, 1 - 1e-6)
         one, zero = np.maximum(one, zero), np.minimum(one, zero)
+        one[-1], zero[-1] = 1 - LABEL_NOISE, LABEL_NOISE
         if step == 5:  # correlations given the class, from residuals
             r = v - q[:, None] * one - (1 - q)[:, None] * zero
             c = r.T @ r / n
