@@ -65,7 +65,7 @@ SQUEEZE = r"trim(regexp_replace({}, '[\s\x0B\p{{Z}}]+', ' ', 'g'))"
 # --- B: text ----------------------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT doc_id, length(t) AS n, sha256(t) AS h FROM (SELECT doc_id,
+@query(f"""SELECT doc_id, length(t)::INT AS n, sha256(t) AS h FROM (SELECT doc_id,
   {STRIP.format("replace(replace(chr(13) || chr(10) || ' ' || replace(text, chr(10), chr(13)) || '  ' || chr(10), chr(13) || chr(10), chr(10)), chr(13), chr(10))")} AS t FROM documents)""")
 def normalize_text(spark, d):
     t = tx.normalize(F.concat(F.lit("\r\n "), F.translate("text", "\n", "\r"), F.lit("  \n")))
@@ -110,7 +110,7 @@ def html_to_text(spark, d):
     return _t(spark, d, "pages").select("page_id", extract_text(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, length(text) AS n, sha256(text) AS h FROM documents")
+@query("SELECT doc_id, length(text)::INT AS n, sha256(text) AS h FROM documents")
 def utf8_text(spark, d):
     t = tx.utf8(F.col("text").cast("binary"))
     return _t(spark, d, "documents").select("doc_id", F.length(t).alias("n"), F.sha2(t, 256).alias("h"))
@@ -134,7 +134,7 @@ def chunk_hash(spark, d):
     return chunk.with_hash(_chunks(spark, d)).select("chunk_id", "text_hash")
 
 
-@query(f"WITH {_chunk_sql()} SELECT d.doc_id::VARCHAR AS doc_id, length(d.text) AS chars, count(c.doc_id)::INT AS n_chunks FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id::VARCHAR GROUP BY d.doc_id, d.text")
+@query(f"WITH {_chunk_sql()} SELECT d.doc_id::VARCHAR AS doc_id, length(d.text)::INT AS chars, count(c.doc_id)::INT AS n_chunks FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id::VARCHAR GROUP BY d.doc_id, d.text")
 def chunk_counts(spark, d):
     return chunk.list_docs(_docs(spark, d))
 
