@@ -98,3 +98,14 @@ def test_pack_query_columns(spark, corpus, empty, library):
     want = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in rows}
     assert check(got, want, 256) <= 0.02 * sum(map(len, want.values()))
     assert pack(empty, tokenizer_path()).collect() == []
+
+
+def test_every_code_point_equals_the_library(library):
+    """All of Unicode, between letters, after spaces and before digits."""
+    bpe, fast = ByteBPE(tokenizer_path()), encoder(tokenizer_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 2048):
+        text = "".join(f"a{chr(c)}b  {chr(c)} 1{chr(c)}" for c in points[i : i + 2048])
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == want
+        assert fast(text).tolist() == want
