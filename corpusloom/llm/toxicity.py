@@ -267,8 +267,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            counts = np.array([m.counts(t.as_py()) for t in b.column(len(keep))]).reshape(b.num_rows, -1)
+            counts = np.array([m.counts(t.as_py() or "") for t in b.column(at)]).reshape(b.num_rows, -1)
             s = m.score(counts) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64())], [*keep, out])
 
-    return docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` double"]))
+    # a text that is kept anyway isn't sent twice
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    return docs.select(*keep, *[F.col(text_col).alias("__text")] * (at == len(keep))).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` double"]))
