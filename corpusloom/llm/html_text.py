@@ -1,10 +1,11 @@
 """HTML extraction by site template removal.
 
 Pages are parsed once into a flat list of elements with the hash of each one's subtree (names, attributes and
-text). Block subtrees outside the main content are counted per host in Spark, a page counting once; subtrees that
-recur on many pages of a host are its template and are deleted. Elements that say what they are (navigation,
-header, footer, sidebar, notice, advert, form, script, style, comments; by name, role, class or id) go anyway.
-If a page marks its main content (article or main), only that is kept, and what recurs in it is content.
+text). Block subtrees are counted per host in Spark, a page counting once; subtrees that recur on many pages of a
+host, on at least half of these outside the main content, are its template and are deleted, within the main content
+too. Elements that say what they are (navigation, header, footer, sidebar, notice, advert, form, script, style,
+comments; by name, role, class or id) go anyway. If a page marks its main content (article or main), only that is
+kept; what recurs mostly in it is content, as a page's text and its copies are.
 
 Defined results: a null html is an empty text, as is a page without text. Broken markup never fails: an end tag
 closes the nearest open element of its name, or nothing; a cut-off tag at the end is dropped; a script or style
@@ -145,14 +146,18 @@ class Page:
                 close(len(stack) - 1)
         close(1)
 
-    def template_hashes(self) -> set[int]:
-        """Subtrees that may be template: blocks outside the main content."""
-        return {h for t, h, m in zip(self.tags, self.hashes, self.main, strict=True) if h and t in BLOCK and t not in ("html", "head", "body", "br", "hr") and not m}
+    def template_hashes(self) -> dict[int, bool]:
+        """Subtrees that may be template, and whether they stand outside the main content."""
+        out: dict[int, bool] = {}
+        for t, h, m in zip(self.tags, self.hashes, self.main, strict=True):
+            if h and t in BLOCK and t not in ("html", "head", "body", "br", "hr", "article", "main"):
+                out[h] = out.get(h, False) or not m
+        return out
 
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         gone = list(self.chrome)
         for i in range(1, len(gone)):
-            gone[i] = gone[i] or gone[self.parents[i]] or (not self.main[i] and self.hashes[i] in template)
+            gone[i] = gone[i] or gone[self.parents[i]] or (self.tags[i] not in MAIN and self.hashes[i] in template)
         out = []
         for i, piece in self.runs:
             if not piece:
@@ -167,18 +172,21 @@ def host_of(url):
 
 
 def template_subtrees(pages: DataFrame, min_pages: int = 8, min_share: float = 0.2) -> DataFrame:
-    """(host, subtree): blocks found on at least min_pages pages and min_share of the pages of a host."""
+    """(host, subtree): blocks found on at least min_pages pages and min_share of the pages of a host, and on at least
+    half of those pages outside the main content."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, hashes = [], []
+            hosts, hashes, outside = [], [], []
             for host, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 found = Page(source.as_py()).template_hashes()
                 hosts += [host] * (len(found) + 1)
                 hashes += [None, *(h - (1 << 63) for h in found)]  # null: the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "subtree"])
+                outside += [1, *map(int, found.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(outside, pa.int32())], ["host", "subtree", "outside"])
 
-    counts = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, subtree bigint").groupBy("host", "subtree").count()
-    counts = cut(counts.where(F.col("subtree").isNull() | (F.col("count") >= min_pages)))
+    counts = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, subtree bigint, outside int")
+    counts = counts.groupBy("host", "subtree").agg(F.count("*").alias("count"), F.sum("outside").alias("outside"))
+    counts = cut(counts.where(F.col("subtree").isNull() | (F.col("count") >= min_pages) & (2 * F.col("outside") >= F.col("count"))))
     total = counts.where("subtree IS NULL").select("host", F.col("count").alias("n_pages"))
     return counts.where("subtree IS NOT NULL").join(total, "host").where(F.col("count") >= min_share * F.col("n_pages")).select("host", "subtree")
 

@@ -39,6 +39,17 @@ def test_template_is_removed_per_host(spark):
     assert ht.extract(pages(spark, rows).where("false")).collect() == []
 
 
+def test_template_goes_from_articles_too(spark):
+    box = "<div><p>Welcome to our place</p><p>read on</p></div>"
+    rows = [(i, f"http://a.org/{i}", f"<body>{box}<div>story {i}</div></body>", 1) for i in range(12)]
+    rows += [(100 + i, f"http://a.org/p{i}", f"<body><article>{box}<p>piece {i}</p></article></body>", 1) for i in range(6)]
+    rows += [(200 + i, f"http://a.org/c{i}", "<body><article><p>one text in copies</p></article></body>", 1) for i in range(12)]
+    got = {r.page_id: r.text for r in ht.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"story {i}" for i in range(12))
+    assert all(got[100 + i] == f"piece {i}" for i in range(6))
+    assert all(got[200 + i] == "one text in copies" for i in range(12))
+
+
 def test_made_pages_give_their_articles(spark):
     """The test tables' pages: exactly the article's text."""
     import os
