@@ -5,7 +5,9 @@ text). Block subtrees are counted per host in Spark, a page counting once; subtr
 host, on at least half of these outside the main content, are its template and are deleted, within the main content
 too. Elements that say what they are (navigation, header, footer, sidebar, notice, advert, form, script, style,
 comments; by name, role, class or id) go anyway. If a page marks its main content (article or main), only that is
-kept; what recurs mostly in it is content, as a page's text and its copies are.
+kept; what recurs mostly in it is content, as a page's text and its copies are. Such an element and what it lies in
+are never template, nor chrome by class or id; but where some articles lie in fewer elements named as chrome than
+others do, those are the page's (so that comments marked as articles go).
 
 Defined results: a null html is an empty text, as is a page without text. Broken markup never fails: an end tag
 closes the nearest open element of its name, or nothing; a cut-off tag at the end is dropped; a script or style
@@ -35,25 +37,35 @@ RAW = frozenset("script style textarea title noscript xmp iframe noembed noframe
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CHROME = frozenset("nav header footer aside form script style noscript template iframe object embed svg canvas button select input textarea dialog menu head title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|sidebar|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|comments?|respond|disqus|share|sharing|social|related|widget)(?:$|[\s_-])", re.I)
+WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner cookie cookies consent gdpr notice newsletter subscribe popup modal sidebar sidebars nav navbar navigation menu breadcrumb breadcrumbs footer header masthead comment comments respond disqus share sharing social related widget".split())
+#: Parts that a class or id may have besides words of chrome and still be named by these.
+PLACES = frozenset("area bar block body bottom box buttons container entry global group holder icons inner item items links list main outer page panel post posts primary respond row secondary section side site slot top unit wrap wrapper".split())
 #: An open p ends where one of these begins.
 ENDS_P = BLOCK - {"br", "body", "html", "head"}
 MAIN = frozenset(("article", "main"))
 
 
-def _named_chrome(tag: str, attrs: str) -> bool:
+def _says_chrome(token: str) -> bool:
+    """Whether a class or id is a word of chrome: all its parts are, or places and numbers (comment-list, site-header)."""
+    parts = [x for x in re.split(r"[-_]+", token.lower()) if x]
+    return any(x in WORDS for x in parts) and all(x in WORDS or x in PLACES or x.isdigit() for x in parts)
+
+
+def _named_chrome(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element says by name, role or state that it is chrome, and whether by class or id."""
     if tag in CHROME:
-        return True
+        return True, False
     if not attrs.strip():
-        return False
+        return False, False
+    by_word = False
     for m in ATTRIBUTE.finditer(attrs):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in ROLES or name in ("hidden",) or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and tag not in ("body", "html") and WORDS.search(value):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in ("body", "html"):
+            by_word = by_word or any(map(_says_chrome, value.split()))
+    return False, by_word
 
 
 class Page:
@@ -61,9 +73,12 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.chrome, self.hashes, self.main = ["#"], [-1], [False], [0], [False]
+        self.worded = [False]  # named as chrome by class or id
+        self.around = [True]  # is or holds main content
         self.runs: list[tuple[int, str]] = []  # element, text; a block boundary is an empty text
         self.has_main = False
         self._parse(source)
+        self._settle()
 
     def _parse(self, source: str) -> None:
         stack, states, at = [0], [xxhash.xxh64()], 0
@@ -126,9 +141,9 @@ class Page:
             parent = stack[-1]
             self.tags.append(tag)
             self.parents.append(parent)
-            self.chrome.append(self.chrome[parent] or _named_chrome(tag, m[3]))
-            self.main.append(self.main[parent] or (tag in MAIN and not self.chrome[i]))
-            self.has_main |= self.main[i]
+            named, worded = _named_chrome(tag, m[3])
+            self.chrome.append(self.chrome[parent] or named)
+            self.worded.append(worded)
             self.hashes.append(0)
             if tag in BLOCK:
                 self.runs.append((parent, ""))
@@ -146,18 +161,45 @@ class Page:
                 close(len(stack) - 1)
         close(1)
 
+    def _settle(self) -> None:
+        """Finds the main content, and with it what is chrome by class or id."""
+        n = len(self.tags)
+        doubt = [0] * n  # elements named so, from the page down to here
+        for i in range(1, n):
+            doubt[i] = doubt[self.parents[i]] + self.worded[i]
+        mains = [i for i in range(1, n) if self.tags[i] in MAIN and not self.chrome[i]]
+        mains = [i for i in mains if not self.worded[i]] or mains
+        holds = [False] * n
+        for i in mains:
+            k = self.parents[i]
+            while k >= 0 and not holds[k]:
+                holds[k] = True
+                k = self.parents[k]
+        mains = [i for i in mains if not holds[i]]  # the inner ones
+        least = min((doubt[i] for i in mains), default=0)
+        self.around = [False] * n
+        for k in mains:
+            while doubt[k] <= least and k >= 0 and not self.around[k]:
+                self.around[k] = True
+                k = self.parents[k]
+        for i in range(1, n):
+            up = self.parents[i]
+            self.chrome[i] = self.chrome[i] or self.chrome[up] or (self.worded[i] and not self.around[i])
+            self.main.append(self.main[up] or (self.tags[i] in MAIN and not self.chrome[i]))
+        self.has_main = any(self.main)
+
     def template_hashes(self) -> dict[int, bool]:
         """Subtrees that may be template, and whether they stand outside the main content."""
         out: dict[int, bool] = {}
-        for t, h, m in zip(self.tags, self.hashes, self.main, strict=True):
-            if h and t in BLOCK and t not in ("html", "head", "body", "br", "hr", "article", "main"):
+        for t, h, m, around in zip(self.tags, self.hashes, self.main, self.around, strict=True):
+            if h and t in BLOCK and t not in ("html", "head", "body", "br", "hr", "article", "main") and not around:
                 out[h] = out.get(h, False) or not m
         return out
 
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         gone = list(self.chrome)
         for i in range(1, len(gone)):
-            gone[i] = gone[i] or gone[self.parents[i]] or (self.tags[i] not in MAIN and self.hashes[i] in template)
+            gone[i] = gone[i] or gone[self.parents[i]] or (self.tags[i] not in MAIN and not self.around[i] and self.hashes[i] in template)
         out = []
         for i, piece in self.runs:
             if not piece:

@@ -21,6 +21,21 @@ def test_page_text(source, want):
     assert ht.Page(source).text() == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<div class='site has-sidebar'><article>a</article><div class=sidebar>s</div></div>", "a"), ("<article class='post category-social no-comments'>a</article>", "a"),
+    ("<div class='site sidebar'><p>o</p><article class='post social'>a<div class=share>s</div></article></div>", "a"), ("<main><div class=widget><article>a</article></div></main>", "a"),
+    ("<main><article>a</article><div id=comments class=comments-area><article class=comment-body>c</article></div></main>", "a"), ("<main>t<div class=comments><article class=comment>c</article></div></main>", "t"),
+    ("<div class='no-comments'><p>t</p></div><div class='site-header'>h</div><div class='comment-list'>c</div>", "t"), ("<nav><article>x</article></nav><p>t</p>", "t"),
+])
+def test_class_words_leave_articles(source, want):
+    assert ht.Page(source).text() == want
+
+
+def test_copies_keep_their_article(spark):
+    rows = [(i, f"http://a.org/{i}", "<body><div id=page><p>top</p><article>one text</article></div></body>", 1) for i in range(12)]
+    assert {r.text for r in ht.extract(pages(spark, rows)).collect()} == {"one text"}
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
 
