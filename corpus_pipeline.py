@@ -2,7 +2,7 @@
 
 STAGES are applied in order; each takes what the one before kept. All but the last return the columns of
 documents: the first two leave out the rows that they reject, the third rewrites texts (and n_chars with
-them), the fourth keeps one document of each group of near duplicates, the last returns packed pieces.
+them) and leaves out documents of which no word is left (each of their lines stays in another one), the fourth keeps one document of each group of near duplicates, the last returns packed pieces.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; a line that LINE_DOCS or more have stays only in the first of them."""
+    """Documents without the lines that LINE_DOCS or more have, which stay only in the first of them; one that so
+    loses its last word goes, since all its lines are in others. Documents that had no words before stay."""
     out = line_dedup.dedup_lines(docs, min_docs=LINE_DOCS, keep_first=True)
+    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

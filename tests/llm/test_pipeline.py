@@ -48,6 +48,15 @@ def test_stages_take_odd_rows(spark, tmp_path):
                 assert out.columns == frame.columns
 
 
+def test_line_dedup_leaves_no_emptied_copies(spark):
+    copy = "\n".join(f"line {i} of the copied text" for i in range(12))
+    rows = [(i, copy + " \n\t" * (i % 2), "en", "s", 0) for i in range(30)]
+    rows += [(40, copy + "\nown words", "en", "s", 0), (41, "", "en", "s", 0), (42, None, "en", "s", None), (43, " \n", "en", "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in cp.dedup_lines(spark, docs.repartition(3), DATA).collect()}
+    assert got == {0: copy, 40: "own words", 41: "", 42: None, 43: " \n"}
+
+
 def test_run(spark):
     got = cp.run(spark, DATA).collect()
     assert got and np.all([r.length > 0 for r in got])
