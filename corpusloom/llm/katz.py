@@ -1,24 +1,27 @@
-"""Katz backoff bigram model: Good-Turing discounted counts, exactly normalised backoff weights, recursive scores.
+"""Katz backoff model of any order: Good-Turing discounted counts, exactly normalised backoff weights, recursive scores.
 
 Counting and scoring are one exchange of compact tables. Documents are read once into blocks of some million
 tokens (a bucketed table: sorted word hashes, counts, tokens as local numbers). Each block asks, hash range by hash
-range, for the counts of its distinct words; the partition of a range adds up what all blocks hold, keeps its part of
-the model as a table and answers in the order asked. With those answers the blocks ask for their distinct bigrams,
-partitioned by the first word, and get the counts, and for each first word how many successors it has by
-count and their lower-order mass. So what crosses the network is distinct words and bigrams of blocks, sorted, as
-differences, compressed. A first word with a share s of all tokens is spread over ceil(s * partitions)
-partitions by its second word, and blocks add up the parts.
+range, for the counts of its distinct words; the partition of a range adds up what all blocks hold and answers in
+the order asked. With those answers the blocks ask for their distinct bigrams, partitioned by the first word, and get
+the counts, and for each first word how many successors it has by count and their lower-order mass. Each higher order
+is asked likewise, partitioned by its context, for the n-grams whose context and shorter n-gram training holds. If the
+model is to be stored, each partition's counts become a row of a table, in the form of a question, and score_stored()
+joins these to the questions that other texts ask. So what crosses the network is distinct words and bigrams of blocks, sorted, as
+differences, compressed. A context with a share s of all tokens is spread over ceil(s * partitions)
+partitions by the word that follows, and blocks add up the parts.
 
 Model. r* = (r+1) n(r+1) / n(r) for r <= K (Katz's renormalised discounts); if these aren't all between 0 and 1,
-absolute discounting takes their place. P(w) is discounted, and what is left goes to one unknown word. P(w|v) is
-discounted for seen bigrams; else bow(v) P(w), with bow(v) what v's seen words leave divided by what they leave
-in P. If a word's successors leave less than 1 / (c(v) + 1), they are scaled to leave that. A word unseen in
-training backs off with weight 1. So P(.|v) sums to 1 over the known words and the unknown one. A text's first
-word follows the end of a text.
+absolute discounting takes their place. P(w) is discounted, and what is left goes to one unknown word. P(w|v) of a
+context v of one or more words is discounted for seen n-grams; else bow(v) P(w|v'), v' being v without its first word
+and bow(v) what v's seen words leave divided by what they leave in P(.|v'). If a context's successors leave less than
+1 / (c(v) + 1), they are scaled to leave that. A context unseen in training backs off with weight 1. So P(.|v) sums to
+1 over the known words and the unknown one. A text's first word follows ends of texts only.
 
 Defined results: a null or empty text is its end only. Words are split at ASCII white space, A-Z in lower case.
 Null ids and repeated rows count and score like others. Without training rows all words are unknown, with
-probability 1. An empty table gives an empty result. Word identity is a 64-bit hash. Other columns are ignored.
+probability 1. An empty table gives an empty result. Identity of a word, and of a context of three or more, is a 64-bit
+hash. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from __future__ import annotations
 import atexit
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +44,7 @@ from corpusloom.llm.common import shared_dir, staged
 K = 5
 BLOCK_TOKENS = 3_000_000
 END = b"\n"  # no word holds white space
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ANSWER = "kind string, block bigint, bucket int, blob binary"
 
 
@@ -136,10 +140,20 @@ class _Local(dict):
         return n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combine(ids: np.ndarray, number: np.ndarray, exact: bool) -> np.ndarray:
+    """Identity of contexts with one more word: both numbers, if they fit, else a hash."""
+    if exact:
+        return ids << np.uint64(32) | number.astype(np.uint64)
+    x = (ids ^ (ids >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], order: int = 2) -> Iterator[pa.RecordBatch]:
     """Rows of the block table: ids and training flags of documents, and words, counts, lengths and tokens."""
     from pyspark import TaskContext
 
+    most = BLOCK_TOKENS * 2 // order  # a worker holds as much of each order
     block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
     local, ids, train, tokens = _Local({END: 0}), [], [], []
     held, id_type = 0, None
@@ -165,7 +179,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(doc)
             train.append(learn)
             held += len(words)
-            if held >= BLOCK_TOKENS:
+            if held >= most:
                 yield flush()
                 block += 1
                 local, ids, train, tokens, held = _Local({END: 0}), [], [], [], 0
@@ -194,69 +208,82 @@ def _counts_of_counts(c: np.ndarray, k: int = K) -> np.ndarray:
     return np.bincount(np.minimum(c[c > 0], k + 2), minlength=k + 3)[: k + 2]
 
 
-def _count_words(table: pa.Table) -> pa.Table:
-    """One hash range: the model's table of it, counts of counts, and an answer to each block that asked."""
+def _count_words(table: pa.Table, keep: bool = False, stored: bool = False) -> pa.Table:
+    """One hash range: counts of counts, an answer to each block that asked, and if it is to be kept the model's table.
+    With stored, block -1 is that table and alone counts."""
     bucket = table.column("bucket")[0].as_py()
+    blocks = table.column("block").to_pylist()
     asked = [unpack(x) for x in table.column("blob").to_pylist()]
     hashes = [np.cumsum(g.astype(np.uint64), dtype=np.uint64) for g, _ in asked]
-    h, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    count = np.bincount(place, weights=np.concatenate([c for _, c in asked]), minlength=len(h)).astype(np.int64)
-    rows = [("table", -1, bucket, pack(gaps(h), count)), ("stat", -1, bucket, pack(np.array([len(h), count.sum(), (count > 0).sum(), *_counts_of_counts(count)])))]
+    rows = []
+    if stored:
+        h, count = next(((x, c) for b, x, (_, c) in zip(blocks, hashes, asked, strict=True) if b < 0), (np.empty(0, np.uint64), np.empty(0, np.int64)))
+        every = np.concatenate(hashes)
+        place = np.searchsorted(h, every)  # an unknown word gets a number that is never asked for
+        known = np.append(h, np.uint64(0))[place] == every
+        known &= place < len(h)
+        got = np.where(known, np.append(count, 0)[place], 0)
+    else:
+        h, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate([c for _, c in asked]), minlength=len(h)).astype(np.int64)
+        got = count[place]
+        rows.append(("stat", -1, bucket, pack(np.array([len(h), count.sum(), (count > 0).sum(), *_counts_of_counts(count)]))))
+        if keep:
+            rows.append(("table", -1, bucket, pack(gaps(h), count)))
     at = 0
-    for block, x in zip(table.column("block").to_pylist(), hashes, strict=True):
-        mine = place[at : at + len(x)]
+    for block, x in zip(blocks, hashes, strict=True):
+        mine = slice(at, at + len(x))
         at += len(x)
-        rows.append(("answer", block, bucket, pack(count[mine], gaps(mine))))
-    return _rows(rows)
+        if block >= 0:
+            rows.append(("answer", block, bucket, pack(got[mine], gaps(place[mine]))))
+    return _rows(rows) if rows else _rows([("none", -1, bucket, b"")])
 
 
-class Block:
-    """A block's tokens with what is known of its words."""
+class Level:
+    """A block's distinct n-grams of one order: index of the context and of the last word, sorted by both.
 
-    def __init__(self, words: bytes, tokens: bytes, answers: dict[int, bytes], uni: Unigrams):
-        self.uni = uni
-        n = len(unpack(words)[0])
-        self.lengths, self.tokens, end = unpack(tokens)
-        self.count, self.number = np.empty(n, np.int64), np.empty(n, np.int64)
-        at = 0
-        for bucket in sorted(answers):
-            c, g = unpack(answers[bucket])
-            self.count[at : at + len(c)] = c
-            self.number[at : at + len(c)] = np.cumsum(g) + uni.offsets[bucket]
-            at += len(c)
-        # every document's first word follows the end of the one before
-        before = np.concatenate([end, self.tokens[:-1]])
-        key = before * n + self.tokens
-        self.order = np.argsort(key, kind="stable")
+    Contexts are numbered in the order of their ids; total: how often training has each as a context. low: the
+    n-gram without its first word, an index of the level below; low_count: how often training has that."""
+
+    def __init__(self, uni: Unigrams, context: np.ndarray, tokens: np.ndarray, number: np.ndarray, ids: np.ndarray, total: np.ndarray, low: np.ndarray, low_count: np.ndarray):
+        self.uni, self.context, self.number, self.ids, self.total = uni, context, number, ids, total
+        key = context * len(number) + tokens
+        self.order = np.argsort(key, kind="stable").astype(np.int32)
         s = key[self.order]
         self.new = np.concatenate([[True], s[1:] != s[:-1]])
-        self.first, self.second = np.divmod(s[self.new], n)
+        self.first, self.second = (x.astype(np.int32) for x in np.divmod(s[self.new], len(number)))
+        self.low = low[self.order[self.new]].astype(np.int32)
+        self.low_count = low_count[self.low]
+
+    def grams(self) -> np.ndarray:
+        """The n-gram that ends at each token."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.new) - 1
+        return out
 
     def asked(self, buckets: int) -> tuple[np.ndarray, ...]:
-        """For the bigrams that training may hold and for their first words: where each goes, in sorted order.
+        """For the n-grams that training may hold and for their contexts: where each goes, in sorted order.
 
-        Returns the bigrams' indexes and buckets, and the first words and their buckets, both sorted by bucket,
+        Returns the n-grams' indexes and buckets, and the contexts and their buckets, both sorted by bucket,
         then by number."""
-        known = (self.count[self.first] > 0) & (self.count[self.second] > 0)
+        known = (self.total[self.first] > 0) & (self.low_count > 0)
         pair = np.flatnonzero(known)
-        parts = np.maximum(1, np.ceil(self.count / max(1, self.uni.tokens) * buckets).astype(np.int64))
-        home = spread(self.number)
+        parts = np.maximum(1, np.ceil(self.total / max(1, self.uni.tokens) * buckets).astype(np.int64))
+        home = spread(self.ids)
         to = ((home[self.first[pair]] + spread(self.number[self.second[pair]]) % parts[self.first[pair]].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         pair, to = pair[order], to[order]
-        word = np.unique(self.first)
-        word = word[self.count[word] > 0]
+        word = self.first[np.concatenate([[True], self.first[1:] != self.first[:-1]])]
+        word = word[self.total[word] > 0]
         every = np.repeat(word, parts[word])
         part = np.arange(len(every)) - np.repeat(np.cumsum(parts[word]) - parts[word], parts[word])
         there = ((home[every] + part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(there, kind="stable")
         return pair, to, every[order], there[order]
 
-    def questions(self, train: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-        learn = np.repeat(train, self.lengths)[self.order].astype(np.int64)
-        seen = np.add.reduceat(learn, np.flatnonzero(self.new))
+    def questions(self, learn: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+        seen = np.add.reduceat(learn[self.order].astype(np.int64), np.flatnonzero(self.new))
         pair, to, word, there = self.asked(buckets)
-        n = len(self.count)
         ends, word_ends = np.searchsorted(to, np.arange(buckets + 1)), np.searchsorted(there, np.arange(buckets + 1))
         for k in range(buckets):
             p, w = pair[ends[k] : ends[k + 1]], word[word_ends[k] : word_ends[k + 1]]
@@ -268,60 +295,118 @@ class Block:
             number = self.number[self.second[p]]
             step = number.copy()
             step[1:] -= np.where(first[1:] == first[:-1], number[:-1], 0)
-            yield k, pack(gaps(self.number[w]), size, step, self.count[self.second[p]], seen[p])
+            yield k, pack(gaps(self.ids[w]), size, step, self.low_count[p], seen[p])
 
-    def scores(self, answers: dict[int, bytes], buckets: int, d: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Tokens, known tokens, base score and score of each document."""
-        uni, n = self.uni, len(self.count)
-        pair, to, word, there = self.asked(buckets)
-        c2 = np.zeros(len(self.first), np.int64)
-        kinds, mass = np.zeros((K, n), np.int64), np.zeros(n)
+    def read(self, answers: dict[int, bytes], buckets: int, d: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The count of each n-gram, and for each context what the discounts take and the sum of its lower-order weights."""
+        pair, _, word, _ = self.asked(buckets)
+        c, sums = np.zeros(len(self.first), np.int64), np.zeros(len(self.ids))
+        lost = np.zeros(len(self.ids) if d is not None else 0)
         at = at_word = 0
         for k in sorted(answers):
-            c, low, *by_count = unpack(answers[k])
-            c2[pair[at : at + len(c)]] = c
-            mine = word[at_word : at_word + len(low)]  # a word comes once in a bucket
-            mass[mine] += low
-            for r in range(K):
-                kinds[r, mine] += by_count[r]
-            at, at_word = at + len(c), at_word + len(low)
-        total = np.maximum(self.count, 1).astype(float)
-        rs = np.arange(1, K + 1)
-        lost = ((1 - d[1:]) * rs) @ kinds / total  # what discounting leaves
-        left = np.maximum(lost, 1 / (total + 1))
-        scale = (1 - left) / np.maximum(1 - lost, 1e-300)
-        p1 = uni.p(self.count)
-        with np.errstate(divide="ignore"):
-            back = np.where(self.count > 0, np.log10(left / np.maximum(1 - mass, 1e-300)), 0.0)
-            low = np.log10(p1)
-            seen = np.where(c2 <= K, d[np.minimum(c2, K)], 1.0) * c2 * scale[self.first] / total[self.first]
-            log2 = np.where(c2 > 0, np.log10(seen), back[self.first] + low[self.second])
-        each = np.empty(len(self.tokens))
-        each[self.order] = log2[np.cumsum(self.new) - 1]
+            got, low, which, *by_count = unpack(answers[k])
+            low = low[which] if len(which) else low
+            c[pair[at : at + len(got)]] = got
+            mine = word[at_word : at_word + len(low)]  # a context comes once in a bucket
+            sums[mine] += low
+            if d is not None:
+                lost[mine] += sum((1 - d[r]) * r * by_count[r - 1] for r in range(1, K + 1))
+            at, at_word = at + len(got), at_word + len(low)
+        return c, lost, sums
+
+
+class Block:
+    """A block's tokens with what is known of its words."""
+
+    def __init__(self, words: bytes, tokens: bytes, answers: dict[int, bytes], uni: Unigrams):
+        self.uni = uni
+        n = len(unpack(words)[0])
+        self.lengths, self.tokens, end = unpack(tokens)
+        self.end = int(end[0])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.count, self.number = np.empty(n, np.int64), np.empty(n, np.int64)
+        at = 0
+        for bucket in sorted(answers):
+            c, g = unpack(answers[bucket])
+            self.count[at : at + len(c)] = c
+            self.number[at : at + len(c)] = np.cumsum(g) + uni.offsets[bucket]
+            at += len(c)
+
+    def bigrams(self) -> Level:
+        # every document's first word follows the end of the one before
+        before = np.concatenate([[self.end], self.tokens[:-1]])
+        ids = self.number.astype(np.uint64)
+        self.start_id = ids[self.end : self.end + 1]
+        return Level(self.uni, before, self.tokens, self.number, ids, self.count, self.tokens, self.count)
+
+    def longer(self, level: Level, count: np.ndarray, n: int) -> Level:
+        """The n-grams of order n, after those one shorter and their counts."""
+        grams = level.grams()
+        exact = n == 3 and self.uni.offsets[-1] < 1 << 32
+        self.start_id = _combine(self.start_id, self.number[self.end : self.end + 1], exact)
+        ids = np.concatenate([_combine(level.ids[level.first], self.number[level.second], exact), self.start_id])
+        total = np.append(count, self.count[self.end])  # a text begins as often as one ends
+        context = np.concatenate([[0], grams[:-1]])
+        context[self.starts] = len(count)
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return Level(self.uni, place[context], self.tokens, self.number, ids[order], total[order], grams, count)
+
+    def questions(self, train: np.ndarray, answers: dict[int, dict[int, bytes]], n: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+        level = self.bigrams()
+        for m in range(2, n):
+            level = self.longer(level, level.read(answers.get(m, {}), buckets)[0], m + 1)
+        return level.questions(np.repeat(train, self.lengths), buckets)
+
+    def scores(self, answers: dict[int, dict[int, bytes]], buckets: int, d: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base score and score of each document; d: discounts of the orders from 2."""
+        uni, level = self.uni, self.bigrams()
+        low = np.log10(uni.p(self.count))
+        weight = None  # what a count of a lower order is multiplied by, for each of its contexts
+        for n, dn in enumerate(d, 2):
+            c, lost, mass = level.read(answers.pop(n, {}), buckets, dn)
+            if weight is not None:
+                below = np.zeros(len(level.ids), np.int64)
+                below[level.context] = context
+                mass = mass * weight[below]
+            total = np.maximum(level.total, 1).astype(float)
+            lost /= total  # what discounting leaves
+            left = np.maximum(lost, 1 / (total + 1))
+            scale = (1 - left) / np.maximum(1 - lost, 1e-300)
+            with np.errstate(divide="ignore"):
+                back = np.where(level.total > 0, np.log10(left / np.maximum(1 - mass, 1e-300)), 0.0)
+                seen = np.where(c <= K, dn[np.minimum(c, K)], 1.0) * c * (scale / total)[level.first]
+                low = np.where(c > 0, np.log10(seen), back[level.first] + low[level.low])
+            weight, context = scale / total, level.context
+            del lost, mass, left, scale, total, back, seen
+            if n <= len(d):
+                level = self.longer(level, c, n + 1)
+        each = low[level.grams()]
         base = np.log10((self.count + 0.5) / (uni.tokens + 0.5 * (uni.types + 1)))[self.tokens]
-        starts = np.cumsum(self.lengths) - self.lengths
         known = (self.count[self.tokens] > 0).astype(np.int64)
-        return self.lengths, np.add.reduceat(known, starts), np.add.reduceat(base, starts), np.add.reduceat(each, starts)
+        return self.lengths, np.add.reduceat(known, self.starts), np.add.reduceat(base, self.starts), np.add.reduceat(each, self.starts)
 
 
-def _count_bigrams(table: pa.Table, uni: Unigrams) -> pa.Table:
-    """The bigrams of one partition: table, counts of counts, and an answer to each block."""
+def _count_grams(table: pa.Table, weigh: Callable[[np.ndarray], np.ndarray], keep: bool = False) -> pa.Table:
+    """The n-grams of one partition: counts of counts, an answer to each block, and if it is to be kept the table.
+    Block -1 is a stored table; what asks with it has learnt nothing itself."""
     bucket = table.column("bucket")[0].as_py()
-    firsts, seconds, lows, counts, words = [], [], [], [], []
+    blocks = table.column("block").to_pylist()
+    words, sizes, seconds, lows, counts = [], [], [], [], []
     for x in table.column("blob").to_pylist():
         g, size, step, low, seen = unpack(x)
-        w = np.cumsum(g)
-        first = np.repeat(w, size)
         run = np.cumsum(step)
         starts = np.cumsum(size) - size
         base = np.where(starts > 0, run[np.maximum(starts - 1, 0)], 0) if len(run) else starts
-        words.append(w)
-        firsts.append(first)
+        words.append(np.cumsum(g.astype(np.uint64), dtype=np.uint64))
+        sizes.append(size)
         seconds.append(run - np.repeat(base, size))
         lows.append(low)
         counts.append(seen)
-    first, second = np.concatenate(firsts), np.concatenate(seconds)
-    order = np.lexsort((second, first)) if uni.offsets[-1] >= 1 << 31 else np.argsort(first << 32 | second, kind="stable")
+    word, at = np.unique(np.concatenate(words), return_inverse=True)
+    first, second = np.repeat(at, np.concatenate(sizes)), np.concatenate(seconds)
+    order = np.argsort(first << 32 | second, kind="stable") if max(len(word), int(second.max(initial=0))) < 1 << 31 else np.lexsort((second, first))
     a, b = first[order], second[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
     place = np.empty(len(a), np.int64)
@@ -329,18 +414,22 @@ def _count_bigrams(table: pa.Table, uni: Unigrams) -> pa.Table:
     a, b, low = a[new], b[new], np.concatenate(lows)[order][new]
     count = np.bincount(place, weights=np.concatenate(counts), minlength=len(a)).astype(np.int64)
     seen = count > 0
-    word, at = np.unique(np.concatenate(words), return_inverse=True)
-    of = np.searchsorted(word, a[seen])
-    mass = np.bincount(of, weights=uni.p(low[seen]), minlength=len(word))
+    of = a[seen]
+    mass = np.bincount(of, weights=weigh(low[seen]), minlength=len(word))
     kinds = [np.bincount(of[count[seen] == r], minlength=len(word)) for r in range(1, K + 1)]
-    step = b[seen].copy()
-    step[1:] -= np.where(a[seen][1:] == a[seen][:-1], b[seen][:-1], 0)
-    rows = [("table", -1, bucket, pack(word, np.bincount(of, minlength=len(word)), step, count[seen])), ("stat", -1, bucket, pack(_counts_of_counts(count)))]
+    rows = [("stat", -1, bucket, pack(_counts_of_counts(count)))]
+    if keep:
+        step = b[seen].copy()
+        step[1:] -= np.where(of[1:] == of[:-1], b[seen][:-1], 0)
+        rows.append(("table", -1, bucket, pack(gaps(word), np.bincount(of, minlength=len(word)), step, low[seen], count[seen])))
     i = j = 0
-    for block, f, w in zip(table.column("block").to_pylist(), firsts, words, strict=True):
-        mine, there = place[i : i + len(f)], at[j : j + len(w)]
-        i, j = i + len(f), j + len(w)
-        rows.append(("answer", block, bucket, pack(count[mine], mass[there], *(x[there] for x in kinds))))
+    for block, s, w in zip(blocks, seconds, words, strict=True):
+        mine, there = place[i : i + len(s)], at[j : j + len(w)]
+        i, j = i + len(s), j + len(w)
+        if block >= 0:
+            value, which = np.unique(mass[there], return_inverse=True)  # of higher orders few differ
+            few = 2 * len(value) < len(there)
+            rows.append(("answer", block, bucket, pack(count[mine], value if few else mass[there], which if few else which[:0], *(x[there] for x in kinds))))
     return _rows(rows)
 
 
@@ -349,57 +438,104 @@ def _stat(answers: DataFrame) -> dict[int, np.ndarray]:
     return {r.bucket: unpack(r.blob)[0].astype(np.int64) for r in answers.where("kind = 'stat'").collect()}
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _unigrams(words: DataFrame, buckets: int) -> Unigrams:
+    stat = _stat(words)
+    sizes = np.zeros(buckets, np.int64)
+    for b, x in stat.items():
+        sizes[b] = x[0]
+    sums = sum(stat.values(), np.zeros(3 + K + 2, np.int64))
+    return Unigrams.of([int(x) for x in sums[3:]], int(sums[1]), int(sums[2]), sizes)
+
+
+def _discounts(grams: DataFrame) -> np.ndarray:
+    return discounts([int(x) for x in sum(_stat(grams).values(), np.zeros(K + 2, np.int64))])
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, store: str | None = None) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows for which train
-    holds are what the model learns from."""
+    holds are what the model of n-grams up to the order learns from. With store, its tables are written to that path."""
+    return _exchange(docs, train, id_col, text_col, order, store, None)
+
+
+def score_stored(docs: DataFrame, store: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same of other texts, all held out, by the model that score() has stored."""
+    return _exchange(docs, F.lit(False), id_col, text_col, 0, None, store)
+
+
+def _exchange(docs: DataFrame, train: Column, id_col: str, text_col: str, order: int, store: str | None, model: str | None) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if model:
+        order, buckets = spark.read.parquet(f"{model}/form").select("n", "buckets").first()
+    if order < 2:
+        raise ValueError(f"order {order}: a model with contexts has an order of 2 or more")
     rows = docs.select(id_col, F.coalesce(train, F.lit(False)).alias("__train"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__raw"))
     name = f"katz_blocks_{uuid.uuid4().hex}"
-    made = rows.mapInArrow(_blocks, f"block bigint, ids array<{kind}>, train array<boolean>, words binary, tokens binary")
+    made = rows.mapInArrow(_blocks if order == 2 else lambda b: _blocks(b, order), f"block bigint, ids array<{kind}>, train array<boolean>, words binary, tokens binary")
     # bucketed, so that answers travel to the blocks and not the blocks to the answers
     made.write.option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "block").saveAsTable(name)
     atexit.register(_drop, spark, name)
     blocks = spark.table(name)
+    keep = store is not None
+
+    def answered(asked: DataFrame, n: int, count: Callable[[pa.Table], pa.Table]) -> tuple[DataFrame, DataFrame]:
+        """Answers of an order, and the frame that has its statistics."""
+        if model:
+            asked = asked.unionByName(spark.read.parquet(f"{model}/order{n}").where("kind = 'table'").select("block", "bucket", "blob"))
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")  # a step's shuffle files go once its answers are written
+        try:
+            got, _ = staged(asked.groupBy("bucket").applyInArrow(count, ANSWER), f"katz-{n}", ["kind"])
+        finally:
+            spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        if keep:
+            got.where("kind <> 'answer'").write.parquet(f"{store}/order{n}")
+        return got.where("kind = 'answer'").select("block", "bucket", "blob", F.lit(n).alias("level")), spark.read.parquet(f"{model}/order{n}") if model else got
 
     asked = blocks.select("block", "words").mapInArrow(lambda b: _ask_words(b, buckets), "block bigint, bucket int, blob binary")
-    unigrams, _ = staged(asked.groupBy("bucket").applyInArrow(_count_words, ANSWER), "katz-words", ["kind"])
-    stat = _stat(unigrams)
-    sizes = np.zeros(buckets, np.int64)
-    for b, x in stat.items():
-        sizes[b] = x[0]
-    sums = sum(stat.values(), np.zeros(3 + K + 2, np.int64))
-    uni = Unigrams.of([int(x) for x in sums[3:]], int(sums[1]), int(sums[2]), sizes)
-
-    def opened(d: pa.Table, answers: pa.Table, level: int) -> Block:
-        mine = {b: x for b, x, n in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), answers.column("level").to_pylist(), strict=True) if n == 1}
-        return Block(d.column("words")[0].as_py(), d.column("tokens")[0].as_py(), mine, uni)
-
-    def ask(d: pa.Table, answers: pa.Table) -> pa.Table:
-        block = opened(d, answers, 1)
-        got = list(block.questions(np.array(d.column("train")[0].as_py(), bool), buckets))
-        return pa.table({"block": pa.array([d.column("block")[0].as_py()] * len(got), pa.int64()), "bucket": pa.array([k for k, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
-
-    first = unigrams.where("kind = 'answer'").select("block", "bucket", "blob", F.lit(1).alias("level"))
-    asked = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask, "block bigint, bucket int, blob binary")
-    bigrams, _ = staged(asked.groupBy("bucket").applyInArrow(lambda t: _count_bigrams(t, uni), ANSWER), "katz-bigrams", ["kind"])
-    n2 = sum(_stat(bigrams).values(), np.zeros(K + 2, np.int64))
-    d2 = discounts([int(x) for x in n2])
+    answers, stat = answered(asked, 1, lambda t: _count_words(t, keep, model is not None))
+    uni = _unigrams(stat, buckets)
+    d: list[np.ndarray] = []
+
+    def opened(block: pa.Table, answers: pa.Table) -> tuple[Block, dict[int, dict[int, bytes]]]:
+        by_level: dict[int, dict[int, bytes]] = {}
+        for b, x, n in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), answers.column("level").to_pylist(), strict=True):
+            by_level.setdefault(n, {})[b] = x
+        return Block(block.column("words")[0].as_py(), block.column("tokens")[0].as_py(), by_level.pop(1), uni), by_level
+
+    def asks(n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def ask(d: pa.Table, answers: pa.Table) -> pa.Table:
+            block, by_level = opened(d, answers)
+            got = list(block.questions(np.array(d.column("train")[0].as_py(), bool), by_level, n, buckets))
+            return pa.table({"block": pa.array([d.column("block")[0].as_py()] * len(got), pa.int64()), "bucket": pa.array([k for k, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
+
+        return ask
+
+    def counter(weigh: Callable[[np.ndarray], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+        return lambda t: _count_grams(t, weigh, keep)
+
+    for n in range(2, order + 1):
+        asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asks(n), "block bigint, bucket int, blob binary")
+        below = d[-1] if d else None
+        weigh = uni.p if below is None else lambda c, x=below: np.where(c <= K, x[np.minimum(c, K)], 1.0) * c
+        more, stat = answered(asked, n, counter(weigh))
+        answers = answers.unionAll(more)
+        d.append(_discounts(stat))
+    if keep:
+        spark.createDataFrame([(order, buckets)], "n int, buckets int").write.parquet(f"{store}/form")
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def finish(d: pa.Table, answers: pa.Table) -> pa.Table:
-        block = opened(d, answers, 2)
-        mine = {b: x for b, x, n in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), answers.column("level").to_pylist(), strict=True) if n == 2}
-        tokens, known, base, total = block.scores(mine, buckets, d2)
-        ids = d.column("ids").combine_chunks().flatten()
-        held = np.logical_not(np.array(d.column("train")[0].as_py(), bool))
+    def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
+        of, by_level = opened(block, answers)
+        tokens, known, base, total = of.scores(by_level, buckets, d)
+        ids = block.column("ids").combine_chunks().flatten()
+        held = np.logical_not(np.array(block.column("train")[0].as_py(), bool))
         return pa.table([ids, pa.array(held), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(tokens), uni.tokens), pa.int64()), pa.array(base), pa.array(total)], names)
 
-    both = first.unionAll(bigrams.where("kind = 'answer'").select("block", "bucket", "blob", F.lit(2).alias("level")))
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
 def _drop(spark, name: str) -> None:

@@ -26,7 +26,7 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.katz import score
 
-    return score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
+    return score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1, order=3)
 
 
 def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,64 @@ def blocks(rows, size):
         katz._blocks = original
 
 
+def brute_order(rows, train, order):
+    """Scores by the recursion as written, for any order."""
+    tok = [[w.decode() for w in (t or "").encode().lower().split()] + [END] for _, t in rows]
+    counts = [defaultdict(Counter) for _ in range(order)]
+    for t, learn in zip(tok, train, strict=True):
+        if learn:
+            for i, w in enumerate(t):
+                for m in range(order):
+                    counts[m][tuple(([END] * m + t)[i : i + m])][w] += 1
+    k = katz.K
+    d = [katz.discounts([sum(1 for ws in c.values() for x in ws.values() if x == r) for r in range(k + 2)]) for c in counts]
+
+    def kept(m, x):
+        return (d[m][x] if x <= k else 1) * x
+
+    n = sum(counts[0][()].values())
+    unknown = 1 - sum(kept(0, x) for x in counts[0][()].values()) / n
+    memo = {}
+
+    def p(ctx, w):
+        m = len(ctx)
+        after = counts[m].get(ctx)
+        if not m:
+            return kept(0, after[w]) / n if w in after else unknown
+        if not after:
+            return p(ctx[1:], w)
+        if ctx not in memo:
+            total = sum(after.values())
+            left = 1 - sum(kept(m, x) for x in after.values()) / total
+            least = max(left, 1 / (total + 1))
+            memo[ctx] = total, (1 - least) / (1 - left), least / (1 - sum(p(ctx[1:], y) for y in after))
+        total, scale, bow = memo[ctx]
+        return kept(m, after[w]) / total * scale if w in after else bow * p(ctx[1:], w)
+
+    score = [sum(math.log10(p(tuple(([END] * (order - 1) + t)[i : i + order - 1]), w)) for i, w in enumerate(t)) for t in tok]
+    return score, p, counts
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_higher_orders_and_stored_model_equal_brute_force(spark, docs, corpus, order, tmp_path):
+    rows = [(i, t) for i, t in corpus if t is None or len(t) < 5000]
+    train = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for i, _ in rows]
+    want, p, counts = brute_order(rows, train, order)
+    for ctx in list(counts[-1])[:20]:  # exactly normalised
+        assert sum(p(ctx, w) for w in counts[0][()]) + p(ctx, "\0") == pytest.approx(1, abs=1e-9)
+    frame = docs.where("length(text) < 5000 OR text IS NULL").repartition(4)
+    store = str(tmp_path / "model")
+    got = katz.score(frame, fold(F.col("doc_id"), 5) != 1, order=order, store=store).collect()
+    assert sorted(r.score for r in got) == pytest.approx(sorted(want), abs=1e-6)
+    # other texts, unknown words among them, by the stored tables
+    texts = ["t1 t2 t3 zz t1 t2 t4", "t0 t0 t5 t1", "", "never seen words", corpus[0][1]]
+    other = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    later, *_ = brute_order(rows + list(enumerate(texts)), train + [False] * len(texts), order)
+    scored = {r.doc_id: r for r in katz.score_stored(other, store).collect()}
+    assert [scored[i].score for i in range(len(texts))] == pytest.approx(later[len(rows) :], abs=1e-6)
+    assert all(r.held_out and r.train_tokens == got[0].train_tokens for r in scored.values())
+
+
 def test_without_training_rows_and_without_rows(spark, docs, empty):
     got = katz.score(docs, F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == pytest.approx(0) for r in got)
