@@ -9,10 +9,13 @@ is asked likewise, partitioned by its context, for the n-grams whose context and
 model is to be stored, each partition's counts become a row of a table, in the form of a question, and score_stored()
 joins these to the questions that other texts ask. So what crosses the network is distinct words and bigrams of blocks, sorted, as
 differences, compressed. A context with a share s of all tokens is spread over ceil(s * partitions)
-partitions by the word that follows, and blocks add up the parts.
+partitions by the word that follows, and blocks add up the parts. A context all of whose occurrences, in training and
+beyond, are in one block (the block knows how many there are) isn't asked about: the block has the counts itself, and
+sends only how many n-grams have each count.
 
-Model. r* = (r+1) n(r+1) / n(r) for r <= K (Katz's renormalised discounts); if these aren't all between 0 and 1,
-absolute discounting takes their place. P(w) is discounted, and what is left goes to one unknown word. P(w|v) of a
+Model. Good-Turing: r* = (r+1) n(r+1) / n(r) for r <= K, renormalised as Katz does. Where r* isn't less than r, or no
+longer told apart from it, and for all r beyond, n(r) is smoothed by Gale and Sampson's log-linear fit to all counts of counts.
+Only tables whose counts of counts don't fall steeper than 1 / r (a few texts) get absolute discounts. P(w) is discounted, and what is left goes to one unknown word. P(w|v) of a
 context v of one or more words is discounted for seen n-grams; else bow(v) P(w|v'), v' being v without its first word
 and bow(v) what v's seen words leave divided by what they leave in P(.|v'). If a context's successors leave less than
 1 / (c(v) + 1), they are scaled to leave that. A context unseen in training backs off with weight 1. So P(.|v) sums to
@@ -46,6 +49,8 @@ BLOCK_TOKENS = 3_000_000
 END = b"\n"  # no word holds white space
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ANSWER = "kind string, block bigint, bucket int, blob binary"
+#: Block b tells as TOLD - b what it knows without asking.
+TOLD = -2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -83,19 +88,63 @@ def gaps(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a[:1] * 0)
 
 
-def discounts(n: list[int], k: int = K) -> np.ndarray:
-    """d(0..k) from counts of counts n[r], r = 0..k+1: a seen count r <= k keeps d(r) r."""
-    d = np.ones(k + 1)
-    if min(n[1 : k + 2]) > 0:
-        cut = (k + 1) * n[k + 1] / n[1]
-        if cut < 1:
-            good = np.array([((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) for r in range(1, k + 1)])
-            if (good > 0).all() and (good < 1).all():
-                d[1:] = good
-                return d
-    off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    d[1:] = [(r - off) / r for r in range(1, k + 1)]
-    return d
+def _edges() -> np.ndarray:
+    """Where the bins of counts begin: each count on its own up to 32, then bins a quarter wider than their start."""
+    out = list(range(1, 33))
+    while out[-1] < 1 << 40:
+        out.append(out[-1] + -(-out[-1] // 4))
+    return np.array(out, np.int64)
+
+
+#: A table's counts of counts are a histogram over these bins: as many numbers whatever the table.
+EDGES = _edges()
+
+
+def counts_of_counts(c: np.ndarray) -> np.ndarray:
+    return np.bincount(np.searchsorted(EDGES, c[c > 0], "right") - 1, minlength=len(EDGES) - 1)
+
+
+def slope(h: np.ndarray) -> float:
+    """b of the fit log n(r) = a + b log r over all bins that hold counts; 0 with fewer than three of them."""
+    at = np.flatnonzero(h)
+    if len(at) < 3:
+        return 0.0
+    x = (np.log(EDGES[at]) + np.log(EDGES[at + 1] - 1)) / 2
+    y = np.log(h[at] / (EDGES[at + 1] - EDGES[at]))
+    x = x - x.mean()
+    return float((x * (y - y.mean())).sum() / (x * x).sum())
+
+
+def good_turing(h: np.ndarray, k: int = K) -> np.ndarray | None:
+    """d(1..k) from a histogram of counts; None if it doesn't fall steeper than 1 / r, so that no smoothing gives discounts."""
+    n = [0, *h[: k + 1].tolist()]
+    b = slope(h)
+    if b >= -1 or not n[1]:
+        return None
+    smooth = [(1 + 1 / r) ** (b + 1) for r in range(1, k + 1)]  # r* / r of the fit
+    cut = (k + 1) * n[k + 1] / n[1]
+    ratio = list(smooth)
+    for r in range(1, k + 1):  # the counts themselves, while they can be trusted
+        if not n[r] or not n[r + 1]:
+            break
+        raw = (r + 1) * n[r + 1] / n[r] / r
+        error = (r + 1) / r * n[r + 1] / n[r] * np.sqrt((1 + n[r + 1] / n[r]) / n[r + 1])
+        if not cut < raw < 1 or abs(raw - smooth[r - 1]) <= 1.65 * error:
+            break
+        ratio[r - 1] = raw
+    if min(ratio) <= cut:
+        ratio, cut = smooth, (k + 1) ** (b + 1)
+    return (np.array(ratio) - cut) / (1 - cut)
+
+
+def discounts(h: np.ndarray, k: int = K) -> np.ndarray:
+    """d(0..k) from a histogram of counts: a seen count r <= k keeps d(r) r."""
+    found = good_turing(h, k)
+    if found is None:
+        one, two = (int(x) for x in h[:2])
+        off = one / (one + 2 * two) if one and two else 0.5
+        found = [(r - off) / r for r in range(1, k + 1)]
+    return np.array([1.0, *found])
 
 
 @dataclass
@@ -108,9 +157,9 @@ class Unigrams:
     offsets: np.ndarray  # global number of the first word of each hash range
 
     @classmethod
-    def of(cls, n: list[int], tokens: int, types: int, sizes: np.ndarray, k: int = K) -> Unigrams:
-        d = discounts(n, k)
-        kept = tokens - sum((1 - d[r]) * r * n[r] for r in range(1, k + 1))
+    def of(cls, h: np.ndarray, tokens: int, types: int, sizes: np.ndarray, k: int = K) -> Unigrams:
+        d = discounts(h, k)
+        kept = tokens - sum((1 - d[r]) * r * int(h[r - 1]) for r in range(1, k + 1))
         left = 1 - kept / tokens if tokens else 1.0
         scale = 1.0
         if tokens and left < 1 / (tokens + 1):
@@ -164,10 +213,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], order: int = 2) -> Iterator[pa.Re
         t = place[np.concatenate(tokens)]
         lengths = np.array([len(x) for x in tokens])
         learn = np.repeat(np.array(train, bool), lengths)
-        count = np.bincount(t[learn], minlength=len(hs))
+        count, held = (np.bincount(t[x], minlength=len(hs)) for x in (learn, ~learn))
         return pa.RecordBatch.from_arrays([
             pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([train], pa.list_(pa.bool_())),
-            pa.array([pack(gaps(hs), count)], pa.binary()), pa.array([pack(lengths, t, place[:1])], pa.binary()),
+            pa.array([pack(gaps(hs), count, held)], pa.binary()), pa.array([pack(lengths, t, place[:1])], pa.binary()),
         ], ["block", "ids", "train", "words", "tokens"])
 
     for b in batches:
@@ -190,13 +239,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], order: int = 2) -> Iterator[pa.Re
 def _ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for block, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            g, count = unpack(words.as_py())
+            g, count, held = unpack(words.as_py())
             h = np.cumsum(g.astype(np.uint64), dtype=np.uint64)
             ends = np.searchsorted(ranges(h, buckets), np.arange(buckets + 1))
             for k in range(buckets):
                 lo, hi = ends[k], ends[k + 1]
                 if hi > lo:
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([k], pa.int32()), "blob": pa.array([pack(gaps(h[lo:hi]), count[lo:hi])], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([k], pa.int32()), "blob": pa.array([pack(gaps(h[lo:hi]), count[lo:hi], held[lo:hi])], pa.binary())})
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -204,38 +253,35 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({"kind": pa.array(c[0], pa.string()), "block": pa.array(c[1], pa.int64()), "bucket": pa.array(c[2], pa.int32()), "blob": pa.array(c[3], pa.binary())})
 
 
-def _counts_of_counts(c: np.ndarray, k: int = K) -> np.ndarray:
-    return np.bincount(np.minimum(c[c > 0], k + 2), minlength=k + 3)[: k + 2]
-
-
 def _count_words(table: pa.Table, keep: bool = False, stored: bool = False) -> pa.Table:
     """One hash range: counts of counts, an answer to each block that asked, and if it is to be kept the model's table.
     With stored, block -1 is that table and alone counts."""
     bucket = table.column("bucket")[0].as_py()
     blocks = table.column("block").to_pylist()
     asked = [unpack(x) for x in table.column("blob").to_pylist()]
-    hashes = [np.cumsum(g.astype(np.uint64), dtype=np.uint64) for g, _ in asked]
+    hashes = [np.cumsum(x[0].astype(np.uint64), dtype=np.uint64) for x in asked]
     rows = []
     if stored:
-        h, count = next(((x, c) for b, x, (_, c) in zip(blocks, hashes, asked, strict=True) if b < 0), (np.empty(0, np.uint64), np.empty(0, np.int64)))
+        h, count = next(((x, a[1]) for b, x, a in zip(blocks, hashes, asked, strict=True) if b < 0), (np.empty(0, np.uint64), np.empty(0, np.int64)))
         every = np.concatenate(hashes)
         place = np.searchsorted(h, every)  # an unknown word gets a number that is never asked for
         known = np.append(h, np.uint64(0))[place] == every
         known &= place < len(h)
         got = np.where(known, np.append(count, 0)[place], 0)
+        beyond = got[:0]
     else:
         h, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        count = np.bincount(place, weights=np.concatenate([c for _, c in asked]), minlength=len(h)).astype(np.int64)
-        got = count[place]
-        rows.append(("stat", -1, bucket, pack(np.array([len(h), count.sum(), (count > 0).sum(), *_counts_of_counts(count)]))))
+        count, held = (np.bincount(place, weights=np.concatenate([x[i] for x in asked]), minlength=len(h)).astype(np.int64) for i in (1, 2))
+        got, beyond = count[place], held[place]
+        rows.append(("stat", -1, bucket, pack(np.array([len(h), count.sum(), (count > 0).sum(), *counts_of_counts(count)]))))
         if keep:
-            rows.append(("table", -1, bucket, pack(gaps(h), count)))
+            rows.append(("table", -1, bucket, pack(gaps(h), count, count[:0])))
     at = 0
     for block, x in zip(blocks, hashes, strict=True):
         mine = slice(at, at + len(x))
         at += len(x)
         if block >= 0:
-            rows.append(("answer", block, bucket, pack(got[mine], gaps(place[mine]))))
+            rows.append(("answer", block, bucket, pack(got[mine], gaps(place[mine]), beyond[mine])))
     return _rows(rows) if rows else _rows([("none", -1, bucket, b"")])
 
 
@@ -243,10 +289,12 @@ class Level:
     """A block's distinct n-grams of one order: index of the context and of the last word, sorted by both.
 
     Contexts are numbered in the order of their ids; total: how often training has each as a context. low: the
-    n-gram without its first word, an index of the level below; low_count: how often training has that."""
+    n-gram without its first word, an index of the level below; low_count: how often training has that. beyond: how often
+    the other texts have each context, None if not known; then none is taken for one of this block only."""
 
-    def __init__(self, uni: Unigrams, context: np.ndarray, tokens: np.ndarray, number: np.ndarray, ids: np.ndarray, total: np.ndarray, low: np.ndarray, low_count: np.ndarray):
+    def __init__(self, uni: Unigrams, context: np.ndarray, tokens: np.ndarray, number: np.ndarray, ids: np.ndarray, total: np.ndarray, beyond: np.ndarray | None, low: np.ndarray, low_count: np.ndarray):
         self.uni, self.context, self.number, self.ids, self.total = uni, context, number, ids, total
+        self.own = np.zeros(len(ids), bool) if beyond is None else (total > 0) & (np.bincount(context, minlength=len(ids)) == total + beyond)
         key = context * len(number) + tokens
         self.order = np.argsort(key, kind="stable").astype(np.int32)
         s = key[self.order]
@@ -266,23 +314,31 @@ class Level:
 
         Returns the n-grams' indexes and buckets, and the contexts and their buckets, both sorted by bucket,
         then by number."""
-        known = (self.total[self.first] > 0) & (self.low_count > 0)
-        pair = np.flatnonzero(known)
+        known = (self.total > 0) & ~self.own
+        pair = np.flatnonzero(known[self.first] & (self.low_count > 0))
         parts = np.maximum(1, np.ceil(self.total / max(1, self.uni.tokens) * buckets).astype(np.int64))
         home = spread(self.ids)
         to = ((home[self.first[pair]] + spread(self.number[self.second[pair]]) % parts[self.first[pair]].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         pair, to = pair[order], to[order]
         word = self.first[np.concatenate([[True], self.first[1:] != self.first[:-1]])]
-        word = word[self.total[word] > 0]
+        word = word[known[word]]
         every = np.repeat(word, parts[word])
         part = np.arange(len(every)) - np.repeat(np.cumsum(parts[word]) - parts[word], parts[word])
         there = ((home[every] + part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(there, kind="stable")
         return pair, to, every[order], there[order]
 
-    def questions(self, learn: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-        seen = np.add.reduceat(learn[self.order].astype(np.int64), np.flatnonzero(self.new))
+    def learnt(self, learn: np.ndarray) -> np.ndarray:
+        """How often the block's training has each n-gram."""
+        return np.add.reduceat(learn[self.order].astype(np.int64), np.flatnonzero(self.new))
+
+    def told(self, learn: np.ndarray) -> bytes:
+        """Counts of counts of the n-grams that aren't asked for."""
+        return pack(counts_of_counts(self.learnt(learn)[self.own[self.first]]))
+
+    def questions(self, learn: np.ndarray, buckets: int, last: bool) -> Iterator[tuple[int, bytes]]:
+        seen, held = self.learnt(learn), self.learnt(~learn)
         pair, to, word, there = self.asked(buckets)
         ends, word_ends = np.searchsorted(to, np.arange(buckets + 1)), np.searchsorted(there, np.arange(buckets + 1))
         for k in range(buckets):
@@ -295,41 +351,62 @@ class Level:
             number = self.number[self.second[p]]
             step = number.copy()
             step[1:] -= np.where(first[1:] == first[:-1], number[:-1], 0)
-            yield k, pack(gaps(self.ids[w]), size, step, self.low_count[p], seen[p])
+            yield k, pack(gaps(self.ids[w]), size, step, self.low_count[p], seen[p], held[p[:0] if last else p])
 
-    def read(self, answers: dict[int, bytes], buckets: int, d: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """The count of each n-gram, and for each context what the discounts take and the sum of its lower-order weights."""
+    def read(self, answers: dict[int, bytes], buckets: int, learn: np.ndarray, weigh: Callable[[np.ndarray], np.ndarray] | None = None, d: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The count of each n-gram, in training and beyond, and for each context what the discounts take and the sum of
+        its lower-order weights."""
         pair, _, word, _ = self.asked(buckets)
+        held = np.zeros(len(self.first), np.int64)
         c, sums = np.zeros(len(self.first), np.int64), np.zeros(len(self.ids))
         lost = np.zeros(len(self.ids) if d is not None else 0)
+        if self.own.any():
+            mine = np.flatnonzero(self.own[self.first])
+            seen = self.learnt(learn)[mine]
+            c[mine], held[mine] = seen, self.learnt(~learn)[mine]
+            mine, seen = mine[seen > 0], seen[seen > 0]
+            if d is not None:
+                first = self.first[mine]
+                sums += np.bincount(first, weights=weigh(self.low_count[mine]), minlength=len(sums))
+                lost += np.bincount(first, weights=np.where(seen <= K, (1 - d[np.minimum(seen, K)]) * seen, 0.0), minlength=len(lost))
+            del mine, seen
         at = at_word = 0
         for k in sorted(answers):
-            got, low, which, *by_count = unpack(answers[k])
+            got, low, which, beyond, *by_count = unpack(answers[k])
             low = low[which] if len(which) else low
             c[pair[at : at + len(got)]] = got
+            held[pair[at : at + len(beyond)]] = beyond
             mine = word[at_word : at_word + len(low)]  # a context comes once in a bucket
             sums[mine] += low
             if d is not None:
                 lost[mine] += sum((1 - d[r]) * r * by_count[r - 1] for r in range(1, K + 1))
             at, at_word = at + len(got), at_word + len(low)
-        return c, lost, sums
+        return c, held, lost, sums
+
+
+def _discounted(d: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda c: np.where(c <= K, d[np.minimum(c, K)], 1.0) * c
 
 
 class Block:
     """A block's tokens with what is known of its words."""
 
-    def __init__(self, words: bytes, tokens: bytes, answers: dict[int, bytes], uni: Unigrams):
+    def __init__(self, words: bytes, tokens: bytes, train: np.ndarray, answers: dict[int, bytes], uni: Unigrams, ask_all: bool):
         self.uni = uni
         n = len(unpack(words)[0])
         self.lengths, self.tokens, end = unpack(tokens)
+        self.learn = np.repeat(train, self.lengths)
+        self.beyond = None if ask_all else np.empty(n, np.int64)
         self.end = int(end[0])
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.count, self.number = np.empty(n, np.int64), np.empty(n, np.int64)
         at = 0
         for bucket in sorted(answers):
-            c, g = unpack(answers[bucket])
+            c, g, held = unpack(answers[bucket])
             self.count[at : at + len(c)] = c
             self.number[at : at + len(c)] = np.cumsum(g) + uni.offsets[bucket]
+            if self.beyond is not None:
+                self.beyond[at : at + len(c)] = held
             at += len(c)
 
     def bigrams(self) -> Level:
@@ -337,9 +414,9 @@ class Block:
         before = np.concatenate([[self.end], self.tokens[:-1]])
         ids = self.number.astype(np.uint64)
         self.start_id = ids[self.end : self.end + 1]
-        return Level(self.uni, before, self.tokens, self.number, ids, self.count, self.tokens, self.count)
+        return Level(self.uni, before, self.tokens, self.number, ids, self.count, self.beyond, self.tokens, self.count)
 
-    def longer(self, level: Level, count: np.ndarray, n: int) -> Level:
+    def longer(self, level: Level, count: np.ndarray, held: np.ndarray, n: int) -> Level:
         """The n-grams of order n, after those one shorter and their counts."""
         grams = level.grams()
         exact = n == 3 and self.uni.offsets[-1] < 1 << 32
@@ -348,16 +425,17 @@ class Block:
         total = np.append(count, self.count[self.end])  # a text begins as often as one ends
         context = np.concatenate([[0], grams[:-1]])
         context[self.starts] = len(count)
+        beyond = None if self.beyond is None else np.append(held, self.beyond[self.end])
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return Level(self.uni, place[context], self.tokens, self.number, ids[order], total[order], grams, count)
+        return Level(self.uni, place[context], self.tokens, self.number, ids[order], total[order], None if beyond is None else beyond[order], grams, count)
 
-    def questions(self, train: np.ndarray, answers: dict[int, dict[int, bytes]], n: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    def questions(self, answers: dict[int, dict[int, bytes]], n: int, buckets: int, last: bool) -> tuple[Iterator[tuple[int, bytes]], bytes]:
         level = self.bigrams()
         for m in range(2, n):
-            level = self.longer(level, level.read(answers.get(m, {}), buckets)[0], m + 1)
-        return level.questions(np.repeat(train, self.lengths), buckets)
+            level = self.longer(level, *level.read(answers.get(m, {}), buckets, self.learn)[:2], m + 1)
+        return level.questions(self.learn, buckets, last or self.beyond is None), level.told(self.learn)
 
     def scores(self, answers: dict[int, dict[int, bytes]], buckets: int, d: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and score of each document; d: discounts of the orders from 2."""
@@ -365,7 +443,7 @@ class Block:
         low = np.log10(uni.p(self.count))
         weight = None  # what a count of a lower order is multiplied by, for each of its contexts
         for n, dn in enumerate(d, 2):
-            c, lost, mass = level.read(answers.pop(n, {}), buckets, dn)
+            c, held, lost, mass = level.read(answers.pop(n, {}), buckets, self.learn, uni.p if n == 2 else _discounted(d[n - 3]), dn)
             if weight is not None:
                 below = np.zeros(len(level.ids), np.int64)
                 below[level.context] = context
@@ -381,7 +459,7 @@ class Block:
             weight, context = scale / total, level.context
             del lost, mass, left, scale, total, back, seen
             if n <= len(d):
-                level = self.longer(level, c, n + 1)
+                level = self.longer(level, c, held, n + 1)
         each = low[level.grams()]
         base = np.log10((self.count + 0.5) / (uni.tokens + 0.5 * (uni.types + 1)))[self.tokens]
         known = (self.count[self.tokens] > 0).astype(np.int64)
@@ -390,12 +468,22 @@ class Block:
 
 def _count_grams(table: pa.Table, weigh: Callable[[np.ndarray], np.ndarray], keep: bool = False) -> pa.Table:
     """The n-grams of one partition: counts of counts, an answer to each block, and if it is to be kept the table.
-    Block -1 is a stored table; what asks with it has learnt nothing itself."""
+    Block -1 is a stored table; what asks with it has learnt nothing itself. Blocks up to TOLD tell the counts of counts
+    of what they haven't asked for."""
     bucket = table.column("bucket")[0].as_py()
-    blocks = table.column("block").to_pylist()
-    words, sizes, seconds, lows, counts = [], [], [], [], []
-    for x in table.column("blob").to_pylist():
-        g, size, step, low, seen = unpack(x)
+    blocks, asked = [], []
+    own = np.zeros(len(EDGES) - 1, np.int64)
+    for block, x in zip(table.column("block").to_pylist(), table.column("blob").to_pylist(), strict=True):
+        if block <= TOLD:
+            own += unpack(x)[0].astype(np.int64)
+        else:
+            blocks.append(block)
+            asked.append(x)
+    if not blocks:
+        return _rows([("stat", -1, bucket, pack(own))])
+    words, sizes, seconds, lows, counts, held = [], [], [], [], [], []
+    for x in asked:
+        g, size, step, low, seen, beyond = unpack(x)
         run = np.cumsum(step)
         starts = np.cumsum(size) - size
         base = np.where(starts > 0, run[np.maximum(starts - 1, 0)], 0) if len(run) else starts
@@ -404,6 +492,7 @@ def _count_grams(table: pa.Table, weigh: Callable[[np.ndarray], np.ndarray], kee
         seconds.append(run - np.repeat(base, size))
         lows.append(low)
         counts.append(seen)
+        held.append(beyond)
     word, at = np.unique(np.concatenate(words), return_inverse=True)
     first, second = np.repeat(at, np.concatenate(sizes)), np.concatenate(seconds)
     order = np.argsort(first << 32 | second, kind="stable") if max(len(word), int(second.max(initial=0))) < 1 << 31 else np.lexsort((second, first))
@@ -413,15 +502,18 @@ def _count_grams(table: pa.Table, weigh: Callable[[np.ndarray], np.ndarray], kee
     place[order] = np.cumsum(new) - 1
     a, b, low = a[new], b[new], np.concatenate(lows)[order][new]
     count = np.bincount(place, weights=np.concatenate(counts), minlength=len(a)).astype(np.int64)
+    held = np.concatenate(held)
+    if len(held):
+        held = np.bincount(place, weights=held, minlength=len(a)).astype(np.int64)
     seen = count > 0
     of = a[seen]
     mass = np.bincount(of, weights=weigh(low[seen]), minlength=len(word))
     kinds = [np.bincount(of[count[seen] == r], minlength=len(word)) for r in range(1, K + 1)]
-    rows = [("stat", -1, bucket, pack(_counts_of_counts(count)))]
+    rows = [("stat", -1, bucket, pack(counts_of_counts(count) + own))]
     if keep:
         step = b[seen].copy()
         step[1:] -= np.where(of[1:] == of[:-1], b[seen][:-1], 0)
-        rows.append(("table", -1, bucket, pack(gaps(word), np.bincount(of, minlength=len(word)), step, low[seen], count[seen])))
+        rows.append(("table", -1, bucket, pack(gaps(word), np.bincount(of, minlength=len(word)), step, low[seen], count[seen], count[:0])))
     i = j = 0
     for block, s, w in zip(blocks, seconds, words, strict=True):
         mine, there = place[i : i + len(s)], at[j : j + len(w)]
@@ -429,7 +521,7 @@ def _count_grams(table: pa.Table, weigh: Callable[[np.ndarray], np.ndarray], kee
         if block >= 0:
             value, which = np.unique(mass[there], return_inverse=True)  # of higher orders few differ
             few = 2 * len(value) < len(there)
-            rows.append(("answer", block, bucket, pack(count[mine], value if few else mass[there], which if few else which[:0], *(x[there] for x in kinds))))
+            rows.append(("answer", block, bucket, pack(count[mine], value if few else mass[there], which if few else which[:0], held[mine] if len(held) else held, *(x[there] for x in kinds))))
     return _rows(rows)
 
 
@@ -443,12 +535,12 @@ def _unigrams(words: DataFrame, buckets: int) -> Unigrams:
     sizes = np.zeros(buckets, np.int64)
     for b, x in stat.items():
         sizes[b] = x[0]
-    sums = sum(stat.values(), np.zeros(3 + K + 2, np.int64))
-    return Unigrams.of([int(x) for x in sums[3:]], int(sums[1]), int(sums[2]), sizes)
+    sums = sum(stat.values(), np.zeros(3 + len(EDGES) - 1, np.int64))
+    return Unigrams.of(sums[3:], int(sums[1]), int(sums[2]), sizes)
 
 
 def _discounts(grams: DataFrame) -> np.ndarray:
-    return discounts([int(x) for x in sum(_stat(grams).values(), np.zeros(K + 2, np.int64))])
+    return discounts(sum(_stat(grams).values(), np.zeros(len(EDGES) - 1, np.int64)))
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, store: str | None = None) -> DataFrame:
@@ -502,13 +594,17 @@ def _exchange(docs: DataFrame, train: Column, id_col: str, text_col: str, order:
         by_level: dict[int, dict[int, bytes]] = {}
         for b, x, n in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), answers.column("level").to_pylist(), strict=True):
             by_level.setdefault(n, {})[b] = x
-        return Block(block.column("words")[0].as_py(), block.column("tokens")[0].as_py(), by_level.pop(1), uni), by_level
+        train = np.array(block.column("train")[0].as_py(), bool)
+        return Block(block.column("words")[0].as_py(), block.column("tokens")[0].as_py(), train, by_level.pop(1), uni, keep or model is not None), by_level
 
     def asks(n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def ask(d: pa.Table, answers: pa.Table) -> pa.Table:
             block, by_level = opened(d, answers)
-            got = list(block.questions(np.array(d.column("train")[0].as_py(), bool), by_level, n, buckets))
-            return pa.table({"block": pa.array([d.column("block")[0].as_py()] * len(got), pa.int64()), "bucket": pa.array([k for k, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
+            asked, told = block.questions(by_level, n, buckets, n == order)
+            got = list(asked)
+            own = d.column("block")[0].as_py()
+            got.append((own % buckets, told))
+            return pa.table({"block": pa.array([own] * (len(got) - 1) + [TOLD - own], pa.int64()), "bucket": pa.array([k for k, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
 
         return ask
 
@@ -518,7 +614,7 @@ def _exchange(docs: DataFrame, train: Column, id_col: str, text_col: str, order:
     for n in range(2, order + 1):
         asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asks(n), "block bigint, bucket int, blob binary")
         below = d[-1] if d else None
-        weigh = uni.p if below is None else lambda c, x=below: np.where(c <= K, x[np.minimum(c, K)], 1.0) * c
+        weigh = uni.p if below is None else _discounted(below)
         more, stat = answered(asked, n, counter(weigh))
         answers = answers.unionAll(more)
         d.append(_discounts(stat))

@@ -11,6 +11,41 @@ from corpusloom.llm.common import fold
 END = "\n"
 
 
+def plain_discounts(values, k=5):
+    """Good-Turing discounts of a list of counts, step by step: Turing's ratio while it holds, then the log-linear fit."""
+    n = Counter(values)
+    lows = list(range(1, 33))
+    while lows[-1] <= max(values, default=0):
+        lows.append(lows[-1] + math.ceil(lows[-1] / 4))
+    lows.append(lows[-1] + math.ceil(lows[-1] / 4))
+    points = []
+    for lo, hi in zip(lows, lows[1:], strict=False):
+        have = sum(m for r, m in n.items() if lo <= r < hi)
+        if have:
+            points.append((math.log(lo * (hi - 1)) / 2, math.log(have / (hi - lo))))
+    b = 0.0
+    if len(points) > 2:
+        mx, my = (sum(p[i] for p in points) / len(points) for i in (0, 1))
+        b = sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points)
+    if b >= -1 or not n[1]:
+        off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        return [1.0] + [(r - off) / r for r in range(1, k + 1)]
+    fit = [((r + 1) / r) ** (b + 1) for r in range(1, k + 1)]
+    floor = (k + 1) * n[k + 1] / n[1]
+    chosen, trusted = [], True
+    for r in range(1, k + 1):
+        if trusted and n[r] and n[r + 1]:
+            turing = (r + 1) * n[r + 1] / (r * n[r])
+            deviation = math.sqrt(((r + 1) / r) ** 2 * n[r + 1] / n[r] ** 2 * (1 + n[r + 1] / n[r]))
+            trusted = floor < turing < 1 and abs(turing - fit[r - 1]) > 1.65 * deviation
+        else:
+            trusted = False
+        chosen.append(turing if trusted else fit[r - 1])
+    if min(chosen) <= floor:
+        chosen, floor = fit, (k + 1) ** (b + 1)
+    return [1.0] + [(x - floor) / (1 - floor) for x in chosen]
+
+
 def brute(rows, train):
     tok = [[w.decode() for w in (t or "").encode().lower().split()] + [END] for _, t in rows]
     c, b = Counter(), Counter()
@@ -20,10 +55,7 @@ def brute(rows, train):
             b.update(zip([END, *t[:-1]], t, strict=True))
     n, v, k = sum(c.values()), len(c), katz.K
 
-    def of(counts):
-        return katz.discounts([sum(1 for x in counts.values() if x == r) for r in range(k + 2)])
-
-    d1, d2 = of(c), of(b)
+    d1, d2 = plain_discounts(list(c.values())), plain_discounts(list(b.values()))
     p1 = {w: (d1[x] if x <= k else 1) * x / n for w, x in c.items()}
     unknown = 1 - sum(p1.values())
     after = defaultdict(dict)
@@ -61,20 +93,20 @@ def test_equals_brute_force(spark, docs, corpus, block, monkeypatch):
         assert g[3:] == pytest.approx(w[3:], abs=1e-6)
 
 
-def blocks(rows, size):
+def blocks(rows, size, order=2):
     """score() with many small blocks: the size is read in the workers."""
     original = katz._blocks
 
-    def small(batches):
+    def small(batches, order=2):
         import corpusloom.llm.katz as k
 
         k.BLOCK_TOKENS = size
-        yield from original(batches)
+        yield from original(batches, order)
         k.BLOCK_TOKENS = 3_000_000
 
     katz._blocks = small
     try:
-        return katz.score(rows, fold(F.col("doc_id"), 5) != 1).collect()
+        return katz.score(rows, fold(F.col("doc_id"), 5) != 1, order=order).collect()
     finally:
         katz._blocks = original
 
@@ -89,7 +121,7 @@ def brute_order(rows, train, order):
                 for m in range(order):
                     counts[m][tuple(([END] * m + t)[i : i + m])][w] += 1
     k = katz.K
-    d = [katz.discounts([sum(1 for ws in c.values() for x in ws.values() if x == r) for r in range(k + 2)]) for c in counts]
+    d = [plain_discounts([x for ws in c.values() for x in ws.values()]) for c in counts]
 
     def kept(m, x):
         return (d[m][x] if x <= k else 1) * x
@@ -128,6 +160,8 @@ def test_higher_orders_and_stored_model_equal_brute_force(spark, docs, corpus, o
     store = str(tmp_path / "model")
     got = katz.score(frame, fold(F.col("doc_id"), 5) != 1, order=order, store=store).collect()
     assert sorted(r.score for r in got) == pytest.approx(sorted(want), abs=1e-6)
+    # without a store, contexts of one block only aren't asked about
+    assert sorted(r.score for r in blocks(frame, 700, order)) == pytest.approx(sorted(want), abs=1e-6)
     # other texts, unknown words among them, by the stored tables
     texts = ["t1 t2 t3 zz t1 t2 t4", "t0 t0 t5 t1", "", "never seen words", corpus[0][1]]
     other = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
@@ -148,3 +182,48 @@ def test_pack_arrays():
 
     arrays = [np.array([], np.int64), np.array([0, 255]), np.array([256, 3]), np.array([1 << 40]), np.array([0.5, -1e300])]
     assert [a.tolist() for a in katz.unpack(katz.pack(*arrays))] == [a.tolist() for a in arrays]
+
+
+def test_histogram_bins():
+    import numpy as np
+
+    c = np.array([0, 1, 1, 2, 32, 33, 39, 40, 41, 49, 50, 51, 1 << 39])
+    h = katz.counts_of_counts(c)
+    assert h.sum() == 12 and h[0] == 2 and h[1] == 1 and h[31] == 2 + 1 and katz.EDGES[32] == 40
+    assert (np.diff(katz.EDGES) > 0).all() and h[32] == 3  # 40, 41, 49
+
+
+def test_discounts_are_good_turing():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for a in (1.6, 2.0, 2.6):
+        c = np.minimum(rng.zipf(a, 40_000), 1 << 38)
+        found = katz.good_turing(katz.counts_of_counts(c))
+        assert found is not None and (found > 0).all() and (found < 1).all()
+        assert katz.discounts(katz.counts_of_counts(c)) == pytest.approx(plain_discounts(c.tolist()), rel=1e-9)
+    flat = np.repeat(np.arange(1, 30), 10)
+    assert katz.good_turing(katz.counts_of_counts(flat)) is None
+    assert katz.discounts(katz.counts_of_counts(flat)) == pytest.approx(plain_discounts(flat.tolist()))
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_test_tables_get_good_turing_at_every_order(spark, sf):
+    """Counts of the contract's training rows of the given tables, counted here."""
+    import os
+
+    import numpy as np
+
+    path = f"/root/testdata/sf{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    counts = [Counter(), Counter(), Counter()]
+    for r in spark.read.parquet(path).select("doc_id", "text").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5 != 1:
+            t = [END, END, *(w.decode() for w in (r.text or "").encode().lower().split()), END]
+            for m in range(3):
+                counts[m].update(tuple(t[i - m : i + 1]) for i in range(2, len(t)))
+    for c in counts:
+        h = katz.counts_of_counts(np.array(list(c.values())))
+        assert katz.good_turing(h) is not None
+        assert katz.discounts(h) == pytest.approx(plain_discounts(list(c.values())))
