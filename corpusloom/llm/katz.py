@@ -9,9 +9,9 @@ is asked likewise, partitioned by its context, for the n-grams whose context and
 model is to be stored, each partition's counts become a row of a table, in the form of a question, and score_stored()
 joins these to the questions that other texts ask. So what crosses the network is distinct words and bigrams of blocks, sorted, as
 differences, compressed. A context with a share s of all tokens is spread over ceil(s * partitions)
-partitions by the word that follows, and blocks add up the parts. A context all of whose occurrences, in training and
-beyond, are in one block (the block knows how many there are) isn't asked about: the block has the counts itself, and
-sends only how many n-grams have each count.
+partitions by the word that follows, and blocks add up the parts. What has a context or a shorter n-gram all of whose
+occurrences, in training and beyond, are in one block (the block knows how many there are) isn't asked about: the block
+has the count itself, and sends only how many such n-grams have each count, for each context that others share.
 
 Model. Good-Turing: r* = (r+1) n(r+1) / n(r) for r <= K, renormalised as Katz does. Where r* isn't less than r, or no
 longer told apart from it, and for all r beyond, n(r) is smoothed by Gale and Sampson's log-linear fit to all counts of counts.
@@ -202,7 +202,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], order: int = 2) -> Iterator[pa.Re
     """Rows of the block table: ids and training flags of documents, and words, counts, lengths and tokens."""
     from pyspark import TaskContext
 
-    most = BLOCK_TOKENS * 2 // order  # a worker holds as much of each order
+    most = BLOCK_TOKENS // max(1, order - 1)  # a worker holds as much of each order
     block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
     local, ids, train, tokens = _Local({END: 0}), [], [], []
     held, id_type = 0, None
@@ -288,13 +288,13 @@ def _count_words(table: pa.Table, keep: bool = False, stored: bool = False) -> p
 class Level:
     """A block's distinct n-grams of one order: index of the context and of the last word, sorted by both.
 
-    Contexts are numbered in the order of their ids; total: how often training has each as a context. low: the
-    n-gram without its first word, an index of the level below; low_count: how often training has that. beyond: how often
-    the other texts have each context, None if not known; then none is taken for one of this block only."""
+    Contexts are numbered in the order of their ids; total: how often training has each as a context; own: whether all
+    its occurrences, in training and beyond, are in this block. low: the n-gram without its first word, an index of the
+    level below; low_count: how often training has that; low_own: whether all its occurrences are here. What has an own
+    context or an own shorter n-gram occurs nowhere else, so that its count is known here."""
 
-    def __init__(self, uni: Unigrams, context: np.ndarray, tokens: np.ndarray, number: np.ndarray, ids: np.ndarray, total: np.ndarray, beyond: np.ndarray | None, low: np.ndarray, low_count: np.ndarray):
-        self.uni, self.context, self.number, self.ids, self.total = uni, context, number, ids, total
-        self.own = np.zeros(len(ids), bool) if beyond is None else (total > 0) & (np.bincount(context, minlength=len(ids)) == total + beyond)
+    def __init__(self, uni: Unigrams, context: np.ndarray, tokens: np.ndarray, number: np.ndarray, ids: np.ndarray, total: np.ndarray, own: np.ndarray, low: np.ndarray, low_count: np.ndarray, low_own: np.ndarray):
+        self.uni, self.context, self.number, self.ids, self.total, self.own = uni, context, number, ids, total, own & (total > 0)
         key = context * len(number) + tokens
         self.order = np.argsort(key, kind="stable").astype(np.int32)
         s = key[self.order]
@@ -302,6 +302,7 @@ class Level:
         self.first, self.second = (x.astype(np.int32) for x in np.divmod(s[self.new], len(number)))
         self.low = low[self.order[self.new]].astype(np.int32)
         self.low_count = low_count[self.low]
+        self.known = self.own[self.first] | (low_own[self.low] & (self.low_count > 0) & (self.total[self.first] > 0))
 
     def grams(self) -> np.ndarray:
         """The n-gram that ends at each token."""
@@ -309,37 +310,44 @@ class Level:
         out[self.order] = np.cumsum(self.new) - 1
         return out
 
+    def times(self) -> np.ndarray:
+        """How often the block has each n-gram."""
+        return np.diff(np.append(np.flatnonzero(self.new), len(self.order)))
+
+    def learnt(self, learn: np.ndarray) -> np.ndarray:
+        """How often the block's training has each n-gram."""
+        return np.add.reduceat(learn[self.order].astype(np.int64), np.flatnonzero(self.new))
+
+    def told(self, learn: np.ndarray) -> bytes:
+        """Counts of counts of the n-grams that aren't asked for."""
+        return pack(counts_of_counts(self.learnt(learn)[self.known]))
+
     def asked(self, buckets: int) -> tuple[np.ndarray, ...]:
-        """For the n-grams that training may hold and for their contexts: where each goes, in sorted order.
+        """For the n-grams that training may hold elsewhere too and for their contexts: where each goes, in sorted order.
 
-        Returns the n-grams' indexes and buckets, and the contexts and their buckets, both sorted by bucket,
-        then by number."""
-        known = (self.total > 0) & ~self.own
-        pair = np.flatnonzero(known[self.first] & (self.low_count > 0))
+        Returns the n-grams' indexes and buckets, and the contexts, their buckets and which of a context's partitions
+        it is, all sorted by bucket, then by number."""
+        open_ = (self.total > 0) & ~self.own
+        pair = np.flatnonzero(open_[self.first] & (self.low_count > 0) & ~self.known)
         parts = np.maximum(1, np.ceil(self.total / max(1, self.uni.tokens) * buckets).astype(np.int64))
         home = spread(self.ids)
         to = ((home[self.first[pair]] + spread(self.number[self.second[pair]]) % parts[self.first[pair]].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         pair, to = pair[order], to[order]
         word = self.first[np.concatenate([[True], self.first[1:] != self.first[:-1]])]
-        word = word[known[word]]
+        word = word[open_[word]]
         every = np.repeat(word, parts[word])
         part = np.arange(len(every)) - np.repeat(np.cumsum(parts[word]) - parts[word], parts[word])
         there = ((home[every] + part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(there, kind="stable")
-        return pair, to, every[order], there[order]
-
-    def learnt(self, learn: np.ndarray) -> np.ndarray:
-        """How often the block's training has each n-gram."""
-        return np.add.reduceat(learn[self.order].astype(np.int64), np.flatnonzero(self.new))
-
-    def told(self, learn: np.ndarray) -> bytes:
-        """Counts of counts of the n-grams that aren't asked for."""
-        return pack(counts_of_counts(self.learnt(learn)[self.own[self.first]]))
+        return pair, to, every[order], there[order], part[order]
 
     def questions(self, learn: np.ndarray, buckets: int, last: bool) -> Iterator[tuple[int, bytes]]:
-        seen, held = self.learnt(learn), self.learnt(~learn)
-        pair, to, word, there = self.asked(buckets)
+        seen = self.learnt(learn)
+        held = self.times() - seen
+        pair, to, word, there, part = self.asked(buckets)
+        sure = np.flatnonzero(self.known & ~self.own[self.first] & (seen > 0))
+        sums = summed(self.first[sure], seen[sure], self.low_count[sure], len(self.ids))
         ends, word_ends = np.searchsorted(to, np.arange(buckets + 1)), np.searchsorted(there, np.arange(buckets + 1))
         for k in range(buckets):
             p, w = pair[ends[k] : ends[k + 1]], word[word_ends[k] : word_ends[k + 1]]
@@ -351,41 +359,36 @@ class Level:
             number = self.number[self.second[p]]
             step = number.copy()
             step[1:] -= np.where(first[1:] == first[:-1], number[:-1], 0)
-            yield k, pack(gaps(self.ids[w]), size, step, self.low_count[p], seen[p], held[p[:0] if last else p])
-
-    def read(self, answers: dict[int, bytes], buckets: int, learn: np.ndarray, weigh: Callable[[np.ndarray], np.ndarray] | None = None, d: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """The count of each n-gram, in training and beyond, and for each context what the discounts take and the sum of
-        its lower-order weights."""
-        pair, _, word, _ = self.asked(buckets)
-        held = np.zeros(len(self.first), np.int64)
-        c, sums = np.zeros(len(self.first), np.int64), np.zeros(len(self.ids))
-        lost = np.zeros(len(self.ids) if d is not None else 0)
-        if self.own.any():
-            mine = np.flatnonzero(self.own[self.first])
-            seen = self.learnt(learn)[mine]
-            c[mine], held[mine] = seen, self.learnt(~learn)[mine]
-            mine, seen = mine[seen > 0], seen[seen > 0]
-            if d is not None:
-                first = self.first[mine]
-                sums += np.bincount(first, weights=weigh(self.low_count[mine]), minlength=len(sums))
-                lost += np.bincount(first, weights=np.where(seen <= K, (1 - d[np.minimum(seen, K)]) * seen, 0.0), minlength=len(lost))
-            del mine, seen
+            whole = part[word_ends[k] : word_ends[k + 1]] == 0  # a context's sums go to its first partition
+            yield k, pack(gaps(self.ids[w]), size, step, np.where(seen[p] > 0, self.low_count[p], 0), seen[p], held[p[:0] if last else p], *(np.where(whole, x[w], 0) for x in sums))
+
+    def read(self, answers: dict[int, bytes], buckets: int, learn: np.ndarray, whole: bool = False) -> tuple[np.ndarray, ...]:
+        """The count of each n-gram and whether all its occurrences are here; with whole also summed() of each context."""
+        pair, _, word, _, _ = self.asked(buckets)
+        seen = self.learnt(learn)
+        c = np.where(self.known, seen, 0)
+        beyond = np.where(self.known, self.times() - seen, 0)
+        sums = []
+        if whole:
+            mine = np.flatnonzero(self.own[self.first] & (seen > 0))
+            sums = summed(self.first[mine], seen[mine], self.low_count[mine], len(self.ids))
         at = at_word = 0
         for k in sorted(answers):
-            got, low, which, beyond, *by_count = unpack(answers[k])
-            low = low[which] if len(which) else low
+            got, held, *more = unpack(answers[k])
             c[pair[at : at + len(got)]] = got
-            held[pair[at : at + len(beyond)]] = beyond
-            mine = word[at_word : at_word + len(low)]  # a context comes once in a bucket
-            sums[mine] += low
-            if d is not None:
-                lost[mine] += sum((1 - d[r]) * r * by_count[r - 1] for r in range(1, K + 1))
-            at, at_word = at + len(got), at_word + len(low)
-        return c, held, lost, sums
+            beyond[pair[at : at + len(held)]] = held
+            for x, y in zip(sums, more, strict=False):
+                x[word[at_word : at_word + len(y)]] += y  # a context comes once in a bucket
+            at, at_word = at + len(got), at_word + len(more[0])
+        return c, (c > 0) & (c + beyond == self.times()), sums
 
 
-def _discounted(d: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    return lambda c: np.where(c <= K, d[np.minimum(c, K)], 1.0) * c
+def summed(of: np.ndarray, count: np.ndarray, low: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of n contexts: its n-grams by their count up to K, then by the shorter n-gram's count up to K, and the sum
+    of such counts beyond K. Discounts, which aren't known yet, make weights of these."""
+    out = [np.bincount(of[x == r], minlength=n) for x in (count, low) for r in range(1, K + 1)]
+    big = low > K
+    return [*out, np.bincount(of[big], weights=low[big], minlength=n).astype(np.int64)]
 
 
 class Block:
@@ -396,17 +399,19 @@ class Block:
         n = len(unpack(words)[0])
         self.lengths, self.tokens, end = unpack(tokens)
         self.learn = np.repeat(train, self.lengths)
-        self.beyond = None if ask_all else np.empty(n, np.int64)
+        self.ask_all = ask_all
+        self.own = np.zeros(n, bool)
         self.end = int(end[0])
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.count, self.number = np.empty(n, np.int64), np.empty(n, np.int64)
+        times = np.bincount(self.tokens, minlength=n)
         at = 0
         for bucket in sorted(answers):
             c, g, held = unpack(answers[bucket])
             self.count[at : at + len(c)] = c
             self.number[at : at + len(c)] = np.cumsum(g) + uni.offsets[bucket]
-            if self.beyond is not None:
-                self.beyond[at : at + len(c)] = held
+            if not ask_all:
+                self.own[at : at + len(c)] = (c > 0) & (c + held == times[at : at + len(c)])
             at += len(c)
 
     def bigrams(self) -> Level:
@@ -414,9 +419,9 @@ class Block:
         before = np.concatenate([[self.end], self.tokens[:-1]])
         ids = self.number.astype(np.uint64)
         self.start_id = ids[self.end : self.end + 1]
-        return Level(self.uni, before, self.tokens, self.number, ids, self.count, self.beyond, self.tokens, self.count)
+        return Level(self.uni, before, self.tokens, self.number, ids, self.count, self.own, self.tokens, self.count, self.own)
 
-    def longer(self, level: Level, count: np.ndarray, held: np.ndarray, n: int) -> Level:
+    def longer(self, level: Level, count: np.ndarray, own: np.ndarray, n: int) -> Level:
         """The n-grams of order n, after those one shorter and their counts."""
         grams = level.grams()
         exact = n == 3 and self.uni.offsets[-1] < 1 << 32
@@ -425,48 +430,51 @@ class Block:
         total = np.append(count, self.count[self.end])  # a text begins as often as one ends
         context = np.concatenate([[0], grams[:-1]])
         context[self.starts] = len(count)
-        beyond = None if self.beyond is None else np.append(held, self.beyond[self.end])
+        own = own & (not self.ask_all)
+        start = np.append(own, self.own[self.end])
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return Level(self.uni, place[context], self.tokens, self.number, ids[order], total[order], None if beyond is None else beyond[order], grams, count)
+        return Level(self.uni, place[context], self.tokens, self.number, ids[order], total[order], start[order], grams, count, own)
 
     def questions(self, answers: dict[int, dict[int, bytes]], n: int, buckets: int, last: bool) -> tuple[Iterator[tuple[int, bytes]], bytes]:
         level = self.bigrams()
         for m in range(2, n):
             level = self.longer(level, *level.read(answers.get(m, {}), buckets, self.learn)[:2], m + 1)
-        return level.questions(self.learn, buckets, last or self.beyond is None), level.told(self.learn)
+        return level.questions(self.learn, buckets, last or self.ask_all), level.told(self.learn)
 
     def scores(self, answers: dict[int, dict[int, bytes]], buckets: int, d: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and score of each document; d: discounts of the orders from 2."""
         uni, level = self.uni, self.bigrams()
         low = np.log10(uni.p(self.count))
-        weight = None  # what a count of a lower order is multiplied by, for each of its contexts
+        # what a shorter n-gram's count weighs, up to K and for each one beyond, and by which factor in each of its contexts
+        weights, factor = [*uni.p(np.arange(1, K + 1)), uni.scale / max(1, uni.tokens)], None
         for n, dn in enumerate(d, 2):
-            c, held, lost, mass = level.read(answers.pop(n, {}), buckets, self.learn, uni.p if n == 2 else _discounted(d[n - 3]), dn)
-            if weight is not None:
+            c, own, sums = level.read(answers.pop(n, {}), buckets, self.learn, True)
+            mass = sum(x * w for x, w in zip(sums[K:], weights, strict=True))
+            if factor is not None:
                 below = np.zeros(len(level.ids), np.int64)
                 below[level.context] = context
-                mass = mass * weight[below]
+                mass = mass * factor[below]
             total = np.maximum(level.total, 1).astype(float)
-            lost /= total  # what discounting leaves
+            lost = sum(x * ((1 - dn[r]) * r) for r, x in enumerate(sums[:K], 1)) / total  # what discounting leaves
             left = np.maximum(lost, 1 / (total + 1))
             scale = (1 - left) / np.maximum(1 - lost, 1e-300)
             with np.errstate(divide="ignore"):
                 back = np.where(level.total > 0, np.log10(left / np.maximum(1 - mass, 1e-300)), 0.0)
                 seen = np.where(c <= K, dn[np.minimum(c, K)], 1.0) * c * (scale / total)[level.first]
                 low = np.where(c > 0, np.log10(seen), back[level.first] + low[level.low])
-            weight, context = scale / total, level.context
-            del lost, mass, left, scale, total, back, seen
+            weights, factor, context = [*(dn[r] * r for r in range(1, K + 1)), 1.0], scale / total, level.context
+            del sums, mass, lost, left, scale, total, back, seen
             if n <= len(d):
-                level = self.longer(level, c, held, n + 1)
+                level = self.longer(level, c, own, n + 1)
         each = low[level.grams()]
         base = np.log10((self.count + 0.5) / (uni.tokens + 0.5 * (uni.types + 1)))[self.tokens]
         known = (self.count[self.tokens] > 0).astype(np.int64)
         return self.lengths, np.add.reduceat(known, self.starts), np.add.reduceat(base, self.starts), np.add.reduceat(each, self.starts)
 
 
-def _count_grams(table: pa.Table, weigh: Callable[[np.ndarray], np.ndarray], keep: bool = False) -> pa.Table:
+def _count_grams(table: pa.Table, keep: bool = False) -> pa.Table:
     """The n-grams of one partition: counts of counts, an answer to each block, and if it is to be kept the table.
     Block -1 is a stored table; what asks with it has learnt nothing itself. Blocks up to TOLD tell the counts of counts
     of what they haven't asked for."""
@@ -481,9 +489,9 @@ def _count_grams(table: pa.Table, weigh: Callable[[np.ndarray], np.ndarray], kee
             asked.append(x)
     if not blocks:
         return _rows([("stat", -1, bucket, pack(own))])
-    words, sizes, seconds, lows, counts, held = [], [], [], [], [], []
+    words, sizes, seconds, lows, counts, held, sums = [], [], [], [], [], [], []
     for x in asked:
-        g, size, step, low, seen, beyond = unpack(x)
+        g, size, step, low, seen, beyond, *more = unpack(x)
         run = np.cumsum(step)
         starts = np.cumsum(size) - size
         base = np.where(starts > 0, run[np.maximum(starts - 1, 0)], 0) if len(run) else starts
@@ -493,6 +501,7 @@ def _count_grams(table: pa.Table, weigh: Callable[[np.ndarray], np.ndarray], kee
         lows.append(low)
         counts.append(seen)
         held.append(beyond)
+        sums.append(more)
     word, at = np.unique(np.concatenate(words), return_inverse=True)
     first, second = np.repeat(at, np.concatenate(sizes)), np.concatenate(seconds)
     order = np.argsort(first << 32 | second, kind="stable") if max(len(word), int(second.max(initial=0))) < 1 << 31 else np.lexsort((second, first))
@@ -500,15 +509,22 @@ def _count_grams(table: pa.Table, weigh: Callable[[np.ndarray], np.ndarray], kee
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
     place = np.empty(len(a), np.int64)
     place[order] = np.cumsum(new) - 1
-    a, b, low = a[new], b[new], np.concatenate(lows)[order][new]
+    starts = np.flatnonzero(new)
+    a, b = a[new], b[new]
+    low = np.maximum.reduceat(np.concatenate(lows)[order], starts) if len(starts) else starts
     count = np.bincount(place, weights=np.concatenate(counts), minlength=len(a)).astype(np.int64)
     held = np.concatenate(held)
     if len(held):
         held = np.bincount(place, weights=held, minlength=len(a)).astype(np.int64)
     seen = count > 0
     of = a[seen]
-    mass = np.bincount(of, weights=weigh(low[seen]), minlength=len(word))
-    kinds = [np.bincount(of[count[seen] == r], minlength=len(word)) for r in range(1, K + 1)]
+    whole = summed(of, count[seen], low[seen], len(word))
+    j = 0
+    for w, more in zip(words, sums, strict=True):
+        for x, y in zip(whole, more, strict=False):
+            if y.any():
+                np.add.at(x, at[j : j + len(w)], y)
+        j += len(w)
     rows = [("stat", -1, bucket, pack(counts_of_counts(count) + own))]
     if keep:
         step = b[seen].copy()
@@ -519,9 +535,7 @@ def _count_grams(table: pa.Table, weigh: Callable[[np.ndarray], np.ndarray], kee
         mine, there = place[i : i + len(s)], at[j : j + len(w)]
         i, j = i + len(s), j + len(w)
         if block >= 0:
-            value, which = np.unique(mass[there], return_inverse=True)  # of higher orders few differ
-            few = 2 * len(value) < len(there)
-            rows.append(("answer", block, bucket, pack(count[mine], value if few else mass[there], which if few else which[:0], held[mine] if len(held) else held, *(x[there] for x in kinds))))
+            rows.append(("answer", block, bucket, pack(count[mine], held[mine] if len(held) else held, *(x[there] for x in whole))))
     return _rows(rows)
 
 
@@ -608,14 +622,9 @@ def _exchange(docs: DataFrame, train: Column, id_col: str, text_col: str, order:
 
         return ask
 
-    def counter(weigh: Callable[[np.ndarray], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
-        return lambda t: _count_grams(t, weigh, keep)
-
     for n in range(2, order + 1):
         asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asks(n), "block bigint, bucket int, blob binary")
-        below = d[-1] if d else None
-        weigh = uni.p if below is None else _discounted(below)
-        more, stat = answered(asked, n, counter(weigh))
+        more, stat = answered(asked, n, lambda t: _count_grams(t, keep))
         answers = answers.unionAll(more)
         d.append(_discounts(stat))
     if keep:
