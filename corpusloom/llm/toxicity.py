@@ -4,17 +4,20 @@
    rows by being there, or by being dense there (DENSE_HITS and DENSE_SHARE of the words). They are counted in
    Spark, then chosen greedily by the toxic rows they newly cover against others they hit. Three
    fixed patterns (shouting, runs of exclamation marks, stretched letters) vote as well.
-2. The label model sees each voter, and the label itself, as a noisy witness of a hidden class. EM estimates
-   each one's hit rates in both classes; from the residual correlations within the classes each voter gets the
-   weight 1 / sum of its correlations, so that voters that say the same count once.
+2. The label model sees each voter as a noisy witness of a hidden class. It is estimated on every document that
+   `train` admits, labelled or not: Spark counts the documents of each pattern of votes, and each EM round is one pass
+   over these patterns that returns a few sums. Labels only give the rates that EM starts from; a label is no witness,
+   so a wrong one is overruled. From the residual correlations within the classes each voter gets the weight
+   1 / sum of its correlations, so that voters that say the same count once.
 3. A logistic regression on votes and hit counts learns the posterior labels; it scores every whole text.
 
-Rows for 1 to 3 are a bounded sample (SAMPLE_ROWS, least hash of the id) of the labelled rows that `train`
+Rows for 1 and 3 are a bounded sample (SAMPLE_ROWS, least hash of the id) of the labelled rows that `train`
 admits. Labels, language, source and ids are never inputs of a score.
 
 Defined results: a null text is an empty one, which gets the score of a text without votes. Without labelled
 rows of both kinds every score is the share of toxic rows (0 if there are none). Null ids and repeated rows are
-scored like others; of several labels of one id each counts. Other columns are ignored.
+scored like others; of several labels of one id each counts. Of a very long text all words count; memory holds one text
+and its words. An empty table has no scores, and a model fitted on it gives 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ CANDIDATES, VOTERS = 1_500, 64
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_HITS = 4
 DENSE_HITS, DENSE_SHARE = 2, 0.01
-LABEL_NOISE = 0.02
+ROUNDS, CORRELATED_FROM, ANCHOR = 20, 5, 5.0
+PATTERNS_HELD = 50_000
 CACHE_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"\b[A-Z]{4,}\b")
@@ -75,8 +79,7 @@ class Model:
     voters: list[str] = field(default_factory=list)
     weights: np.ndarray | None = None
     prior: float = 0.0
-    rates: np.ndarray | None = None  # hit rates of each voter in the clean and toxic class, and its weight
-    correlations: np.ndarray | None = None
+    labels: LabelModel | None = None
 
     def __post_init__(self):
         self._hits = None
@@ -124,40 +127,126 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior probability of the toxic class for each row; hit rates and weights; residual correlations.
+def _log_odds(p: float) -> float:
+    return float(np.log(p / (1 - p)))
+
+
+@dataclass
+class LabelModel:
+    """How votes come about: a class, toxic or clean; whether any learned voter votes at all; then which ones do.
+
+    Learned voters that don't vote abstain, since that a text lacks the words of one language says nothing about one
+    in another; only that none of them votes is evidence. The fixed patterns are witnesses besides."""
+
+    learned: int  # so many voters are learned, the others are fixed patterns
+    prior: float
+    any: np.ndarray  # share of texts that have a learned vote, in the clean and the toxic class
+    rates: np.ndarray  # 2 x voters: how often each votes, a learned one among texts that have a learned vote
+    weight: np.ndarray
+    correlations: np.ndarray | None = None
 
-    votes: rows x voters of 0 or 1. label: the given label, a witness too, which also starts EM; it errs in LABEL_NOISE of
-    the rows of either class, which is held, as is the classes' balance. A voter that doesn't vote abstains: that a
-    text lacks the words of one language says nothing about one in another.
-    """
-    v = np.column_stack([votes, label]).astype(float)
-    n, m = v.shape
-    weight = np.ones(m)
-    q = np.clip(label.astype(float), 0.01, 0.99)
-    prior = np.clip(label.mean(), 1e-4, 1 - 1e-4)  # the classes' balance is given: abstentions can't tell it
-    corr = np.eye(m)
+    @classmethod
+    def of(cls, votes: np.ndarray, toxic: np.ndarray, learned: int) -> LabelModel:
+        """Where EM starts: the rates among labelled rows."""
+        m = votes.shape[1]
+        blank = cls(learned, 0.5, np.array([0.5, 0.5]), np.full((2, m), 0.5), np.ones(m))
+        return blank.updated(_moments(votes, np.ones(len(votes)), toxic.astype(float), learned), None)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability that a text with these votes is toxic."""
+        v = votes.astype(float)
+        some = v[:, : self.learned].any(1)
+        z = np.where(some, np.log(self.any[1] / self.any[0]), np.log((1 - self.any[1]) / (1 - self.any[0])))
+        return _sigmoid(_log_odds(self.prior) + z + v @ (self.weight * np.log(self.rates[1] / self.rates[0])))
+
+    def updated(self, sums: tuple[np.ndarray, ...], start: LabelModel | None) -> LabelModel:
+        """The model of expected sums; start, the model that EM began with, counts as ANCHOR texts of each class."""
+        texts, some, votes = sums
+        tie = start or LabelModel(self.learned, 0.5, np.array([0.01, 0.5]), np.tile([[0.01], [0.05]], votes.shape[1]), self.weight)
+        hold = ANCHOR if start else 1.0
+        any_ = np.clip((some + hold * tie.any) / (texts + hold), 1e-6, 1 - 1e-4)
+        base = np.where(np.arange(votes.shape[1]) < self.learned, some[:, None], texts[:, None])
+        rates = np.clip((votes + hold * tie.rates) / (base + hold), 1e-6, 1 - 1e-6)
+        return LabelModel(self.learned, float(np.clip(texts[1] / max(texts.sum(), 1e-9), 1e-4, 0.5)), any_, rates, self.weight, self.correlations)
+
+    def correlated(self, both: np.ndarray, texts: np.ndarray) -> LabelModel:
+        """With the weights that residual correlations within the classes give; both: 2 x voters x voters, expected
+        numbers of texts on which two voters vote."""
+        n = max(texts.sum(), 1.0)
+        mean = np.array([np.diag(b) / max(t, 1e-9) for b, t in zip(both, texts, strict=True)])
+        c = sum(b - t * np.outer(x, x) for b, t, x in zip(both, texts, mean, strict=True)) / n
+        s = np.sqrt(np.maximum(np.diag(c), 1e-12))
+        corr = np.clip(c / np.outer(s, s), -1, 1)
+        strong = np.where(np.abs(corr) > 0.2, np.abs(corr), 0.0)
+        np.fill_diagonal(strong, 1.0)
+        np.fill_diagonal(corr, 1.0)
+        return LabelModel(self.learned, self.prior, self.any, self.rates, 1 / strong.sum(1), corr)
+
+
+def _moments(votes: np.ndarray, n: np.ndarray, q: np.ndarray, learned: int, both: bool = False) -> tuple[np.ndarray, ...]:
+    """Expected numbers in the clean and toxic class of texts, of texts with a learned vote and of each voter's votes;
+    with both, of each two voters' in place of these. votes: rows of n texts each, q: probability of toxic."""
+    v = votes.astype(float)
+    w = np.array([n * (1 - q), n * q])
+    return w.sum(1), w @ v[:, :learned].any(1), np.array([(v * x[:, None]).T @ v for x in w]) if both else w @ v
+
+
+def estimate(expect, start: LabelModel, rounds: int = ROUNDS) -> LabelModel:
+    """EM from start. expect(model, both) gives _moments() of all texts under the model."""
+    model = start
     for step in range(rounds):
-        one = (q @ v + 0.5 * prior + 0.01) / (q.sum() + 1)
-        zero = ((1 - q) @ v + 0.01) / ((1 - q).sum() + 1)
-        one, zero = np.clip(one, 1e-5, 1 - 1e-5), np.clip(zero, 1e-6, 1 - 1e-6)
-        one, zero = np.maximum(one, zero), np.minimum(one, zero)
-        one[-1], zero[-1] = 1 - LABEL_NOISE, LABEL_NOISE
-        if step == 5:  # correlations given the class, from residuals
-            r = v - q[:, None] * one - (1 - q)[:, None] * zero
-            c = r.T @ r / n
-            s = np.sqrt(np.maximum(np.diag(c), 1e-12))
-            corr = np.clip(c / np.outer(s, s), -1, 1)
-            strong = np.where(np.abs(corr) > 0.2, np.abs(corr), 0.0)
-            strong[-1, :] = strong[:, -1] = 0.0
-            np.fill_diagonal(strong, 1.0)
-            weight = 1 / strong.sum(1)
-        z = np.log(prior / (1 - prior)) + v @ (weight * np.log(one / zero)) + (1 - v[:, -1]) * np.log((1 - one[-1]) / (1 - zero[-1]))
-        new = _sigmoid(z)
-        moved, q = np.abs(new - q).max(), new
-        if step > 6 and moved < 1e-4:
+        if step == CORRELATED_FROM:
+            texts, _, pairs = expect(model, True)
+            model = model.correlated(pairs, texts)
+        new = model.updated(expect(model, False), start)
+        moved = max(np.abs(new.any - model.any).max(), np.abs(new.rates - model.rates).max(), abs(new.prior - model.prior))
+        model = new
+        if step > CORRELATED_FROM and moved < 1e-4:
             break
-    return q, np.column_stack([zero, one, weight]), corr
+    return model
+
+
+def vote_patterns(docs: DataFrame, voters: Model, text_col: str) -> DataFrame:
+    """(votes binary, n bigint): how many documents have each pattern of votes, as packed bits."""
+    from corpusloom.llm.common import cut
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
+            seen.clear()
+            return out
+
+        for b in batches:
+            counts = np.array([voters.counts(t.as_py()) for t in b.column(0)]).reshape(b.num_rows, -1)
+            seen.update(x.tobytes() for x in np.packbits(voters.votes(counts).astype(bool), axis=1))
+            if len(seen) > PATTERNS_HELD:
+                yield flush()
+        yield flush()
+
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, "votes binary, n bigint")
+    return cut(rows.groupBy("votes").agg(F.sum("n").alias("n")))
+
+
+def _expected(patterns: DataFrame, voters: int):
+    """estimate()'s expect over a table of patterns: one job a call, which returns one row a partition."""
+    def expect(model: LabelModel, both: bool) -> tuple[np.ndarray, ...]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    v = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)[:, :voters]
+                    part = _moments(v, b.column(1).to_numpy(zero_copy_only=False).astype(float), model.posterior(v), model.learned, both)
+                    total = part if total is None else tuple(x + y for x, y in zip(total, part, strict=True))
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x.ravel().tolist()], pa.list_(pa.float64())) for x in total], ["texts", "some", "votes"])
+
+        got = patterns.mapInArrow(run, "texts array<double>, some array<double>, votes array<double>").collect()
+        sums = [np.array(sorted(map(list, (r[i] for r in got)))).sum(0) for i in range(3)]  # the same however the rows arrive
+        return sums[0], sums[1], sums[2].reshape((2, voters, voters) if both else (2, voters))
+
+    return expect
 
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -206,6 +295,7 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, label: str, sample
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of voters, label model and classifier; train, a condition on id_col, says which rows may teach it."""
     from corpusloom.llm.common import cut
 
     rows = cut(sample(docs, labels, train, label, sample_rows, id_col, text_col))
@@ -255,8 +345,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
     counts = np.frombuffer(b"".join(got["counts"]), np.int32).reshape(len(got), -1).astype(float)
     order = np.lexsort(np.column_stack([counts, got["toxic"]]).T)  # the same model however the rows arrive
     counts, y = counts[order], got["toxic"].to_numpy(bool)[order]
-    posterior, rates, corr = label_model(wide.votes(counts), y)
-    return Model(wide.voters, logistic(wide.inputs(counts), posterior), float(y.mean()), rates, corr)
+    votes = wide.votes(counts)
+    patterns = vote_patterns(docs.where(train), wide, text_col)
+    found = estimate(_expected(patterns, votes.shape[1]), LabelModel.of(votes, y, len(wide.voters)))
+    return Model(wide.voters, logistic(wide.inputs(counts), found.posterior(votes)), float(y.mean()), found)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
