@@ -11,8 +11,9 @@ others do, those are the page's (so that comments marked as articles go).
 
 Defined results: a null html is an empty text, as is a page without text. Broken markup never fails: an end tag
 closes the nearest open element of its name, or nothing; a cut-off tag at the end is dropped; a script or style
-without an end runs to the end of the page. A null or odd url has an empty host, which is a host like others.
-Repeated pages count as pages. Other columns are ignored.
+without an end runs to the end of the page; where a value's quote is never closed, that tag and later ones end at the next >.
+Parsing takes time in proportion to the page, however long and broken it is; memory holds one page. A null or odd url has an empty host, which is a host like others.
+Hosts with fewer than min_pages copies of a block have no template of it. Repeated pages count as pages. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import BROADCAST_ROWS, cut, small
 from corpusloom.llm.url_filter import host_and_path
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<>]*\Z", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: What a tag goes on to: its end, or a value in quotes.
+NEXT = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements without content, raw text, blocks, and what is no main text by its name.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +45,11 @@ WORDS = frozenset("ad ads advert adverts advertisement advertisements advertisin
 PLACES = frozenset("area bar block body bottom box buttons container entry global group holder icons inner item items links list main outer page panel post posts primary respond row secondary section side site slot top unit wrap wrapper".split())
 #: An open p ends where one of these begins.
 ENDS_P = BLOCK - {"br", "body", "html", "head"}
+#: An inline end tag closes nothing beyond these.
+WALLS = ("body", "html", "article", "main", "td", "table")
+#: What ends an open element of its own kind, unless one of LISTS is between the two.
+ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = ("ul", "ol", "dl", "table", "tr", "select", "div", "body", "menu")
 MAIN = frozenset(("article", "main"))
 
 
@@ -81,8 +89,11 @@ class Page:
         self._settle()
 
     def _parse(self, source: str) -> None:
-        stack, states, at = [0], [xxhash.xxh64()], 0
-        n = len(source)
+        stack, states, blocks = [0], [xxhash.xxh64()], []
+        place: dict[str, list[int]] = {}  # where in the stack each name is
+        n, last = len(source), source.rfind(">")
+        begun = at = 0  # of the text not yet taken, and where to look on
+        quotes = True
 
         def text(piece: str, raw: bool = False) -> None:
             if piece:
@@ -91,74 +102,98 @@ class Page:
                 states[-1].update(" ".join(piece.split()))
                 self.runs.append((stack[-1], piece))
 
+        def nearest(names: tuple[str, ...]) -> int:
+            return max((place[x][-1] for x in names if place.get(x)), default=0)
+
         def close(to: int) -> None:
             while len(stack) > to:
                 i, h = stack.pop(), states.pop().intdigest()
                 self.hashes[i] = h
                 if states:
                     states[-1].update(h.to_bytes(8, "little"))
-                if self.tags[i] in BLOCK:
+                tag = self.tags[i]
+                if i:
+                    place[tag].pop()
+                if tag in BLOCK:
+                    blocks.pop()
                     self.runs.append((stack[-1], ""))
 
-        while at < n:
-            m = TOKEN.search(source, at)
-            if m is None:
-                text(source[at:])
-                break
-            text(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+        def tag_end(pos: int) -> int:
+            """Where a tag ends, or -1: beyond values in quotes, as long as all quotes were closed."""
+            nonlocal quotes
+            if pos > last:
+                return -1
+            look = pos
+            while quotes:
+                m = NEXT.search(source, look)
+                if m is None:
+                    quotes = False
+                elif not m[1]:
+                    return m.start()
+                else:
+                    look = source.find(m[1], m.end()) + 1
+                    quotes = look > 0
+            return source.find(">", pos)
+
+        while (lt := source.find("<", at)) >= 0:
+            kind = source[lt + 1 : lt + 2]
+            if kind in ("!", "?"):
+                text(source[begun:lt])
+                mark = "-->" if source.startswith("<!--", lt) else ">"
+                end = source.find(mark, lt + 2)
+                begun = at = end + len(mark) if end >= 0 else n
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                if tag == "p" and "p" not in (self.tags[i] for i in stack) or tag == "br":
+            m = NAME.match(source, lt) if lt < last else None
+            end = tag_end(m.end()) if m else -1
+            if end < 0:
+                if (kind == "/" or kind.isascii() and kind.isalpha()) and lt > last and source.find("<", lt + 1) < 0:
+                    text(source[begun:lt])  # a tag cut off at the end
+                    begun = n
+                    break
+                at = lt + 1
+                continue
+            text(source[begun:lt])
+            begun = at = end + 1
+            tag, attrs = m[1].lower(), source[m.end() : end]
+            if kind == "/":
+                if tag == "p" and not place.get("p") or tag == "br":
                     self.runs.append((stack[-1], ""))
-                for k in range(len(stack) - 1, 0, -1):
-                    name = self.tags[stack[k]]
-                    if name == tag:
-                        close(k)
-                        break
-                    if name in ("body", "html", "article", "main", "td", "table") and tag not in BLOCK:
-                        break  # an inline end tag closes nothing beyond these
+                k = nearest((tag,))
+                if k and (tag in BLOCK or k > nearest(WALLS)):
+                    close(k)
                 continue
-            if tag in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    name = self.tags[stack[k]]
-                    if name == "p":
-                        close(k)
-                        break
-                    if name in BLOCK:
-                        break
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                for k in range(len(stack) - 1, 0, -1):
-                    name = self.tags[stack[k]]
-                    if name == tag or {name, tag} <= {"dt", "dd"} or {name, tag} <= {"td", "th"}:
-                        close(k)
-                        break
-                    if name in ("ul", "ol", "dl", "table", "tr", "select", "div", "body", "menu") and name != tag:
-                        break
+            if tag in ENDS_P and blocks and self.tags[stack[blocks[-1]]] == "p":
+                close(blocks[-1])
+            if tag in ITEMS:
+                k = nearest(ITEMS[tag])
+                if k and k > nearest(tuple(x for x in LISTS if x != tag)):
+                    close(k)
             i = len(self.tags)
             parent = stack[-1]
             self.tags.append(tag)
             self.parents.append(parent)
-            named, worded = _named_chrome(tag, m[3])
+            named, worded = _named_chrome(tag, attrs)
             self.chrome.append(self.chrome[parent] or named)
             self.worded.append(worded)
             self.hashes.append(0)
             if tag in BLOCK:
                 self.runs.append((parent, ""))
-            state = xxhash.xxh64(f"<{tag} {' '.join(m[3].split())}>")
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK | RAW:
+            state = xxhash.xxh64(f"<{tag} {' '.join(attrs.split())}>")
+            if tag in VOID or attrs.endswith("/") and tag not in BLOCK | RAW:
                 self.hashes[i] = state.intdigest()
                 states[-1].update(self.hashes[i].to_bytes(8, "little"))
                 continue
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            place.setdefault(tag, []).append(len(stack))
             stack.append(i)
             states.append(state)
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                text(source[at : end.start()] if end else source[at:], raw=tag not in ("title", "textarea"))
-                at = end.end() if end else n
+                done = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                text(source[at : done.start()] if done else source[at:], raw=tag not in ("title", "textarea"))
+                begun = at = done.end() if done else n
                 close(len(stack) - 1)
+        text(source[begun:])
         close(1)
 
     def _settle(self) -> None:

@@ -1,5 +1,6 @@
 import hashlib
 import html as html_lib
+import time
 
 import numpy as np
 import pytest
@@ -31,6 +32,79 @@ def test_class_words_leave_articles(source, want):
     assert ht.Page(source).text() == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<p title='>'>a</p><p title=\"x>y\">b</p>", "a b"), ("<a href=\"x>c</a><p>d", "c d"), ("it's <b it's>e</b>", "it's e"), ("a <b", "a"), ("a </", "a"), ("<p>a</></p>b", "a</> b"),
+    ("<ul><li>1<ul><li>2<li>3</ul><li>4</ul>", "1 2 3 4"), ("<table><tr><td>1<td>2<tr><th>3</table>", "1 2 3"), ("<dl><dt>a<dd>b<dt>c</dl>", "a b c"), ("<b><article>x</b>y</article>z", "xy"), ("x<!doctype html><?xml y?>z", "xz"),
+])
+def test_broken_markup(source, want):
+    assert ht.Page(source).text() == want
+
+
+@pytest.mark.parametrize("part", ["<b ", "</p>", "<div>", "<p>", "<li>", "<b><article>", "</b>", "<a x=\"", "<a x='>' ", "<a<", "< ", "<!-", "&amp", "<td>", "a=b \"c' "])
+def test_long_pages_take_time_in_proportion(part):
+    """300,000 pieces, also within 8,000 open elements: seconds, whatever the markup."""
+    began = time.perf_counter()
+    for source in (part * 300_000, "<b>" + "<div>" * 8000 + part * 60_000 + "</b></p>" * 8000):
+        ht.Page(source).text()
+    assert time.perf_counter() - began < 30
+
+
+def plain_templates(rows, min_pages, min_share):
+    """Template blocks per host, by writing out each block's source: pages here are well-formed, without p or li to close."""
+    import re
+
+    found = {}
+    total = {}
+    for url, html in rows:
+        host = url.split("/")[2]
+        total[host] = total.get(host, 0) + 1
+        here, stack = {}, []
+        for m in re.finditer(r"<(/?)(\w+)>", html):
+            if m[1]:
+                name, at, inside = stack.pop()
+                if name not in ("body", "article"):
+                    block = html[at : m.end()]
+                    here[block] = here.get(block, False) or not inside
+            else:
+                stack.append((m[2], m.start(), any(x[0] == "article" for x in stack)))
+        for block, outside in here.items():
+            n = found.setdefault((host, block), [0, 0])
+            n[0] += 1
+            n[1] += outside
+    return {k for k, (n, out) in found.items() if n >= min_pages and n >= min_share * total[k[0]] and 2 * out >= n}
+
+
+def test_templates_equal_a_plain_count(spark):
+    """Pages without article and without telling names: what recurs goes, and nothing but the template decides it."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    blocks = [f"<div><h2>box {i}</h2><section>always {i} the same</section></div>" for i in range(6)]
+    rows = []
+    for i in range(120):
+        host = f"h{i % 4}.org"
+        parts = [b for j, b in enumerate(blocks) if rng.random() < (0.9, 0.5, 0.25, 0.15, 0.1, 0.02)[j]]
+        parts.append(f"<div><section>own {i}</section></div>")
+        rng.shuffle(parts)
+        body = "".join(parts)
+        rows.append((f"http://{host}/{i}", f"<body>{'<article>' + body + '</article>' if i % 4 == 3 and i % 3 else body}</body>"))
+    template = plain_templates(rows, 8, 0.2)
+    assert {h for h, _ in template} == {f"h{i}.org" for i in range(3)} | ({"h3.org"} & {h for h, _ in template})
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id int, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in ht.extract(df).collect()}
+    changed = 0
+    for i, (url, html) in enumerate(rows):
+        left = html
+        for host, block in template:
+            if host == url.split("/")[2]:
+                left = left.replace(block, " ")
+        want = " ".join(re.sub(r"<[^>]*>", " ", left).split())
+        assert got[i] == want
+        changed += want != " ".join(re.sub(r"<[^>]*>", " ", html).split())
+    assert changed > 60
+
+
 def test_copies_keep_their_article(spark):
     rows = [(i, f"http://a.org/{i}", "<body><div id=page><p>top</p><article>one text</article></div></body>", 1) for i in range(12)]
     assert {r.text for r in ht.extract(pages(spark, rows)).collect()} == {"one text"}
