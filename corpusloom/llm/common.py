@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one if driver and executors are one
+    machine (tests); on a cluster an error, since executors wouldn't share it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         found = spark.sparkContext.getCheckpointDir()
     if not spark.sparkContext.getCheckpointDir():
@@ -30,6 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(columns: list[str] | tuple[str, ...], name: str) -> str:
+    """name, or name with so many underscores before it that no column has it, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def write_file(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> None:
+    """Writes a file by Hadoop's file system, whichever store it is in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    try:
+        for chunk in chunks:
+            out.write(bytearray(chunk))
+    finally:
+        out.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder by Hadoop's file system, whichever store it is in."""
     jvm = spark.sparkContext._jvm

@@ -1,74 +1,98 @@
 """URL filters: rules kept as a sorted array of 64-bit xxhash keys, probed by vectorised binary search.
 
-Every (host suffix, path prefix) that a rule could be is hashed and looked up in the array, which the workers
-map into memory; a hit counts only if the stored string is the same, so collisions change nothing. The array
-is broadcast while it is within MAX_BYTES; longer lists are joined on the keys by a shuffle.
+Every (host suffix, path prefix) that a rule could be is hashed and looked up in the array; a hit counts only if the
+stored string is the same, so collisions change nothing. The array is one file, written once to the shared folder
+and sent to each executor, whose workers map it read-only: they share its pages, and a list of any length is bounded by the
+executors' disks, not by memory. A list given as a DataFrame is sorted by Spark and streamed into the file.
 
 Defined results: a null url, or one without "://", has empty host and path and gets the default verdict; so
 does a url that no rule fits. Of several rules that fit, the longest wins; of equal length, the one with the
-longer host. A rule listed as both allow and block blocks. Without rules, every url gets the default. Other columns are ignored.
+longer host. A rule listed as both allow and block blocks. Without rules, every url gets the default. Very long urls have as
+many candidates as rules have lengths. Repeated rows are judged each; an empty table gives an empty result. Other columns are
+ignored, and columns of the result's names are replaced.
 """
 
 from __future__ import annotations
 
+import atexit
 import mmap
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BYTES = 64 << 20
+from corpusloom.llm.common import cut, remove, shared_dir, write_file
+
+#: The seed of Spark's own xxhash64.
+SEED = 42
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-class SortedDigests:
-    """Sorted keys, offsets and strings of the rules in one block of bytes: keys | offsets | verdicts | strings."""
+def key_of(rule: bytes) -> int:
+    return xxhash.xxh64_intdigest(rule, SEED)
 
-    def __init__(self, block: bytes, n: int, lengths: tuple[int, ...]):
-        self.block, self.n, self.lengths, self._mapped = block, n, lengths, None
 
-    @classmethod
-    def build(cls, rules: Iterable[tuple[str, str]]) -> SortedDigests:
-        """rules: ("block" or "allow", host + path that begins with "/")."""
+class SortedDigests:
+    """A view of a block of bytes: n, number of lengths | lengths | keys | offsets | verdicts | strings."""
+
+    def __init__(self, block):
+        self.block = block
+        self.n, m = (int(x) for x in np.frombuffer(block, np.uint64, 2))
+        self.lengths = tuple(np.frombuffer(block, np.uint64, m, 16).tolist())
+        at = 16 + 8 * m
+        self.keys = np.frombuffer(block, np.uint64, self.n, at)
+        self.offsets = np.frombuffer(block, np.uint64, self.n + 1, at + 8 * self.n)
+        self.flags = at + 16 * self.n + 8
+        self.base = self.flags + self.n
+
+    @staticmethod
+    def build(rules: Iterable[tuple[str, str]]) -> bytes:
+        """The block of rules ("block" or "allow", host + path that begins with "/")."""
         best: dict[str, str] = {}
         for verdict, rule in rules:
             host, _, path = rule.partition("/")
             rule = f"{host.lower()}/{path}"
             best[rule] = "block" if "block" in (verdict, best.get(rule)) else verdict
-        raw = sorted((xxhash.xxh64_intdigest(r.encode()), r.encode(), v == "block") for r, v in best.items())
-        keys = np.array([k for k, _, _ in raw], np.uint64)
+        raw = sorted((key_of(r.encode()), r.encode(), v == "block") for r, v in best.items())
+        lengths = sorted({len(r.partition("/")[2]) for r in best})
         offsets = np.cumsum([0, *(len(r) for _, r, _ in raw)]).astype(np.uint64)
-        block = keys.tobytes() + offsets.tobytes() + bytes(b for _, _, b in raw) + b"".join(r for _, r, _ in raw)
-        return cls(block, len(raw), tuple(sorted({len(r.partition("/")[2]) for r in best})))
-
-    def _map(self):
-        if self._mapped is None:
-            m = mmap.mmap(-1, max(1, len(self.block)))
-            m.write(self.block)
-            n = self.n
-            self._mapped = m, np.frombuffer(m, np.uint64, n, 0), np.frombuffer(m, np.uint64, n + 1, 8 * n), 16 * n + 8
-        return self._mapped
-
-    def __getstate__(self):
-        return self.block, self.n, self.lengths
-
-    def __setstate__(self, state):
-        self.__init__(*state)
+        head = np.array([len(raw), len(lengths), *lengths, *(k for k, _, _ in raw)], np.uint64)
+        return head.tobytes() + offsets.tobytes() + bytes(b for _, _, b in raw) + b"".join(r for _, r, _ in raw)
+
+    @staticmethod
+    def stream(rules: DataFrame) -> Iterator[bytes]:
+        """The same of a table (verdict, rule), part by part: the driver holds a partition of the sorted rules at a time."""
+        rule = F.concat(F.lower(F.substring_index("rule", "/", 1)), F.expr("substring(rule, instr(rule, '/'))"))
+        once = rules.where(F.col("rule").contains("/")).select(rule.alias("rule"), F.col("verdict")).groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("b"))
+        key = F.xxhash64("rule")
+        order = F.when(key >= 0, 0).otherwise(1)  # as unsigned numbers
+        ranked = cut(once.select(F.col("rule").cast("binary").alias("rule"), "b", key.alias("key")).orderBy(order, key, "rule"))
+        lengths = sorted(r.n for r in once.select((F.length("rule") - F.instr("rule", "/")).alias("n")).distinct().collect())  # as many as paths have lengths
+        yield np.array([ranked.count(), len(lengths), *lengths], np.uint64).tobytes()
+        yield from _pieces(np.int64(r.key).tobytes() for r in ranked.select("key").toLocalIterator())
+        yield np.uint64(0).tobytes()
+        at = 0
+        ends = ((at := at + r.n) for r in ranked.select(F.octet_length("rule").alias("n")).toLocalIterator())
+        yield from _pieces(np.uint64(x).tobytes() for x in ends)
+        yield from _pieces(bytes([r.b]) for r in ranked.select("b").toLocalIterator())
+        yield from _pieces(bytes(r.rule) for r in ranked.select("rule").toLocalIterator())
 
     def probe(self, candidates: list[bytes]) -> np.ndarray:
         """The index of each candidate among the rules, or -1."""
-        m, keys, offsets, flags = self._map()
         found = np.full(len(candidates), -1, np.int64)
         if not self.n or not candidates:
             return found
-        h = np.fromiter(map(xxhash.xxh64_intdigest, candidates), np.uint64, len(candidates))
-        at = np.searchsorted(keys, h, "left")
-        for i in np.flatnonzero(keys[np.minimum(at, self.n - 1)] == h):
+        h = np.fromiter(map(key_of, candidates), np.uint64, len(candidates))
+        at = np.searchsorted(self.keys, h, "left")
+        for i in np.flatnonzero(self.keys[np.minimum(at, self.n - 1)] == h):
             j = int(at[i])
-            while j < self.n and keys[j] == h[i]:  # equal keys of different strings stand side by side
+            while j < self.n and self.keys[j] == h[i]:  # equal keys of different strings stand side by side
                 if self.rule(j) == candidates[i]:
                     found[i] = j
                     break
@@ -76,18 +100,53 @@ class SortedDigests:
         return found
 
     def rule(self, j: int) -> bytes:
-        m, _, offsets, flags = self._map()
-        base = flags + self.n
-        return m[base + int(offsets[j]) : base + int(offsets[j + 1])]
+        return self.block[self.base + int(self.offsets[j]) : self.base + int(self.offsets[j + 1])]
 
     def blocks(self, j: int) -> bool:
-        m, _, _, flags = self._map()
-        return bool(m[flags + j])
+        return bool(self.block[self.flags + j])
+
+
+def _pieces(parts: Iterable[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """Small parts joined to pieces of some size."""
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(x)
+        if n >= size:
+            yield b"".join(held)
+            held, n = [], 0
+    if held:
+        yield b"".join(held)
+
+
+def send(spark: SparkSession, rules: list[tuple[str, str]] | DataFrame) -> str:
+    """Writes the rules' file and has Spark bring it to each executor; returns its name there."""
+    name = f"url-rules-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    write_file(spark, path, SortedDigests.stream(rules) if isinstance(rules, DataFrame) else _pieces([SortedDigests.build(rules)]))
+    spark.sparkContext.addFile(path)
+    atexit.register(_quietly, spark, path)
+    return name
+
+
+def _quietly(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # the session is gone and its folder with it
+        pass
+
+
+@lru_cache(8)
+def mapped(name: str) -> SortedDigests:
+    """A sent file, mapped read-only: one a worker process, its pages shared by all of the machine."""
+    with open(SparkFiles.get(name), "rb") as f:
+        return SortedDigests(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
 def host_and_path(url):
     """Columns host (A-Z in lower case) and path of a url column."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)?", 1)
     return F.translate(host, UPPER, LOWER), path
@@ -103,22 +162,21 @@ def candidates(host: str, path: str, lengths: tuple[int, ...]) -> list[str]:
     return sorted(out, key=len, reverse=True)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """keep, host, path, rule (null if none fits) and verdict of every row of pages, by its url."""
-    digests = SortedDigests.build(rules)
-    if len(digests.block) > MAX_BYTES:
-        return _joined(pages, rules, default, keep)
-    shared = pages.sparkSession.sparkContext.broadcast(digests)
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, default: str = "allow", keep: tuple[str, ...] = ("page_id",), url_col: str = "url") -> DataFrame:
+    """keep, host, path, rule (null if none fits) and verdict of every row of pages, by its url. rules: (verdict, rule)
+    pairs, or a table of these columns."""
+    name = send(pages.sparkSession, rules)
+    keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict"))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "host string, path string, rule string, verdict string"])
 
-    def run(batches):
-        d = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = mapped(name)
         for b in batches:
-            hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
+            hosts, paths = b.column("host"), b.column("path")
             flat: list[bytes] = []
             ends = []
-            for h, p in zip(hosts, paths, strict=True):
+            for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
                 flat += [x.encode() for x in candidates(h, p, d.lengths)]
                 ends.append(len(flat))
             hit = d.probe(flat)
@@ -128,29 +186,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
                 rule.append(d.rule(j).decode() if j >= 0 else None)
                 verdict.append(default if j < 0 else "block" if d.blocks(j) else "allow")
                 lo = hi
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("host"), b.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*keep, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), hosts, paths, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*keep, "host", "path", "rule", "verdict"])
 
-    host, path = host_and_path(F.col("url"))
+    host, path = host_and_path(F.col(url_col))
     return pages.select(*keep, host.alias("host"), path.alias("path")).mapInArrow(run, schema)
-
-
-def _joined(pages: DataFrame, rules, default: str, keep: tuple[str, ...]) -> DataFrame:
-    """The same by a shuffle, for lists beyond the broadcast bound: candidates meet the rules by key and string."""
-    spark = pages.sparkSession
-    listed = spark.createDataFrame([(f"{r.partition('/')[0].lower()}/{r.partition('/')[2]}", v) for v, r in rules], "rule string, rule_verdict string")
-    listed = listed.groupBy("rule").agg(F.min(F.when(F.col("rule_verdict") == "block", "a_block").otherwise("b_allow")).alias("rv"))
-    lengths = tuple(sorted({len(r.partition("/")[2]) for _, r in rules}))
-    host, path = host_and_path(F.col("url"))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("__row"))
-    own = F.udf(lambda h, p: candidates(h, p, lengths), "array<string>")
-    urls = rows.select("host", "path").distinct()
-    best = (
-        urls.select("host", "path", F.explode(own("host", "path")).alias("rule"))
-        .join(listed, "rule")
-        .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("rule").alias("n"), F.instr("rule", "/").alias("h"), "rule", "rv")).alias("best"))
-    )
-    return rows.join(best, ["host", "path"], "left").select(
-        *keep, "host", "path", F.col("best.rule").alias("rule"),
-        F.when(F.col("best").isNull(), default).when(F.col("best.rv") == "a_block", "block").otherwise("allow").alias("verdict"),
-    )
