@@ -5,14 +5,15 @@ positions that tell where. Hashes of k code points are built by doubling (a hash
 another), minima of windows likewise, so that a text costs about ten passes of vector arithmetic.
 
 Each document is also compared with its successor and with its edited text, whose last quarter comes from the
-successor. The successor is found without a global sort in one task: ids are cut into ranges of about equal
-count, each range is one partition, sorted and streamed, and the first row of each range (one a range) is sent
+successor. The successor is found without a global sort in one task: the ids alone are range-partitioned, which gives cuts
+of any type that has an order; each range is one partition, sorted and streamed, and the first row of each range (one a range) is sent
 to the range before it as well.
 
 Defined results: a null text is an empty one. An empty text has no hashes; two empty fingerprints are alike
 (1.0), one empty one and another are not (0.0). A text shorter than k has the hash of the whole as its only
 one. Null ids come first, equal ids are ordered by a hash of the text; repeated rows follow each other. The only
-document of a table is its own successor. Other columns are ignored.
+document of a table is its own successor. Of a very long text all code points count; memory holds two texts and their
+hashes. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, WINDOW = 12, 20
@@ -97,41 +97,43 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, positions array<bigint>, hashes array<bigint>")
 
 
-def by_range(docs: DataFrame, id_col: str, ranges: int) -> DataFrame:
-    """Rows of docs with column __range, as many partitions as ranges, sorted by id in each; the last row of a
-    range (__extra 1) is the first of the next one, of the last range the first of all."""
-    x = F.col(id_col).cast("double")
-    cuts = docs.select(F.percentile_approx(x, [i / ranges for i in range(1, ranges)] or [0.5], 20 * max(50, ranges)).alias("q")).first()
-    cuts = sorted({q for q in (cuts.q or []) if q is not None})
-    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="__x", outputCol="__b", handleInvalid="keep").transform(docs.withColumn("__x", F.coalesce(x, F.lit(-float("inf"))))).withColumn("__b", F.col("__b").cast("int"))
-    firsts = bucketed.groupBy("__b").agg(F.min(id_col).alias("least"), F.count(F.when(F.col(id_col).isNull(), 1)).alias("nulls")).orderBy("__b").collect()  # one row a range
+def _place(x: Column, cuts: list, lo: int = 0) -> Column:
+    """How many of the sorted cuts are at most x, by bisection; lo is added."""
+    if not cuts:
+        return F.lit(lo)
+    half = len(cuts) // 2
+    return F.when(x < F.lit(cuts[half]), _place(x, cuts[:half], lo)).otherwise(_place(x, cuts[half + 1 :], lo + half + 1))
+
+
+def by_range(rows: DataFrame, ranges: int) -> DataFrame:
+    """rows (id, text, tie), dealt to as many partitions as ranges of ids, sorted in each; the last row of a range
+    (extra 1) is the first of the next one, of the last range the first of all."""
+    part = F.spark_partition_id().alias("part")
+    ids = rows.select("id").where(F.col("id").isNotNull()).repartitionByRange(ranges, "id")
+    firsts = [r.least for r in ids.groupBy(part).agg(F.min("id").alias("least")).orderBy("least").collect()]  # one row a range
+    nulls = bool(rows.where(F.col("id").isNull()).limit(1).count())
     if not firsts:
-        return docs.withColumns({"__range": F.lit(0), "__extra": F.lit(0)})
-    dense = {r["__b"]: i for i, r in enumerate(firsts)}
-    own = F.element_at(F.create_map(*[F.lit(v) for kv in dense.items() for v in kv]), F.col("__b")) if len(dense) < len(splits) - 1 else F.col("__b")
-    whole = bucketed.withColumn("__own", own)
-    leads = F.lit(False)
-    plain = [r.least for r in firsts if not r.nulls]
-    if plain:
-        leads = F.coalesce(F.col(id_col).isin(plain), F.lit(False))
-    if len(plain) < len(firsts):
-        leads = leads | F.col(id_col).isNull()
-    last = len(firsts) - 1
-    before = F.when(F.col("__own") == 0, F.lit(last)).otherwise(F.col("__own") - 1)
-    places = F.when(leads, F.array(F.struct(F.col("__own").alias("r"), F.lit(0).alias("e")), F.struct(before.alias("r"), F.lit(1).alias("e")))).otherwise(F.array(F.struct(F.col("__own").alias("r"), F.lit(0).alias("e"))))
-    placed = whole.withColumn("__place", F.explode(places))
-    return placed.withColumns({"__range": F.col("__place.r"), "__extra": F.col("__place.e")}).drop("__place", "__own", "__b", "__x").repartitionById(len(firsts), F.col("__range")).sortWithinPartitions("__extra", F.col(id_col).asc_nulls_first(), "__tie")
+        firsts, nulls = [None], True
+    cuts, last = firsts[1:], len(firsts) - 1
+    own = F.when(F.col("id").isNull(), 0).otherwise(_place(F.col("id"), cuts))
+    leads = F.coalesce(F.col("id").isin(cuts), F.lit(False)) if cuts else F.lit(False)
+    leads = leads | (F.col("id").isNull() if nulls else F.col("id") == F.lit(firsts[0]))
+    at = lambda r, e: F.struct(r.alias("r"), F.lit(e).alias("e"))
+    before = F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1)
+    places = F.when(leads, F.array(at(F.col("own"), 0), at(before, 1))).otherwise(F.array(at(F.col("own"), 0)))
+    placed = rows.withColumn("own", own.cast("int")).withColumn("place", F.explode(places)).select("id", "text", "tie", F.col("place.r").alias("range"), F.col("place.e").alias("extra"))
+    return placed.repartitionById(len(firsts), F.col("range")).sortWithinPartitions("extra", F.col("id").asc_nulls_first(), "tie")
 
 
 def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
+    """id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and positions (of the
+    fingerprint's hashes) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions"]
+    schema = f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>"
     text = F.coalesce(F.col(text_col), F.lit(""))
     ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = by_range(docs.select(id_col, text.alias("__text"), F.xxhash64(text).alias("__tie")), id_col, ranges)
+    rows = by_range(docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie")), ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its successor
@@ -141,17 +143,17 @@ def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW, id_col:
                 if extra and held is None:
                     continue  # a further row with the id of the next range's first
                 t = t.as_py()
-                _, h = winnow(t, k, window)
+                at, h = winnow(t, k, window)
                 distinct = np.unique(h)
                 if held is not None:
-                    d0, t0, h0, s0 = held
+                    d0, t0, p0, h0, s0 = held
                     n = len(t0) // 4
                     edited = t0[: len(t0) - n] + t[:n]
                     _, e = winnow(edited, k, window)
-                    out.append((d0, len(t0), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(h0), digest(e), likeness(s0, np.unique(e)), likeness(s0, distinct)))
-                held = None if extra else (doc, t, h, distinct)
-            c = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                    out.append((d0, len(t0), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(h0), digest(e), likeness(s0, np.unique(e)), likeness(s0, distinct), p0.astype(np.int32)))
+                held = None if extra else (doc, t, at, h, distinct)
+            c = list(zip(*out, strict=True)) if out else [()] * 8
+            kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(c, kinds, strict=True)], names)
 
-    return rows.select(id_col, "__text", "__extra").mapInArrow(run, schema)
+    return rows.select("id", "text", "extra").mapInArrow(run, schema)
