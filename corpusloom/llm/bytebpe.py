@@ -6,7 +6,8 @@ stale, and skipped, if the symbols at its position no longer form a pair of that
 unlinked and the pairs on both sides are pushed. Ids are decoded by joining the vocabulary's byte strings.
 
 Defined results: a null text is an empty one and has no ids; a special token's string in a text is that token,
-as the library does by default; ids are the library's for every code point. Other columns are ignored.
+as the library does by default; ids are the library's for every code point. A very long piece takes time n log n, and
+memory holds one text. Repeated rows are encoded each; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

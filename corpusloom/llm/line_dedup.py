@@ -8,7 +8,8 @@ first and last run of a partition meet at the driver (two rows a partition).
 
 Defined results: a null or empty text is one empty line, which has no key and stays. Rows that agree in id
 and text count as one document and all get the same decision; a null id is a document like others. Keys
-shorter than min_chars are never dropped. An empty table gives an empty result. Other columns are ignored.
+shorter than min_chars are never dropped. A very long text is as many small rows as it has lines; only its own task holds
+it whole. An empty table gives an empty result. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -193,13 +194,15 @@ def apply_bitmap(text: str, bitmap: bytes | None) -> str:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_first: bool = False) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_dropped added (columns of these names are replaced)."""
     maps = keep_bitmaps(dropped_lines(docs, min_docs, min_chars, id_col, text_col, keep_first))
-    maps = maps.withColumnsRenamed({"n_dropped": "__n", "bitmap": "__bitmap", "doc_key": "__key"})
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.withColumn("__k", doc_key(F.col(id_col), text)).join(maps, F.col("__k").eqNullSafe(F.col("__key")), "left")
+    # the row is one column, so that no name of its columns meets one of ours
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_key(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    joined = rows.join(maps, F.col("key").eqNullSafe(F.col("doc_key")), "left")
+    whole = F.coalesce(F.col("row").getField(text_col), F.lit(""))
     kept = F.pandas_udf(lambda t, b: t.combine(b, apply_bitmap), "string")
-    out = joined.withColumns({
-        "n_lines": F.size(F.split(text, "\n", -1)).cast("long"),
-        "n_dropped": F.coalesce(F.col("__n"), F.lit(0)).cast("long"),
-        text_col: F.when(F.col("__bitmap").isNull(), F.col(text_col)).otherwise(kept(text, F.col("__bitmap"))),
-    })
-    return out.drop("__k", "__key", "__n", "__bitmap")
+    made = {
+        text_col: F.when(F.col("bitmap").isNull(), F.col("row").getField(text_col)).otherwise(kept(whole, F.col("bitmap"))),
+        "n_lines": F.size(F.split(whole, "\n", -1)).cast("long"),
+        "n_dropped": F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long"),
+    }
+    names = [*docs.columns, *(x for x in made if x not in docs.columns)]
+    return joined.select(*((made[c] if c in made else F.col("row").getField(c)).alias(c) for c in names))

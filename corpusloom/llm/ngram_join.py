@@ -449,8 +449,9 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     found = join(docs, n, num, den, id_col, text_col, roots=True).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__h"), "root")
     least = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("__id", "__h")).alias("k")).select("k.__id", "k.__h")
     kept = least.unionAll(found.where(F.col("root").isNull()).select("__id", "__h").distinct())
-    # one key for the join and the aggregate, so that texts are moved once; no id has a name of this form
+    # one key for the join and the aggregate, so that texts are moved once; the row is one column, so that no names clash
     key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    hashed = docs.withColumns({"__key": key(F.col(id_col)), "__hash": F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))})
-    kept = kept.select(key(F.col("__id")).alias("__key"), F.coalesce("__h", F.lit(0)).alias("__hash"))
-    return hashed.join(kept, ["__key", "__hash"], "left_semi").dropDuplicates(["__key", "__hash"]).drop("__key", "__hash")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key(F.col(id_col)).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("hash"))
+    kept = kept.select(key(F.col("__id")).alias("key"), F.coalesce("__h", F.lit(0)).alias("hash"))
+    once = rows.join(kept, ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"])
+    return once.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

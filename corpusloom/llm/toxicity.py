@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import cut, fresh
+
 SAMPLE_ROWS = 20_000
 CANDIDATES, VOTERS = 1_500, 64
 PREFIXES = (3, 4, 5, 6, 7)
@@ -208,8 +210,6 @@ def estimate(expect, start: LabelModel, rounds: int = ROUNDS) -> LabelModel:
 
 def vote_patterns(docs: DataFrame, voters: Model, text_col: str) -> DataFrame:
     """(votes binary, n bigint): how many documents have each pattern of votes, as packed bits."""
-    from corpusloom.llm.common import cut
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -296,8 +296,6 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, label: str, sample
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of voters, label model and classifier; train, a condition on id_col, says which rows may teach it."""
-    from corpusloom.llm.common import cut
-
     rows = cut(sample(docs, labels, train, label, sample_rows, id_col, text_col))
     n, pos = rows.select(F.count("*"), F.count(F.when(F.col("toxic"), 1))).first()
     if not pos or pos == n:
@@ -365,4 +363,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 
     # a text that is kept anyway isn't sent twice
     at = keep.index(text_col) if text_col in keep else len(keep)
-    return docs.select(*keep, *[F.col(text_col).alias("__text")] * (at == len(keep))).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` double"]))
+    return docs.select(*(F.col(f"`{c}`") for c in keep), *[F.col(text_col).alias(fresh(keep, "__text"))] * (at == len(keep))).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` double"]))

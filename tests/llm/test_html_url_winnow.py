@@ -176,13 +176,27 @@ def brute_rule(url):
     return host, path, best and best[3], best[4] if best else "allow"
 
 
-@pytest.mark.parametrize("most", [uf.MAX_BYTES, 10])
-def test_urls_equal_brute_force(spark, most, monkeypatch):
-    monkeypatch.setattr(uf, "MAX_BYTES", most)
+@pytest.mark.parametrize("listed", [False, True])
+def test_urls_equal_brute_force(spark, listed):
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(URLS)], "page_id bigint, url string, host string, verdict string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.judge(df, RULES).collect()}
+    rules = spark.createDataFrame(RULES, "verdict string, rule string") if listed else RULES
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.judge(df, rules).collect()}
     assert got == {i: brute_rule(u) for i, u in enumerate(URLS)}
-    assert uf.judge(df.where("false"), RULES).collect() == []
+    assert uf.judge(df.where("false"), rules).collect() == []
+    named = df.withColumnRenamed("url", "link").select("page_id", "link", "host")
+    again = uf.judge(named, rules, keep=("page_id", "host"), url_col="link").collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in again} == got
+
+
+def test_long_lists_come_from_a_table(spark):
+    """The file that Spark's sorted rules are streamed into is the one built from a list; workers map it."""
+    many = [("block" if i % 3 else "allow", f"host{i % 5000}.org/{'p' * (i % 7)}/é{i}") for i in range(20_000)] + RULES
+    table = spark.createDataFrame(many, "verdict string, rule string").repartition(5)
+    block = b"".join(uf.SortedDigests.stream(table))
+    assert block == uf.SortedDigests.build(many)
+    df = spark.createDataFrame([(i, f"http://a.host{i}.org/{'p' * (i % 7)}/é{i}/x") for i in range(500)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in uf.judge(df, table, default="none").collect()}
+    assert got == {i: "block" if i % 3 else "allow" for i in range(500)}
 
 
 def test_no_rules(spark):
@@ -191,18 +205,26 @@ def test_no_rules(spark):
 
 
 def test_collisions_are_told_apart():
-    d = uf.SortedDigests.build([("block", "a.org/"), ("block", "b.org/")])
-    keys = np.frombuffer(d.block, np.uint64, 2)
-    same = keys[:1].tobytes() * 2 + d.block[16:]  # both rules under one key
-    d = uf.SortedDigests(same, d.n, d.lengths)
+    block = uf.SortedDigests.build([("block", "a.org/"), ("block", "b.org/")])
+    keys = uf.SortedDigests(block).keys
+    same = block[:24] + keys[:1].tobytes() * 2 + block[40:]  # both rules under one key
+    d = uf.SortedDigests(same)
     names = {d.rule(0), d.rule(1)}
     assert names == {b"a.org/", b"b.org/"}
-    import xxhash
-
-    first = next(n for n in names if xxhash.xxh64_intdigest(n) == int(keys[0]))
+    first = next(n for n in names if uf.key_of(n) == int(keys[0]))
     assert d.rule(int(d.probe([first])[0])) == first and d.probe([b"c.org/"])[0] == -1
 
 
+def gram_hash(gram):
+    """The hash of a gram, one code point after the other."""
+    word, base, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+    h = 0
+    for ch in gram:
+        h = (h * base + (ord(ch) + 1) * mix) & word
+    h ^= h >> 29
+    return (h * mix & word) >> 32
+
+
 def brute_winnow(text, k, w):
     """Positions that the windows select, by looking at each window."""
     n = len(text)
@@ -210,7 +232,7 @@ def brute_winnow(text, k, w):
     if not n:
         return []
     grams = [text[i : i + k] for i in range(n - k + 1)]
-    h = {g: int(wn.winnow(g, k, 1)[1][0]) for g in set(grams)}
+    h = {g: gram_hash(g) for g in set(grams)}
     w = min(w, len(grams))
     out = []
     for i in range(len(grams) - w + 1):
@@ -223,7 +245,9 @@ def brute_winnow(text, k, w):
 @pytest.mark.parametrize("text", ["", "a", "ab" * 40, "a" * 100, "the cat sat on the mat and the cat ran", "é😀x" * 30, "".join(chr(97 + (i * i) % 26) for i in range(300))])
 @pytest.mark.parametrize(("k", "w"), [(1, 1), (3, 4), (5, 7), (12, 20)])
 def test_winnowing_equals_brute_force(text, k, w):
-    assert wn.winnow(text, k, w)[0].tolist() == brute_winnow(text, k, w)
+    at, hashes = wn.winnow(text, k, w)
+    assert at.tolist() == brute_winnow(text, k, w)
+    assert hashes.tolist() == [gram_hash(text[i : i + min(k, len(text))]) for i in at.tolist()]
 
 
 def test_match_guarantee():
@@ -271,3 +295,18 @@ def test_compare_with_next(spark, docs, corpus, empty, partitions):
 def test_fingerprints_keep_positions(spark, docs):
     for r in wn.fingerprints(docs).collect():
         assert len(r.positions) == len(r.hashes) and r.positions == sorted(set(r.positions))
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,2)", "double", "timestamp"])
+def test_ids_of_any_orderable_type(spark, kind):
+    texts = [f"text number {i} " * (i % 5) for i in range(40)]
+    made = {"string": "concat('k', lpad(i, 3, '0'))", "date": "date_add(date'2020-01-01', i)", "decimal(20,2)": "cast(i / 4.0 as decimal(20,2))", "double": "i / 8.0", "timestamp": "timestamp_seconds(i)"}[kind]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").selectExpr(f"cast({made} as {kind}) as doc_id", "text", "i as __text", "i as __extra").repartition(4)
+    got = [r for r in wn.compare_with_next(df.unionByName(df.limit(1).selectExpr(f"cast(null as {kind}) as doc_id", "'' as text", "0 as __text", "0 as __extra"))).collect()]
+    assert len(got) == 41
+    got.sort(key=lambda r: (r.doc_id is not None, r.doc_id))
+    order = ["", *texts]
+    for r, t, after in zip(got, order, order[1:] + order[:1], strict=True):
+        n = len(t) // 4
+        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
+        assert list(r.positions) == wn.winnow(t)[0].tolist()

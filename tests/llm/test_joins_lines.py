@@ -198,6 +198,21 @@ def test_hot_line_over_many_partitions_and_batches(spark):
     assert first[6000] == "ten\nz0" and first[6001] == "z1"
 
 
+def test_clashing_columns_are_kept(spark):
+    """Names that the operators once used themselves."""
+    names = ["doc_id", "text", "__k", "__key", "__n", "__bitmap", "__hash", "key", "row", "bitmap", "doc_key", "n_dropped", "__toxicity", "__quality_kept", "__text", "__raw", "a.b"]
+    rows = [(i, f"shared\nown {i} " + "w " * 60, *[f"{c}{i}" for c in names[2:]]) for i in range(12)]
+    df = spark.createDataFrame(rows, names)
+    out = ld.dedup_lines(df, 10)
+    assert out.columns == [*names, "n_lines"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, text, *rest in rows:
+        assert got[i]["text"] == text[7:] and got[i]["n_dropped"] == 1
+        assert [got[i][c] for c in names[2:] if c != "n_dropped"] == [x for c, x in zip(names[2:], rest, strict=True) if c != "n_dropped"]
+    left = nj.one_of_each(df)
+    assert left.columns == names and sorted(map(tuple, left.collect()), key=str) == sorted([tuple(r) for r in df.collect() if r["doc_id"] in {x["doc_id"] for x in left.collect()}], key=str)
+
+
 def test_bitmaps_and_empty(spark, docs, empty):
     dropped = ld.dropped_lines(docs, 10)
     maps = ld.keep_bitmaps(dropped).collect()

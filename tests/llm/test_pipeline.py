@@ -48,6 +48,21 @@ def test_stages_take_odd_rows(spark, tmp_path):
                 assert out.columns == frame.columns
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names that stages use themselves stay as they are, with their values."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "toxicity", "_toxicity", "quality_kept", "n_dropped", "__k", "__key", "__hash", "__toxicity", "__quality_kept", "a.b", "score"]
+    rows = [(i, "shared line\n" + " ".join(f"w{i}x{j}" for j in range(70)), "en", "s", 0, *[f"{c}{i}" for c in names[5:]]) for i in range(14)]
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names, name
+    got = {r["doc_id"]: r for r in docs.collect()}
+    assert set(got) == set(range(14))
+    assert all(got[i][c] == f"{c}{i}" for i in got for c in names[5:])
+    assert sum(r["text"].startswith("shared line") for r in got.values()) == 1
+
+
 def test_line_dedup_leaves_no_emptied_copies(spark):
     copy = "\n".join(f"line {i} of the copied text" for i in range(12))
     rows = [(i, copy + " \n\t" * (i % 2), "en", "s", 0) for i in range(30)]
