@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import line_dedup, ngram_join, packing, quality_rules, toxicity
-from corpusloom.llm.common import staged, table
+from corpusloom.llm.common import fresh, staged, table
 from corpusloom.llm.queries import tokenizer_path
 from corpusloom.ship import ship
 
@@ -24,25 +24,30 @@ LINE_DOCS = 10
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on all labelled rows at hand, doesn't find toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns), out="__toxicity")
-    return scored.where(F.col("__toxicity") < TOXIC).drop("__toxicity")
+    own = fresh(docs.columns, "toxicity")
+    return toxicity.score(docs, model, keep=tuple(docs.columns), out=own).where(F.col(own) < TOXIC).drop(own)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest."""
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    judged = quality_rules.judge(docs, model, keep=tuple(docs.columns), prefix="__quality_")
-    return judged.where("__quality_kept").select(*docs.columns)
+    prefix = fresh([c.split("_")[0] for c in docs.columns], "quality") + "_"
+    judged = quality_rules.judge(docs, model, keep=tuple(docs.columns), prefix=prefix)
+    return judged.where(F.col(prefix + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that LINE_DOCS or more have, which stay only in the first of them; one that so
     loses its last word goes, since all its lines are in others. Documents that had no words before stay."""
+    names = docs.columns
+    own = fresh(names, "n_dropped")
+    if own != "n_dropped":  # the stage's column gives way to the documents' own
+        docs = docs.withColumnRenamed(next(c for c in names if c.lower() == "n_dropped"), own)
     out = line_dedup.dedup_lines(docs, min_docs=LINE_DOCS, keep_first=True)
     out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{own if c.lower() == 'n_dropped' else c}`").alias(c) for c in names))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
