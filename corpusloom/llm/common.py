@@ -35,8 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh(columns: list[str] | tuple[str, ...], name: str) -> str:
-    """name, or name with so many underscores before it that no column has it, whatever the case."""
+    """name with so many underscores before it, at least one, that no column is called so, whatever the case."""
     taken = {c.lower() for c in columns}
+    name = "_" + name
     while name.lower() in taken:
         name = "_" + name
     return name

@@ -50,7 +50,7 @@ def test_stages_take_odd_rows(spark, tmp_path):
 
 def test_stages_keep_columns_of_any_name(spark, tmp_path):
     """Names that stages use themselves stay as they are, with their values."""
-    names = ["doc_id", "text", "lang", "source", "n_chars", "toxicity", "_toxicity", "quality_kept", "n_dropped", "__k", "__key", "__hash", "__toxicity", "__quality_kept", "a.b", "score"]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "toxicity", "_toxicity", "quality_kept", "n_dropped", "__k", "__key", "__hash", "__toxicity", "__quality_kept", "n_lines", "row", "score"]
     rows = [(i, "shared line\n" + " ".join(f"w{i}x{j}" for j in range(70)), "en", "s", 0, *[f"{c}{i}" for c in names[5:]]) for i in range(14)]
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.createDataFrame(rows, names)
