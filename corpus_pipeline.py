@@ -33,21 +33,21 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     prefix = fresh([c.split("_")[0] for c in docs.columns], "quality") + "_"
     judged = quality_rules.judge(docs, model, keep=tuple(docs.columns), prefix=prefix)
-    return judged.where(F.col(prefix + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged.where(F.col(prefix + "kept")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that LINE_DOCS or more have, which stay only in the first of them; one that so
     loses its last word goes, since all its lines are in others. Documents that had no words before stay."""
+    # columns of documents with the names of the operator's own step aside meanwhile
     names = docs.columns
-    own = fresh(names, "n_dropped")
-    if own != "n_dropped":  # the stage's column gives way to the documents' own
-        docs = docs.withColumnRenamed(next(c for c in names if c.lower() == "n_dropped"), own)
+    aside = {c: fresh(names, c) for c in names if c.lower() in ("n_lines", "n_dropped")}
+    docs = docs.withColumnsRenamed(aside)
     out = line_dedup.dedup_lines(docs, min_docs=LINE_DOCS, keep_first=True)
     out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{own if c.lower() == 'n_dropped' else c}`").alias(c) for c in names))
+    return out.select(*(F.col(aside.get(c, c)).alias(c) for c in names))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
