@@ -6,46 +6,52 @@ Where pairs can meet. Two sets within the threshold differ in at most t elements
 elements into t + m groups: m of them at least have the same content in both. So each set is sent, for its size
 band and the next one, under one key per group (band, group, hash of the content); sets that share fewer than m
 keys can't link. Groups empty in a set count as content only where a set has more of them than the slack that
-the number of groups allows for. Shingles of a thousandth of all documents or more (found in a bounded sample)
-are left out of the keys, which loses no link, so that common passages bring no strangers together. Pairs are
+the number of groups allows for. Shingles of a thousandth of all documents or more are left out of the keys, which loses
+no link, so that common passages bring no strangers together. They are found in the pass that measures the sets: each task
+counts all its sets' shingles in a sketch of 2 ** SKETCH_BITS counters, Spark adds the sketches slice by slice, and the workers get
+one bit a counter; a rare shingle that shares its counter with a frequent one is left out of all keys as well. Pairs are
 counted for keys of up to FEW sets only; a key of more joins its sets to the least one, counted or not. A map task
 that finds such a key sends one row for it and keeps the rest as edges; so a key that a third of all documents
 hold is at most one row a task, and no key gives more than FEW sets' pairs.
 
 Which pairs link. Vertices that share keys enough form coarse groups (connected components). A task
-takes one coarse group at a time: its sets' group counts are points of an R-tree, the overlap of two sets is at
+takes one coarse group at a time, however small: its sets' group counts are points of an R-tree, the overlap of two sets is at
 most the sum of the smaller coordinates, nodes and points below the needed overlap are passed over, surviving
-pairs are verified on the sets. Pivots first unite what is plainly alike; then only members outside the
-largest part have to search. A coarse group of more than MAX_SHINGLES is split into blocks by hash: each meets the
-group's pivots in a task of its own, then what lies outside the largest part meets every block. So a task's
-memory is bounded and no pair is lost.
+pairs are verified on the sets. Only members outside the largest part found so far have to search. A coarse
+group of more than MAX_SHINGLES, or of more rows than a fair share of the tasks' (and MIN_ROWS), is split into blocks by hash, dealt to
+tasks in turn: each block meets the group's pivots in a task of its own, then what lies outside the largest part meets every
+block. So a task's memory and time are bounded and no pair is lost. Texts are shingled twice, once to measure and once for
+keys, and a third time if they are in a coarse group: sending shingles along would cost four times the texts' bytes.
 
 Defined results: a null text is empty. A document without words has size 0, links with nothing and is its own
 component; with fewer than n words the whole sequence is its one shingle. A component's id is its smallest
 document id; null ids are passed over, and a component of null ids only has a null id. Repeated rows get a
-row each. An empty table gives an empty result. Hashes have 64 bits. Other columns are ignored.
+row each. Of a very long text all shingles count; memory holds one text and its words. An empty table gives an empty result. Hashes have 64 bits. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, release
+from corpusloom.llm.common import cut, maybe_broadcast, release, staged
 from corpusloom.llm.graph import components
 
 DIMENSIONS = 32
 LEAF = 16
 PIVOTS = 12
 MAX_SHINGLES = 6_000_000
-SAMPLE_DOCS = 20_000
+MIN_ROWS = 128
 FREQUENT_SHARE = 1000
+SKETCH_BITS, SLICES = 22, 64
 KEYS_HELD = 1_500_000
 FEW = 8
 MOST_SHARED = 6
@@ -128,13 +134,18 @@ class Rule:
         return self._groups[band]
 
 
+def counter_of(s: np.ndarray) -> np.ndarray:
+    """The counter of the sketch that a shingle falls into."""
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def keys(s: np.ndarray, rule: Rule, frequent: np.ndarray) -> np.ndarray:
-    """The keys under which a set meets every set that it may link with. Their low three bits say how many of them
+    """frequent: bits of the counters whose shingles are left out. The keys under which a set meets every set that it may link with. Their low three bits say how many of them
     linked sets share; the fourth is for _key_rows."""
     n = len(s)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        s = s[frequent[at] != s]
+        at = counter_of(s)
+        s = s[(frequent[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 0]
     band = rule.band(n)
     out = []
     with np.errstate(over="ignore"):
@@ -206,67 +217,101 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def linked_parts(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
-    """The root (an index) of each set: the components of the links among them."""
+def overlaps(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The size of a's intersection with each other set, which aren't empty."""
+    if not others:
+        return np.empty(0, np.int64)
+    every = np.concatenate(others)
+    same = a[np.minimum(np.searchsorted(a, every), len(a) - 1)] == every
+    return np.add.reduceat(same.astype(np.int64), np.cumsum([0, *(len(x) for x in others[:-1])]))
+
+
+def linked_parts(sets: list[np.ndarray], rule: Rule, tally: Counter | None = None) -> np.ndarray:
+    """The root (an index) of each set: the components of the links among them. tally counts searches of the tree, their
+    survivors in other parts, and those that link."""
     m = len(sets)
     root = np.arange(m)
     sizes = np.array([len(s) for s in sets])
     if m < 2:
         return root
 
-    def link(i: int, j: int) -> bool:
-        return overlap(sets[i], sets[j]) >= rule.needed(sizes[i], sizes[j])
-
-    if m <= 4:
-        for i in range(m):
-            for j in range(i):
-                if root[i] != root[j] and link(i, j):
-                    root[root == root[i]] = root[j]
-        return root
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), sizes)
-    for _ in range(PIVOTS):  # one pass over all elements compares a pivot with every set
-        labels, inverse, count = np.unique(root, return_inverse=True, return_counts=True)
-        alone = np.flatnonzero(count[inverse] == 1)
-        if len(labels) == 1 or not len(alone):
-            break
-        p = int(alone[len(alone) // 2])
-        at = np.minimum(np.searchsorted(sets[p], every), sizes[p] - 1)
-        both = np.bincount(owner[sets[p][at] == every], minlength=m)
-        near = np.flatnonzero(both >= rule.needed(sizes, sizes[p]))
-        if len(near) > 1:
-            root[np.isin(root, np.unique(root[near]))] = p
-    labels, count = np.unique(root, return_counts=True)
-    if len(labels) == 1:
-        return root
-    largest = labels[count.argmax()]
     tree = RTree(np.array([count_vector(s) for s in sets]), sizes, rule)
-    for i in np.flatnonzero(root != largest):
-        for j in tree.search(i):
-            if root[i] != root[j] and link(i, j):
-                root[root == root[i]] = root[j]
-    return root
+    searched = np.zeros(m, bool)
+    while True:
+        # two sets in different parts aren't both in the largest one: who is outside it has to search
+        labels, count = np.unique(root, return_counts=True)
+        todo = np.flatnonzero((root != labels[count.argmax()]) & ~searched)
+        if not len(todo):
+            return root
+        i = int(todo[len(todo) // 2])
+        searched[i] = True
+        found = tree.search(i)
+        found = found[root[found] != root[i]]
+        near = found[overlaps(sets[i], [sets[j] for j in found]) >= rule.needed(sizes[found], sizes[i])]
+        if tally is not None:
+            tally.update(searches=1, survivors=len(found), linked=len(near))
+        if len(near):
+            root[np.isin(root, root[near])] = root[i]
 
 
 def _raw(text_col: str):
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__raw")
 
 
-def frequent_shingles(docs: DataFrame, n: int, id_col: str, text_col: str, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Sorted hashes of shingles that at least 1 / FREQUENT_SHARE of sampled documents hold: at most
-    FREQUENT_SHARE * the mean set size of them, whatever the corpus."""
-    chosen = docs.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).orderBy(F.xxhash64("__id")).limit(sample_docs)
+class Sketch:
+    """How many sets hold shingles of each counter, added up over a task."""
+
+    def __init__(self):
+        self.count = np.zeros(1 << SKETCH_BITS, np.uint32)
+        self.held: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, s: np.ndarray) -> None:
+        self.held.append(counter_of(s))
+        self.n += len(s)
+        if self.n >= 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.count += np.bincount(np.concatenate(self.held), minlength=len(self.count)).astype(np.uint32)
+            self.held, self.n = [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(self) -> list[bytes]:
+        """Compressed parts of the counters, low bytes first."""
+        self.flush()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return [squeeze(x.view(np.uint8).reshape(-1, 4).T.tobytes()) for x in np.split(self.count, SLICES)]
+
+
+def _add_slices(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One slice: the sum of all tasks' counters, as 64-bit numbers."""
+    width = (1 << SKETCH_BITS) // SLICES
+    expand = zstandard.ZstdDecompressor().decompress
+    total = np.zeros(width, np.uint64)
+    for b in batches:
+        for x in b.column("sketch"):
+            total += np.frombuffer(np.frombuffer(expand(x.as_py()), np.uint8).reshape(4, width).T.tobytes(), np.uint32)
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "total": pa.array([int(total.sum())], pa.int64()), "counters": pa.array([total.tobytes()], pa.binary())})
+
+
+def frequent_counters(sketches: DataFrame, documents: int) -> np.ndarray:
+    """Bits of the counters that at least 1 / FREQUENT_SHARE of all documents fill, and which are well above the mean
+    counter: half a megabyte, whatever the corpus. sketches: (slice, sketch) of each task."""
+    added = cut(sketches.groupBy("slice").applyInArrow(_add_slices, "slice int, total bigint, counters binary"))
+    total = added.agg(F.sum("total")).first()[0] or 0
+    least = max(20, documents // FREQUENT_SHARE, 8 * total // (1 << SKETCH_BITS))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [shingles(r.as_py(), n) for r in b.column(0)]
-            h, c = np.unique(np.concatenate(s), return_counts=True) if s else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"h": h.astype(np.uint64).view(np.int64), "c": c.astype(np.int64)})
+            got = [np.packbits(np.frombuffer(x.as_py(), np.uint64) >= least, bitorder="little").tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["slice", "bits"])
 
-    rows = docs.join(F.broadcast(chosen.distinct()), F.col(id_col) == F.col("__id")).select(_raw(text_col))
-    least = max(20, sample_docs // FREQUENT_SHARE)
-    got = rows.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(got.view(np.uint64))
+    found = added.select("slice", "counters").mapInArrow(bits, "slice int, bits binary").collect()  # SLICES rows
+    out = np.zeros((1 << SKETCH_BITS) >> 3, np.uint8).reshape(SLICES, -1)
+    for r in found:
+        out[r.slice] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.ravel()
 
 
 MANY = np.uint64(8)
@@ -374,27 +419,30 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, rule: Rule) -> Iterator[p
     yield from done()
 
 
-def _large_links(large: DataFrame, verified: Callable[[DataFrame], DataFrame], max_shingles: int) -> DataFrame:
+def _large_links(large: DataFrame, verified: Callable[[DataFrame], DataFrame], max_shingles: int, max_rows: int) -> DataFrame:
     """Links within coarse groups too large for one task, as edges (a, b).
 
     First each block of such a group meets the group's pivots, which unites the most of it in one pass. Two sets in
     different parts then aren't both in the largest one; so only what is left outside it meets every block.
     """
-    k = F.ceil(2 * F.col("__volume") / max_shingles).cast("int")  # halves of the bound, for two blocks share a task
+    def blocks(volume: Column, rows: Column) -> Column:
+        return F.greatest(F.ceil(2 * volume / max_shingles), F.ceil(rows / max_rows)).cast("int")  # halves of the bound, for two blocks share a task
+
+    k = blocks(F.col("__volume"), F.col("__rows"))
     rows = large.withColumn("__k", k).withColumn("__block", F.pmod(F.xxhash64("v"), F.col("__k").cast("long")).cast("int"))
-    seeds = [F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("h"), "__id", "v")) for i in range(PIVOTS)]
+    seeds = [F.min(F.struct(F.xxhash64("v", F.lit(i)).alias("h"), "__id", "__hash", "v")) for i in range(PIVOTS)]
     pivots = rows.groupBy("__comp", "__k").agg(F.array(*seeds).alias("p")).withColumn("p", F.explode("p"))
-    pivots = pivots.select("p.__id", "p.v", "__comp", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__part"))
-    first = cut(verified(rows.select("__id", "v", "__comp", F.col("__block").alias("__part")).unionByName(pivots)))
+    pivots = pivots.select("p.__id", "p.__hash", "p.v", "__comp", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__part"))
+    first = cut(verified(rows.select("__id", "__hash", "v", "__comp", F.col("__block").alias("__part")).unionByName(pivots)))
     named = cut(rows.join(components(first), "v", "left").withColumn("__label", F.coalesce("root", "v")).drop("root"))
     main = named.groupBy("__comp", "__label").count().groupBy("__comp").agg(F.max_by("__label", F.struct("count", "__label")).alias("__main"))
     named = named.join(main, "__comp").withColumn("__outside", F.col("__label") != F.col("__main"))
-    left = named.where("__outside").groupBy("__comp").agg(F.ceil(2 * F.sum("n_shingles") / max_shingles).cast("int").alias("__r"))
+    left = named.where("__outside").groupBy("__comp").agg(blocks(F.sum("n_shingles"), F.count("*")).alias("__r"))
     tasks = named.join(left, "__comp").withColumn("__own", F.pmod(F.xxhash64(F.lit("r"), "v"), F.col("__r").cast("long")).cast("int"))
     as_block = F.transform(F.sequence(F.lit(0), F.col("__r") - 1), lambda r: r * F.col("__k") + F.col("__block"))
     as_left = F.transform(F.sequence(F.lit(0), F.col("__k") - 1), lambda b: F.col("__own") * F.col("__k") + b)
     parts = F.when(F.col("__outside"), F.array_distinct(F.concat(as_block, as_left))).otherwise(as_block)
-    return first.unionAll(verified(tasks.select("__id", "v", "__comp", F.explode(parts).alias("__part"))))
+    return first.unionAll(verified(tasks.select("__id", "__hash", "v", "__comp", F.explode(parts).alias("__part"))))
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_shingles: int = MAX_SHINGLES, roots: bool = False) -> DataFrame:
@@ -407,13 +455,24 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
 
+    names = [id_col, "text_hash", "v", "n_shingles", "slice", "sketch"]
+
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, id_type = Sketch(), None
         for b in batches:
+            id_type = b.schema.field(0).type
             s = [shingles(r.as_py(), n) for r in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([set_id(x) for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int64())], [id_col, "text_hash", "v", "n_shingles"])
-
-    every = cut(docs.select(id_col, _raw(text_col), F.xxhash64(F.col(text_col)).alias("__hash")).mapInArrow(sizes, f"`{id_col}` {kind}, text_hash bigint, v bigint, n_shingles bigint"))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n, id_col, text_col))
+            for x in s:
+                sketch.add(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([set_id(x) for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int64()), pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary())], names)
+        if id_type is not None:
+            got = sketch.slices()
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), *[pa.nulls(SLICES, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()), pa.array(got, pa.binary())], names)
+
+    text_hash = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
+    measured, _ = staged(docs.select(id_col, _raw(text_col), text_hash.alias("__hash")).mapInArrow(sizes, f"`{id_col}` {kind}, text_hash bigint, v bigint, n_shingles bigint, slice int, sketch binary"), "sets")
+    every = measured.where("slice IS NULL").select(*names[:4])
+    frequent = spark.sparkContext.broadcast(frequent_counters(measured.where("slice IS NOT NULL").select("slice", "sketch"), every.count()))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(_raw(text_col)).mapInArrow(lambda b: _key_rows(b, n, rule, frequent.value, buckets), "bucket int, ks binary, vs binary, edges binary")
     met = keyed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, n bigint, need bigint")
@@ -421,20 +480,25 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     coarse = cut(components(enough))
     del keyed, met, enough
     release(spark)
-    reps = every.where("n_shingles > 0").groupBy("v").agg(F.min(id_col).alias("__id"), F.first("n_shingles").alias("n_shingles"))
+    reps = every.where("n_shingles > 0").groupBy("v").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"))
     placed = coarse.join(reps, "v")
-    volume = placed.groupBy("root").agg(F.sum("n_shingles").alias("__volume"))
-    sized = cut(placed.join(volume, "root").select("__id", "v", F.col("root").alias("__comp"), "n_shingles", "__volume"))
-    texts = docs.select(F.col(id_col).alias("__doc"), _raw(text_col))
+    volume = placed.groupBy("root").agg(F.sum("n_shingles").alias("__volume"), F.count("*").alias("__rows"))
+    sized = cut(placed.join(volume, "root").select(F.col("rep.id").alias("__id"), F.col("rep.text_hash").alias("__hash"), "v", F.col("root").alias("__comp"), "n_shingles", "__volume", "__rows"))
+    max_rows = max(MIN_ROWS, -(-2 * sized.count() // buckets))  # two fair shares of the tasks' rows
+    texts = docs.select(F.col(id_col).alias("__doc"), text_hash.alias("__h"), _raw(text_col))
 
     def verified(tasks: DataFrame) -> DataFrame:
-        rows = tasks.join(texts, F.col("__id").eqNullSafe(F.col("__doc"))).select("__comp", "__part", "v", "__raw")
-        return rows.repartition(buckets, "__comp", "__part").sortWithinPartitions("__comp", "__part").mapInArrow(lambda b: _verify(b, n, rule), "a bigint, b bigint")
-
-    links = verified(sized.where(F.col("__volume") <= max_shingles).withColumn("__part", F.lit(0)))
-    large = sized.where(F.col("__volume") > max_shingles)
+        # id and text hash: rows of one id, or of none, meet only if their texts are the same
+        rows = texts.join(maybe_broadcast(tasks), (F.col("__hash") == F.col("__h")) & F.col("__id").eqNullSafe(F.col("__doc")))
+        rows = rows.select("__comp", "__part", "v", "__raw")
+        to = F.pmod(F.xxhash64("__comp") + F.col("__part"), F.lit(buckets)).cast("int")  # a group's blocks go to tasks in turn
+        return rows.repartitionById(buckets, to).sortWithinPartitions("__comp", "__part").mapInArrow(lambda b: _verify(b, n, rule), "a bigint, b bigint")
+
+    whole = (F.col("__volume") <= max_shingles) & (F.col("__rows") <= max_rows)
+    links = verified(sized.where(whole).withColumn("__part", F.lit(0)))
+    large = sized.where(~whole)
     if large.limit(1).count():
-        links = links.unionAll(_large_links(large, verified, max_shingles))
+        links = links.unionAll(_large_links(large, verified, max_shingles, max_rows))
     root = components(links)
     del links
     release(spark)
@@ -452,6 +516,6 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     # one key for the join and the aggregate, so that texts are moved once; the row is one column, so that no names clash
     key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key(F.col(id_col)).alias("key"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("hash"))
-    kept = kept.select(key(F.col("__id")).alias("key"), F.coalesce("__h", F.lit(0)).alias("hash"))
+    kept = kept.select(key(F.col("__id")).alias("key"), F.col("__h").alias("hash"))
     once = rows.join(kept, ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"])
     return once.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

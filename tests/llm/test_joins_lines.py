@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -92,12 +92,15 @@ def test_keys_meet_for_every_link(seed):
     """Whatever the sizes and frequent shingles, linked sets share a key; the tree and the verification find them."""
     rng = np.random.default_rng(seed)
     rule = nj.Rule(*[(90, 100), (80, 100), (70, 100), (95, 100)][seed])
-    frequent = np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64))
+    common = np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64))
+    frequent = np.zeros((1 << nj.SKETCH_BITS) >> 3, np.uint8)
+    for c in nj.counter_of(common).tolist():
+        frequent[c >> 3] |= 1 << (c & 7)
     for _ in range(400):
         n = int(rng.integers(1, 400))
         s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         if rng.random() < 0.3:
-            s = np.unique(np.concatenate([s, frequent]))
+            s = np.unique(np.concatenate([s, common]))
         other = s.copy()
         for _ in range(int(rng.integers(0, 2 + n // 5))):
             if rng.random() < 0.5 and len(other) > 1:
@@ -125,12 +128,60 @@ def test_tree_passes_over_no_link():
     for i in range(len(sets)):
         near = {j for j in range(len(sets)) if nj.overlap(sets[i], sets[j]) >= rule.needed(sizes[i], sizes[j])}
         assert near <= set(tree.search(i).tolist())
-    root = nj.linked_parts(sets, rule)
+    tally = Counter()
+    root = nj.linked_parts(sets, rule, tally)
+    assert tally["searches"] >= len(np.unique(root)) - 1 and 0 < tally["linked"] <= tally["survivors"] < len(sets) ** 2 // 8
     rows = [(i, " ".join(map(str, s))) for i, s in enumerate(sets)]
     want = [c for _, _, c in brute_components(rows, 1, 80, 100)]
     assert len({*zip(root.tolist(), want, strict=True)}) == len(set(root.tolist())) == len(set(want))
 
 
+def test_small_groups_go_through_the_tree():
+    """Two sets already: what links survives the tree's bound, what can't link doesn't."""
+    rule = nj.Rule(90, 100)
+    a = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 200).astype(np.uint64))
+    for other, want in ((a[1:], (1, 1)), (a[:100], (0, 0))):
+        tally = Counter()
+        root = nj.linked_parts([a, other], rule, tally)
+        assert tally["searches"] == 1 and (tally["survivors"], tally["linked"]) == want and (root[0] == root[1]) == bool(want[1])
+    assert nj.overlaps(a, [a[:50], a[150:], np.array([1], np.uint64)]).tolist() == [50, 50, 0]
+
+
+def test_large_groups_are_split_by_rows(spark):
+    """Near copies, strangers that share a key with them, and null ids of one group: blocks by rows give the same."""
+    import random
+
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(700):
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(100)] = f"x{rng.randrange(50)}"
+        rows.append((i if i % 9 else None, " ".join(t)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = [tuple(r) for r in nj.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 1, 95, 100).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert ordered(got) == ordered(brute_components(rows, 1, 95, 100))
+
+
+def test_frequent_counters_count_all_documents(spark):
+    rows = [(i, f"the common passage of all is here {i}a {i}b {i}c {i}d") for i in range(300)]
+    sketches = []
+    for part in (rows[:100], rows[100:]):
+        k = nj.Sketch()
+        for _, t in part:
+            k.add(nj.shingles(t.encode(), 3))
+        sketches += list(enumerate(k.slices()))
+    bits = nj.frequent_counters(spark.createDataFrame(sketches, "slice int, sketch binary"), 300)
+    has = lambda t: [bool(bits[c >> 3] >> (c & 7) & 1) for c in nj.counter_of(nj.shingles(t.encode(), 3)).tolist()]
+    assert all(has("the common passage of all is here")) and not any(has("7b 7c 7d"))
+    assert np.unpackbits(bits).sum() == 5
+
+
 def test_graph_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (100, 102)] + [(500, i) for i in range(501, 560)]
     got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
