@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.chunk import chunks, with_hash
-from corpusloom.operators.embed import embed, embedder
+from corpusloom.operators.embed import embed, embedder, misses
 
 KEYS = ["strategy", "chunk_id"]
+CACHE = "model string, key string, vec array<float>"
 CHUNKS = "strategy string, chunk_id string, doc_id string, n int, text string, text_hash string"
 EMBEDDINGS = "strategy string, chunk_id string, model string, text_hash string, embedding array<float>"
 
@@ -59,9 +60,12 @@ class Stats:
 class Store:
     """Chunks and vectors as Parquet under one root, dealt to buckets by document.
 
-    A run writes new files for the buckets that it changes and for no others, then replaces one small pointer file
-    that names each bucket's version; so a failed run leaves the old state, and a small change of a large corpus
-    rewrites little. compact() brings all buckets into one version.
+    A run writes new files for the buckets that it changes and for no others, then adds one small pointer file
+    that names each bucket's version. Pointers are numbered, appear by one rename to a name of their own, and the
+    last one holds; so a run that fails at any step leaves the old state, two runs can't both follow one state, and
+    a small change of a large corpus rewrites little. compact() brings all buckets into one version; vacuum() removes
+    what no kept pointer names. Vectors are also kept by model and content hash, whatever chunk they were made for: what was
+    embedded once isn't again, for another strategy, a restored text or a run after one that failed.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
@@ -77,11 +81,22 @@ class Store:
     def bucket(self, doc_id: Column) -> Column:
         return F.pmod(F.xxhash64(doc_id), F.lit(self.buckets)).cast("int")
 
-    def _state(self) -> dict[str, dict[str, str]]:
+    def _listed(self, prefix: str) -> list[str]:
+        root = self._jvm.org.apache.hadoop.fs.Path(self.root)
+        if not self._fs().exists(root):
+            return []
+        return sorted(n for x in self._fs().listStatus(root) if (n := x.getPath().getName()).startswith(prefix))
+
+    def _pointer(self) -> int:
+        """The number of the last pointer; 0 without one."""
+        return max((int(n.split("-")[1]) for n in self._listed("state-")), default=0)
+
+    def _state(self, number: int | None = None) -> dict[str, dict[str, str]]:
         """For chunks and embeddings, the version of each partition folder."""
-        if not self._fs().exists(self._path("CURRENT")):
+        number = self._pointer() if number is None else number
+        if not number:
             return {"chunks": {}, "embeddings": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first().value)
+        return json.loads(self.spark.read.text(f"{self.root}/state-{number:012d}", wholetext=True).first().value)
 
     def _table(self, name: str, schema: str) -> DataFrame:
         by_version: dict[str, list[str]] = {}
@@ -101,14 +116,15 @@ class Store:
     def write(self, chunked: DataFrame, embeddings: DataFrame, strategy: str | None = None, touched: list[int] | None = None) -> None:
         """Replaces the touched buckets, of one strategy or of all; None means all."""
         version = f"v-{uuid.uuid4().hex}"
-        state = self._state()
+        number = self._pointer()
+        state = self._state(number)
         goes = lambda folder: (strategy is None or f"strategy={strategy}" in folder.split("/")) and (touched is None or int(folder.split("bucket=")[1].split("/")[0]) in touched)
         for name, df, by in (("chunks", chunked, ["strategy", "bucket"]), ("embeddings", embeddings, ["strategy", "bucket", "model"])):
             path = f"{self.root}/{version}/{name}"
             df.repartition("strategy", "bucket").write.partitionBy(*by).parquet(path)
             kept = {f: v for f, v in state[name].items() if not goes(f)}
             state[name] = kept | dict.fromkeys(self._folders(path, len(by)), version)
-        self._point_to(state)
+        self._point_to(state, number + 1)
 
     def _folders(self, path: str, depth: int) -> list[str]:
         out, level = [], [""]
@@ -116,14 +132,35 @@ class Store:
             level = [f"{f}/{x.getPath().getName()}".lstrip("/") for f in level for x in self._fs().listStatus(self._jvm.org.apache.hadoop.fs.Path(f"{path}/{f}".rstrip("/"))) if x.isDirectory()]
         return out + level
 
-    def _point_to(self, state: dict) -> None:
-        fs, part, current = self._fs(), self._path(f"CURRENT.{uuid.uuid4().hex}"), self._path("CURRENT")
+    def _point_to(self, state: dict, number: int) -> None:
+        fs, part = self._fs(), self._path(f".state-{uuid.uuid4().hex}")
         out = fs.create(part)
         out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         out.close()
-        if fs.exists(current):
-            fs.delete(current, False)
-        fs.rename(part, current)
+        target = self._path(f"state-{number:012d}")
+        if fs.exists(target) or not fs.rename(part, target):
+            fs.delete(part, False)
+            raise RuntimeError(f"another run has changed {self.root} meanwhile")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes pointers but the last ones, and versions that these don't name; returns how many versions went.
+        Not to be called while a run writes."""
+        last = self._pointer()
+        kept = [n for n in range(max(1, last - keep + 1), last + 1)]
+        named = {v for n in kept for part in self._state(n).values() for v in part.values()}
+        gone = [v for v in self._listed("v-") if v not in named]
+        for name in [*(n for n in self._listed("state-") if int(n.split("-")[1]) not in kept), *gone]:
+            self._fs().delete(self._path(name), True)
+        return len(gone)
+
+    def cached(self) -> DataFrame:
+        """(model, key, vec): vectors by content hash."""
+        if not self._fs().exists(self._path("cache")):
+            return self.spark.createDataFrame([], CACHE)
+        return self.spark.read.schema(CACHE).parquet(f"{self.root}/cache").dropDuplicates(["model", "key"])
+
+    def add_to_cache(self, vectors: DataFrame) -> None:
+        vectors.write.mode("append").partitionBy("model").parquet(f"{self.root}/cache")
 
     def compact(self) -> None:
         self.write(*self.read())
@@ -152,7 +189,9 @@ def index_corpus(store: Store, docs: DataFrame, strategy: str = "fixed512", mode
     if touched:
         here = F.col("bucket").isin(touched)
         after, kept, todo = after.where(here), cascade(vectors.where(here), after), todo.where(here)
-        keyed = todo.withColumn("__key", F.struct("strategy", "chunk_id", "text_hash", "bucket"))
-        fresh = embed(keyed, model, "__key").select("__key.strategy", "__key.chunk_id", F.lit(model.name).alias("model"), "__key.text_hash", "embedding", "__key.bucket")
+        new_texts = misses(todo, store.cached(), model.name)  # distinct ones that were never embedded; kept before all else
+        store.add_to_cache(embed(new_texts, model, "key", "text", "vec").select(F.lit(model.name).alias("model"), "key", "vec"))
+        vec = store.cached().where(F.col("model") == model.name).select(F.col("key").alias("text_hash"), F.col("vec").alias("embedding"))
+        fresh = todo.join(vec, "text_hash").select("strategy", "chunk_id", F.lit(model.name).alias("model"), "text_hash", "embedding", "bucket")
         store.write(after, upsert_vectors(kept, fresh), strategy, touched)
     return Stats(docs.count(), sum(n for a, n in actions.items() if a != "delete"), actions.get("insert", 0) + actions.get("update", 0), actions.get("delete", 0), sum(lacking.values()), time.time() - began)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
     sc = vectors.sparkSession.sparkContext
     found = None
     rows = queries.select(query_col, query_vec).toLocalIterator()
-    while block := [r for r, _ in zip(rows, range(QUERY_BLOCK), strict=False)]:
+    while block := list(islice(rows, QUERY_BLOCK)):
         shared = sc.broadcast(([r[0] for r in block], np.array([r[1] for r in block], float)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -89,13 +90,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search_vector(chunked: DataFrame, embeddings: DataFrame, query: list[float], strategy: str, model: str, k: int, fresh_only: bool = False) -> DataFrame:
+def search_vector(chunked: DataFrame, embeddings: DataFrame, query: list[float], strategy: str, model: str, k: int, fresh_only: bool = False, digits: int | None = None) -> DataFrame:
     """One query vector: (chunk_id, doc_id, score, text) best first. Nothing for an unknown strategy or model. Vectors
-    of changed chunks count unless fresh_only."""
+    of changed chunks count unless fresh_only. With digits, distances are rounded before ranking."""
     e = embeddings.where((F.col("strategy") == strategy) & (F.col("model") == model))
     q = F.array(*[F.lit(float(x)) for x in query])
     keys = ["strategy", "chunk_id"] + ["text_hash"] * fresh_only
     ranked = e.join(chunked.where(F.col("strategy") == strategy).select(*keys), keys, "left_semi").select("chunk_id", cosine_distance(F.col("embedding"), q).alias("distance"))
+    if digits is not None:
+        ranked = ranked.withColumn("distance", F.round("distance", digits))
     best = ranked.orderBy("distance", "chunk_id").limit(k)  # ids first; the wide text is joined to k rows
     text = chunked.where(F.col("strategy") == strategy).select("chunk_id", "doc_id", "text")
     return F.broadcast(best).join(text, "chunk_id").select("chunk_id", "doc_id", (1 - F.col("distance")).alias("score"), "text").orderBy((1 - F.col("score")).asc(), "chunk_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from corpusloom.functions import text as tx
 from corpusloom.functions import vector as vc
 from corpusloom.functions.html import STRIP_RULES, extract_text, strip_tags
 from corpusloom.operators import chunk, embed, golden, index, metrics, prompt, search
+from corpusloom.sources.files import regroup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,6 +119,26 @@ def utf8_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.length(t).alias("n"), F.sha2(t, 256).alias("h"))
 
 
+# Every document as a page with chrome around it, its text escaped in a paragraph.
+_PAGE = [
+    "<html><head><title>t</title><style>p {}</style></head><body><div class=\"navheader\"><table><tr><td>", "lang", "</td></tr></table></div><script>if (1 < 2) x()</script><p>", "text",
+    "</p><div>in <b>", "lang", "</b><a class=\"id_link\" href=\"#x\">#</a></div><div class=\"wide navfooter\"><p>", "source", "</p></div></body></html>",
+]
+
+
+@query(f"""SELECT doc_id, sha256({STRIP.format("regexp_replace(t || chr(10) || chr(10) || 'in ' || lang, '\n{{3,}}', chr(10) || chr(10), 'g')")}) AS h FROM (SELECT doc_id, lang,
+  array_to_string(list_transform(string_split(replace(text, chr(160), ' '), chr(10)), lambda x: {STRIP.format("x")}), chr(10)) AS t FROM documents)""")
+def html_of_known_text(spark, d):
+    escaped = {"text": F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))}
+    parts = [escaped.get(x, F.col(x) if x in ("lang", "source") else F.lit(x)) for x in _PAGE]
+    return _t(spark, d, "documents").select("doc_id", F.sha2(extract_text(F.concat(*parts)), 256).alias("h"))
+
+
+@query(f"SELECT conv_id::VARCHAR AS path, {STRIP.format('string_agg(text, chr(10) || chr(10) ORDER BY turn, text)')} AS text FROM conversations GROUP BY conv_id")
+def regroup_parts(spark, d):
+    return regroup(_t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("pos"), "text"))
+
+
 # --- C: chunks --------------------------------------------------------------------------------------------------
 
 
@@ -177,6 +200,13 @@ def hash64_unit_norm(spark, d):
     return v.select("item_id", F.posexplode(vc.unit(F.col("embedding"))).alias("bucket", "x")).where("x <> 0").select("item_id", "bucket", F.round("x", 6).alias("x"))
 
 
+@query(f"""WITH {_hash64_sql('benchmark', 'item_id', 'e')}, n AS (SELECT item_id, sqrt(sum(value * value)::DOUBLE) AS norm FROM e GROUP BY item_id)
+SELECT item_id, bucket, (value / norm)::FLOAT::DOUBLE AS x FROM e JOIN n USING (item_id) WHERE value <> 0""")
+def float32_vectors(spark, d):
+    v = embed.embed(_t(spark, d, "benchmark"), embed.embedder("hash64"), "item_id")
+    return v.select("item_id", F.posexplode("embedding").alias("bucket", "x")).where("x <> 0").select("item_id", "bucket", F.col("x").cast("double").alias("x"))
+
+
 @query(f"WITH {_chunk_sql()} SELECT DISTINCT sha256(text) AS key, text FROM c")
 def embed_unique_keys(spark, d):
     return embed.unique_keys(_chunks(spark, d))
@@ -269,6 +299,26 @@ def index_upserted_vectors(spark, d):
     return index.upsert_vectors(kept, fresh).select("chunk_id", "model", "text_hash")
 
 
+def _scratch(spark) -> str:
+    """A new folder where driver and executors share one; a temporary one where they are one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return f"{root or tempfile.mkdtemp(prefix='index-')}/store-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {_old_new_sql()} SELECT chunk_id, text_hash, text_hash AS embedded_hash, 64 AS dimensions FROM n""")
+def index_corpus_run(spark, d):
+    """The index after a run over the stored corpus and a run over the present one."""
+    store = index.Store(spark, _scratch(spark), buckets=8)
+    docs = _t(spark, d, "documents")
+    for text in (F.expr(STORED), F.col("text")):
+        index.index_corpus(store, docs.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text")))
+    chunked, vectors = store.read()
+    v = vectors.select("strategy", "chunk_id", F.col("text_hash").alias("embedded_hash"), F.size("embedding").alias("dimensions"))
+    return chunked.select("strategy", "chunk_id", "text_hash").join(v, ["strategy", "chunk_id"], "full").drop("strategy")
+
+
 # --- F: search --------------------------------------------------------------------------------------------------
 
 
@@ -316,11 +366,16 @@ def dense_rendered(spark, d):
     return search.render(hits).select("query_id", "rank", F.regexp_replace("line", r"^\d+  -?[\d.]+  ", "").alias("line"))
 
 
-@query("SELECT count(*) AS n FROM embeddings WHERE FALSE")
-def dense_unknown_model(spark, d):
+@query(f"""WITH {_old_new_sql()}, v AS (SELECT chunk_id, CASE WHEN n % 3 = 0 THEN 'm1' ELSE 'm2' END AS model, ((n % 7) + 1)::DOUBLE AS x, ((n % 5) - 2)::DOUBLE AS y FROM o),
+s AS (SELECT model, chunk_id, round(x / sqrt(x * x + y * y), 6) AS score FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, chunk_id) AS i FROM s)
+SELECT m.model, r.chunk_id, r.score FROM (VALUES ('m1'), ('m2'), ('no such model')) m(model) JOIN r ON m.model = r.model WHERE i <= 5""")
+def dense_search_by_model(spark, d):
+    """Each model's own vectors are searched; a model that nothing was embedded with has no hits."""
     old, _ = _old_new(spark, d)
-    v = old.select("strategy", "chunk_id", F.lit("m1").alias("model"), "text_hash", F.array(F.lit(1.0).cast("float")).alias("embedding"))
-    return search.search_vector(old, v, [1.0], "fixed512", "no such model", 5).agg(F.count("*").alias("n"))
+    vec = F.array(((F.col("n") % 7) + 1).cast("float"), ((F.col("n") % 5) - 2).cast("float"))
+    v = old.select("strategy", "chunk_id", F.when(F.col("n") % 3 == 0, "m1").otherwise("m2").alias("model"), "text_hash", vec.alias("embedding"))
+    found = [search.search_vector(old, v, [1.0, 0.0], "fixed512", m, 5, digits=6).select(F.lit(m).alias("model"), "chunk_id", F.round("score", 6).alias("score")) for m in ("m1", "m2", "no such model")]
+    return found[0].unionAll(found[1]).unionAll(found[2])
 
 
 STOP_SQL = "['" + "', '".join(search.STOP_WORDS) + "']"
@@ -560,6 +615,24 @@ def results_row(spark, d):
     return a.select(*[metrics.shown(F.col(c), 3).alias(c) for c in ("recall", "mrr", "ndcg")], metrics.shown(F.lit(None).cast("double"), 2).alias("faithfulness"), (F.col("scored") + F.col("skipped")).alias("queries"))
 
 
+_CELLS = ["date", "config", "chunking", "embedding", "retrieval", "k", "queries", "recall", "mrr", "ndcg", "faithfulness", "abstain", "latency", "cost", "revision", "run"]
+
+
+@query(f"""WITH {RANKED_SQL}, {_ANSWERS_SQL}, a AS (SELECT avg(recall) AS recall, avg(mrr) AS mrr, avg(ndcg) AS ndcg, count(recall) AS scored, count(*) - count(recall) AS skipped FROM sc),
+f AS (SELECT avg(faithfulness)::DOUBLE AS faithful FROM an), b AS (SELECT avg((abstained = (difficulty = 'unanswerable'))::INT) AS abst FROM an WHERE NOT refused AND abstained IS NOT NULL)
+SELECT '2024-01-02' AS date, 'base' AS config, 'fixed512' AS chunking, 'hash64' AS embedding, 'dense' AS retrieval, '10' AS k, (scored + skipped) || ' (' || scored || '/' || skipped || ')' AS queries,
+printf('%.3f', recall) AS recall, printf('%.3f', mrr) AS mrr, printf('%.3f', ndcg) AS ndcg, printf('%.2f', faithful) AS faithfulness, printf('%.2f', abst) AS abstain, '12/35' AS latency, '—' AS cost, 'abc1234' AS revision, '—' AS run FROM a, f, b""")
+def report_cells(spark, d):
+    """All sixteen cells of a report row."""
+    from corpusloom.config import RunConfig
+    from corpusloom.plans.evaluate import report_row
+
+    answers = _answers(spark, d)
+    faithful, abstain = metrics.faithfulness(answers).first()[0], metrics.abstain_accuracy(answers).first()[0]
+    row = report_row(RunConfig("base", embedding="hash64", top_k=K), metrics.aggregate(_scored(spark, d)), "2024-01-02T03:04:05Z", "abc1234", faithful, abstain, 12.2, 34.9)
+    return spark.createDataFrame([tuple(row)], ", ".join(f"{c} string" for c in _CELLS))
+
+
 @query(f"""WITH {DENSE_SQL}, t AS (SELECT item_id, chunk_id, rank FROM r WHERE rank <= 5), rel AS (SELECT item_id, (item_id * 3)::VARCHAR || '#c0' AS x FROM benchmark)
 SELECT rel.item_id::VARCHAR AS query_id, string_agg(t.chunk_id, ' ' ORDER BY rank) AS retrieved, max(CASE WHEN t.chunk_id = x THEN 1 ELSE 0 END)::DOUBLE AS recall, round(max(CASE WHEN t.chunk_id = x THEN 1.0 / rank ELSE 0 END)::DOUBLE, 9) AS mrr
 FROM rel JOIN t ON rel.item_id = t.item_id GROUP BY ALL""")

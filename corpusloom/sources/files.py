@@ -50,22 +50,26 @@ def load_corpus(spark: SparkSession, root: str, cache: str | None = None) -> Dat
     kept under a key made from the listing (names, sizes, times)."""
     files = listing(spark, root)
     if cache is None:
-        return _unique(parse(files))
-    key = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "rel", "length", F.col("modificationTime").cast("string")))), "\n"), 256)).first()[0]
-    path = f"{cache.rstrip('/')}/{hashlib.sha256((key or '').encode()).hexdigest()}"
+        return _unique(files)
+    # sums of two hashes of each file's entry, in any order: no task holds the listing
+    entry = [F.col("rel"), F.col("length"), F.col("modificationTime")]
+    total = [F.sum(F.xxhash64(*entry, F.lit(i)).cast("decimal(38,0)")) for i in range(2)]
+    key = files.select(*entry).agg(F.count("*"), *total).first()
+    path = f"{cache.rstrip('/')}/{hashlib.sha256('|'.join(map(str, key)).encode()).hexdigest()}"
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")  # written last
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        _unique(parse(files)).write.mode("overwrite").parquet(path)
+        _unique(files).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def _unique(docs: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    checked = F.when(n > 1, F.raise_error(F.concat(F.lit("several files for "), F.col("doc_id"))).cast("string")).otherwise(F.col("doc_id"))
-    return docs.withColumn("doc_id", checked).orderBy("doc_id")
+def _unique(files: DataFrame) -> DataFrame:
+    """The parsed files in order of id. That ids are unique is found from the names alone, before a text is read."""
+    ids = files.select(doc_id_from_path(F.col("rel")).alias("doc_id"))
+    twice = ids.groupBy("doc_id").count().where("count > 1").orderBy("doc_id").first()
+    if twice:
+        raise ValueError(f"several files for {twice.doc_id}")
+    return parse(files).orderBy("doc_id")
 
 
 def load_doc(docs: DataFrame, doc_id: str) -> str:

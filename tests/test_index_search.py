@@ -97,6 +97,82 @@ def test_top_k_against_brute_force(spark):
         search.top_k(df, qs, 0)
 
 
+@pytest.mark.parametrize("block", [1, 4, 5])
+def test_blocks_of_queries_lose_none(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(60, 3)), rng.normal(size=(11, 3))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id int, embedding array<double>").repartition(3)
+    qs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<double>").repartition(2)
+    got = {}
+    for r in search.top_k(df, qs, 2).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.chunk_id
+    near = (v @ q.T) / np.sqrt((v * v).sum(1))[:, None]
+    assert got == {i: {1 + j: int(x) for j, x in enumerate(np.argsort(-near[:, i])[:2])} for i in range(11)}
+
+
+def test_a_run_that_fails_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    store = index.Store(spark, str(tmp_path / "store"))
+    index.index_corpus(store, docs(spark, a="alpha", b="beta"))
+
+    def crash(*_):
+        raise OSError("gone")
+
+    for step in ("_point_to", "_folders"):
+        with monkeypatch.context() as m:
+            m.setattr(store, step, crash)
+            with pytest.raises(OSError):
+                index.index_corpus(store, docs(spark, a="changed", c="new"))
+        again = index.Store(spark, str(tmp_path / "store"))
+        assert {r.doc_id: r.text for r in again.read()[0].collect()} == {"a": "alpha", "b": "beta"} and again.read()[1].count() == 2
+    with pytest.raises(RuntimeError):  # two runs from one state
+        store._point_to({"chunks": {}, "embeddings": {}}, 1)
+    index.index_corpus(store, docs(spark, a="changed", c="new"))
+    assert {r.doc_id: r.text for r in store.read()[0].collect()} == {"a": "changed", "c": "new"}
+    assert store.vacuum(keep=1) >= 2 and store._listed("state-") == ["state-000000000002"]
+    assert {r.doc_id: r.text for r in store.read()[0].collect()} == {"a": "changed", "c": "new"} and store.read()[1].count() == 2
+
+
+def test_what_was_embedded_once_is_not_again(spark, tmp_path, monkeypatch):
+    """Equal texts under another strategy, and a text that comes back, take their vectors from the cache."""
+    from corpusloom.operators import chunk
+
+    monkeypatch.setitem(chunk.STRATEGIES, "wide", chunk.FixedSize(900, 0))
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counting(Hash64):
+        name = "counting"
+
+        def embed(self, texts):
+            import uuid
+
+            if len(texts):
+                (calls / uuid.uuid4().hex).write_text("\n".join(texts))
+            return super().embed(texts)
+
+    embedded = lambda: sorted(x for f in calls.iterdir() for x in f.read_text().split("\n"))
+    store = index.Store(spark, str(tmp_path / "store"))
+    d = docs(spark, a="alpha", b="beta", c="alpha")
+    assert index.index_corpus(store, d, model=Counting()).embedded == 3
+    assert embedded() == ["alpha", "beta"]  # distinct texts
+    assert index.index_corpus(store, d, "wide", Counting()).embedded == 3
+    index.index_corpus(store, docs(spark, a="alpha"), model=Counting())
+    index.index_corpus(store, d, model=Counting())
+    assert embedded() == ["alpha", "beta"]
+    vectors = {(r.strategy, r.chunk_id): list(r.embedding) for r in store.read()[1].collect()}
+    assert len(vectors) == 6 and vectors["wide", "b#c0"] == vectors["fixed512", "b#c0"] == pytest.approx(Hash64().embed(["beta"])[0].tolist())
+
+
+def test_one_version_of_a_document_in_a_batch(spark):
+    rows = [("a", "old", 1), ("a", "new", 2), ("b", "x", 1), ("b", "y", 1), ("c", None, 1)]
+    df = spark.createDataFrame(rows, f"doc_id string, text string, {reindex.WRITTEN} int")
+    for frame in (df, df.orderBy("text"), df.repartition(3)):
+        assert {r.doc_id: r.text for r in reindex.latest(frame).collect()} == {"a": "new", "b": "y", "c": None}
+
+
 def test_not_implemented(spark):
     for c in (RunConfig("x", retrieval="sparse"), RunConfig("x", retrieval="hybrid"), RunConfig("x", rerank="r")):
         with pytest.raises(NotImplementedError):
