@@ -436,7 +436,8 @@ def _large_links(large: DataFrame, verified: Callable[[DataFrame], DataFrame], m
     first = cut(verified(rows.select("__id", "__hash", "v", "__comp", F.col("__block").alias("__part")).unionByName(pivots)))
     named = cut(rows.join(components(first), "v", "left").withColumn("__label", F.coalesce("root", "v")).drop("root"))
     main = named.groupBy("__comp", "__label").count().groupBy("__comp").agg(F.max_by("__label", F.struct("count", "__label")).alias("__main"))
-    named = named.join(maybe_broadcast(cut(main)), "__comp")  # a row a group: its members needn't meet in one task.withColumn("__outside", F.col("__label") != F.col("__main"))
+    # a row a group is sent to its members, which needn't meet in one task
+    named = named.join(maybe_broadcast(cut(main)), "__comp").withColumn("__outside", F.col("__label") != F.col("__main"))
     left = named.where("__outside").groupBy("__comp").agg(blocks(F.sum("n_shingles"), F.count("*")).alias("__r"))
     tasks = named.join(maybe_broadcast(cut(left)), "__comp").withColumn("__own", F.pmod(F.xxhash64(F.lit("r"), "v"), F.col("__r").cast("long")).cast("int"))
     as_block = F.transform(F.sequence(F.lit(0), F.col("__r") - 1), lambda r: r * F.col("__k") + F.col("__block"))
