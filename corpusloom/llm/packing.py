@@ -14,43 +14,54 @@ many pieces as it needs. An empty table gives no pieces. Sequence ids are unique
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bytebpe import PATTERN, byte_chars
+from corpusloom.llm.bytebpe import CACHE_PIECES, PATTERN, byte_chars
 
 LAST_CLASS = 64
 OUT = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+class _Pieces(dict):
+    """Ids of the pieces met so far, as bytes; others are merged by the library's model when asked for."""
+
+    def __init__(self, tokenize):
+        self.tokenize = tokenize
+        self.chars = dict(enumerate(byte_chars()))
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        found = self.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.chars))
+        ids = np.array([t.id for t in found], "<u4").tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 @lru_cache(2)
 def encoder(path: str):
-    """text -> uint32 ids of a byte-level tokenizers file. tiktoken merges, with the file's vocabulary as ranks,
-    which are its merges' order; a text that it can't take goes to the tokenizers library."""
-    import tiktoken
+    """text -> uint32 ids of a byte-level tokenizers file. A piece of the byte-level pattern has the same ids wherever it
+    stands, so the tokenizers library's model is asked for each distinct one; texts with the string of a special token
+    go to the library whole."""
     from tokenizers import Tokenizer
 
-    spec = json.load(open(path, encoding="utf-8"))
-    of_char = {c: b for b, c in enumerate(byte_chars())}
-    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(of_char[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
-    fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    slow = Tokenizer.from_file(path)
-    names = set(special)
+    library = Tokenizer.from_file(path)
+    special = [t.content for t in library.get_added_tokens_decoder().values()]
+    cut = regex.compile(PATTERN).findall
+    ids_of = _Pieces(library.model.tokenize).__getitem__
 
     def encode(text: str) -> np.ndarray:
-        try:
-            return fast.encode_to_numpy(text, allowed_special=names)
-        except BaseException as e:
-            if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):  # its panic is no Exception
-                raise
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        if any(s in text for s in special):
+            return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.frombuffer(b"".join(map(ids_of, cut(text))), "<u4")
 
     return encode
 
