@@ -93,6 +93,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free() -> None:
+    """Called in a worker at the end of a task that held much: gives Arrow's unused memory back, since the worker stays
+    for later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; reads no more than one beyond that."""
     return df.limit(rows + 1).count() <= rows

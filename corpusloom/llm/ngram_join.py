@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, maybe_broadcast, release, staged
+from corpusloom.llm.common import cut, free, maybe_broadcast, release, staged
 from corpusloom.llm.graph import components
 
 DIMENSIONS = 32
@@ -80,6 +80,12 @@ def _word_hash() -> _WordHash:
     return _WordHash()
 
 
+def _forget() -> None:
+    """At a task's end: the worker stays, and the next stages need its memory."""
+    _word_hash().clear()
+    free()
+
+
 def shingles(raw: bytes, n: int) -> np.ndarray:
     """The sorted hashes of the distinct shingles of a text in UTF-8; A-Z in lower case, ASCII white space."""
     words = raw.lower().split()
@@ -363,6 +369,8 @@ def _key_rows(batches: Iterator[pa.RecordBatch], n: int, rule: Rule, frequent: n
                 ks, vs, held = [], [], 0
     if ks:
         yield flush()
+        ks, vs = [], []
+    _forget()
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -385,8 +393,11 @@ def _meet(table: pa.Table) -> pa.Table:
             i = np.flatnonzero((run[:-d] == run[d:]) & ~many[run[d:]])
             pairs.append(np.column_stack([v[i], v[i + d]]))
             need.append((k[i] & np.uint64(7)).astype(np.int64))
+        del run, joined, many
+    del k, v
     e = np.unique(np.concatenate(sure), axis=0)
     p, q = np.concatenate(pairs), np.concatenate(need)
+    del sure, pairs, need
     order = np.lexsort((p[:, 1], p[:, 0]))
     p, q = p[order], q[order]
     starts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]).any(1)])[: len(p)])
@@ -417,6 +428,8 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, rule: Rule) -> Iterator[p
                 if set_id(s) == v:  # another text under the same document id is another vertex
                     sets[v] = s
     yield from done()
+    sets = {}
+    _forget()
 
 
 def _large_links(large: DataFrame, verified: Callable[[DataFrame], DataFrame], max_shingles: int, max_rows: int) -> DataFrame:
@@ -469,6 +482,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
         if id_type is not None:
             got = sketch.slices()
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, id_type), *[pa.nulls(SLICES, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()), pa.array(got, pa.binary())], names)
+        _forget()
 
     text_hash = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
     measured, _ = staged(docs.select(id_col, _raw(text_col), text_hash.alias("__hash")).mapInArrow(sizes, f"`{id_col}` {kind}, text_hash bigint, v bigint, n_shingles bigint, slice int, sketch binary"), "sets")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytebpe import CACHE_PIECES, PATTERN, byte_chars
+from corpusloom.llm.common import free
 
 LAST_CLASS = 64
 OUT = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -46,24 +47,29 @@ class _Pieces(dict):
         return ids
 
 
-@lru_cache(2)
-def encoder(path: str):
+class Encoder:
     """text -> uint32 ids of a byte-level tokenizers file. A piece of the byte-level pattern has the same ids wherever it
     stands, so the tokenizers library's model is asked for each distinct one; texts with the string of a special token
     go to the library whole."""
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    special = [t.content for t in library.get_added_tokens_decoder().values()]
-    cut = regex.compile(PATTERN).findall
-    ids_of = _Pieces(library.model.tokenize).__getitem__
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.cut = regex.compile(PATTERN).findall
+        self.pieces = _Pieces(self.library.model.tokenize)
 
-    def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(b"".join(map(ids_of, cut(text))), "<u4")
+    def __call__(self, text: str) -> np.ndarray:
+        if any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.cut(text))), "<u4")
 
-    return encode
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One per worker process."""
+    return Encoder(path)
 
 
 def classes(capacity: int) -> list[int]:
@@ -165,5 +171,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_c
         if id_type is not None:
             packer.finish()
             yield flush(id_type)
+        encode.pieces.clear()  # the worker may live on in other stages
+        free()
 
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, {OUT}")
