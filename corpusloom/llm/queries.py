@@ -83,6 +83,18 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.private_spans import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_katz_backoff": op2_katz_backoff,
@@ -94,6 +106,8 @@ QUERIES = {
     "op6_quality_forest": op6_quality_forest,
     "op7_html_text": op7_html_text,
     "op10_winnowing": op10_winnowing,
+    "op11_private_spans": op11_private_spans,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 OP4_SQL = r"""
@@ -145,9 +159,29 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.n = 1
 """
 
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(min(w.doc_id) OVER (PARTITION BY text) < w.doc_id, false) AS e
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+x AS (SELECT *, unnest([{'f': 'A', 'fails': a}, {'f': 'B', 'fails': b}, {'f': 'C', 'fails': c}, {'f': 'D', 'fails': d}, {'f': 'E', 'fails': e}]) AS u,
+  (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS failed FROM f),
+n AS (SELECT part, failed, count(*) // 5 AS n, count(*) FILTER (WHERE good) // 5 AS n_good, count(*) FILTER (WHERE toxic) // 5 AS n_toxic FROM x GROUP BY part, failed),
+k(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.c || q.c || r.c || s.c || t.c AS filter_order FROM k p, k q, k r, k s, k t WHERE len(list_distinct([p.c, q.c, r.c, s.c, t.c])) = 5),
+st AS (SELECT filter_order, i::INT AS step, filter_order[i] AS f, left(filter_order, (i - 1)::BIGINT) AS earlier FROM o, range(1, 6) t(i)),
+j AS (SELECT n.*, filter_order, step, f, contains(failed, f) AS fails, regexp_matches(failed, '[' || earlier || '0]') AS gone FROM n, st),
+y AS (SELECT part, filter_order, step, any_value(f) AS f, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE failed = f), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n_good) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM j GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM y
+"""
+
 ORACLES = {
     "op4_ngram_join": OP4_SQL,
     "op7_html_text": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_url_filter": OP9_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
