@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,3 +73,17 @@ def first_match(text: Column, pattern: str, context: int = 60) -> Column:
     at = F.length(F.element_at(F.split(text, p, 2), 1))  # in code points, which regexp_instr doesn't count
     lo = F.greatest(at - context, F.lit(0))
     return squeeze(F.substring(text, lo + 1, at + F.length(found) + context - lo))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once also where then uses it in a function of array elements."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def windows(text: Column, size: int) -> Column:
+    """Every run of so many lower-case words, joined by spaces; none for a text of fewer."""
+    def of(words: Column) -> Column:
+        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+    return let(tokens(text), of)

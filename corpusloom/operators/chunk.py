@@ -40,16 +40,17 @@ def strategy(name: str) -> FixedSize:
     return STRATEGIES[name]
 
 
-def chunks(docs: DataFrame, how: FixedSize | str = "fixed512") -> DataFrame:
-    """doc_id, chunk_id, n, start, end, text of every window of docs (doc_id, text). No shuffle: a generator."""
+def chunks(docs: DataFrame, how: FixedSize | str = "fixed512", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, chunk_id, n, start, end, text of every window of docs (doc_id, text), and the columns to keep of their
+    documents. No shuffle: a generator."""
     how = strategy(how) if isinstance(how, str) else how
     length = F.length("text")
-    spans = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", length.alias("__len"), how.count(length).alias("__count")).where("__count > 0")
+    spans = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *keep, length.alias("__len"), how.count(length).alias("__count")).where("__count > 0")
     spans = spans.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
     start = F.col("n") * how.stride
     return spans.select(
         "doc_id", F.concat("doc_id", F.lit("#c"), F.col("n").cast("string")).alias("chunk_id"), "n",
-        start.alias("start"), F.least(start + how.size, F.col("__len")).alias("end"), F.substring("text", start + 1, F.lit(how.size)).alias("text"),
+        start.alias("start"), F.least(start + how.size, F.col("__len")).alias("end"), F.substring("text", start + 1, F.lit(how.size)).alias("text"), *keep,
     )
 
 
