@@ -310,9 +310,9 @@ def _scratch(spark) -> str:
 @query(f"""WITH {_old_new_sql()} SELECT chunk_id, text_hash, text_hash AS embedded_hash, 64 AS dimensions FROM n""")
 def index_corpus_run(spark, d):
     """The index after a run over the stored corpus and a run over the present one."""
-    store = index.Store(spark, _scratch(spark), buckets=8)
-    docs = _t(spark, d, "documents")
-    for text in (F.expr(STORED), F.col("text")):
+    root, docs = _scratch(spark), _t(spark, d, "documents")
+    for text, buckets in ((F.expr(STORED), 8), (F.col("text"), 64)):  # opened anew; its bucket count stays the first one
+        store = index.Store(spark, root, buckets)
         index.index_corpus(store, docs.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text")))
     chunked, vectors = store.read()
     v = vectors.select("strategy", "chunk_id", F.col("text_hash").alias("embedded_hash"), F.size("embedding").alias("dimensions"))

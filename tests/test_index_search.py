@@ -33,12 +33,12 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     store = index.Store(spark, str(tmp_path / "store"), buckets=8)
     texts = {f"d{i}": f"text {i}" for i in range(40)}
     index.index_corpus(store, docs(spark, **texts))
-    before = store._state()["chunks"]
+    before = store.state().folders["chunks"]
     index.index_corpus(store, docs(spark, **(texts | {"d7": "changed"})))
-    after = store._state()["chunks"]
+    after = store.state().folders["chunks"]
     assert len(before) == 8 and sum(before[f] != after[f] for f in before) == 1
     store.compact()
-    assert len(set(store._state()["chunks"].values())) == 1
+    assert len(set(store.state().folders["chunks"].values())) == 1
     assert {r.doc_id: r.text for r in store.read()[0].collect()} == texts | {"d7": "changed"}
     assert store.read()[1].count() == 40
 
@@ -127,14 +127,85 @@ def test_a_run_that_fails_leaves_the_old_state(spark, tmp_path, monkeypatch):
                 index.index_corpus(store, docs(spark, a="changed", c="new"))
         again = index.Store(spark, str(tmp_path / "store"))
         assert {r.doc_id: r.text for r in again.read()[0].collect()} == {"a": "alpha", "b": "beta"} and again.read()[1].count() == 2
-    with pytest.raises(RuntimeError):  # two runs from one state
-        store._point_to({"chunks": {}, "embeddings": {}}, 1)
+    assert not store._point_to({"chunks": {}, "embeddings": {}}, 1)  # the name is taken
     index.index_corpus(store, docs(spark, a="changed", c="new"))
     assert {r.doc_id: r.text for r in store.read()[0].collect()} == {"a": "changed", "c": "new"}
     assert store.vacuum(keep=1) >= 2 and store._listed("state-") == ["state-000000000002"]
     assert {r.doc_id: r.text for r in store.read()[0].collect()} == {"a": "changed", "c": "new"} and store.read()[1].count() == 2
 
 
+def test_a_run_overtaken_by_another_loses_nothing(spark, tmp_path, monkeypatch):
+    """A second run, whole, inside the first one's: in the same bucket the first begins anew, in another it keeps both."""
+    texts = {f"d{i}": f"text {i}" for i in range(20)}
+    for name, buckets in (("same", 1), ("other", 64)):
+        store = index.Store(spark, str(tmp_path / name), buckets)
+        index.index_corpus(store, docs(spark, **texts))
+        whole, runs = index.Store.write, []
+
+        def overtaken(self, *args, whole=whole, runs=runs, **kw):
+            runs.append(1)
+            if len(runs) == 1:
+                monkeypatch.setattr(index.Store, "write", whole)
+                index.index_corpus(index.Store(spark, self.root), docs(spark, new2="from the second"), partial=True)
+                monkeypatch.setattr(index.Store, "write", overtaken)
+            whole(self, *args, **kw)
+
+        with monkeypatch.context() as m:
+            m.setattr(index.Store, "write", overtaken)
+            index.index_corpus(store, docs(spark, d3="changed", new1="from the first"), partial=True)
+            monkeypatch.setattr(index.Store, "write", whole)
+        assert len(runs) == (2 if name == "same" else 1)
+        want = texts | {"d3": "changed", "new1": "from the first", "new2": "from the second"}
+        chunked, vectors = store.read()
+        assert {r.doc_id: r.text for r in chunked.collect()} == want and chunked.count() == vectors.count() == 22
+
+
+def test_conflicts_that_never_end_are_an_error(spark, tmp_path, monkeypatch):
+    tries = []
+
+    def beaten(*_):
+        tries.append(1)
+        raise index.Conflict("always")
+
+    monkeypatch.setattr(index, "_index_once", beaten)
+    with pytest.raises(index.Conflict):
+        index.index_corpus(index.Store(spark, str(tmp_path / "store")), docs(spark, a="beta"))
+    assert len(tries) == index.ATTEMPTS
+
+
+def test_a_store_keeps_its_bucket_count(spark, tmp_path):
+    root = str(tmp_path / "store")
+    texts = {f"d{i}": f"text {i} " * 100 for i in range(30)}
+    index.index_corpus(index.Store(spark, root, buckets=8), docs(spark, **texts))
+    again = index.Store(spark, root)  # with the default count
+    changed = texts | {"d1": "one", "d2": "two", "d3": "three"}
+    index.index_corpus(again, docs(spark, **changed))
+    chunked, vectors = again.read()
+    assert again.buckets == 8 and chunked.count() == chunked.select("chunk_id").distinct().count() == vectors.count()
+    assert {r.doc_id for r in chunked.collect()} == set(texts) and {r.text for r in chunked.where("doc_id IN ('d1', 'd2', 'd3')").collect()} == {"one", "two", "three"}
+    before = sorted(map(tuple, chunked.drop("bucket").collect()))
+    again.compact(buckets=32)  # a store that has grown
+    assert index.Store(spark, root).buckets == 32 and sorted(map(tuple, again.read()[0].drop("bucket").collect())) == before
+    index.index_corpus(index.Store(spark, root, buckets=8), docs(spark, **(changed | {"d1": "uno"})))
+    assert again.read()[0].count() == len(before) == again.read()[1].count()
+
+
+def test_cache_reads_only_the_folders_of_its_keys(spark, tmp_path):
+    store = index.Store(spark, str(tmp_path / "store"))
+    index.index_corpus(store, docs(spark, **{f"d{i}": f"text {i}" for i in range(300)}))
+    keys = store.read()[0].limit(3).select(F.col("text_hash").alias("key")).distinct()
+    found = store.cached("hash64", keys)
+    wanted = {k.key[:2] for k in keys.collect()}
+    read = {f.split("prefix=")[1][:2] for f in found.inputFiles() if "/cache/" in f}
+    assert found.count() == 3 and len(wanted) <= 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(model" in plan and "prefix" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0] and "BroadcastHashJoin" in plan
+    assert wanted <= read
+    # a key that two runs have added counts once
+    store.add_to_cache(spark.createDataFrame(store.cached("hash64", keys).collect(), index.CACHE))
+    assert store.cached("hash64", keys).count() == 3
+
+
 def test_what_was_embedded_once_is_not_again(spark, tmp_path, monkeypatch):
     """Equal texts under another strategy, and a text that comes back, take their vectors from the cache."""
     from corpusloom.operators import chunk
