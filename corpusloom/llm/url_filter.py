@@ -32,6 +32,7 @@ from corpusloom.llm.common import cut, remove, shared_dir, write_file
 #: The seed of Spark's own xxhash64.
 SEED = 42
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWERED = str.maketrans(UPPER, LOWER)
 
 
 def key_of(rule: bytes) -> int:
@@ -57,7 +58,7 @@ class SortedDigests:
         best: dict[str, str] = {}
         for verdict, rule in rules:
             host, _, path = rule.partition("/")
-            rule = f"{host.lower()}/{path}"
+            rule = f"{host.translate(_LOWERED)}/{path}"  # A-Z alone, as in urls
             best[rule] = "block" if "block" in (verdict, best.get(rule)) else verdict
         raw = sorted((key_of(r.encode()), r.encode(), v == "block") for r, v in best.items())
         lengths = sorted({len(r.partition("/")[2]) for r in best})
@@ -68,7 +69,7 @@ class SortedDigests:
     @staticmethod
     def stream(rules: DataFrame) -> Iterator[bytes]:
         """The same of a table (verdict, rule), part by part: the driver holds a partition of the sorted rules at a time."""
-        rule = F.concat(F.lower(F.substring_index("rule", "/", 1)), F.expr("substring(rule, instr(rule, '/'))"))
+        rule = F.concat(F.translate(F.substring_index("rule", "/", 1), UPPER, LOWER), F.expr("substring(rule, instr(rule, '/'))"))
         once = rules.where(F.col("rule").contains("/")).select(rule.alias("rule"), F.col("verdict")).groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("b"))
         key = F.xxhash64("rule")
         order = F.when(key >= 0, 0).otherwise(1)  # as unsigned numbers

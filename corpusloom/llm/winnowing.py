@@ -102,24 +102,25 @@ def _place(x: Column, cuts: list, lo: int = 0) -> Column:
     if not cuts:
         return F.lit(lo)
     half = len(cuts) // 2
-    return F.when(x < F.lit(cuts[half]), _place(x, cuts[:half], lo)).otherwise(_place(x, cuts[half + 1 :], lo + half + 1))
+    return F.when(x < cuts[half], _place(x, cuts[:half], lo)).otherwise(_place(x, cuts[half + 1 :], lo + half + 1))
 
 
 def by_range(rows: DataFrame, ranges: int) -> DataFrame:
     """rows (id, text, tie), dealt to as many partitions as ranges of ids, sorted in each; the last row of a range
     (extra 1) is the first of the next one, of the last range the first of all."""
+    key = F.struct("id", "tie")  # in a struct a null comes before all else, so that rows without an id are dealt too
     part = F.spark_partition_id().alias("part")
-    ids = rows.select("id").where(F.col("id").isNotNull()).repartitionByRange(ranges, "id")
-    firsts = [r.least for r in ids.groupBy(part).agg(F.min("id").alias("least")).orderBy("least").collect()]  # one row a range
-    nulls = bool(rows.where(F.col("id").isNull()).limit(1).count())
+    ranged = rows.select("id", "tie").repartitionByRange(ranges, F.col("id").asc_nulls_first(), "tie")
+    firsts = [r.least for r in ranged.groupBy(part).agg(F.min(key).alias("least")).orderBy("least").collect()]  # one row a range
     if not firsts:
-        firsts, nulls = [None], True
-    cuts, last = firsts[1:], len(firsts) - 1
-    own = F.when(F.col("id").isNull(), 0).otherwise(_place(F.col("id"), cuts))
-    leads = F.coalesce(F.col("id").isin(cuts), F.lit(False)) if cuts else F.lit(False)
-    leads = leads | (F.col("id").isNull() if nulls else F.col("id") == F.lit(firsts[0]))
+        return rows.select("id", "text", "tie", F.lit(0).alias("range"), F.lit(0).alias("extra"))
+    kind = rows.schema["id"].dataType
+    as_key = lambda r: F.struct(F.lit(r.id).cast(kind).alias("id"), F.lit(r.tie).alias("tie"))
+    starts = [as_key(r) for r in firsts]
+    own = _place(key, starts[1:])
     at = lambda r, e: F.struct(r.alias("r"), F.lit(e).alias("e"))
-    before = F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1)
+    before = F.when(F.col("own") == 0, F.lit(len(firsts) - 1)).otherwise(F.col("own") - 1)
+    leads = F.element_at(F.array(*starts), F.col("own") + 1).eqNullSafe(key)
     places = F.when(leads, F.array(at(F.col("own"), 0), at(before, 1))).otherwise(F.array(at(F.col("own"), 0)))
     placed = rows.withColumn("own", own.cast("int")).withColumn("place", F.explode(places)).select("id", "text", "tie", F.col("place.r").alias("range"), F.col("place.e").alias("extra"))
     return placed.repartitionById(len(firsts), F.col("range")).sortWithinPartitions("extra", F.col("id").asc_nulls_first(), "tie")

@@ -154,10 +154,10 @@ def test_made_pages_give_their_articles(spark):
         assert got[r.page_id] == " ".join(html_lib.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
 
 
-RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "Bad.net/"), ("allow", "bad.net/"), ("block", "x.com/")]
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "Bad.net/"), ("allow", "bad.net/"), ("block", "x.com/"), ("block", "É.Org/Ü"), ("allow", "é.org/")]
 URLS = [
     "http://example.com/en/1", "http://www.EXAMPLE.com/en/1", "http://a.www.example.com/en/", "http://example.com/de/", "http://notexample.com/en/", "https://a.net/es/x?y", "https://a.net/es", "https://bad.net/q",
-    "https://x.com/", "ftp://x.com?/a", "http://x.com#a/b", "no scheme", "", None, "://", "http://u.example.com", "http://example.com/en", "http://é.com/ü", "a://b://com/x",
+    "https://x.com/", "ftp://x.com?/a", "http://x.com#a/b", "no scheme", "", None, "://", "http://u.example.com", "http://example.com/en", "http://é.com/ü", "a://b://com/x", "http://É.ORG/Ü1", "http://É.org/ü", "http://é.org/Ü", "http://a.É.org/Üx",
 ]
 
 
@@ -169,9 +169,10 @@ def brute_rule(url):
     path = tail.split("?")[0].split("#")[0] if tail.startswith("/") else ""
     best = None
     for verdict, rule in RULES:
-        h, _, p = rule.lower().partition("/")
+        h, _, p = rule.partition("/")
+        h = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in h)
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
-            key = (len(rule), len(h), verdict == "block", rule.lower(), verdict)
+            key = (len(rule), len(h), verdict == "block", f"{h}/{p}", verdict)
             best = max(best or key, key)
     return host, path, best and best[3], best[4] if best else "allow"
 
@@ -310,3 +311,22 @@ def test_ids_of_any_orderable_type(spark, kind):
         n = len(t) // 4
         assert r.edited_sha256 == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
         assert list(r.positions) == wn.winnow(t)[0].tolist()
+
+
+def test_rows_without_an_id_are_dealt_to_tasks(spark):
+    rows = [(None, f"text {i} " * 9) for i in range(60)] + [(i, f"word {i} " * 9) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    dealt = wn.by_range(df.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("tie")), 8)
+    per_range = [r["count"] for r in dealt.where("extra = 0 AND id IS NULL").groupBy("range").count().collect()]
+    assert sum(per_range) == 60 and len(per_range) > 3 and dealt.where("extra = 1").count() == dealt.select("range").distinct().count()
+    order = df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    want = []
+    for r, after in zip(order, order[1:] + order[:1], strict=True):
+        n = len(r.text) // 4
+        want.append((str(r.doc_id), hashlib.sha256((r.text[: len(r.text) - n] + after.text[:n]).encode()).hexdigest()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        assert sorted((str(r.doc_id), r.edited_sha256) for r in wn.compare_with_next(df).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
