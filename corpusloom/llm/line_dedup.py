@@ -204,5 +204,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
         "n_lines": F.size(F.split(whole, "\n", -1)).cast("long"),
         "n_dropped": F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long"),
     }
-    names = [*docs.columns, *(x for x in made if x not in docs.columns)]
-    return joined.select(*((made[c] if c in made else F.col("row").getField(c)).alias(c) for c in names))
+    have = {c.lower() for c in docs.columns}
+    by_name = {c.lower(): x for c, x in made.items()}  # whatever the case, as Spark finds columns
+    names = [*docs.columns, *(x for x in made if x.lower() not in have)]
+    return joined.select(*((by_name[c.lower()] if c.lower() in by_name else F.col("row").getField(c)).alias(c) for c in names))

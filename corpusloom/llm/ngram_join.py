@@ -501,6 +501,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     sized = cut(placed.join(volume, "root").select(F.col("rep.id").alias("__id"), F.col("rep.text_hash").alias("__hash"), "v", F.col("root").alias("__comp"), "n_shingles", "__volume", "__rows"))
     max_rows = max(MIN_ROWS, -(-2 * sized.count() // buckets))  # two fair shares of the tasks' rows
     texts = docs.select(F.col(id_col).alias("__doc"), text_hash.alias("__h"), _raw(text_col))
+    if every.groupBy(id_col, "text_hash").count().where("count > 1").limit(1).count():
+        # rows that repeat an id (or none) and a text are one before they are moved, not only in the task that they meet in
+        texts = texts.groupBy("__doc", "__h").agg(F.first("__raw").alias("__raw"))
 
     def verified(tasks: DataFrame) -> DataFrame:
         # id and text hash: rows of one id, or of none, meet only if their texts are the same

@@ -270,3 +270,18 @@ def test_bitmaps_and_empty(spark, docs, empty):
     assert maps and all(r.n_dropped >= 1 and len(bytes(r.bitmap)) < 40 for r in maps)
     assert ld.dedup_lines(empty).collect() == []
     assert ld.apply_bitmap("a\nb", None) == "a\nb"
+
+
+def test_names_of_the_result_in_another_case_are_replaced(spark):
+    df = spark.createDataFrame([(i, "same line\nown " + str(i), 7, 8) for i in range(3)], "doc_id int, text string, N_LINES int, n_Dropped int")
+    got = ld.dedup_lines(df, min_docs=3)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} == {(i, f"own {i}", 2, 1) for i in range(3)}
+
+
+def test_repeated_rows_meet_once(spark):
+    """Many rows of one id and text, and of no id and one text, are one before they are moved."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text)] * 50 + [(None, text + " more")] * 50 + [(2, text + " end"), (3, "other words here"), (None, "other words here")]
+    got = nj.join(spark.createDataFrame(rows, "doc_id int, text string").repartition(4), n=3, num=90, den=100).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.n_shingles > 30} == {1} and {r.component_id for r in got if r.n_shingles == 1} == {3}
