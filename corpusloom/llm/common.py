@@ -11,9 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast, and bytes of its widest form; larger sides are joined by a shuffle.
+#: Rows of a side that may be broadcast, of a few numbers each; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,11 +93,16 @@ def release(spark: SparkSession) -> None:
 
 
 def free() -> None:
-    """Called in a worker at the end of a task that held much: gives Arrow's unused memory back, since the worker stays
-    for later stages."""
+    """Called in a worker at the end of a task that held much: gives unused memory of Arrow and of the C library back, since
+    the worker stays for later stages."""
+    import ctypes
+
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's own
+    if trim:
+        trim(0)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -52,7 +52,7 @@ MAX_SHINGLES = 6_000_000
 MIN_ROWS = 128
 FREQUENT_SHARE = 1000
 SKETCH_BITS, SLICES = 22, 64
-KEYS_HELD = 1_500_000
+KEYS_HELD = 500_000
 FEW = 8
 MOST_SHARED = 6
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh
+from corpusloom.llm.common import free, fresh
 
 TREES, PER_TREE = 200, 256
 SAMPLE_ROWS = 20_000
@@ -195,9 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
 def judge(docs: DataFrame, model: tuple[IsolationForest, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """id_col and keep of every row; the statistics, base_failed, anomaly and kept, their names after prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # trees * 2 * per_tree nodes
-    cols = list(dict.fromkeys([id_col, *keep]))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     added = [prefix + x for x in (*STATS, "base_failed", "anomaly", "kept")]
+    cols = [c for c in dict.fromkeys([id_col, *keep]) if c.lower() not in added]  # columns of the result's names are replaced
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in cols), *(f"`{x}` {k}" for x, k in zip(added, [*["bigint"] * len(STATS), "boolean", "double", "boolean"], strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +208,7 @@ def judge(docs: DataFrame, model: tuple[IsolationForest, float], id_col: str = "
             base = (s[:, 0] < 50) | (100 * s[:, 4] > 50 * s[:, 0])
             score = forest.score(np.array([f for _, f in got], float).reshape(-1, len(FEATURES))) if forest.nodes else np.zeros(len(s))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], *(pa.array(s[:, i]) for i in range(len(STATS))), pa.array(base), pa.array(score), pa.array(~base & (score <= most))], [*cols, *added])
+        free()
 
     # a text that is kept anyway isn't sent twice
     at = cols.index(text_col) if text_col in cols else len(cols)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, fresh
+from corpusloom.llm.common import cut, free, fresh
 
 SAMPLE_ROWS = 20_000
 CANDIDATES, VOTERS = 1_500, 64
@@ -41,6 +41,7 @@ MIN_HITS = 4
 DENSE_HITS, DENSE_SHARE = 2, 0.01
 ROUNDS, CORRELATED_FROM, ANCHOR = 20, 5, 5.0
 PATTERNS_HELD = 50_000
+PATTERNS_A_TASK = 500_000
 CACHE_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"\b[A-Z]{4,}\b")
@@ -93,6 +94,10 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_hits": None}
 
+    def forget(self) -> None:
+        """Drops the words remembered: a worker keeps the model for later tasks."""
+        self._hits = None
+
     def counts(self, text: str) -> np.ndarray:
         """Hits of each mark, then of the fixed patterns, then the number of words."""
         if self._hits is None:
@@ -224,9 +229,13 @@ def vote_patterns(docs: DataFrame, voters: Model, text_col: str) -> DataFrame:
             if len(seen) > PATTERNS_HELD:
                 yield flush()
         yield flush()
+        voters.forget()
+        free()
 
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, "votes binary, n bigint")
-    return cut(rows.groupBy("votes").agg(F.sum("n").alias("n")))
+    counted = cut(rows.groupBy("votes").agg(F.sum("n").alias("n")))
+    # as few tasks as the patterns need, however many partitions the documents came from: each gives the driver a row a round of EM
+    return cut(counted.repartition(1 + counted.count() // PATTERNS_A_TASK))
 
 
 def _expected(patterns: DataFrame, voters: int):
@@ -350,7 +359,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
-    """keep and out, the score (0 to 1), of every row."""
+    """keep and out, the score (0 to 1), of every row; a column to keep that is called like out is replaced."""
+    keep = tuple(c for c in keep if c.lower() != out.lower())
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOTERS voters
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
@@ -360,6 +370,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
             counts = np.array([m.counts(t.as_py() or "") for t in b.column(at)]).reshape(b.num_rows, -1)
             s = m.score(counts) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64())], [*keep, out])
+        m.forget()
+        free()
 
     # a text that is kept anyway isn't sent twice
     at = keep.index(text_col) if text_col in keep else len(keep)

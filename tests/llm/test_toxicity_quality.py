@@ -163,3 +163,14 @@ def test_quality_judges_every_row(spark, docs, empty, corpus):
     assert all(r.kept != r.base_failed for r in qr.judge(docs, unlabelled).collect())
     assert qr.judge(empty, model).collect() == []
     assert qr.judge(docs, model, keep=tuple(docs.columns), prefix="q_").columns[:6] == docs.columns
+
+
+def test_columns_called_like_the_result_are_replaced(spark):
+    from corpusloom.llm import quality_rules, toxicity
+
+    df = spark.createDataFrame([(1, "some words", 5, 0.5, True)], "doc_id int, text string, N_words int, Score double, kept boolean")
+    got = quality_rules.judge(df, (quality_rules.IsolationForest(), float("inf")), keep=("N_words", "kept"))
+    assert [c.lower() for c in got.columns] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept"]
+    assert got.first()["n_words"] == 2 and got.first()["kept"] is False
+    scored = toxicity.score(df, toxicity.Model(prior=0.25), keep=("doc_id", "Score"))
+    assert scored.columns == ["doc_id", "score"] and scored.first().score == 0.25
