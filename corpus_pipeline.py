@@ -61,8 +61,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Rows of whole texts that travel to a Python worker at once, where the session leaves Spark's default of 10,000.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _shipped(stage):
-    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(_BATCH) == "10000":  # read when the result is, so it can't be set back here
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        return stage(ship(spark), docs, sf_dir)
+
+    return run_stage
 
 
 STAGES = [
