@@ -11,12 +11,15 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators import fulltext
 from corpusloom.operators.chunk import chunks, with_hash
 from corpusloom.operators.embed import embed, embedder, misses
 
 KEYS = ["strategy", "chunk_id"]
 CACHE = "model string, key string, vec array<float>"
 CHUNKS = "strategy string, chunk_id string, doc_id string, n int, text string, text_hash string"
+POSTINGS = "strategy string, chunk_id string, term string, tf int, length int, folder int"
+LENGTHS = "strategy string, chunk_id string, length int"
 EMBEDDINGS = "strategy string, chunk_id string, model string, text_hash string, embedding array<float>"
 
 
@@ -71,8 +74,11 @@ class Conflict(RuntimeError):
     """Another run has changed what this one was about to replace."""
 
 
-#: The tables of a store: their columns, and what they are partitioned by.
-TABLES = {"chunks": (CHUNKS, ("strategy", "bucket")), "embeddings": (EMBEDDINGS, ("strategy", "bucket", "model"))}
+#: The tables of a store: their columns, what they are partitioned by, and how many of these a pointer names folders by.
+TABLES = {
+    "chunks": (CHUNKS, ("strategy", "bucket"), 2), "embeddings": (EMBEDDINGS, ("strategy", "bucket", "model"), 3),
+    "postings": (POSTINGS, ("strategy", "bucket", "folder"), 2), "lengths": (LENGTHS, ("strategy", "bucket"), 2),
+}
 #: How often a run begins anew because another one was faster.
 ATTEMPTS = 5
 #: Keys that may be sent to all readers of the cache, at 64 bytes each; more meet it by a shuffle.
@@ -80,7 +86,7 @@ FEW_KEYS = 200_000
 
 
 class Store:
-    """Chunks and vectors as Parquet under one root, dealt to buckets by document.
+    """Chunks, vectors and postings as Parquet under one root, dealt to buckets by document.
 
     A run writes new files for the buckets that it changes and for no others, then adds one small pointer file
     that names each bucket's version, and the bucket count, which a store keeps from its first run on. Pointers are numbered, appear by one rename that
@@ -136,6 +142,13 @@ class Store:
             out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], schema) if out is None else out
 
+    def text_index(self, strategy: str, state: State | None = None) -> tuple[DataFrame, DataFrame]:
+        """(postings, lengths) of one chunking, of English terms. A store whose buckets were written before it kept them is an error; compact() mends it."""
+        state = state or self.state()
+        if set(state.folders["chunks"]) != set(state.folders["lengths"]):
+            raise ValueError(f"{self.root} has buckets without a text index; compact() makes it")
+        return tuple(self.table(name, state).where(F.col("strategy") == strategy).drop("strategy") for name in ("postings", "lengths"))
+
     def read(self, state: State | None = None) -> tuple[DataFrame, DataFrame]:
         """(chunks, embeddings), with the bucket of each row."""
         state = state or self.state()
@@ -148,10 +161,18 @@ class Store:
         base = base or self.state()
         version = f"v-{uuid.uuid4().hex}"
         new: dict[str, list[str]] = {}
-        for name, df in (("chunks", chunked), ("embeddings", embeddings)):
-            by, path = TABLES[name][1], f"{self.root}/{version}/{name}"
-            df.hint("rebalance", F.col("strategy"), F.col("bucket")).write.partitionBy(*by).parquet(path)
-            new[name] = self._folders(path, len(by))
+        def put(name: str, df: DataFrame, together: tuple[str, ...] = ("strategy", "bucket")) -> None:
+            _, by, depth = TABLES[name]
+            path = f"{self.root}/{version}/{name}"
+            df.hint("rebalance", *map(F.col, together)).write.partitionBy(*by).parquet(path)
+            new[name] = self._folders(path, depth)
+
+        put("chunks", chunked)
+        put("embeddings", embeddings)
+        # the text index of what was written: of the replaced buckets alone, as they are
+        stored = self.spark.read.schema(CHUNKS + ", bucket int").parquet(f"{self.root}/{version}/chunks")
+        put("postings", fulltext.postings(stored, keep=("strategy", "bucket")).withColumn("folder", fulltext.term_folder(F.col("term"))), ("strategy", "bucket", "folder"))
+        put("lengths", fulltext.sizes(stored, keep=("strategy", "bucket")))
         goes = lambda folder: (strategy is None or f"strategy={strategy}" in folder.split("/")) and (touched is None or int(folder.split("bucket=")[1].split("/")[0]) in touched)
         self._commit(base, goes, {name: dict.fromkeys(folders, version) for name, folders in new.items()}, buckets or base.buckets)
 

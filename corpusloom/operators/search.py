@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,10 @@ from corpusloom.functions.text import squeeze, tokens
 from corpusloom.functions.vector import cosine_distance
 from corpusloom.operators.embed import embed
 
-#: Queries held by a task at once; more are searched in further blocks.
-QUERY_BLOCK = 4096
+#: Queries of a block, vectors of a tile, and scores that a task holds at once.
+QUERY_BLOCK, TILE_ROWS, CELLS = 4096, 50_000, 4_000_000
+#: Numbers in all query vectors together that may be sent to every task (32 MB).
+FEW_VALUES = 4_000_000
 
 
 class _Best:
@@ -53,43 +54,63 @@ def _vectors(column) -> np.ndarray:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "embedding", query_col: str = "query_id", query_vec: str = "embedding", digits: int | None = None) -> DataFrame:
     """(query_col, id_col, score, rank): for each query its k nearest vectors, ties by id, zero vectors last.
 
-    Partitions send only k rows a query; the queries are a set of bounded size that travels in blocks. With
-    digits, scores are rounded before ranking, so that the order doesn't hang on the last bit.
+    Vectors are read once, whatever the number of queries. Queries of a checked size are sent to all tasks, and no vector moves;
+    more are dealt to blocks, vectors to tiles, and each task meets one block with one tile. Either way a task passes on only k rows a
+    query. With digits, scores are rounded before ranking, so that the order doesn't hang on the last bit.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     kinds = {query_col: queries.schema[query_col].dataType.simpleString(), id_col: vectors.schema[id_col].dataType.simpleString()}
     schema = f"`{query_col}` {kinds[query_col]}, `{id_col}` {kinds[id_col]}, score double"
-    query_type = to_arrow_type(queries.schema[query_col].dataType)
-    sc = vectors.sparkSession.sparkContext
-    found = None
-    rows = queries.select(query_col, query_vec).toLocalIterator()
-    while block := list(islice(rows, QUERY_BLOCK)):
-        shared = sc.broadcast(([r[0] for r in block], np.array([r[1] for r in block], float)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    types = [to_arrow_type(queries.schema[query_col].dataType), to_arrow_type(vectors.schema[id_col].dataType)]
+    asked, searched = queries.select(F.col(query_col).alias("q"), F.col(query_vec).alias("qv")), vectors.select(F.col(id_col).alias("i"), F.col(vec_col).alias("iv"))
+
+    def batch(best: list[_Best]) -> pa.RecordBatch:
+        flat = [(n, i, float("nan") if s == np.inf else -s) for x in best for n, held in zip(x.names, x.best, strict=True) for s, i in held]
+        columns = list(zip(*flat, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], types[0]), pa.array(columns[1], types[1]), pa.array(columns[2], pa.float64())], [query_col, id_col, "score"])
+
+    n, values = asked.agg(F.count("*"), F.sum(F.size("qv"))).first()
+    if (values or 0) <= FEW_VALUES:
+        rows = asked.collect()
+        shared = vectors.sparkSession.sparkContext.broadcast(([r.q for r in rows], np.array([r.qv for r in rows], float)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            best, types = _Best(names, q, k, digits), None
+            best = [_Best(names[at : at + QUERY_BLOCK], q[at : at + QUERY_BLOCK], k, digits) for at in range(0, len(names), QUERY_BLOCK)]
             for b in batches:
-                types = b.column(0).type
-                if b.num_rows:
-                    best.add(b.column(0).to_pylist(), _vectors(b.column(1)))
-            if types is None:
-                return
-            flat = [(n, i, None if s == np.inf else -s) for n, held in zip(names, best.best, strict=True) for s, i in held]
-            yield pa.RecordBatch.from_pydict({query_col: pa.array([x[0] for x in flat], query_type), id_col: pa.array([x[1] for x in flat], types), "score": pa.array([float("nan") if x[2] is None else x[2] for x in flat], pa.float64())})
-
-        part = vectors.select(id_col, vec_col).mapInArrow(run, schema)
-        found = part if found is None else found.unionAll(part)
-        if len(block) < QUERY_BLOCK:
-            break
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
+                _meet(best, b.column(0), b.column(1))
+            yield batch(best)
+
+        found = searched.mapInArrow(run, schema)
+    else:
+        blocks, tiles = -(-n // QUERY_BLOCK), max(1, -(-searched.count() // TILE_ROWS))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = searched.withColumn("tile", F.pmod(F.xxhash64("i", "iv"), F.lit(tiles)).cast("int")).withColumn("block", every(blocks))
+        right = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("tile", every(tiles))
+
+        def cell(vs: pa.Table, qs: pa.Table) -> pa.Table:
+            if not vs.num_rows or not qs.num_rows:
+                return pa.Table.from_batches([batch([])])
+            best = [_Best(qs.column("q").to_pylist(), _vectors(qs.column("qv")), k, digits)]
+            _meet(best, vs.column("i"), vs.column("iv"))
+            return pa.Table.from_batches([batch(best)])
+
+        found = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInArrow(cell, schema)
     # distance ascending: NaN is the greatest and so the last
     w = Window.partitionBy(query_col).orderBy((1 - F.col("score")).asc(), F.col(id_col).asc())
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _meet(best: list[_Best], ids, vectors) -> None:
+    """All vectors against all queries, in pieces of a bounded number of scores."""
+    step = max(1, CELLS // max((len(x.names) for x in best), default=1))
+    for at in range(0, len(ids), step):
+        names, v = ids[at : at + step].to_pylist(), _vectors(vectors[at : at + step])
+        for x in best:
+            x.add(names, v)
+
+
 def search_vector(chunked: DataFrame, embeddings: DataFrame, query: list[float], strategy: str, model: str, k: int, fresh_only: bool = False, digits: int | None = None) -> DataFrame:
     """One query vector: (chunk_id, doc_id, score, text) best first. Nothing for an unknown strategy or model. Vectors
     of changed chunks count unless fresh_only. With digits, distances are rounded before ranking."""
@@ -111,19 +132,28 @@ class DenseRetriever:
         self.chunked, self.model = chunked.where(F.col("strategy") == strategy), model
         self.vectors = embeddings.where((F.col("strategy") == strategy) & (F.col("model") == model.name)).join(self.chunked.select("chunk_id"), "chunk_id", "left_semi")
 
+    def hits(self, questions: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+        return top_k(self.vectors, embed(questions, self.model, "query_id"), k, digits=digits)
+
     def search(self, questions: DataFrame, k: int, digits: int | None = None) -> DataFrame:
         """(query_id, rank, chunk_id, doc_id, score, text) for questions (query_id, text)."""
-        hits = top_k(self.vectors, embed(questions, self.model, "query_id"), k, digits=digits)
+        hits = self.hits(questions, k, digits)
         return hits.join(self.chunked.select("chunk_id", "doc_id", "text"), "chunk_id").select("query_id", "rank", "chunk_id", "doc_id", "score", "text")
 
 
-def retriever(config, chunked: DataFrame, embeddings: DataFrame, model) -> DenseRetriever:
-    """The retriever that a configuration asks for; only dense ones without a reranker are there."""
+def retriever(config, chunked: DataFrame, embeddings: DataFrame, model, text_index: tuple[DataFrame, DataFrame] | None = None):
+    """The retriever that a configuration asks for: dense, sparse or hybrid; there are no rerankers. text_index: stored
+    postings and lengths, which are else made from the chunks."""
+    from corpusloom.operators.fulltext import HybridRetriever, SparseRetriever
+
     if config.rerank is not None:
         raise NotImplementedError(f"reranker {config.rerank!r}")
-    if config.retrieval != "dense":
-        raise NotImplementedError(f"{config.retrieval} retrieval")
-    return DenseRetriever(chunked, embeddings, model, config.chunking)
+    if config.retrieval == "dense":
+        return DenseRetriever(chunked, embeddings, model, config.chunking)
+    if config.retrieval not in ("sparse", "hybrid"):
+        raise ValueError(f"unknown retrieval {config.retrieval!r}; known: dense, sparse, hybrid")
+    sparse = SparseRetriever(chunked.where(F.col("strategy") == config.chunking), *(text_index or ()))
+    return sparse if config.retrieval == "sparse" else HybridRetriever(DenseRetriever(chunked, embeddings, model, config.chunking), sparse)
 
 
 def render(hits: DataFrame, width: int = 160) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.functions import vector as vc
 from corpusloom.functions.html import STRIP_RULES, extract_text, strip_tags
-from corpusloom.operators import chunk, embed, golden, index, metrics, prompt, search
+from corpusloom.operators import chunk, embed, fulltext, golden, index, metrics, prompt, search
 from corpusloom.sources.files import regroup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -392,6 +392,49 @@ def fulltext_terms(spark, d):
     return _chunks(spark, d).select("chunk_id", F.size(search.terms(F.col("text"))).alias("n_terms"))
 
 
+BM25_SQL = f"""p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({TERMS_SQL}) AS term FROM c) GROUP BY ALL),
+ln AS (SELECT chunk_id, len({TERMS_SQL}) AS length FROM c), av AS (SELECT count(*) AS n, avg(length) AS mean FROM ln), bt AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+fq AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+bs AS (SELECT item_id, p.chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
+  FROM bt JOIN p ON bt.term = p.term JOIN fq ON fq.term = p.term JOIN ln ON ln.chunk_id = p.chunk_id CROSS JOIN av GROUP BY item_id, p.chunk_id),
+br AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id)::INT AS rank FROM bs)"""
+
+
+def _bm25_hits(spark, d, k: int) -> DataFrame:
+    """The k chunks of greatest BM25 for every benchmark question, by words that aren't stemmed."""
+    c = _chunks(spark, d)
+    questions = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return fulltext.bm25(fulltext.postings(c, "plain"), fulltext.sizes(c, "plain"), questions, k, "plain", digits=6)
+
+
+@query(f"WITH {_chunk_sql()}, p AS (SELECT DISTINCT chunk_id, unnest({TERMS_SQL}) AS term FROM c) SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, sum(length)::BIGINT AS length FROM "
+       f"(SELECT chunk_id, term, count(*) AS tf, any_value(l) AS length FROM (SELECT chunk_id, len({TERMS_SQL}) AS l, unnest({TERMS_SQL}) AS term FROM c) GROUP BY chunk_id, term) GROUP BY term")
+def fulltext_postings(spark, d):
+    p = fulltext.postings(_chunks(spark, d), "plain")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.sum("length").alias("length"))
+
+
+@query(f"WITH {_chunk_sql()}, {BM25_SQL} SELECT item_id AS query_id, chunk_id, score, rank FROM br WHERE rank <= 10")
+def bm25_topk(spark, d):
+    return _bm25_hits(spark, d, 10)
+
+
+@query(f"""WITH {DENSE_SQL}, {BM25_SQL}, h AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS score
+  FROM (SELECT * FROM r WHERE rank <= 30) a FULL JOIN (SELECT * FROM br WHERE rank <= 30) b ON a.item_id = b.item_id AND a.chunk_id = b.chunk_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id)::INT AS rank FROM h) SELECT item_id AS query_id, chunk_id, score, rank FROM o WHERE rank <= 10""")
+def hybrid_rank_fusion(spark, d):
+    """Dense and sparse lists of 30 hits a question, fused."""
+    return fulltext.fuse([_hits(spark, d, 30), _bm25_hits(spark, d, 30)], 10, digits=9)
+
+
+@query(f"""WITH {_chunk_sql()}, p AS (SELECT DISTINCT chunk_id, unnest({TERMS_SQL}) AS term FROM c), q AS (SELECT DISTINCT item_id, unnest({TERMS_SQL.replace('text', 'substr(text, 1, 40)')}) AS term FROM benchmark),
+w AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id) SELECT q.item_id AS query_id, chunk_id FROM q JOIN p ON q.term = p.term JOIN w ON w.item_id = q.item_id GROUP BY q.item_id, chunk_id, n HAVING count(*) = n""")
+def fulltext_with_all(spark, d):
+    """Chunks that have all terms of the beginning of a benchmark question."""
+    questions = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("text"))
+    return fulltext.with_all(fulltext.postings(_chunks(spark, d), "plain"), questions, "plain")
+
+
 # --- G: generation ----------------------------------------------------------------------------------------------
 
 

@@ -97,11 +97,12 @@ def test_top_k_against_brute_force(spark):
         search.top_k(df, qs, 0)
 
 
-@pytest.mark.parametrize("block", [1, 4, 5])
-def test_blocks_of_queries_lose_none(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "few", "cells"), [(1, 1000, 7), (4, 1000, 4_000_000), (5, 0, 4_000_000), (1, 0, 3), (100, 0, 50)])
+def test_blocks_of_queries_lose_none(spark, monkeypatch, block, few, cells):
     import numpy as np
 
-    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    for name, value in (("QUERY_BLOCK", block), ("FEW_VALUES", few), ("CELLS", cells), ("TILE_ROWS", 25)):
+        monkeypatch.setattr(search, name, value)
     rng = np.random.default_rng(3)
     v, q = rng.normal(size=(60, 3)), rng.normal(size=(11, 3))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id int, embedding array<double>").repartition(3)
@@ -111,6 +112,24 @@ def test_blocks_of_queries_lose_none(spark, monkeypatch, block):
         got.setdefault(r.query_id, {})[r["rank"]] = r.chunk_id
     near = (v @ q.T) / np.sqrt((v * v).sum(1))[:, None]
     assert got == {i: {1 + j: int(x) for j, x in enumerate(np.argsort(-near[:, i])[:2])} for i in range(11)}
+    assert search.top_k(df, qs.where("false"), 2).count() == search.top_k(df.where("false"), qs, 2).count() == 0
+
+
+def test_ten_thousand_queries_read_the_vectors_once(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "FEW_VALUES", 1000)
+    rng = np.random.default_rng(4)
+    v, q = rng.integers(-3, 4, (300, 4)).astype(float), rng.integers(-3, 4, (10_000, 4)).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id int, embedding array<double>")
+    qs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<double>")
+    got = np.full((10_000, 3), -1)
+    for r in search.top_k(df, qs, 3, digits=9).collect():
+        got[r.query_id, r["rank"] - 1] = r.chunk_id
+    with np.errstate(invalid="ignore", divide="ignore"):
+        near = np.round((q @ v.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((v * v).sum(1)), 9)
+    order = np.lexsort((np.broadcast_to(np.arange(300), near.shape), np.where(np.isnan(near), np.inf, -near)), axis=1)[:, :3]
+    assert (got == order).all()
 
 
 def test_a_run_that_fails_leaves_the_old_state(spark, tmp_path, monkeypatch):
@@ -245,9 +264,8 @@ def test_one_version_of_a_document_in_a_batch(spark):
 
 
 def test_not_implemented(spark):
-    for c in (RunConfig("x", retrieval="sparse"), RunConfig("x", retrieval="hybrid"), RunConfig("x", rerank="r")):
-        with pytest.raises(NotImplementedError):
-            search.retriever(c, None, None, Hash64())
+    with pytest.raises(NotImplementedError):
+        search.retriever(RunConfig("x", rerank="r"), None, None, Hash64())
 
 
 def test_full_text(spark):
