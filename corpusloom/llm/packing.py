@@ -27,6 +27,8 @@ from corpusloom.llm.bytebpe import CACHE_PIECES, PATTERN, byte_chars
 from corpusloom.llm.common import free
 
 LAST_CLASS = 64
+#: Words that a worker remembers before it starts anew.
+WORDS_HELD = 400_000
 OUT = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -47,10 +49,26 @@ class _Pieces(dict):
         return ids
 
 
+class _Words(dict):
+    """Ids of what stands between two spaces, with the first of these, as bytes."""
+
+    def __init__(self, cut, pieces: _Pieces):
+        self.cut, self.pieces = cut, pieces
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS_HELD:
+            self.clear()
+        ids = b"".join(map(self.pieces.__getitem__, self.cut(" " + word)))
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """text -> uint32 ids of a byte-level tokenizers file. A piece of the byte-level pattern has the same ids wherever it
     stands, so the tokenizers library's model is asked for each distinct one; texts with the string of a special token
-    go to the library whole."""
+    go to the library whole. The pattern always cuts before a space, but for one within white space that a space follows or the
+    text ends with; so a text without such is looked up by its words, and only new words are cut into pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,11 +77,21 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cut = regex.compile(PATTERN).findall
         self.pieces = _Pieces(self.library.model.tokenize)
+        self.words = _Words(self.cut, self.pieces)
+        self.runs = regex.compile(r"\s (?!\S)").search
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.cut(text))), "<u4")
+        if self.runs(text):
+            return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.cut(text))), "<u4")
+        first, *words = text.split(" ")
+        return np.frombuffer(b"".join([*map(self.pieces.__getitem__, self.cut(first)), *map(self.words.__getitem__, words)]), "<u4")
+
+    def forget(self) -> None:
+        """The worker may live on in other stages."""
+        self.pieces.clear()
+        self.words.clear()
 
 
 @lru_cache(2)
@@ -171,7 +199,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_c
         if id_type is not None:
             packer.finish()
             yield flush(id_type)
-        encode.pieces.clear()  # the worker may live on in other stages
+        encode.forget()
         free()
 
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, {OUT}")
