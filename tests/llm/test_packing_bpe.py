@@ -36,15 +36,6 @@ def test_random_strings_equal_the_library(library):
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-def test_white_space_of_every_kind_equals_the_library(library):
-    """A text is cut at its spaces only where the pattern cuts too."""
-    rng = np.random.default_rng(1)
-    encode = encoder(tokenizer_path())
-    for _ in range(4000):
-        text = "".join(rng.choice(list("  \n\t\r\u00a0\u3000\x1c\x85ab'1.é"), rng.integers(0, 14)))
-        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
-
-
 def test_round_trip(spark, docs, corpus, empty, library):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in round_trip(docs, tokenizer_path()).collect())
     want = []
