@@ -23,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bytebpe import CACHE_PIECES, PATTERN, byte_chars
+from corpusloom.llm.bytebpe import PATTERN, byte_chars
 from corpusloom.llm.common import free
 
 LAST_CLASS = 64
+#: Pieces that a worker remembers, from task to task, before it starts anew: some 80 MB.
+PIECES_HELD = 600_000
 OUT = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -38,7 +40,7 @@ class _Pieces(dict):
         self.chars = dict(enumerate(byte_chars()))
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
+        if len(self) >= PIECES_HELD:
             self.clear()
         found = self.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.chars))
         ids = np.array([t.id for t in found], "<u4").tobytes()
@@ -165,13 +167,12 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_c
         for b in batches:
             id_type = b.schema.field(0).type
             for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                packer.add(doc, np.concatenate([encode(t.as_py()), end]).astype("<u4"))
+                packer.add(doc, np.concatenate([encode(t.as_py()), end]).astype("<u4", copy=False))
                 if len(packer.done) >= 4096:
                     yield flush(id_type)
         if id_type is not None:
             packer.finish()
             yield flush(id_type)
-        encode.pieces.clear()  # the worker may live on in other stages
         free()
 
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, {OUT}")
