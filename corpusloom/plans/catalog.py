@@ -488,6 +488,28 @@ _KEY_SQL = f"lower({SQUEEZE.format('question')})"
 _QRELS_SQL = "qr AS (SELECT id, unnest(relevant_chunk_ids) AS chunk_id FROM g)"
 
 
+@query("""SELECT item_id, CASE WHEN item_id % 7 = 1 THEN 'no JSON' WHEN item_id % 7 = 2 THEN 'no object' WHEN item_id % 7 = 3 THEN 'lacks answer; has no place for more, other'
+  WHEN item_id % 7 = 4 THEN 'wrong types: id, relevant_chunk_ids' WHEN item_id % 7 = 5 THEN 'lacks difficulty' END AS problem, CASE WHEN item_id % 7 IN (0, 6) THEN sha256(text) END AS question_hash,
+  CASE item_id % 7 WHEN 0 THEN 1 WHEN 6 THEN 0 END AS refs FROM benchmark""")
+def golden_jsonl_scan(spark, d):
+    """Entries written as JSON lines, with every kind of defect and blank lines between, and read back."""
+    from corpusloom.sources.jsonl import numbered_lines, strict
+    from corpusloom.sources.records import LISTS, STRINGS
+
+    m, path = F.col("item_id") % 7, f"{_scratch(spark)}.jsonl"
+    ident = F.concat(F.lit("q"), F.col("item_id"))
+    whole = F.to_json(F.struct(ident.alias("id"), F.col("text").alias("question"), F.lit("a").alias("answer"), F.when(m == 6, F.array().cast("array<string>")).otherwise(F.array(F.lit("1#c0"))).alias("relevant_chunk_ids"), F.lit("single-hop").alias("difficulty")))
+    other = F.to_json(F.struct(ident.alias("id"), F.col("text").alias("question"), F.lit(1).alias("other"), F.lit(2).alias("more"), F.array(F.lit("1#c0")).alias("relevant_chunk_ids"), F.lit("x").alias("difficulty")))
+    typed = F.to_json(F.struct(F.lit(3).alias("id"), F.col("text").alias("question"), F.lit("a").alias("answer"), F.array(F.lit(1)).alias("relevant_chunk_ids"), F.lit("x").alias("difficulty")))
+    short = F.to_json(F.struct(ident.alias("id"), F.col("text").alias("question"), F.lit("a").alias("answer"), F.array(F.lit("1#c0")).alias("relevant_chunk_ids")))
+    line = F.when(m == 1, F.concat(F.lit("{"), whole)).when(m == 2, F.lit("[1, 2]")).when(m == 3, other).when(m == 4, typed).when(m == 5, short).otherwise(whole)
+    rows = _t(spark, d, "benchmark").repartition(4, "item_id").sortWithinPartitions("item_id")
+    rows.select("item_id", F.explode(F.array(line, F.lit("  "))).alias("value")).select(F.concat_ws("\t", F.col("item_id"), "value")).write.text(path)
+    lines = numbered_lines(spark, path).select("file", "line", F.split("value", "\t", 2).alias("v"))
+    read = strict(lines.select(F.col("v")[0].cast("bigint").alias("item_id"), F.col("v")[1].alias("value")), STRINGS, LISTS)
+    return read.select("item_id", "problem", F.sha2("question", 256).alias("question_hash"), F.size("relevant_chunk_ids").alias("refs")).withColumn("refs", F.when(F.col("problem").isNull(), F.col("refs")))
+
+
 @query(f"WITH {_GOLD_SQL} SELECT id, count(*) AS n FROM g GROUP BY id HAVING count(*) > 1")
 def golden_dup_ids(spark, d):
     return golden.duplicate_ids(_gold(spark, d))

@@ -165,6 +165,42 @@ def test_golden_file(spark, tmp_path):
         records.read_golden(spark, p)
 
 
+def test_line_numbers_hold_across_splits_and_files(spark, tmp_path):
+    from corpusloom.sources import jsonl
+
+    texts = {f"f{j}.txt": "".join(f"{j}-{i}" + "x" * (i % 50) + ("\n\n" if i % 5 == 0 else "\r\n" if i % 7 == 0 else "\n") for i in range(400)) + "end" for j in range(3)}
+    texts["empty.txt"] = ""
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        df = jsonl.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = {(r.file.rsplit("/", 1)[1], r.line): r.value for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(name, i): line for name, text in texts.items() for i, line in enumerate(text.splitlines(), 1)}
+
+
+def test_every_defect_is_reported_with_its_line(spark, tmp_path):
+    good = {"id": "a", "question": "q", "answer": "x", "relevant_chunk_ids": [], "difficulty": "single-hop"}
+    lines = ["{", "[]", '"text"', "3", "null", json.dumps(good)[:-1], json.dumps(good), "", " \t", json.dumps({"id": "a"}), json.dumps(good | {"z": 1, "b": 2}), json.dumps(good | {"relevant_chunk_ids": "x"}), json.dumps(good | {"answer": None, "question": 4}), json.dumps(good | {"relevant_chunk_ids": ["a", 1]})]
+    p = tmp_path / "g.jsonl"
+    p.write_text("\n".join(lines))
+    with pytest.raises(ValueError) as e:
+        records.read_golden(spark, p)
+    assert str(e.value).split("\n") == [
+        "line 1: no JSON", "line 2: no object", "line 3: no object", "line 4: no object", "line 5: no object", "line 6: no JSON", "line 10: lacks question, answer, difficulty, relevant_chunk_ids",
+        "line 11: has no place for b, z", "line 12: wrong types: relevant_chunk_ids", "line 13: wrong types: question, answer", "line 14: wrong types: relevant_chunk_ids",
+    ]
+    p.write_text("x\n" * 1005)
+    with pytest.raises(ValueError, match="line 1000: no JSON\nand 5 more"):
+        records.read_golden(spark, p)
+    p.write_text("\n" + json.dumps(good) + "\n" + json.dumps(good | {"id": "é", "relevant_chunk_ids": ["d#c0"]}))
+    assert [tuple(r) for r in records.read_golden(spark, p).orderBy("line").collect()] == [(2, "a", "q", "x", [], "single-hop"), (3, "é", "q", "x", ["d#c0"], "single-hop")]
+
+
 def test_lock_file(spark, tmp_path):
     lock = spark.createDataFrame([("b#c0", "2"), ("a#c0", "1")], "chunk_id string, frozen_hash string")
     p = records.lock_path(tmp_path / "g.jsonl")
@@ -197,6 +233,7 @@ def test_manifest_archive_and_report(tmp_path):
         records.extract(tmp_path / "b.zip", tmp_path / "out")
     with pytest.raises(ValueError, match="sha256"):
         records.verify(tmp_path / "a.zip", "00")
+    records.verify(tmp_path / "a.zip", hashlib.sha256((tmp_path / "a.zip").read_bytes()).hexdigest().upper())
     records.verify(tmp_path / "a.zip", hashlib.sha256((tmp_path / "a.zip").read_bytes()).hexdigest())
     records.append_row(tmp_path / "r.md", ["a", "b"], ["1", "2"])
     records.append_row(tmp_path / "r.md", ["a", "b"], ["3", "4"])
