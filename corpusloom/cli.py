@@ -85,7 +85,7 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
         store = index.Store(spark, a.store)
         state = store.state()
         texts = store.text_index(config.chunking, state) if config.retrieval != "dense" else None
-        r = search.retriever(config, *store.read(state), embedder(config.embedding), texts)
+        r = search.retriever(config, *store.read(state), embedder(config.embedding), texts, store)
         if a.command == "search":
             q = spark.createDataFrame([("q", a.text)], "query_id string, text string")
             for x in search.render(r.search(q, a.k)).orderBy("rank").collect():

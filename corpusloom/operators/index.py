@@ -261,6 +261,15 @@ def _prefix() -> Column:
     return F.substring("key", 1, 2)
 
 
+def vectors_of(store: Store, rows: DataFrame, model, key: str) -> DataFrame:
+    """(key, embedding) of rows (key, text) through the store's cache: only texts that it lacks are embedded, and kept for the next time."""
+    asked = rows.select(key, F.sha2("text", 256).alias("__key"))
+    keys = asked.select(F.col("__key").alias("key")).where("key IS NOT NULL").distinct()
+    new = misses(rows.where("text IS NOT NULL"), store.cached(model.name, keys), model.name)
+    store.add_to_cache(embed(new, model, "key", "text", "vec").select(F.lit(model.name).alias("model"), "key", "vec"))
+    return asked.join(store.cached(model.name, keys).select(F.col("key").alias("__key"), F.col("vec").alias("embedding")), "__key").select(key, "embedding")
+
+
 def bucket_of(doc_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
 

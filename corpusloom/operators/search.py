@@ -126,14 +126,19 @@ def search_vector(chunked: DataFrame, embeddings: DataFrame, query: list[float],
 
 
 class DenseRetriever:
-    """Embeds questions and searches the vectors of one strategy and model."""
+    """Embeds questions and searches the vectors of one strategy and model. With a store, questions too are embedded once:
+    their vectors are kept in its cache."""
 
-    def __init__(self, chunked: DataFrame, embeddings: DataFrame, model, strategy: str):
+    def __init__(self, chunked: DataFrame, embeddings: DataFrame, model, strategy: str, store=None):
+        self.store = store
         self.chunked, self.model = chunked.where(F.col("strategy") == strategy), model
         self.vectors = embeddings.where((F.col("strategy") == strategy) & (F.col("model") == model.name)).join(self.chunked.select("chunk_id"), "chunk_id", "left_semi")
 
     def hits(self, questions: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-        return top_k(self.vectors, embed(questions, self.model, "query_id"), k, digits=digits)
+        from corpusloom.operators.index import vectors_of
+
+        asked = embed(questions, self.model, "query_id") if self.store is None else vectors_of(self.store, questions, self.model, "query_id")
+        return top_k(self.vectors, asked, k, digits=digits)
 
     def search(self, questions: DataFrame, k: int, digits: int | None = None) -> DataFrame:
         """(query_id, rank, chunk_id, doc_id, score, text) for questions (query_id, text)."""
@@ -141,19 +146,19 @@ class DenseRetriever:
         return hits.join(self.chunked.select("chunk_id", "doc_id", "text"), "chunk_id").select("query_id", "rank", "chunk_id", "doc_id", "score", "text")
 
 
-def retriever(config, chunked: DataFrame, embeddings: DataFrame, model, text_index: tuple[DataFrame, DataFrame] | None = None):
+def retriever(config, chunked: DataFrame, embeddings: DataFrame, model, text_index: tuple[DataFrame, DataFrame] | None = None, store=None):
     """The retriever that a configuration asks for: dense, sparse or hybrid; there are no rerankers. text_index: stored
-    postings and lengths, which are else made from the chunks."""
+    postings and lengths, which are else made from the chunks. store: whose cache keeps the questions' vectors."""
     from corpusloom.operators.fulltext import HybridRetriever, SparseRetriever
 
     if config.rerank is not None:
         raise NotImplementedError(f"reranker {config.rerank!r}")
     if config.retrieval == "dense":
-        return DenseRetriever(chunked, embeddings, model, config.chunking)
+        return DenseRetriever(chunked, embeddings, model, config.chunking, store)
     if config.retrieval not in ("sparse", "hybrid"):
         raise ValueError(f"unknown retrieval {config.retrieval!r}; known: dense, sparse, hybrid")
     sparse = SparseRetriever(chunked.where(F.col("strategy") == config.chunking), *(text_index or ()))
-    return sparse if config.retrieval == "sparse" else HybridRetriever(DenseRetriever(chunked, embeddings, model, config.chunking), sparse)
+    return sparse if config.retrieval == "sparse" else HybridRetriever(DenseRetriever(chunked, embeddings, model, config.chunking, store), sparse)
 
 
 def render(hits: DataFrame, width: int = 160) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions import vector as vc
-from corpusloom.functions.html import STRIP_RULES, extract_text, strip_tags
+from corpusloom.functions.html import extract_text, strip_tags
 from corpusloom.operators import chunk, embed, fulltext, golden, index, metrics, prompt, search
 from corpusloom.sources.files import regroup
 
@@ -96,14 +96,12 @@ def doc_id_from_path(spark, d):
     return _t(spark, d, "pages").select("page_id", tx.doc_id_from_path(F.regexp_extract("url", "://([^?#]*)", 1)).alias("doc"))
 
 
-def _strip_sql() -> str:
-    out = "html"
-    for pattern, to in STRIP_RULES:
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return f"SELECT page_id, trim({out}) AS text FROM pages"
+# Without the scripts, styles and comments, then without tags; the seven entities, "&amp;" last; one space for white space.
+_BARE_SQL = r"regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+_DECODED_SQL = f"replace(replace(replace(replace(replace(replace(replace({_BARE_SQL}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
-@query(_strip_sql())
+@query(f"SELECT page_id, trim(regexp_replace({_DECODED_SQL}, '[ \t\r\n\f]+', ' ', 'g'), ' ') AS text FROM pages")
 def html_strip_sql(spark, d):
     return _t(spark, d, "pages").select("page_id", strip_tags(F.col("html")).alias("text"))
 

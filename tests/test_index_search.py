@@ -256,6 +256,30 @@ def test_what_was_embedded_once_is_not_again(spark, tmp_path, monkeypatch):
     assert len(vectors) == 6 and vectors["wide", "b#c0"] == vectors["fixed512", "b#c0"] == pytest.approx(Hash64().embed(["beta"])[0].tolist())
 
 
+def test_questions_are_embedded_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counting(Hash64):
+        name = "hash64"
+
+        def embed(self, texts):
+            import uuid
+
+            if len(texts):
+                (calls / uuid.uuid4().hex).write_text("\n".join(texts))
+            return super().embed(texts)
+
+    store = index.Store(spark, str(tmp_path / "store"))
+    index.index_corpus(store, docs(spark, a="the lock waits", b="rows and pages"))
+    r = search.retriever(RunConfig("t"), *store.read(), Counting(), store=store)
+    q = spark.createDataFrame([("q1", "rows and pages"), ("q2", "new question"), ("q3", "new question")], "query_id string, text string")
+    for _ in range(2):
+        hits = {(h.query_id, h["rank"]): h.chunk_id for h in r.search(q, 1).collect()}
+        assert hits["q1", 1] == "b#c0" and len(hits) == 3
+    assert [f.read_text() for f in calls.iterdir()] == ["new question"]  # the other is a chunk's text
+
+
 def test_one_version_of_a_document_in_a_batch(spark):
     rows = [("a", "old", 1), ("a", "new", 2), ("b", "x", 1), ("b", "y", 1), ("c", None, 1)]
     df = spark.createDataFrame(rows, f"doc_id string, text string, {reindex.WRITTEN} int")
