@@ -27,7 +27,7 @@ from corpusloom.llm.bytebpe import PATTERN, byte_chars
 from corpusloom.llm.common import free
 
 LAST_CLASS = 64
-#: Pieces that a worker remembers, from task to task, before it starts anew: some 80 MB.
+#: Pieces that a worker remembers before it starts anew.
 PIECES_HELD = 600_000
 OUT = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -146,8 +146,10 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: id_col, start, length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", forget: bool = True) -> DataFrame:
+    """A row per piece: id_col, start, length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset.
+
+    forget: workers drop the pieces that they have met at a task's end, for they may live on in other stages; False where they have no others."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +175,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_c
         if id_type is not None:
             packer.finish()
             yield flush(id_type)
+        if forget:
+            encode.pieces.clear()
         free()
 
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, {OUT}")

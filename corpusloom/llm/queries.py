@@ -19,7 +19,7 @@ def tokenizer_path() -> str:
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.packing import pack
 
-    out = pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=1)
+    out = pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=1, forget=False)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
