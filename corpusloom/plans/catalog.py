@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.functions import vector as vc
 from corpusloom.functions.html import extract_text, strip_tags
-from corpusloom.operators import chunk, embed, fulltext, golden, index, metrics, prompt, search
+from corpusloom.operators import balls, chunk, embed, fulltext, golden, index, metrics, prompt, search
 from corpusloom.sources.files import regroup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -335,6 +335,15 @@ def dense_topk_batch(spark, d):
     return search.top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, id_col="vec_id", digits=6)
 
 
+@query(SQL["dense_topk_batch"])
+def dense_topk_balls(spark, d):
+    """The same from vectors stored in balls, of which a query meets those that may hold a better one."""
+    e = _t(spark, d, "embeddings")
+    stored = balls.build(e, _scratch(spark), id_col="vec_id")
+    hits, _ = stored.search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, digits=6)
+    return hits.withColumnRenamed("id", "vec_id")
+
+
 DENSE_SQL = f"""{_chunk_sql()}, {_hash64_sql('c', 'chunk_id', 'e')}, {_hash64_sql('benchmark', 'item_id', 'q')},
 en AS (SELECT c.chunk_id, sqrt(coalesce(sum(e.value * e.value), 0)::DOUBLE) AS norm FROM c LEFT JOIN e USING (chunk_id) GROUP BY c.chunk_id),
 qn AS (SELECT item_id, sqrt(sum(value * value)::DOUBLE) AS norm FROM q GROUP BY item_id),
