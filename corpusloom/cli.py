@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--force", action="store_true")
         s.add_argument("--stats", action="store_true")
         s.add_argument("--results")
+        s.add_argument("--traces")
         s.add_argument("text", nargs="?")
     a = p.parse_args(argv)
     try:
@@ -41,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
 
 def _run(a: argparse.Namespace, spark: SparkSession) -> int:
     from corpusloom import config as cfg
-    from corpusloom.operators import chunk, golden, index, metrics, search
+    from corpusloom.operators import chunk, golden, index, metrics, search, traces
     from corpusloom.operators.embed import embedder
     from corpusloom.plans import evaluate
     from corpusloom.sources import files, records
@@ -94,8 +95,12 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
             entries = records.read_golden(spark, a.golden)
             scored = evaluate.evaluate(config, entries, r, a.limit)
             means = metrics.checked_aggregate(scored)
-            row = evaluate.report_row(config, means, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), records.git_commit())
+            stamp = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+            row = evaluate.report_row(config, means, stamp, records.git_commit())
             print(" | ".join(row))
+            if a.traces:
+                run = records.run_file_name(config.name, stamp).removesuffix(".json")
+                traces.write(a.traces, *evaluate.traced(run, config, evaluate.Answered(scored)))
             if a.results and not a.limit:
                 records.append_row(a.results, evaluate.HEADER, row)
     return 0

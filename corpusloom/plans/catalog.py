@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.functions import vector as vc
 from corpusloom.functions.html import extract_text, strip_tags
-from corpusloom.operators import balls, chunk, embed, fulltext, golden, index, metrics, prompt, search
+from corpusloom.operators import balls, chunk, embed, fulltext, golden, index, metrics, prompt, search, traces
 from corpusloom.sources.files import regroup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -717,6 +717,53 @@ def eval_run(spark, d):
     return scored.select("query_id", F.array_join("retrieved", " ").alias("retrieved"), "recall", F.round("mrr", 9).alias("mrr"))
 
 
+# --- K: traces --------------------------------------------------------------------------------------------------
+
+# Each turn of a conversation as a question with up to three hits, of which the second is relevant if it can be answered.
+_TRACED = {**_ANSWERS, "query_id": "concat(conv_id, ':', turn)", "n_hits": "CAST(turn % 4 AS INT)", "model": "concat('m', conv_id % 3)", "latency_ms": "CAST(length(text) AS DOUBLE)"}
+_TRACED_SQL = "q AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _TRACED.items()) + """, sha256('["r1","' || concat(conv_id, ':', turn) || '"]')[1:32] AS trace_id FROM conversations)"""
+_SPANS_SQL = f"""{_TRACED_SQL}, sp AS (SELECT 'r1' AS run, trace_id, sha256(trace_id || ':' || name)[1:16] AS span_id, CASE WHEN name <> 'query' THEN sha256(trace_id || ':query')[1:16] END AS parent_id, query_id, name,
+  CASE WHEN name = 'generation' THEN model END AS model, CASE WHEN name = 'generation' THEN input_tokens END AS input_tokens, CASE WHEN name = 'generation' THEN output_tokens END AS output_tokens,
+  CASE WHEN name = 'generation' THEN latency_ms END AS latency_ms, CASE WHEN name = 'retrieval' THEN n_hits END AS n_hits
+  FROM q, (VALUES ('query'), ('retrieval'), ('generation')) AS k(name) WHERE name <> 'generation' OR difficulty <> 'unanswerable')"""
+
+
+def _traced(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(results, answers); questions that can't be answered went to no model."""
+    rows = _t(spark, d, "conversations").select(*[F.expr(v).alias(k) for k, v in _TRACED.items()])
+    hits = F.slice(F.array(*map(F.lit, ("a#c0", "b#c0", "c#c0"))), F.lit(1), F.col("n_hits"))
+    wanted = F.when(F.col("difficulty") == "unanswerable", F.array().cast("array<string>")).otherwise(F.array(F.lit("b#c0")))
+    results = metrics.score_queries(rows.select("query_id", hits.alias("retrieved"), wanted.alias("relevant")), 3)
+    return results, rows.where("difficulty <> 'unanswerable'")
+
+
+@query(f"WITH {_SPANS_SQL} SELECT * FROM sp")
+def trace_spans(spark, d):
+    return traces.spans("r1", *_traced(spark, d)).drop("tags")
+
+
+@query(f"""WITH {_TRACED_SQL}, s AS (SELECT trace_id, query_id, unnest(['recall', 'mrr', 'ndcg']) AS name, unnest([1.0, 0.5, 1 / log2(3)]) * (n_hits >= 2)::INT AS value, 'heuristic' AS source FROM q WHERE difficulty <> 'unanswerable'
+UNION ALL SELECT trace_id, query_id, 'abstained', abstained::INT::DOUBLE, 'heuristic' FROM q WHERE difficulty <> 'unanswerable' AND abstained IS NOT NULL
+UNION ALL SELECT trace_id, query_id, 'faithfulness', faithfulness, 'llm_judge' FROM q WHERE difficulty <> 'unanswerable' AND faithfulness IS NOT NULL)
+SELECT 'r1' AS run, trace_id, query_id, name, round(value, 9) AS value, source FROM s""")
+def trace_scores(spark, d):
+    results, answers = _traced(spark, d)
+    return traces.scores("r1", results, answers, answers.select("query_id", "faithfulness")).withColumn("value", F.round("value", 9))
+
+
+@query(f"""WITH {_SPANS_SQL}, r AS (SELECT CASE WHEN model = 'm2' THEN 'half' ELSE 'whole' END AS run, query_id FROM q), p AS (SELECT 'm1' AS model, 3.0 AS i, 15.0 AS o),
+t AS (SELECT r.run, sp.name, (sp.input_tokens * p.i + sp.output_tokens * p.o) / 1e6 AS spent FROM sp JOIN r USING (query_id) LEFT JOIN p ON p.model = sp.model),
+a AS (SELECT run, count(*) FILTER (WHERE name = 'query') AS queries, sum(spent) AS cost, count(*) FILTER (WHERE name = 'generation' AND spent IS NULL) AS unpriced FROM t GROUP BY run)
+SELECT run, queries, CASE WHEN unpriced = 0 THEN round(cost, 6) END AS cost, unpriced, CASE WHEN unpriced = 0 THEN round(cost / queries, 9) END AS per_query FROM a""")
+def trace_cost(spark, d):
+    """Two runs, of which one also asked a model without a price."""
+    results, answers = _traced(spark, d)
+    runs = answers.where("model = 'm2'").select("query_id", F.lit("half").alias("of"))
+    spanned = traces.spans("r1", results, answers).join(runs, "query_id", "left").withColumn("run", F.coalesce("of", F.lit("whole")))
+    prices = spark.range(1).select(F.lit("m1").alias("model"), F.lit(3.0).alias("input_price"), F.lit(15.0).alias("output_price"))
+    return traces.cost(spanned, prices).withColumns({"cost": F.round("cost", 6), "per_query": F.round("per_query", 9)})
+
+
 @query("SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 10")
 def head_limit(spark, d):
     return _t(spark, d, "benchmark").orderBy("item_id").limit(10)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import RunConfig
-from corpusloom.operators import metrics, prompt
+from corpusloom.operators import metrics, prompt, traces
 from corpusloom.operators.search import DenseRetriever
 
 #: Columns of a report (fixed values).
@@ -63,13 +63,19 @@ def measured(entries: DataFrame, retriever: DenseRetriever, k: int) -> list[tupl
     return out
 
 
-def report_row(config: RunConfig, means: DataFrame, stamp: str, commit: str | None, faithful: float | None = None, abstain: float | None = None, p50: float = 0.0, p95: float = 0.0, run_file: str | None = None) -> list[str]:
+def traced(run: str, config: RunConfig, got: Answered, timings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(spans, scores) of a run; see operators.traces."""
+    tags = (config.chunking, config.embedding, config.retrieval)
+    return traces.spans(run, got.results, got.answers, timings, tags), traces.scores(run, got.results, got.answers, got.judged)
+
+
+def report_row(config: RunConfig, means: DataFrame, stamp: str, commit: str | None, faithful: float | None = None, abstain: float | None = None, p50: float = 0.0, p95: float = 0.0, run_file: str | None = None, cost: float | None = None) -> list[str]:
     """The cells of one report row; a dash for what wasn't measured."""
     m = means.first()
     show = lambda x, d: "—" if x is None else f"{x:.{d}f}"
     return [
         stamp[:10], config.name, config.chunking, config.embedding, config.retrieval, str(config.top_k), f"{m.scored + m.skipped} ({m.scored}/{m.skipped})", show(m.recall, 3), show(m.mrr, 3), show(m.ndcg, 3),
-        show(faithful, 2), show(abstain, 2), f"{show(p50, 0)}/{show(p95, 0)}", "—", commit or "—", run_file or "—",
+        show(faithful, 2), show(abstain, 2), f"{show(p50, 0)}/{show(p95, 0)}", show(cost, 4), commit or "—", run_file or "—",
     ]
 
 
