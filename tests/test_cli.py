@@ -3,6 +3,7 @@ import json
 import pytest
 
 from corpusloom import cli
+from corpusloom.operators import traces
 
 
 @pytest.fixture
@@ -41,5 +42,7 @@ def test_commands(spark, folder, capsys):
     assert run("golden", "--corpus", corpus, "--golden", golden, "--stats")[0] == 0
     code, out = run("eval", "--store", store, "--golden", golden, "--results", str(folder / "results.md"))
     assert code == 0 and "| 1.000 |" in (folder / "results.md").read_text()
-    assert run("eval", "--store", store, "--golden", golden, "--limit", "1")[0] == 0
+    assert run("eval", "--store", store, "--golden", golden, "--limit", "1", "--traces", str(folder / "traces"))[0] == 0
+    spanned, scored = traces.read(spark, str(folder / "traces"))
+    assert sorted((r.query_id, r.name) for r in spanned.collect()) == [("q1", "query"), ("q1", "retrieval")] and scored.count() == 3
     assert run("eval", "--store", store, "--golden", str(folder / "none.jsonl"))[0] == 1
