@@ -95,6 +95,25 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# What SQL can say of operators whose whole results it can't: the same rows, by the same calls, fewer columns.
+
+
+def bpe_decoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_forest(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def winnowing_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_winnowing(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def private_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_private_spans(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_katz_backoff": op2_katz_backoff,
@@ -108,6 +127,10 @@ QUERIES = {
     "op10_winnowing": op10_winnowing,
     "op11_private_spans": op11_private_spans,
     "op12_filter_audit": op12_filter_audit,
+    "bpe_decoded_text": bpe_decoded_text,
+    "quality_statistics": quality_statistics,
+    "winnowing_edits": winnowing_edits,
+    "private_base_spans": private_base_spans,
 }
 
 OP4_SQL = r"""
@@ -178,10 +201,53 @@ y AS (SELECT part, filter_order, step, any_value(f) AS f, coalesce(sum(n) FILTER
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM y
 """
 
+DECODED_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+STATISTICS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS pos, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS words FROM w),
+c AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, words) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS spot FROM c WHERE n >= 2) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  len(ws) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+"""
+
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT doc_id, t, n, coalesce(lead(t) OVER o, first_value(t) OVER o) AS following FROM d WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 4) || substr(following, 1, n // 4)) AS edited_sha256 FROM x
+"""
+
+# A match begins after the matches before it and the texts between them.
+SPANS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, 1 AS rank, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS ms, regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS gaps FROM d UNION ALL
+  SELECT doc_id, 2 AS rank, 'ip' AS kind, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ms, regexp_split_to_array(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS gaps FROM d UNION ALL
+  SELECT doc_id, 3 AS rank, 'card' AS kind, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') AS ms, regexp_split_to_array(t, '[0-9]([\x20-]?[0-9])+') AS gaps FROM d UNION ALL
+  SELECT doc_id, 4 AS rank, 'phone' AS kind, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS ms, regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]') AS gaps FROM d),
+m AS (SELECT doc_id, rank, kind, unnest(ms) AS x, unnest(gaps[:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM f WHERE len(ms) > 0),
+s AS (SELECT doc_id, rank, kind, x, regexp_replace(x, '[^0-9]', '', 'g') AS digits, (sum(length(gap) + length(x)) OVER (PARTITION BY doc_id, rank ORDER BY i))::BIGINT AS stop FROM m),
+ok AS (SELECT doc_id, rank, kind, stop - length(x) AS start, stop FROM s WHERE CASE kind WHEN 'email' THEN true
+  WHEN 'ip' THEN list_max(list_transform(string_split(x, '.'), lambda p: p::DOUBLE)) <= 255
+  WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE WHEN j % 2 = 1 THEN reverse(digits)[j]::INT
+    ELSE 2 * reverse(digits)[j]::INT // 10 + 2 * reverse(digits)[j]::INT % 10 END)) % 10 = 0
+  ELSE length(digits) BETWEEN 8 AND 15 END)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card,
+  count(*) FILTER (WHERE kind = 'phone') AS n_phone, sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start), '')) AS base_sha256
+FROM d LEFT JOIN ok ON d.doc_id = ok.doc_id GROUP BY d.doc_id
+"""
+
 ORACLES = {
     "op4_ngram_join": OP4_SQL,
     "op7_html_text": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_url_filter": OP9_SQL,
     "op12_filter_audit": OP12_SQL,
+    "bpe_decoded_text": DECODED_SQL,
+    "quality_statistics": STATISTICS_SQL,
+    "winnowing_edits": EDITS_SQL,
+    "private_base_spans": SPANS_SQL,
 }
