@@ -717,6 +717,26 @@ def eval_run(spark, d):
     return scored.select("query_id", F.array_join("retrieved", " ").alias("retrieved"), "recall", F.round("mrr", 9).alias("mrr"))
 
 
+# Assistants' turns as answers and the two turns before each as its hits; the judge scores those that have both.
+_JUDGED = {"query_id": "concat(conv_id, ':', turn)", "text": "coalesce(text, '')", "abstained": "conv_id % 5 = 0", "refused": "turn % 4 = 3"}
+
+
+def _shorter(text: str, contexts: list[str]) -> float | None:
+    return sum(len(c) < len(text) for c in contexts) / 2 if len(contexts) == 2 else None
+
+
+@query("WITH an AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _JUDGED.items()) + """ FROM conversations WHERE role = 'assistant'),
+h AS (SELECT concat(conv_id, ':', turn + k.rank) AS query_id, length(coalesce(text, '')) AS n FROM conversations, (VALUES (1), (2)) AS k(rank))
+SELECT an.query_id, CASE WHEN NOT abstained AND NOT refused AND count(h.n) = 2 THEN count(*) FILTER (WHERE h.n < length(an.text)) / 2 END AS faithfulness
+FROM an LEFT JOIN h ON an.query_id = h.query_id GROUP BY an.query_id, an.text, abstained, refused""")
+def judge_gating(spark, d):
+    """Only answers that neither abstain nor are refused are judged; what the judge doesn't score stays without a score."""
+    turns = _t(spark, d, "conversations")
+    answers = turns.where("role = 'assistant'").select(*[F.expr(v).alias(k) for k, v in _JUDGED.items()])
+    ranked = turns.select("conv_id", "turn", F.expr(_JUDGED["text"]).alias("text"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+    return prompt.judge(answers, ranked.select(F.expr("concat(conv_id, ':', turn + rank)").alias("query_id"), "rank", "text"), lambda: _shorter)
+
+
 # --- K: traces --------------------------------------------------------------------------------------------------
 
 # Each turn of a conversation as a question with up to three hits, of which the second is relevant if it can be answered.
