@@ -106,22 +106,20 @@ class Balls:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q, asked, away, limit = shared.value
-            best: dict[int, search._Best] = {}
+            near: dict[int, search._Near] = {}
             for b in batches:
                 balls, far = b.column(2).to_numpy(), b.column(3).to_numpy()
                 for one in np.unique(balls):
                     who = asked[one]
-                    if one not in best:
-                        best[one] = search._Best([names[i] for i in who], q[who], k, digits)
+                    if one not in near:
+                        near[one] = search._Near([names[i] for i in who], q[who], k, digits)
                     rows = np.flatnonzero(balls == one)
                     if one != NOWHERE:  # the shell that some query of this ball reaches
                         rows = rows[(far[rows] >= (away[one] - limit[who]).min()) & (far[rows] <= (away[one] + limit[who]).max())]
-                        search._meet([best[one]], b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)))
+                        search._meet([near[one]], b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)))
                     else:  # no score; the smallest ids count
-                        best[one].add(b.column(0).take(pa.array(rows)).to_pylist(), np.zeros((len(rows), q.shape[1])))
-            flat = [(n, i, float("nan") if s == np.inf else -s) for x in best.values() for n, held in zip(x.names, x.best, strict=True) for s, i in held]
-            columns = list(zip(*flat, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], types[0]), pa.array(columns[1], types[1]), pa.array(columns[2], pa.float64())], ["query_id", "id", "score"])
+                        near[one].add(b.column(0).take(pa.array(rows)), np.zeros((len(rows), q.shape[1])))
+            yield from (x.best.batch(*types, ["query_id", "id", "score"]) for x in near.values())
 
         return self.vectors.where(F.col("ball").isin(list(asked))).select("id", "vec", "ball", "away").mapInArrow(run, schema)
 

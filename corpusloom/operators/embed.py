@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import tokens
 
 DIM = 64
+#: Tokens whose buckets a worker remembers (some 15 MB), and rows that it embeds at once.
+KNOWN, EMBED_ROWS = 100_000, 2_000
 _WORD = regex.compile(r"[\p{L}\p{N}_]+")
 
 
@@ -33,15 +35,16 @@ class Hash64:
     name, dim = "hash64", DIM
 
     def __init__(self):
-        self._cells: dict[str, tuple[int, int]] = {}
+        self._cells: dict[str, int] = {}
 
-    def _cell(self, token: str) -> tuple[int, int]:
+    def _cell(self, token: str) -> int:
+        """The token's bucket, and DIM more if it counts as -1."""
         found = self._cells.get(token)
         if found is None:
             d = hashlib.sha256(token.encode()).digest()
-            if len(self._cells) > 500_000:
+            if len(self._cells) >= KNOWN:
                 self._cells.clear()
-            found = self._cells[token] = (int.from_bytes(d[:4], "big") % DIM, 1 if d[4] & 1 else -1)
+            found = self._cells[token] = int.from_bytes(d[:4], "big") % DIM + (0 if d[4] & 1 else DIM)
         return found
 
     def counts(self, texts: list[str]) -> np.ndarray:
@@ -49,8 +52,8 @@ class Hash64:
         for i, t in enumerate(texts):
             cells = [self._cell(w) for w in _WORD.findall((t or "").lower())]
             if cells:
-                b, s = zip(*cells, strict=True)
-                out[i] = np.bincount(b, weights=s, minlength=DIM)
+                n = np.bincount(cells, minlength=2 * DIM)
+                out[i] = n[:DIM] - n[DIM:]
         return out
 
     def embed(self, texts: list[str]) -> np.ndarray:
@@ -115,7 +118,7 @@ def embed(df: DataFrame, model, key: str, text: str = "text", out: str = "embedd
     element = "double" if counts else "float"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, EMBED_ROWS) for whole in batches for at in range(0, whole.num_rows, EMBED_ROWS)):
             texts = b.column(1).to_pylist()
             v = model.counts(texts) if counts else model.embed(texts)
             if len(texts) and v.shape[1] != model.dim:

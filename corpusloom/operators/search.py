@@ -14,41 +14,65 @@ from corpusloom.functions.text import squeeze, tokens
 from corpusloom.functions.vector import cosine_distance
 from corpusloom.operators.embed import embed
 
-#: Queries of a block, vectors of a tile, and scores that a task holds at once.
-QUERY_BLOCK, TILE_ROWS, CELLS = 4096, 50_000, 4_000_000
+#: Queries of a block, vectors of a tile, and scores that a task holds at once (8 MB, a few times over).
+QUERY_BLOCK, TILE_ROWS, CELLS = 4096, 50_000, 500_000
 #: Numbers in all query vectors together that may be sent to every task (32 MB).
 FEW_VALUES = 4_000_000
 
 
-class _Best:
-    """The k best ids of each query so far, by distance, NaN last, then by id."""
+class Best:
+    """The k best ids of each query so far, by score, those below all others last, then by id. Scores that are NaN don't count."""
 
-    def __init__(self, names: list, q: np.ndarray, k: int, digits: int | None):
-        self.names, self.q, self.k, self.digits = names, q, k, digits
-        self.norm = np.sqrt((q * q).sum(1))
+    def __init__(self, names: list, k: int, digits: int | None):
+        self.names, self.k, self.digits = names, k, digits
         self.best: list[list[tuple]] = [[] for _ in names]
+        self.least = np.full(len(names), -np.inf)  # what a score must reach to be among the k
 
-    def add(self, ids: list, v: np.ndarray) -> None:
-        norms = np.sqrt((v * v).sum(1))[:, None] * self.norm[None, :]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            score = np.where(norms > 0, (v @ self.q.T) / norms, np.nan)
+    def offer(self, ids, score: np.ndarray) -> None:
+        """A row of scores, one a query, for each of the ids (an Arrow array). What doesn't reach the k best of a query isn't looked at."""
         if self.digits is not None:
             score = np.round(score, self.digits)
-        order = np.where(np.isnan(score), -np.inf, score)
-        for j in range(len(self.names)):
-            s = order[:, j]
-            if len(s) > self.k:
-                rows = np.flatnonzero(s >= np.partition(s, len(s) - self.k)[len(s) - self.k])
-            else:
-                rows = range(len(s))
-            held = self.best[j] + [(-s[i], ids[i]) for i in rows]
+        reach = self.least
+        if len(score) > self.k and np.isneginf(reach).any():  # the k best of these alone
+            reach = np.maximum(reach, np.partition(np.where(np.isnan(score), -np.inf, score), len(score) - self.k, axis=0)[len(score) - self.k])
+        query, row = np.nonzero((score >= reach[None, :]).T)
+        if not len(query):
+            return
+        names, value = ids.take(pa.array(row)).to_pylist(), score[row, query].tolist()
+        bounds = np.flatnonzero(np.diff(query, prepend=-1)).tolist() + [len(query)]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            j = int(query[lo])
+            held = self.best[j] + [(-value[i], names[i]) for i in range(lo, hi)]
             held.sort()
             self.best[j] = held[: self.k]
+            if len(held) >= self.k:
+                self.least[j] = -self.best[j][-1][0]
+
+    def batch(self, query_type: pa.DataType, id_type: pa.DataType, columns: list[str]) -> pa.RecordBatch:
+        """What is held as rows; a score below all others is NaN again."""
+        flat = [(n, i, float("nan") if s == np.inf else -s) for n, held in zip(self.names, self.best, strict=True) for s, i in held]
+        q, i, s = list(zip(*flat, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(q, query_type), pa.array(i, id_type), pa.array(s, pa.float64())], columns)
+
+
+class _Near:
+    """The vectors nearest to each of some query vectors, zero vectors last."""
+
+    def __init__(self, names: list, q: np.ndarray, k: int, digits: int | None):
+        self.q, self.norm, self.best = q, np.sqrt((q * q).sum(1)), Best(names, k, digits)
+
+    def add(self, ids, v: np.ndarray) -> None:
+        norms = np.sqrt((v * v).sum(1))[:, None] * self.norm[None, :]
+        score = v @ self.q.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            np.divide(score, norms, out=score)
+        score[~(norms > 0) | np.isnan(score)] = -np.inf
+        self.best.offer(ids, score)
 
 
 def _vectors(column) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array(rows, float).reshape(len(rows), -1)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(flat), -1)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "embedding", query_col: str = "query_id", query_vec: str = "embedding", digits: int | None = None) -> DataFrame:
@@ -65,10 +89,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
     types = [to_arrow_type(queries.schema[query_col].dataType), to_arrow_type(vectors.schema[id_col].dataType)]
     asked, searched = queries.select(F.col(query_col).alias("q"), F.col(query_vec).alias("qv")), vectors.select(F.col(id_col).alias("i"), F.col(vec_col).alias("iv"))
 
-    def batch(best: list[_Best]) -> pa.RecordBatch:
-        flat = [(n, i, float("nan") if s == np.inf else -s) for x in best for n, held in zip(x.names, x.best, strict=True) for s, i in held]
-        columns = list(zip(*flat, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], types[0]), pa.array(columns[1], types[1]), pa.array(columns[2], pa.float64())], [query_col, id_col, "score"])
+    columns = [query_col, id_col, "score"]
 
     n, values = asked.agg(F.count("*"), F.sum(F.size("qv"))).first()
     if (values or 0) <= FEW_VALUES:
@@ -77,10 +98,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            best = [_Best(names[at : at + QUERY_BLOCK], q[at : at + QUERY_BLOCK], k, digits) for at in range(0, len(names), QUERY_BLOCK)]
+            near = [_Near(names[at : at + QUERY_BLOCK], q[at : at + QUERY_BLOCK], k, digits) for at in range(0, len(names), QUERY_BLOCK)]
             for b in batches:
-                _meet(best, b.column(0), b.column(1))
-            yield batch(best)
+                _meet(near, b.column(0), b.column(1))
+            yield from (x.best.batch(*types, columns) for x in near)
 
         found = searched.mapInArrow(run, schema)
     else:
@@ -91,10 +112,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
 
         def cell(vs: pa.Table, qs: pa.Table) -> pa.Table:
             if not vs.num_rows or not qs.num_rows:
-                return pa.Table.from_batches([batch([])])
-            best = [_Best(qs.column("q").to_pylist(), _vectors(qs.column("qv")), k, digits)]
-            _meet(best, vs.column("i"), vs.column("iv"))
-            return pa.Table.from_batches([batch(best)])
+                return pa.Table.from_batches([Best([], k, digits).batch(*types, columns)])
+            near = _Near(qs.column("q").to_pylist(), _vectors(qs.column("qv")), k, digits)
+            _meet([near], vs.column("i").combine_chunks(), vs.column("iv").combine_chunks())
+            return pa.Table.from_batches([near.best.batch(*types, columns)])
 
         found = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInArrow(cell, schema)
     # distance ascending: NaN is the greatest and so the last
@@ -102,12 +123,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _meet(best: list[_Best], ids, vectors) -> None:
+def _meet(near: list[_Near], ids, vectors) -> None:
     """All vectors against all queries, in pieces of a bounded number of scores."""
-    step = max(1, CELLS // max((len(x.names) for x in best), default=1))
+    step = max(1, CELLS // max((len(x.q) for x in near), default=1))
     for at in range(0, len(ids), step):
-        names, v = ids[at : at + step].to_pylist(), _vectors(vectors[at : at + step])
-        for x in best:
+        names, v = ids[at : at + step], _vectors(vectors[at : at + step])
+        for x in near:
             x.add(names, v)
 
 

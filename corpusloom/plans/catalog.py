@@ -411,7 +411,7 @@ def _bm25_hits(spark, d, k: int) -> DataFrame:
     """The k chunks of greatest BM25 for every benchmark question, by words that aren't stemmed."""
     c = _chunks(spark, d)
     questions = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return fulltext.bm25(fulltext.postings(c, "plain"), fulltext.sizes(c, "plain"), questions, k, "plain", digits=6)
+    return fulltext.bm25(fulltext.bags(c, "plain"), None, questions, k, "plain", digits=6)
 
 
 @query(f"WITH {_chunk_sql()}, p AS (SELECT DISTINCT chunk_id, unnest({TERMS_SQL}) AS term FROM c) SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, sum(length)::BIGINT AS length FROM "
@@ -439,7 +439,7 @@ w AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id) SELECT q.item_id AS
 def fulltext_with_all(spark, d):
     """Chunks that have all terms of the beginning of a benchmark question."""
     questions = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("text"))
-    return fulltext.with_all(fulltext.postings(_chunks(spark, d), "plain"), questions, "plain")
+    return fulltext.with_all(fulltext.bags(_chunks(spark, d), "plain"), questions, "plain")
 
 
 # --- G: generation ----------------------------------------------------------------------------------------------
