@@ -18,7 +18,6 @@ from corpusloom.operators.embed import embed, embedder, misses
 KEYS = ["strategy", "chunk_id"]
 CACHE = "model string, key string, vec array<float>"
 CHUNKS = "strategy string, chunk_id string, doc_id string, n int, text string, text_hash string"
-POSTINGS = "strategy string, chunk_id string, term string, tf int, length int, folder int"
 LENGTHS = "strategy string, chunk_id string, length int"
 EMBEDDINGS = "strategy string, chunk_id string, model string, text_hash string, embedding array<float>"
 
@@ -77,7 +76,7 @@ class Conflict(RuntimeError):
 #: The tables of a store: their columns, what they are partitioned by, and how many of these a pointer names folders by.
 TABLES = {
     "chunks": (CHUNKS, ("strategy", "bucket"), 2), "embeddings": (EMBEDDINGS, ("strategy", "bucket", "model"), 3),
-    "postings": (POSTINGS, ("strategy", "bucket", "folder"), 2), "lengths": (LENGTHS, ("strategy", "bucket"), 2),
+    "blocks": (fulltext.BLOCKS.replace("bucket int, ", ""), ("strategy", "bucket", "folder"), 2), "sizes": (LENGTHS, ("strategy", "bucket"), 2),
 }
 #: How often a run begins anew because another one was faster.
 ATTEMPTS = 5
@@ -145,9 +144,10 @@ class Store:
     def text_index(self, strategy: str, state: State | None = None) -> tuple[DataFrame, DataFrame]:
         """(postings, lengths) of one chunking, of English terms. A store whose buckets were written before it kept them is an error; compact() mends it."""
         state = state or self.state()
-        if set(state.folders["chunks"]) != set(state.folders["lengths"]):
+        if set(state.folders["chunks"]) != set(state.folders["sizes"]):
             raise ValueError(f"{self.root} has buckets without a text index; compact() makes it")
-        return tuple(self.table(name, state).where(F.col("strategy") == strategy).drop("strategy") for name in ("postings", "lengths"))
+        stored, lengths = (self.table(name, state).where(F.col("strategy") == strategy).drop("strategy") for name in ("blocks", "sizes"))
+        return fulltext.unblocked(stored), lengths
 
     def read(self, state: State | None = None) -> tuple[DataFrame, DataFrame]:
         """(chunks, embeddings), with the bucket of each row."""
@@ -161,18 +161,19 @@ class Store:
         base = base or self.state()
         version = f"v-{uuid.uuid4().hex}"
         new: dict[str, list[str]] = {}
-        def put(name: str, df: DataFrame, together: tuple[str, ...] = ("strategy", "bucket")) -> None:
+        def put(name: str, df: DataFrame) -> None:
             _, by, depth = TABLES[name]
             path = f"{self.root}/{version}/{name}"
-            df.hint("rebalance", *map(F.col, together)).write.partitionBy(*by).parquet(path)
+            df.write.partitionBy(*by).parquet(path)
             new[name] = self._folders(path, depth)
 
-        put("chunks", chunked)
-        put("embeddings", embeddings)
-        # the text index of what was written: of the replaced buckets alone, as they are
+        together = lambda df: df.hint("rebalance", F.col("strategy"), F.col("bucket"))
+        put("chunks", together(chunked))
+        put("embeddings", together(embeddings))
+        # the text index of what was written: of the replaced buckets alone, as they are; since they lie together, nothing is moved again
         stored = self.spark.read.schema(CHUNKS + ", bucket int").parquet(f"{self.root}/{version}/chunks")
-        put("postings", fulltext.postings(stored, keep=("strategy", "bucket")).withColumn("folder", fulltext.term_folder(F.col("term"))), ("strategy", "bucket", "folder"))
-        put("lengths", fulltext.sizes(stored, keep=("strategy", "bucket")))
+        put("blocks", fulltext.blocks(stored))
+        put("sizes", fulltext.sizes(stored, keep=("strategy", "bucket")))
         goes = lambda folder: (strategy is None or f"strategy={strategy}" in folder.split("/")) and (touched is None or int(folder.split("bucket=")[1].split("/")[0]) in touched)
         self._commit(base, goes, {name: dict.fromkeys(folders, version) for name, folders in new.items()}, buckets or base.buckets)
 
@@ -303,16 +304,21 @@ def _index_once(store: Store, docs: DataFrame, strategy: str, model, partial: bo
     actions: dict[str, int] = {}
     for r in counted:
         actions[r.action] = actions.get(r.action, 0) + r.n
-    todo = to_embed(new, vectors, model.name)
+    # ids and hashes of what lacks a vector, found once for all that follows
+    todo = store.staged(to_embed(new.select(*KEYS, "text_hash", "bucket"), vectors, model.name))
     lacking = {r.bucket: r["count"] for r in todo.groupBy("bucket").count().collect()}
     touched = sorted({r.bucket for r in counted if r.action != "keep"} | set(lacking))
     if touched:
         here = F.col("bucket").isin(touched)
-        after, kept, todo = after.where(here), cascade(vectors.where(here), after), todo.where(here)
+        after, kept = after.where(here), cascade(vectors.where(here), after.where(here))
         keys = todo.select(F.col("text_hash").alias("key")).distinct()
-        new_texts = misses(todo, store.cached(model.name, keys), model.name)  # distinct ones that were never embedded; kept before all else
+        few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+        texts = new.join(F.broadcast(keys), F.col("text_hash") == F.col("key"), "left_semi") if few else new
+        lacked = keys.join(store.cached(model.name, keys).select("key"), "key", "left_anti")  # distinct texts that were never embedded; kept before all else
+        new_texts = texts.select(F.col("text_hash").alias("key"), "text").dropDuplicates(["key"]).join(lacked, "key", "left_semi")
         store.add_to_cache(embed(new_texts, model, "key", "text", "vec").select(F.lit(model.name).alias("model"), "key", "vec"))
         vec = store.cached(model.name, keys).select(F.col("key").alias("text_hash"), F.col("vec").alias("embedding"))
         fresh = todo.join(vec, "text_hash").select("strategy", "chunk_id", F.lit(model.name).alias("model"), "text_hash", "embedding", "bucket")
-        store.write(after, upsert_vectors(kept, fresh), strategy, touched, base)
+        replaced = todo.select(*KEYS, F.lit(model.name).alias("model"))
+        store.write(after, kept.join(replaced, [*KEYS, "model"], "left_anti").unionByName(fresh), strategy, touched, base)
     return Stats(docs.count(), sum(n for a, n in actions.items() if a != "delete"), actions.get("insert", 0) + actions.get("update", 0), actions.get("delete", 0), sum(lacking.values()), time.time() - began)
