@@ -112,6 +112,14 @@ def embedder(name: str):
     return EMBEDDERS[name]()
 
 
+def embedded(model, texts: list[str], counts: bool) -> np.ndarray:
+    """A row of numbers a text: whole ones as float64, others as float32."""
+    v = model.counts(texts) if counts else model.embed(texts)
+    if len(texts) and v.shape[1] != model.dim:
+        raise ValueError(f"{model.name}: vectors of {v.shape[1]} numbers, not {model.dim}")
+    return v.astype(np.float64 if counts else np.float32)
+
+
 def embed(df: DataFrame, model, key: str, text: str = "text", out: str = "embedding", counts: bool = False) -> DataFrame:
     """key and vector of each row, row by row without a shuffle. counts: whole numbers, if the model has them."""
     kind = df.schema[key].dataType.simpleString()
@@ -120,10 +128,7 @@ def embed(df: DataFrame, model, key: str, text: str = "text", out: str = "embedd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, EMBED_ROWS) for whole in batches for at in range(0, whole.num_rows, EMBED_ROWS)):
             texts = b.column(1).to_pylist()
-            v = model.counts(texts) if counts else model.embed(texts)
-            if len(texts) and v.shape[1] != model.dim:
-                raise ValueError(f"{model.name}: vectors of {v.shape[1]} numbers, not {model.dim}")
-            flat = pa.array(v.ravel(), pa.float64() if counts else pa.float32(), from_pandas=False)
+            flat = pa.array(embedded(model, texts, counts).ravel(), from_pandas=False)
             offsets = pa.array(np.arange(0, (len(texts) + 1) * model.dim, model.dim), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], [key, out])
 

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.text import squeeze, tokens
 from corpusloom.functions.vector import cosine_distance
-from corpusloom.operators.embed import embed
+from corpusloom.operators.embed import embed, embedded
 
 #: Queries of a block, vectors of a tile, and scores that a task holds at once (8 MB, a few times over).
 QUERY_BLOCK, TILE_ROWS, CELLS = 4096, 50_000, 500_000
@@ -75,12 +75,13 @@ def _vectors(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(flat), -1)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "embedding", query_col: str = "query_id", query_vec: str = "embedding", digits: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "embedding", query_col: str = "query_id", query_vec: str = "embedding", digits: int | None = None, read=None) -> DataFrame:
     """(query_col, id_col, score, rank): for each query its k nearest vectors, ties by id, zero vectors last.
 
     Vectors are read once, whatever the number of queries. Queries of a checked size are sent to all tasks, and no vector moves;
     more are dealt to blocks, vectors to tiles, and each task meets one block with one tile. Either way a task passes on only k rows a
-    query. With digits, scores are rounded before ranking, so that the order doesn't hang on the last bit.
+    query. With digits, scores are rounded before ranking, so that the order doesn't hang on the last bit. read: makes the numbers of
+    an Arrow column vec_col that doesn't hold vectors yet.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -100,7 +101,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
             names, q = shared.value
             near = [_Near(names[at : at + QUERY_BLOCK], q[at : at + QUERY_BLOCK], k, digits) for at in range(0, len(names), QUERY_BLOCK)]
             for b in batches:
-                _meet(near, b.column(0), b.column(1))
+                _meet(near, b.column(0), b.column(1), read or _vectors)
             yield from (x.best.batch(*types, columns) for x in near)
 
         found = searched.mapInArrow(run, schema)
@@ -114,7 +115,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
             if not vs.num_rows or not qs.num_rows:
                 return pa.Table.from_batches([Best([], k, digits).batch(*types, columns)])
             near = _Near(qs.column("q").to_pylist(), _vectors(qs.column("qv")), k, digits)
-            _meet([near], vs.column("i").combine_chunks(), vs.column("iv").combine_chunks())
+            _meet([near], vs.column("i").combine_chunks(), vs.column("iv").combine_chunks(), read or _vectors)
             return pa.Table.from_batches([near.best.batch(*types, columns)])
 
         found = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInArrow(cell, schema)
@@ -123,11 +124,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _meet(near: list[_Near], ids, vectors) -> None:
+def nearest(chunked: DataFrame, questions: DataFrame, model, k: int, counts: bool = False, digits: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) as top_k finds them for texts that have no vectors yet: chunks (chunk_id, text) and questions
+    (query_id, text). A chunk is embedded in the worker that searches it, so that its vector never leaves that."""
+    def read(texts) -> np.ndarray:
+        return embedded(model, texts.to_pylist(), counts).astype(float)
+
+    return top_k(chunked, embed(questions, model, "query_id", counts=counts), k, vec_col="text", digits=digits, read=read)
+
+
+def _meet(near: list[_Near], ids, vectors, read=_vectors) -> None:
     """All vectors against all queries, in pieces of a bounded number of scores."""
     step = max(1, CELLS // max((len(x.q) for x in near), default=1))
     for at in range(0, len(ids), step):
-        names, v = ids[at : at + step], _vectors(vectors[at : at + step])
+        names, v = ids[at : at + step], read(vectors[at : at + step])
         for x in near:
             x.add(names, v)
 

@@ -356,9 +356,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC NULL
 def _hits(spark, d, k: int = 5) -> DataFrame:
     """The k nearest chunks of every benchmark question, by whole-number hash64 vectors."""
     model = embed.embedder("hash64")
-    vectors = embed.embed(_chunks(spark, d), model, "chunk_id", counts=True)
-    questions = embed.embed(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), model, "query_id", counts=True)
-    return search.top_k(vectors, questions, k, digits=6)
+    return search.nearest(_chunks(spark, d), _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), model, k, counts=True, digits=6)
 
 
 @query(f"WITH {DENSE_SQL} SELECT r.item_id AS query_id, rank, r.chunk_id, c.doc_id, score, text FROM r JOIN c ON r.chunk_id = c.chunk_id WHERE rank <= 5")
