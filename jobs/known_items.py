@@ -49,8 +49,17 @@ def evaluate(spark: SparkSession, documents: str, questions: str, out: str, how:
     pieces = chunk.chunks(docs, how["chunking"])
     model = embed.embedder(how["embedding"])
     whole = hasattr(model, "counts")  # whole numbers, where the model has them, make scores that don't hang on the order of a sum
-    near = search.top_k(embed.embed(pieces, model, "chunk_id", counts=whole), embed.embed(asked, model, "query_id", counts=whole), k, digits=6)
-    truth = relevant(asked, pieces, how["window"])
+    near = search.nearest(pieces, asked, model, k, counts=whole, digits=6)
+    truth = relevant(asked, pieces, how["window"]).persist()  # found once for the hits and for the totals
+    try:
+        return _written(docs, asked, near, truth, out, run, k, documents, questions)
+    finally:
+        truth.unpersist()
+
+
+def _written(docs: DataFrame, asked: DataFrame, near: DataFrame, truth: DataFrame, out: str, run: str, k: int, documents: str, questions: str) -> dict[str, int]:
+    """Writes hits, scores and report, and gives the rows of each."""
+    spark = docs.sparkSession
     own = F.substring_index("chunk_id", "#", 1)
     hits = near.withColumn("doc_id", own).join(truth.withColumn("relevant", F.lit(True)), ["query_id", "chunk_id"], "left").join(docs.select("doc_id", "lang").distinct(), "doc_id")
     rows = {"hits": write(hits.select("query_id", "rank", "chunk_id", "doc_id", "score", F.coalesce("relevant", F.lit(False)).alias("relevant"), "lang"), f"{out}/hits/{run}", ["lang"])}
