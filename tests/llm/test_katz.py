@@ -227,3 +227,60 @@ def test_test_tables_get_good_turing_at_every_order(spark, sf):
         h = katz.counts_of_counts(np.array(list(c.values())))
         assert katz.good_turing(h) is not None
         assert katz.discounts(h) == pytest.approx(plain_discounts(list(c.values())))
+
+
+def test_what_travels_and_stays_is_little(spark, monkeypatch):
+    """Answers hold what blocks don't know, hashes go once they have been asked for: bytes for each token, of order 3."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 200), 5_000)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    held, stages = Counter(), []
+    original = katz.staged
+
+    def counted(df, tag, by):
+        found = original(df, tag, by)
+        for r in found[0].groupBy("kind").agg(F.sum(F.length("blob")).alias("n")).collect():
+            held["answers" if r.kind in ("answer", "sums") else r.kind] += r.n
+        stages.append(tag)
+        if tag == "katz-2":
+            name = next(t.name for t in spark.catalog.listTables() if t.name.startswith("katz_blocks") and t.name not in before)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{katz.shared_dir(spark)}/{name}")
+            files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            held["blocks"] = files.getContentSummary(path).getLength()
+        return found
+
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(katz, "staged", counted)
+    got = katz.score(docs, fold(F.col("doc_id"), 5) != 1, order=3).collect()
+    assert stages == ["katz-1", "katz-2", "katz-3"] and len(got) == len(texts)
+    tokens = sum(r.n_tokens for r in got)
+    assert held["answers"] < 1.5 * tokens, held
+    assert held["blocks"] < 3 * tokens, held
+
+
+def test_identities_and_steps():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for top in (1 << 8, 1 << 34, 1 << 63):
+        ids = np.unique(rng.integers(0, top, 1_000).astype(np.uint64))
+        assert (katz.joined(*katz.halves(ids)) == ids).all()
+        assert len(katz.joined(*katz.halves(ids[:0]))) == 0
+    size = np.array([0, 3, 0, 1, 2])
+    a = np.array([5, 6, 9, 2, 0, 7])
+    assert katz.summed_steps(katz.steps(a, np.repeat(np.arange(5), size)), size).tolist() == a.tolist()
+    big = [np.zeros(1_000, np.int64), rng.integers(0, 1 << 20, 1_000), rng.integers(0, 1 << 63, 1_000).astype(np.uint64), rng.random(1_000)]
+    assert [x.tolist() for x in katz.unpack(katz.pack(*big))] == [x.tolist() for x in big]
+    assert len(katz.pack(big[0])) < 10
+
+
+def test_number_tells_count():
+    import numpy as np
+
+    counts = [np.array([9, 9, 3, 1, 1, 0]), np.array([], np.int64), np.array([7, 2])]
+    distinct, words = zip(*[[x[::-1] for x in np.unique(c, return_counts=True)] for c in counts], strict=True)
+    uni = katz.Unigrams.of(np.zeros(len(katz.EDGES) - 1, np.int64), 32, 7, np.array([6, 0, 2]), list(distinct), list(words))
+    number = np.array([rank * 3 + k for k, c in enumerate(counts) for rank in range(len(c))])
+    assert uni.counts(number).tolist() == [9, 9, 3, 1, 1, 0, 7, 2]
