@@ -9,17 +9,18 @@ keys can't link. Groups empty in a set count as content only where a set has mor
 the number of groups allows for. Shingles of a thousandth of all documents or more are left out of the keys, which loses
 no link, so that common passages bring no strangers together. They are found in the pass that measures the sets: each task
 counts all its sets' shingles in a sketch of 2 ** SKETCH_BITS counters, Spark adds the sketches slice by slice, and the workers get
-one bit a counter; a rare shingle that shares its counter with a frequent one is left out of all keys as well. Pairs are
-counted for keys of up to FEW sets only; a key of more joins its sets to the least one, counted or not. A map task
-that finds such a key sends one row for it and keeps the rest as edges; so a key that a third of all documents
-hold is at most one row a task, and no key gives more than FEW sets' pairs.
+one bit a counter; a rare shingle that shares its counter with a frequent one is left out of all keys as well. In large corpora
+FREQUENT_DOCS documents are enough to be frequent: what strangers share by chance would else grow with the corpus. Pairs are
+counted for keys of up to FEW sets only, or FEW_SMALL where the content is of one or two shingles, which strangers often share; a key of more joins
+its sets to the least one, counted or not. A map task that finds such a key sends one row for it and keeps the rest as edges; so a key that a third of all documents
+hold is at most one row a task, and no key gives more than FEW_SMALL sets' pairs.
 
 Which pairs link. Vertices that share keys enough form coarse groups (connected components). A task
 takes one coarse group at a time, however small: its sets' group counts are points of an R-tree, the overlap of two sets is at
 most the sum of the smaller coordinates, nodes and points below the needed overlap are passed over, surviving
 pairs are verified on the sets. Only members outside the largest part found so far have to search. A coarse
-group of more than MAX_SHINGLES, or of more rows than a fair share of the tasks' (and MIN_ROWS), is split into blocks by hash, dealt to
-tasks in turn: each block meets the group's pivots in a task of its own, then what lies outside the largest part meets every
+group of more than MAX_SHINGLES, or of more rows than a fair share of the tasks' (and MIN_ROWS), is split by size, into the sets of each band and
+the one below, since others can't link. A part still too large is split into blocks by hash, dealt to tasks in turn: each block meets the group's pivots in a task of its own, then what lies outside the largest part meets every
 block. So a task's memory and time are bounded and no pair is lost. Texts are shingled twice, once to measure and once for
 keys, and a third time if they are in a coarse group: sending shingles along would cost four times the texts' bytes.
 
@@ -50,10 +51,10 @@ LEAF = 16
 PIVOTS = 12
 MAX_SHINGLES = 6_000_000
 MIN_ROWS = 128
-FREQUENT_SHARE = 1000
+FREQUENT_SHARE, FREQUENT_DOCS = 1000, 400
 SKETCH_BITS, SLICES = 22, 64
 KEYS_HELD = 500_000
-FEW = 8
+FEW, FEW_SMALL = 8, 32
 MOST_SHARED = 6
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -140,6 +141,15 @@ class Rule:
         return self._groups[band]
 
 
+#: Bits of a key: one of more sets than its pairs are counted for, and one whose content is small.
+MANY, SMALL = np.uint64(8), np.uint64(16)
+
+
+def few(k: np.ndarray) -> np.ndarray:
+    """Of how many sets keys may be for their pairs to be counted."""
+    return np.where(k & SMALL, FEW_SMALL, FEW)
+
+
 def counter_of(s: np.ndarray) -> np.ndarray:
     """The counter of the sketch that a shingle falls into."""
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
@@ -147,7 +157,7 @@ def counter_of(s: np.ndarray) -> np.ndarray:
 
 def keys(s: np.ndarray, rule: Rule, frequent: np.ndarray) -> np.ndarray:
     """frequent: bits of the counters whose shingles are left out. The keys under which a set meets every set that it may link with. Their low three bits say how many of them
-    linked sets share; the fourth is for _key_rows."""
+    linked sets share; the fourth is for _key_rows, the fifth marks a content of one or two shingles."""
     n = len(s)
     if len(frequent):
         at = counter_of(s)
@@ -164,7 +174,8 @@ def keys(s: np.ndarray, rule: Rule, frequent: np.ndarray) -> np.ndarray:
             np.add.at(total, group, mixed)
             size = np.bincount(group, minlength=g)
             full = np.flatnonzero(size) if g - np.count_nonzero(size) <= slack else np.arange(g)
-            out.append(_mix(total[full] + _mix(full.astype(np.uint64) + np.uint64(b << 32))) & ~np.uint64(15) | np.uint64(shared))
+            small = (size[full] > 0) & (size[full] <= 2)
+            out.append(_mix(total[full] + _mix(full.astype(np.uint64) + np.uint64(b << 32))) & ~np.uint64(31) | np.where(small, SMALL, np.uint64(0)) | np.uint64(shared))
     return np.concatenate(out)
 
 
@@ -301,12 +312,17 @@ def _add_slices(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "total": pa.array([int(total.sum())], pa.int64()), "counters": pa.array([total.tobytes()], pa.binary())})
 
 
+def least_frequent(documents: int, mean: float) -> float:
+    """From which count on a counter is of a frequent shingle. mean: of all counters, which rare shingles fill by chance."""
+    return max(20, min(documents // FREQUENT_SHARE, FREQUENT_DOCS)) + mean + 4 * mean**0.5
+
+
 def frequent_counters(sketches: DataFrame, documents: int) -> np.ndarray:
-    """Bits of the counters that at least 1 / FREQUENT_SHARE of all documents fill, and which are well above the mean
-    counter: half a megabyte, whatever the corpus. sketches: (slice, sketch) of each task."""
+    """Bits of the counters that at least 1 / FREQUENT_SHARE of all documents fill, or FREQUENT_DOCS where that is less, beyond what rare
+    shingles fill on the average: half a megabyte, whatever the corpus. sketches: (slice, sketch) of each task."""
     added = cut(sketches.groupBy("slice").applyInArrow(_add_slices, "slice int, total bigint, counters binary"))
     total = added.agg(F.sum("total")).first()[0] or 0
-    least = max(20, documents // FREQUENT_SHARE, 8 * total // (1 << SKETCH_BITS))
+    least = least_frequent(documents, total / (1 << SKETCH_BITS))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,9 +336,6 @@ def frequent_counters(sketches: DataFrame, documents: int) -> np.ndarray:
     return out.ravel()
 
 
-MANY = np.uint64(8)
-
-
 def _grouped(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
     """Keys and vertices sorted, each pair once, and where each key's run starts and how long it is."""
     order = np.lexsort((v, k))
@@ -341,7 +354,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch], n: int, rule: Rule, frequent: n
 
     def flush() -> pa.RecordBatch:
         k, v, starts, size = _grouped(np.concatenate(ks), np.concatenate(vs))
-        many = np.repeat(size > FEW, size)
+        many = np.repeat(size > few(k[starts]), size)
         head = np.zeros(len(k), bool)
         head[starts] = True
         edges = np.unique(np.column_stack([np.repeat(v[starts], size)[many & ~head], v[many & ~head]]), axis=0)
@@ -382,18 +395,22 @@ def _meet(table: pa.Table) -> pa.Table:
     if len(k):
         flagged = np.unique(k[(k & MANY) > 0] & ~MANY)
         k, v, starts, size = _grouped(k & ~MANY, v)
-        many = size > FEW
+        many = size > few(k[starts])
         if len(flagged):
             at = np.minimum(np.searchsorted(flagged, k[starts]), len(flagged) - 1)
             many |= flagged[at] == k[starts]
         run = np.repeat(np.arange(len(starts)), size)
         joined = many[run] & (v != v[starts][run])
         sure.append(np.column_stack([v[starts][run][joined], v[joined]]))
-        for d in range(1, FEW):
-            i = np.flatnonzero((run[:-d] == run[d:]) & ~many[run[d:]])
+        counted = np.flatnonzero(~many[run] & (size > 1)[run])  # most keys are of one set
+        k, v, run = k[counted], v[counted], run[counted]
+        for d in range(1, FEW_SMALL):
+            i = np.flatnonzero(run[:-d] == run[d:])
+            if not len(i):
+                break
             pairs.append(np.column_stack([v[i], v[i + d]]))
             need.append((k[i] & np.uint64(7)).astype(np.int64))
-        del run, joined, many
+        del run, joined, many, counted
     del k, v
     e = np.unique(np.concatenate(sure), axis=0)
     p, q = np.concatenate(pairs), np.concatenate(need)
@@ -432,8 +449,19 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, rule: Rule) -> Iterator[p
     _forget()
 
 
+def _by_size(large: DataFrame, rule: Rule) -> DataFrame:
+    """Coarse groups as parts of sets that may link by their sizes: a band's and those of the one below. Parts without a set of their own band lie in another."""
+    limits = [x for x in rule.limits if x < 1 << 31]
+    band = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= F.col("n_shingles"))) - 1
+    rows = large.drop("__volume", "__rows").withColumn("__band", band).withColumn("__at", F.explode(F.array(F.col("__band"), F.col("__band") + 1)))
+    part = F.xxhash64("__comp", "__at")
+    rows = rows.select("__id", "__hash", "v", part.alias("__comp"), "n_shingles", (F.col("__at") == F.col("__band")).alias("__own"))
+    sizes = rows.groupBy("__comp").agg(F.sum("n_shingles").alias("__volume"), F.count("*").alias("__rows"), F.max("__own").alias("__any"))
+    return cut(rows.drop("__own").join(maybe_broadcast(cut(sizes.where("__any AND __rows > 1").drop("__any"))), "__comp"))
+
+
 def _large_links(large: DataFrame, verified: Callable[[DataFrame], DataFrame], max_shingles: int, max_rows: int) -> DataFrame:
-    """Links within coarse groups too large for one task, as edges (a, b).
+    """Links within parts too large for one task, as edges (a, b).
 
     First each block of such a group meets the group's pivots, which unites the most of it in one pass. Two sets in
     different parts then aren't both in the largest one; so only what is left outside it meets every block.
@@ -513,8 +541,12 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
         return rows.repartitionById(buckets, to).sortWithinPartitions("__comp", "__part").mapInArrow(lambda b: _verify(b, n, rule), "a bigint, b bigint")
 
     whole = (F.col("__volume") <= max_shingles) & (F.col("__rows") <= max_rows)
-    links = verified(sized.where(whole).withColumn("__part", F.lit(0)))
+    within = sized.where(whole)
     large = sized.where(~whole)
+    if large.limit(1).count():
+        parts = _by_size(large, rule)
+        within, large = within.select(*parts.columns).unionAll(parts.where(whole)), parts.where(~whole)
+    links = verified(within.withColumn("__part", F.lit(0)))
     if large.limit(1).count():
         links = links.unionAll(_large_links(large, verified, max_shingles, max_rows))
     root = components(links)

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import line_dedup as ld
@@ -168,6 +169,42 @@ def test_large_groups_are_split_by_rows(spark):
     assert ordered(got) == ordered(brute_components(rows, 1, 95, 100))
 
 
+def test_strangers_of_a_small_key_arent_joined():
+    """Sets that share one shingle, alone in its group, are counted as pairs, up to FEW_SMALL; for a larger content, or more sets, they are joined to the least."""
+    def met(k, sets):
+        raw = lambda x: pa.array([np.array(x).tobytes()])
+        return nj._meet(pa.table({"ks": raw(np.full(sets, k, np.uint64)), "vs": raw(np.arange(sets, dtype=np.int64)), "edges": pa.array([b""])}))
+
+    key = np.uint64((1 << 45) | 6)
+    got = met(key | nj.SMALL, 20)
+    assert len(got) == 190 and set(got["n"].to_pylist()) == {1} and set(got["need"].to_pylist()) == {6}  # below what they need
+    for k, n in ((key, 20), (key | nj.SMALL, nj.FEW_SMALL + 1)):
+        assert sorted(zip(*(met(k, n)[c].to_pylist() for c in ("a", "b", "need")), strict=True)) == [(0, i, 0) for i in range(1, n)]
+    rule, no = nj.Rule(80, 100), np.zeros((1 << nj.SKETCH_BITS) >> 3, np.uint8)
+    s = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 100).astype(np.uint64))
+    small = [bool(k & nj.SMALL) for k in nj.keys(s, rule, no)]
+    assert any(small) and not all(small)
+
+
+def test_frequent_is_bounded_in_documents():
+    """By a share of the documents alone, a shingle of 2,900 of three million would not be frequent."""
+    assert nj.least_frequent(3_000_000, 262) < 800
+    assert nj.least_frequent(180_000, 22) > 180 and nj.least_frequent(10, 0) == 20
+
+
+def test_parts_by_size_hold_all_that_may_link(spark):
+    """A chain of sizes in one coarse group: two sets that may link by their sizes share a part, and no part has sizes of more than two bands."""
+    rule = nj.Rule(80, 100)
+    sizes = [int(50 * 1.07**i) for i in range(60)]
+    df = spark.createDataFrame([(i, i, i, 7, n, sum(sizes), 60) for i, n in enumerate(sizes)], "__id bigint, __hash bigint, v bigint, __comp bigint, n_shingles bigint, __volume bigint, __rows bigint")
+    parts = defaultdict(set)
+    for r in nj._by_size(df, rule).collect():
+        parts[r["__comp"]].add(r.v)
+    assert all(len({rule.band(sizes[v]) for v in p}) <= 2 for p in parts.values())
+    together = {(a, b) for p in parts.values() for a in p for b in p}
+    assert all((i, j) in together for i, a in enumerate(sizes) for j, b in enumerate(sizes) if min(a, b) * 100 >= max(a, b) * 80)
+
+
 def test_frequent_counters_count_all_documents(spark):
     rows = [(i, f"the common passage of all is here {i}a {i}b {i}c {i}d") for i in range(300)]
     sketches = []
